@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import format_duplicates, leakage, repeated_lines
+from quern.llm import format_duplicates, leakage, repeated_lines, residue, spam
 from quern.llm.oracle import SQL
 from quern.sources.tables import table
 
@@ -40,8 +40,24 @@ def p9_substituted(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), substitutions=2)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pages(table(spark, folder, "pages")).select("page_id")
+
+
+def p7_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pages(table(spark, folder, "pages")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_documents(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted)
+    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p7_found, p7_reasons, p10_found, p10_scores)
 }
 
 
