@@ -86,11 +86,8 @@ def key_totals(pages: DataFrame, fields: list[str], order: list[str], failed: Co
 
 def heavy_keys(pages: DataFrame, fields: list[str], order: list[str], failed: Column, share: float = 0.03, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(key_field, key_value, n, share): the values held by at least ``share`` of all rows of ``pages``."""
-    total = pages.agg(F.count(F.lit(1)).alias("_total"))  # one row
-    return (
-        key_totals(pages, fields, order, failed, chunk_rows).crossJoin(F.broadcast(total))
-        .where(F.col("n") / F.col("_total") >= share).select("key_field", "key_value", "n", (F.col("n") / F.col("_total")).alias("share"))
-    )
+    total = pages.count()
+    return key_totals(pages, fields, order, failed, chunk_rows).where(F.col("n") / F.lit(max(total, 1)) >= share).select("key_field", "key_value", "n", (F.col("n") / F.lit(max(total, 1))).alias("share"))
 
 
 def join_hot(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
