@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import format_duplicates, leakage, repeated_lines, residue, spam
+from quern.llm import format_duplicates, leakage, near_duplicates, packing, repeated_lines, residue, spam
 from quern.llm.oracle import SQL
 from quern.sources.tables import table
 
@@ -56,8 +56,25 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_scores(table(spark, folder, "documents"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = near_duplicates.duplicate_pairs(table(spark, folder, "pages"), doc_id="page_id", text="clean_content", shingle=3, threshold=0.7, min_words=50)
+    return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(table(spark, folder, "documents"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p7_found, p7_reasons, p10_found, p10_scores)
+    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p6_found, p6_classes, p8_packed, p8_fill, p7_found, p7_reasons, p10_found, p10_scores)
 }
 
 
