@@ -4,8 +4,9 @@ Method: adaptive multi-match prefixes. Texts become sets of hashed word shingles
 are never compared. A fixed-size sketch counts in how many texts each shingle occurs, and orders shingles from rare to
 common. A short text uses the plain prefix filter: two sets of similarity t share one of their |s| - ceil(t|s|) + 1 rarest
 shingles. For a longer text that prefix would meet too many partners, so it is lengthened to the whole set and dealt into
-groups by hash, and a partner must match all shingles of a group at once. The size class fixes the number of groups, such
-that sets of similarity t miss each other in all groups with probability at most ``MISS``. A group whose estimated number
+groups by hash; a partner must match all shingles of a group at once, and do so in ``MATCHES`` groups, before the pair is
+verified. The size class fixes the number of groups, such that two sets of similarity t match in fewer groups with
+probability at most ``MISS``. A group whose estimated number
 of chance partners is still above ``COST`` is lengthened by its next groups, which must then match as well; one with a
 shingle that occurs only once is left out, as it can have no partner. Both decisions depend only on what the group holds,
 so two texts that agree on it take them alike. Candidates are verified exactly.
@@ -35,8 +36,9 @@ from quern.llm.leakage import WordIds, window_hashes, words
 from quern.session import cut, join_small
 
 SHINGLE, THRESHOLD = 5, 0.8
-MISS = 1e-7
-COST = 64.0
+MISS = 1e-6
+MATCHES = 3
+COST = 4.0
 SKETCH = 1 << 21
 CHUNK = 1 << 16
 RANGE_ROWS = 1_000_000
@@ -98,12 +100,15 @@ def document_counts(sets: DataFrame) -> np.ndarray:
 
 @lru_cache(maxsize=256)
 def groups_of_class(k: int, t: float) -> int:
-    """Number of groups for pairs whose smaller set has 2**k to 2**(k+1) shingles: the least that keeps the chance of a miss at ``MISS``."""
-    most = (1 - t) / t * 2 ** (k + 1)  # differing shingles of two sets of similarity t, the smaller as large as the class allows
+    """Number of groups for pairs whose smaller set has 2**k to 2**(k+1) shingles: the least for which two sets of similarity t
+    match in fewer than ``MATCHES`` groups with probability at most ``MISS``."""
+    most = (1 - t) / t * 2 ** (k + 1)  # differing shingles, the smaller set as large as the class allows
     m = 4
-    while m * math.log1p(-math.exp(-most / m)) > math.log(MISS):
+    while True:
+        p = math.exp(-most / m)
+        if sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(MATCHES)) <= MISS:
+            return m
         m += max(1, m // 32)
-    return m
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,12 +117,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, df: np.ndarray, total: int, t: float) -> np.ndarray:
-    """The signatures of one set. ``df`` gives the estimated number of sets that hold each shingle."""
+    """The signatures of one set. ``df`` gives the estimated number of sets that hold each shingle. An odd signature is one
+    shingle of a plain prefix, and suffices for a candidate; even ones are groups."""
     n = len(s)
     out = []
     if n < SHORT / t:
         order = np.lexsort((s, df))[: n - math.ceil(t * n - 1e-9) + 1]
-        out.append(_mixed(s[order][df[order] > 1] ^ _U(0x5851F42D4C957F2D)))
+        out.append(_mixed(s[order][df[order] > 1] ^ _U(0x5851F42D4C957F2D)) | _U(1))
     if n >= SHORT:
         own = n.bit_length() - 1
         for k in (own,) if n * t >= 1 << own or 1 << own <= SHORT else (own, own - 1):
@@ -142,12 +148,16 @@ def signatures(s: np.ndarray, df: np.ndarray, total: int, t: float) -> np.ndarra
                             least[i] = min(least[i], least[at])
                         j += 1
                     sig[i] = int(_mixed(np.array([c ^ (int(held[i]) << 20) ^ j ^ (k << 56)], np.uint64))[0])
-            out.append(sig[least > 1])
+            out.append(sig[least > 1] & ~_U(1))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def _weight(sig: np.ndarray) -> np.ndarray:
+    return np.where(sig & _U(1), MATCHES, 1)
+
+
 def _pairs_of(rows: np.ndarray, t: float, hot: list | None) -> Iterator[np.ndarray]:
-    """Pairs (a < b) of rows, sorted by signature, that share one; of sizes that allow similarity t."""
+    """(a, b, weight), a < b, of rows sorted by signature that share one, and whose sizes allow similarity t."""
     sig = rows["sig"]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(starts, len(rows)))
@@ -159,19 +169,27 @@ def _pairs_of(rows: np.ndarray, t: float, hot: list | None) -> Iterator[np.ndarr
         at = starts[sizes == k]
         step = max(1, 2_000_000 // len(i))
         for c in range(0, len(at), step):
-            a, b = rows[(at[c : c + step, None] + i).ravel()], rows[(at[c : c + step, None] + j).ravel()]
-            fits = (np.minimum(a["n"], b["n"]) >= t * np.maximum(a["n"], b["n"]) - 1e-9) & (a["id"] != b["id"])
-            a, b = a["id"][fits], b["id"][fits]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+            yield _fitting(rows[(at[c : c + step, None] + i).ravel()], rows[(at[c : c + step, None] + j).ravel()], t)
+
+
+def _fitting(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    fits = (np.minimum(a["n"], b["n"]) >= t * np.maximum(a["n"], b["n"]) - 1e-9) & (a["id"] != b["id"])
+    a, b = a[fits], b[fits]
+    return np.stack([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), _weight(a["sig"])], axis=1)
 
 
 def _frame(pairs: list[np.ndarray]) -> pd.DataFrame:
-    p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "sig": pd.array([None] * len(p), dtype="Int64"), "block": pd.array([None] * len(p), dtype="Int64"), "rows": [None] * len(p)})
+    """Pairs with their summed weights, beside empty columns for blocks of hot signatures."""
+    p = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)])) if len(p) else np.zeros(0, np.int64)
+    w = np.add.reduceat(p[:, 2], first) if len(p) else np.zeros(0, np.int64)
+    none = pd.array([None] * len(first), dtype="Int64")
+    return pd.DataFrame({"a": p[first, 0], "b": p[first, 1], "w": w, "sig": none, "block": none, "rows": [None] * len(first)})
 
 
 def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float) -> DataFrame:
-    """(a, b), a < b: distinct pairs that share a signature."""
+    """(a, b), a < b: pairs that match in ``MATCHES`` groups, or in one shingle of their plain prefixes."""
     spark = sets.sparkSession
     known = spark.sparkContext.broadcast(counts)
     ranges = max(1, math.ceil(n_sets * 160 / RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -212,25 +230,25 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
         blocks = [(int(g["sig"][:1].view("<i8")[0]), b // HOT, g[b : b + HOT].tobytes()) for g in hot for b in range(0, len(g), HOT)]
         if not blocks:
             return out
-        extra = pd.DataFrame(blocks, columns=["sig", "block", "rows"]).assign(a=None, b=None)
-        return pd.concat([out.astype({"a": "Int64", "b": "Int64"}), extra.astype({"a": "Int64", "b": "Int64"})])[["a", "b", "sig", "block", "rows"]]
+        extra = pd.DataFrame(blocks, columns=["sig", "block", "rows"]).assign(a=None, b=None, w=None)
+        whole = {"a": "Int64", "b": "Int64", "w": "Int64", "sig": "Int64", "block": "Int64"}
+        return pd.concat([out.astype(whole), extra.astype(whole)])[["a", "b", "w", "sig", "block", "rows"]]
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x, y, same in zip(pdf["x"], pdf["y"], pdf["same"]):
                 a, b = np.frombuffer(x, _ROW), np.frombuffer(y, _ROW)
                 i, j = np.triu_indices(len(a), 1) if same else (g.ravel() for g in np.indices((len(a), len(b))))
-                p, q = a[i], b[j]
-                fits = (np.minimum(p["n"], q["n"]) >= t * np.maximum(p["n"], q["n"]) - 1e-9) & (p["id"] != q["id"])
-                p, q = p["id"][fits], q["id"][fits]
-                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+                p = _fitting(a[i], b[j], t)
+                yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "w": p[:, 2]})
 
     emitted = sets.select("id", "shingles").mapInPandas(emit, "range long, rows binary")
-    matched = cut(emitted.groupBy("range").applyInPandas(match, "a long, b long, sig long, block long, rows binary"), "p6-candidates")
+    matched = cut(emitted.groupBy("range").applyInPandas(match, "a long, b long, w long, sig long, block long, rows binary"), "p6-candidates")
     x = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("i"), F.col("rows").alias("x"))
     y = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("j"), F.col("rows").alias("y"))
     blocks = x.join(y, "sig").where("i <= j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
-    return matched.where(F.col("sig").isNull()).select("a", "b").unionByName(blocks.mapInPandas(across, "a long, b long")).distinct()
+    weighed = matched.where(F.col("sig").isNull()).select("a", "b", "w").unionByName(blocks.mapInPandas(across, "a long, b long, w long"))
+    return weighed.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
 
 
 def _verify(t: float):
