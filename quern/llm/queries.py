@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import format_duplicates, leakage, near_duplicates, packing, repeated_lines, residue, spam
+from quern.llm import format_duplicates, leakage, near_duplicates, packing, repeated_lines, residue, spam, wrappers
 from quern.llm.oracle import SQL
 from quern.sources.tables import table
 
@@ -73,8 +73,17 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes")))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.furniture_lines(table(spark, folder, "pages"))
+
+
+def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = wrappers.main_bodies(table(spark, folder, "pages")).where(F.col("clean_content").isNotNull())
+    return bodies.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_furniture_lines").cast("long").alias("n_furniture_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p6_found, p6_classes, p8_packed, p8_fill, p7_found, p7_reasons, p10_found, p10_scores)
+    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p6_found, p6_classes, p8_packed, p8_fill, p4_found, p4_bodies, p7_found, p7_reasons, p10_found, p10_scores)
 }
 
 
