@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import format_duplicates, leakage, near_duplicates, packing, repeated_lines, residue, spam, wrappers
+from quern.llm import format_duplicates, leakage, near_duplicates, packing, pii, repeated_lines, residue, spam, wrappers
 from quern.llm.oracle import SQL
 from quern.sources.tables import table
 
@@ -82,8 +82,21 @@ def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return bodies.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_furniture_lines").cast("long").alias("n_furniture_lines"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal(table(spark, folder, "pages"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    clean = pii.redact(table(spark, folder, "pages").select("page_id", "clean_content")).where(F.col("clean_content").isNotNull())
+    return clean.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_redacted").cast("long").alias("n_redacted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_collapsed, p9_found, p9_items, p9_substituted, p6_found, p6_classes, p8_packed, p8_fill, p4_found, p4_bodies, p7_found, p7_reasons, p10_found, p10_scores)
+    f.__name__: f
+    for f in (
+        p1_found, p1_clean, p3_found, p3_collapsed, p4_found, p4_bodies, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_reasons,
+        p8_packed, p8_fill, p9_found, p9_items, p9_substituted, p10_found, p10_scores,
+    )
 }
 
 
