@@ -208,9 +208,9 @@ def parsed(markup: pd.Series) -> pd.DataFrame:
     for m in markup:
         try:
             root = parse(m) if m else None
+            rows.append((title_of(root), clean_text_of(root), markdown_of(root), links_of(root)) if root is not None else (None, None, None, []))
         except (ValueError, AssertionError, RecursionError):
-            root = None
-        rows.append((title_of(root), clean_text_of(root), markdown_of(root), links_of(root)) if root is not None else (None, None, None, []))
+            rows.append((None, None, None, []))
     return pd.DataFrame(rows, columns=["title", "clean_text", "markdown", "links"])
 
 

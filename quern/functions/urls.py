@@ -78,7 +78,7 @@ def is_valid(url: Column) -> Column:
 def resolve(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``. Absolute, scheme-relative, root-relative, query and fragment references are plain columns; the rest needs ``resolve_udf``."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
-    simple = F.when(scheme(href) != "", F.concat(scheme(href), F.substring(href, F.length(_part(href, 1)) + 1, F.length(href)))).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+    simple = F.when((scheme(href) != "") & (scheme(href) != scheme(base)), href).when(scheme(href) != "", F.concat(scheme(href), F.substring(href, F.length(_part(href, 1)) + 1, F.length(href)))).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
     whole = assemble(scheme(base), authority(base), _part(base, 3), query(base), F.lit(""))
     return simple.when(href.startswith("#"), F.concat(whole, href)).when(href.startswith("?"), F.concat(root, _part(base, 3), href)).otherwise(F.concat(root, F.regexp_replace(_part(base, 3), r"[^/]*$", ""), href))
 

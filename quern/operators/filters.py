@@ -65,7 +65,7 @@ def link_filter(found: DataFrame, url: str, domain: str, seen: DataFrame | None
 
 def page_limit(found: DataFrame, url: str, most: int, order: list[str]) -> DataFrame:
     """The first ``most`` distinct URLs in ``order`` (the URL breaks ties)."""
-    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).where("_n = 1").drop("_n")
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order, url))).where("_n = 1").drop("_n")
     return first.orderBy(*order, url).limit(most)
 
 

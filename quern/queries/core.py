@@ -133,7 +133,7 @@ def job_names(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     rf"""WITH l AS (SELECT DISTINCT source_url AS b, target_url AS t FROM links WHERE source_url IS NOT NULL AND target_url IS NOT NULL),
 x AS (SELECT *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1) AS a, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p, regexp_extract(b, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) AS ts FROM l)
-SELECT b AS source_url, t AS target_url, CASE WHEN ts <> '' THEN lower(ts) || t[length(ts) + 1:] WHEN starts_with(t, '//') THEN s || ':' || t WHEN starts_with(t, '/') THEN s || '://' || a || t
+SELECT b AS source_url, t AS target_url, CASE WHEN ts <> '' AND lower(ts) <> s THEN t WHEN ts <> '' THEN lower(ts) || t[length(ts) + 1:] WHEN starts_with(t, '//') THEN s || ':' || t WHEN starts_with(t, '/') THEN s || '://' || a || t
  WHEN starts_with(t, '#') THEN s || '://' || a || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END || t WHEN starts_with(t, '?') THEN s || '://' || a || p || t ELSE s || '://' || a || regexp_replace(p, '[^/]*$', '') || t END AS resolved FROM x"""
 )
 def links_resolved(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,7 +300,7 @@ def href_counts(spark: SparkSession, folder: str) -> DataFrame:
 _ASSETS = rf"""WITH m AS (SELECT page_id, url, regexp_extract_all(html_content, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 1) AS hs, regexp_extract_all(html_content, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 2) AS ts FROM pages WHERE html_content IS NOT NULL),
 a AS (SELECT page_id, url AS b, hs[i] AS t, ts[i] AS w FROM m, unnest(range(1, len(hs) + 1)) AS r(i)),
 x AS (SELECT *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1) AS au, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p, regexp_extract(b, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) AS ts2 FROM a),
-y AS (SELECT page_id, w, CASE WHEN ts2 <> '' THEN lower(ts2) || t[length(ts2) + 1:] WHEN starts_with(t, '//') THEN s || ':' || t WHEN starts_with(t, '/') THEN s || '://' || au || t WHEN starts_with(t, '#') THEN s || '://' || au || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END || t WHEN starts_with(t, '?') THEN s || '://' || au || p || t ELSE s || '://' || au || regexp_replace(p, '[^/]*$', '') || t END AS asset_url FROM x),
+y AS (SELECT page_id, w, CASE WHEN ts2 <> '' AND lower(ts2) <> s THEN t WHEN ts2 <> '' THEN lower(ts2) || t[length(ts2) + 1:] WHEN starts_with(t, '//') THEN s || ':' || t WHEN starts_with(t, '/') THEN s || '://' || au || t WHEN starts_with(t, '#') THEN s || '://' || au || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END || t WHEN starts_with(t, '?') THEN s || '://' || au || p || t ELSE s || '://' || au || regexp_replace(p, '[^/]*$', '') || t END AS asset_url FROM x),
 z AS (SELECT page_id, asset_url, {ASSET} AS asset_type, nullif(trim(w), '') AS description FROM y WHERE asset_url IS NOT NULL)
 """
 

@@ -55,8 +55,8 @@ def discover_sitemaps(host: str, fetch: Fetcher) -> list[str]:
 
 def parse_sitemaps(documents: DataFrame, xml: str = "body", status: str = "status_code") -> DataFrame:
     """(url): distinct page addresses of stored sitemap documents, read with XPath in the JVM."""
-    found = F.explode(F.xpath(F.col(xml), F.lit("urlset/url/loc/text()")))
-    return documents.where((F.col(status) == 200) & F.col(xml).isNotNull()).select(F.trim(found).alias("url")).where("url <> ''").distinct()
+    found = F.explode(F.transform(F.xpath(F.col(xml), F.lit("urlset/url/loc/text()")), lambda x: F.trim(x)))
+    return documents.where((F.col(status) == 200) & F.col(xml).isNotNull()).select(found.alias("url")).where("url <> ''").distinct()
 
 
 def http_fetcher(agent: str = "quern/0.1", timeout: int = 30, retries: int = 3, backoff: float = 1.0) -> Fetcher:
