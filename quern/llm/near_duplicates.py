@@ -5,11 +5,12 @@ are never compared. A fixed-size sketch counts in how many texts each shingle oc
 common. A short text uses the plain prefix filter: two sets of similarity t share one of their |s| - ceil(t|s|) + 1 rarest
 shingles. For a longer text that prefix would meet too many partners, so it is lengthened to the whole set and dealt into
 groups by hash; a partner must match all shingles of a group at once, and do so in ``MATCHES`` groups, before the pair is
-verified. The size class fixes the number of groups, such that two sets of similarity t match in fewer groups with
-probability at most ``MISS``. A group whose estimated number
-of chance partners is still above ``COST`` is lengthened by its next groups, which must then match as well; one with a
-shingle that occurs only once is left out, as it can have no partner. Both decisions depend only on what the group holds,
-so two texts that agree on it take them alike. Candidates are verified exactly.
+verified. The sketch also gives the expected number of chance partners of a signature; from it follows how many shingles a
+signature must hold (``required_shingles``), and a group with fewer is lengthened by the groups after it, which must then
+match as well. The number of groups follows from size class, similarity and that requirement: two sets of similarity t match
+in fewer than ``MATCHES`` of them with probability at most ``MISS``. A group with a shingle that occurs only once is left
+out, as it can have no partner. All of this depends only on what a group holds, so two texts that agree on it act alike.
+Candidates are verified exactly.
 
 Cost: signatures travel as packed arrays, one per hash range and batch; a range's task holds about ``RANGE_ROWS``
 signatures. A signature shared by more than ``HOT`` texts is cut into blocks, whose pairs are expanded by separate tasks. The
@@ -38,13 +39,13 @@ from quern.session import cut, join_small
 SHINGLE, THRESHOLD = 5, 0.8
 MISS = 1e-6
 MATCHES = 3
+#: Chance partners a signature may be expected to have, and the most shingles that are required to keep to it.
 COST = 4.0
+MOST_REQUIRED = 4
 SKETCH = 1 << 21
 CHUNK = 1 << 16
 RANGE_ROWS = 1_000_000
 HOT = 1_000
-#: Sets below this size use the plain prefix filter.
-SHORT = 32
 _U = np.uint64
 _ROW = np.dtype([("sig", "<u8"), ("id", "<i8"), ("n", "<i4")])
 
@@ -98,17 +99,55 @@ def document_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def required_shingles(counts: np.ndarray, n_sets: int) -> int:
+    """The least number of shingles for which a signature is expected to meet at most ``COST`` texts by chance: each further
+    shingle divides the partners by the share of texts that hold a shingle met at random."""
+    c = counts.astype(np.float64)
+    total = c.sum()
+    share = min(0.99, (c * c).sum() / max(total, 1.0) / max(n_sets, 1))
+    for k in range(2, MOST_REQUIRED):
+        if n_sets * share**k <= COST:
+            return k
+    return MOST_REQUIRED
+
+
 @lru_cache(maxsize=256)
-def groups_of_class(k: int, t: float) -> int:
+def groups_of_class(k: int, t: float, required: int) -> int:
     """Number of groups for pairs whose smaller set has 2**k to 2**(k+1) shingles: the least for which two sets of similarity t
-    match in fewer than ``MATCHES`` groups with probability at most ``MISS``."""
-    most = (1 - t) / t * 2 ** (k + 1)  # differing shingles, the smaller set as large as the class allows
+    match in fewer than ``MATCHES`` groups with probability at most ``MISS``, shingles falling into groups at random; 0 where no
+    number reaches that."""
+
+    def chance(m: int) -> float:
+        """The least probability, over the sizes a pair of the class may have, that the signature of a group matches."""
+        worst = 1.0
+        for a in (2**k, 2 ** (k + 1)):
+            for b in (a, a / t):
+                shared = t / (1 + t) * (a + b)
+                pure, lam = math.exp(-(a + b - 2 * shared) / m), shared / m
+                p = [math.exp(-lam) * lam**i / math.factorial(i) for i in range(required)]
+                reach = [1.0] * (required + 1)
+                for have in range(required - 1, 0, -1):
+                    some = sum(p[i] * reach[min(required, have + i)] for i in range(1, required))
+                    reach[have] = pure * (some + 1 - sum(p)) / (1 - pure * p[0])
+                worst = min(worst, pure * (sum(p[i] * reach[i] for i in range(1, required)) + 1 - sum(p)))
+        return worst
+
     m = 4
-    while True:
-        p = math.exp(-most / m)
+    while m <= 2 ** (k + 1):
+        p = chance(m)
         if sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(MATCHES)) <= MISS:
             return m
         m += max(1, m // 32)
+    return 0
+
+
+@lru_cache(maxsize=16)
+def short_below(t: float, required: int) -> int:
+    """Sets below this size (a power of two) use the plain prefix filter, as too few groups of them would match."""
+    k = 4
+    while not groups_of_class(k, t, required):
+        k += 1
+    return 1 << k
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -116,39 +155,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(28))
 
 
-def signatures(s: np.ndarray, df: np.ndarray, total: int, t: float) -> np.ndarray:
+def signatures(s: np.ndarray, df: np.ndarray, t: float, required: int) -> np.ndarray:
     """The signatures of one set. ``df`` gives the estimated number of sets that hold each shingle. An odd signature is one
     shingle of a plain prefix, and suffices for a candidate; even ones are groups."""
-    n = len(s)
+    n, short = len(s), short_below(t, required)
     out = []
-    if n < SHORT / t:
+    if n < short / t:
         order = np.lexsort((s, df))[: n - math.ceil(t * n - 1e-9) + 1]
         out.append(_mixed(s[order][df[order] > 1] ^ _U(0x5851F42D4C957F2D)) | _U(1))
-    if n >= SHORT:
+    if n >= short:
         own = n.bit_length() - 1
-        for k in (own,) if n * t >= 1 << own or 1 << own <= SHORT else (own, own - 1):
-            m = groups_of_class(k, t)
+        for k in (own,) if n * t >= 1 << own or 1 << own <= short else (own, own - 1):
+            m = groups_of_class(k, t, required)
             g = ((s >> _U(24)) % _U(m)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             held, first = np.unique(g[order], return_index=True)
             content = np.add.reduceat(_mixed(s[order]), first)
             least = np.minimum.reduceat(df[order], first)
-            chance = math.log(total) + np.add.reduceat(np.log(df[order] / total), first)
-            sig = _mixed(content ^ (held.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(k << 56))
-            costly = np.flatnonzero(chance > math.log(COST))
-            if len(costly):
-                place = {int(h): i for i, h in enumerate(held)}
-                for i in costly:
-                    c, e, j = int(content[i]), float(chance[i]), 1
-                    while e > math.log(COST) and j < m:
-                        at = place.get((int(held[i]) + j) % m)
-                        if at is not None:
-                            c = (c * 0x9E3779B97F4A7C15 + int(content[at])) & 0xFFFFFFFFFFFFFFFF
-                            e += float(chance[at]) - math.log(total)
-                            least[i] = min(least[i], least[at])
-                        j += 1
-                    sig[i] = int(_mixed(np.array([c ^ (int(held[i]) << 20) ^ j ^ (k << 56)], np.uint64))[0])
-            out.append(sig[least > 1] & ~_U(1))
+            size = np.diff(np.append(first, n))
+            sig, rare, have = content, least, size
+            step = 0
+            while (less := have < required).any() and step < len(held) - 1:
+                step += 1
+                sig = np.where(less, sig * _U(0x9E3779B97F4A7C15) + np.roll(content, -step), sig)
+                rare = np.where(less, np.minimum(rare, np.roll(least, -step)), rare)
+                have = np.where(less, have + np.roll(size, -step), have)
+            sig = _mixed(sig ^ (held.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(k << 56))
+            out.append(sig[rare > 1] & ~_U(1))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -192,6 +225,7 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
     """(a, b), a < b: pairs that match in ``MATCHES`` groups, or in one shingle of their plain prefixes."""
     spark = sets.sparkSession
     known = spark.sparkContext.broadcast(counts)
+    required = required_shingles(counts, n_sets)
     ranges = max(1, math.ceil(n_sets * 160 / RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     most = RANGE_ROWS
 
@@ -211,7 +245,7 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
         for pdf in batches:
             for i, data in zip(pdf["id"], pdf["shingles"]):
                 s = np.frombuffer(data, "<u8")
-                sig = signatures(s, np.maximum(df[(s & _U(SKETCH - 1)).astype(np.int64)], 1), max(n_sets, 2), t)
+                sig = signatures(s, np.maximum(df[(s & _U(SKETCH - 1)).astype(np.int64)], 1), t, required)
                 rows = np.empty(len(sig), _ROW)
                 rows["sig"], rows["id"], rows["n"] = sig, i, len(s)
                 held.append(rows)

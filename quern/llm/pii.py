@@ -52,7 +52,7 @@ _BY_CUES = frozenset("by por von text texto story written posted publicado verö
 _PERSON_VERBS = frozenset("joined leads led teaches directs heads runs wrote dirige imparte coordina explica leitet lehrt forscht schreibt and y und who".split())
 
 _EMAIL = re.compile(
-    r"[\w.+'%-]+\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|&(?:amp;)?#64;)\s?[\w-]+(?:\s?(?:\.|\[\s?dot\s?\]|\(\s?dot\s?\)|\{dot\})\s?[\w-]+|\sdot\s[\w-]+)+|[\w.+'%-]+\sat\s[\w-]+(?:\sdot\s[\w-]+)+",
+    r"(?<![\w.+'%-])[\w.+'%-]++\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|&(?:amp;)?#64;)\s?[\w-]+(?:\s?(?:\.|\[\s?dot\s?\]|\(\s?dot\s?\)|\{dot\})\s?[\w-]+|\sdot\s[\w-]+)+|(?<![\w.+'%-])[\w.+'%-]++\sat\s[\w-]+(?:\sdot\s[\w-]+)+",
     re.I,
 )
 _DIGIT = re.compile(r"\d")

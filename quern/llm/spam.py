@@ -38,7 +38,7 @@ DIRECTION = np.array([-1.0, -1.0, -1.0, -1.0, 1.0, 1.0, 1.0, 1.0])
 WINDOW = 60
 MIN_DOCS = 50
 _WORD = re.compile(r"[^\W_]+")
-_URL = re.compile(r"https?://[^\s<>\"')\]]+|<a\s[^>]*>|</a>|www\.[^\s<>\"')\]]+|#\w+", re.I)
+_URL = re.compile(r"https?://[^\s<>\"')\]]+|<a\s[^>]{0,2000}>|</a>|www\.[^\s<>\"')\]]+|#\w+", re.I)
 _SEGMENT = re.compile(r"[\n|,;•»·<>\[\]()]+|\s[-–—]\s|(?<=[.!?])\s+|\s{2,}")
 _END = re.compile(r"[.!?…](?=\s|$|[\"”»)*<])")
 _PRICE = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|-\d+\s?%")
