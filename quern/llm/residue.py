@@ -41,11 +41,13 @@ _PROGRAM = re.compile(
     r"^\W{0,3}(?:(?:PHP )?(?:fatal|parse|catchable fatal) error\b.*:|(?:PHP )?(?:warning|notice|deprecated): .*(?:undefined|line \d|\(\)|array|variable|index)|traceback \(most recent call|\w*(?:exception|error) (?:at|in) \S+|(?:uncaught|unhandled) \w*(?:exception|error)|\w+(?:Exception|Error)(?::| at\b| in\b)|SQLSTATE\b|ORA-\d+|stack ?trace:?|segmentation fault|exception in thread|error establishing a database connection|syntax error near)",
     re.I | re.M,
 )
-#: Messages about errors, in place of content.
-_ERROR = re.compile(
-    r"^\W{0,3}(?:(?:error\s+|http\s+(?:error\s+)?)?(?:400|401|403|404|405|408|410|429|500|502|503|504)\b(?!\s+(?:or|and|answer|people|participants|records))|(?:internal )?server ?error|page not found|file not found|not found|not here|forbidden|access (?:is )?denied|permission denied|unauthori[sz]ed|bad (?:request|gateway)|gateway time-?out|service (?:temporarily )?unavailable|too many requests|session (?:has )?expired|(?:site )?(?:is )?(?:under|down for) (?:maintenance|construction)|site under maintenance|database error|request (?:timeout|timed out)|error|oops\W*|whoops\W*|sorry\W*|p[áa]gina no encontrada|acceso (?:denegado|prohibido)|error (?:interno )?del servidor|servicio no disponible|sesi[óo]n caducada|en mantenimiento|sitio en (?:mantenimiento|construcci[óo]n)|error de (?:la )?base de datos|zugriff verweigert|seite nicht gefunden|nicht gefunden|server ?fehler|interner serverfehler|dienst nicht verf[üu]gbar|wartungsarbeiten|sitzung abgelaufen|fehler)\W*\d*\W*$",
-    re.I,
-)
+_MESSAGE = (
+    r"(?:(?:internal )?server ?error|page not found|file not found|not found|not here|forbidden|access (?:is )?denied|permission denied|unauthori[sz]ed|bad (?:request|gateway)|gateway time-?out|service (?:temporarily )?unavailable|too many requests|"
+    r"session (?:has )?expired|(?:site )?(?:is )?(?:under|down for) (?:maintenance|construction)|database error|request (?:timeout|timed out)|error|oops|whoops|sorry|p[áa]gina no encontrada|no encontrad[ao]|acceso (?:denegado|prohibido)|error (?:interno )?del servidor|"
+    r"servicio no disponible|sesi[óo]n caducada|en mantenimiento|sitio en (?:mantenimiento|construcci[óo]n)|error de (?:la )?base de datos|zugriff verweigert|seite nicht gefunden|nicht gefunden|server ?fehler|interner serverfehler|dienst nicht verf[üu]gbar|wartungsarbeiten|sitzung abgelaufen|fehler)"
+)
+#: Messages about errors, in place of content: a status code, a message, or both, and nothing else.
+_ERROR = re.compile(rf"^\W{{0,3}}(?:(?:error\s+|http\s+(?:error\s+)?)?(?:400|401|403|404|405|408|410|429|500|502|503|504)\b\W{{0,4}}{_MESSAGE}?|{_MESSAGE})\W*\d*\W*$", re.I)
 _ERROR_SENTENCE = re.compile(
     r"\b(?:(?:page|resource|document|file|url|address) (?:that )?you (?:asked for|requested|are looking for|tried)|could not be (?:found|understood|processed)|(?:does|do) not have (?:permission|access)|you (?:do not|don't) have (?:permission|access)|sign in with|has expired|been rate limited|server (?:error|is temporarily|cannot)|temporarily (?:unable|unavailable)|something went wrong|link is broken|nothing at this address|did not answer in time|try again (?:later|shortly)|be back (?:soon|shortly)|systems are being updated|database connection|reference #\d+|error code|no tiene permiso|no existe o ha cambiado|(?:p[áa]gina|recurso) (?:solicitad[ao]|no encontrad[ao])|error interno|int[ée]ntelo (?:de nuevo )?m[áa]s tarde|vuelva a intentarlo|ha caducado|temporalmente no disponible|keine berechtigung|existiert nicht oder|angeforderte seite|interner fehler|sp[äa]ter (?:noch einmal|erneut)|nicht erreichbar|vor[üu]bergehend nicht)\b",
     re.I,

@@ -217,7 +217,7 @@ def test_components(spark):
     [
         ("T", "Text with {{ name }} left.", True), ("T", "Students learn that {{ name }} marks a slot in a template.", False), ("{{ page.title }}", None, True), ("404 Not Found", None, True), ("A talk about 404 pages", None, False), ("T", "TODO EL VERANO", False),
         ("T", "ROSA_MARIA@U.EXAMPLE writes", False), ("T", "Ask NAME_OF_CHAIR today.", True), ("T", "Please enable JavaScript to view this website.", True), ("T", 'Warning: undefined index "x" in line 3', True), ("T", None, False), (None, None, False), ("Loading...", "A real page. " * 30, True),
-        ("T", "Long real prose about archives. It has many sentences and goes on for a good while, so that it counts as content here.\nFor the best experience turn on JavaScript in your browser.\n" + "More prose of the page follows. It is long enough to be read as a paragraph with several sentences in it, one after another." , False),
+        ("T", "Long real prose about archives. It has many sentences and goes on for a good while, so that it counts as content here and is not taken for a teaser.\nFor the best experience turn on JavaScript in your browser.\n" + "More prose of the page follows. It is long enough to be read as a paragraph with several sentences in it, one after another." , False),
     ],
 )
 def test_residue(title, text, case):
