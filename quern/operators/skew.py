@@ -84,6 +84,20 @@ def key_totals(pages: DataFrame, fields: list[str], order: list[str], failed: Co
     return longest_runs(rows, ["key_field", "key_value"], order, F.col("_quern_failed"), chunk_rows)
 
 
+def source_totals(sources: dict[str, DataFrame], fields: list[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(key_field, key_value, one count for each source): the rows of several tables by value of each field.
+
+    Each table has the ``fields`` and an ``order`` column that tells rows of a key apart, so that a heavy key can be split."""
+    stacked = None
+    for name, df in sources.items():
+        rows = stacked_keys(df, fields, [order]).withColumn("_source", F.lit(name))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    numbered = number_rows(stacked, ["key_field", "key_value"], ["_source", order])
+    counts = [F.count_if(F.col("_source") == name).alias(name) for name in sources]
+    states = numbered.withColumn("_chunk", chunk_of(F.col("row_no"), chunk_rows)).groupBy("key_field", "key_value", "_chunk").agg(*counts)
+    return states.groupBy("key_field", "key_value").agg(*[F.sum(name).alias(name) for name in sources])
+
+
 def heavy_keys(pages: DataFrame, fields: list[str], order: list[str], failed: Column, share: float = 0.03, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(key_field, key_value, n, share): the values held by at least ``share`` of all rows of ``pages``."""
     total = pages.count()

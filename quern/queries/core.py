@@ -61,6 +61,23 @@ def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
     return totals.select("key_field", "key_value", F.col("n").alias("n_pages"), F.col("n_flagged").alias("n_failed"), F.col("longest_run").alias("longest_failure"))
 
 
+_SOURCES = f"""
+WITH u AS (SELECT 'pages' AS src, url FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'links', source_url FROM links WHERE source_url IS NOT NULL UNION ALL SELECT 'contacts', source_url FROM contacts WHERE source_url IS NOT NULL),
+p AS (SELECT src, {PART(2)} AS a FROM u),
+k AS (SELECT src, 'domain' AS key_field, a AS key_value FROM p UNION ALL SELECT src, 'subdomain', CASE WHEN len(string_split(a, '.')) > 2 THEN string_split(a, '.')[1] ELSE '' END FROM p)
+SELECT key_field, key_value, count(*) FILTER (src = 'pages') AS pages, count(*) FILTER (src = 'links') AS links, count(*) FILTER (src = 'contacts') AS contacts FROM k WHERE key_value <> '' GROUP BY ALL
+"""
+
+
+@register(_SOURCES)
+def p2_site_totals(spark: SparkSession, folder: str) -> DataFrame:
+    def keyed(name: str, url: str) -> DataFrame:
+        rows = table(spark, folder, name).where(F.col(url).isNotNull())
+        return rows.select(urls.authority(F.col(url)).alias("domain"), urls.subdomain_label(F.col(url)).alias("subdomain"), F.xxhash64(*rows.columns[:4]).alias("row_key"))
+
+    return skew.source_totals({"pages": keyed("pages", "url"), "links": keyed("links", "source_url"), "contacts": keyed("contacts", "source_url")}, ["domain", "subdomain"], "row_key")
+
+
 # ---- URL functions ----
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of a side that may be broadcast once its size has been measured.
 BROADCAST_BYTES = 48 << 20
+_CUTS: list[str] = []
 
 
 def build_session(app: str = "quern", cores: str = "*", **conf: str) -> SparkSession:
@@ -38,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     own = os.environ.get("QUERN_SHARED_DIR")
     if own is None:
         own = os.environ["QUERN_SHARED_DIR"] = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
 
 
@@ -46,9 +50,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote so far, once nothing reads them any more; returns their number."""
+    n = 0
+    while _CUTS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        n += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return n
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df``, at ``row_bytes`` a row, fits the broadcast limit. Counts at most one row beyond the limit."""
     most = max(1, limit // max(1, row_bytes))
