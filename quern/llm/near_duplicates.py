@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.leakage import WordIds, window_hashes, words
+from quern.operators.skew import join_hot
 from quern.session import cut, join_small
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -309,7 +310,7 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         sets = cut(sets.dropDuplicates(["id"]), "p6-sets")
     reps = sets.groupBy("form").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = cut(reps.where("copies > 1"), "p6-copied")
-    members_of_copied = sets.select("id", "form").join(copied, "form").select("id", "rep").distinct()
+    members_of_copied = join_hot(sets.select("id", "form"), copied, ["form"], "copies", sets.count()).select("id", "rep").distinct()
     copies = cut(members_of_copied.where("id <> rep"), "p6-copies")
     single = join_small(sets, copies.select("id"), ["id"], "left_anti", row_bytes=24)
     members = join_small(sets.select("id"), copies, ["id"], "left", row_bytes=32).select("id", F.coalesce("rep", "id").alias("rep")).distinct()

@@ -82,6 +82,17 @@ def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return bodies.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_furniture_lines").cast("long").alias("n_furniture_lines"))
 
 
+def p4_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    found = wrappers.infer_wrappers(table(spark, folder, "pages"))
+
+    def describe(batches):
+        for pdf in batches:
+            held = [wrappers.Wrapper.load(w) for w in pdf["wrapper"]]
+            yield pdf[["host"]].assign(n_pages=[w.pages for w in held], pattern=[w.pattern() for w in held])
+
+    return found.mapInPandas(describe, "host string, n_pages long, pattern string")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal(table(spark, folder, "pages"))
 
@@ -94,7 +105,7 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p3_found, p3_collapsed, p4_found, p4_bodies, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_reasons,
+        p1_found, p1_clean, p3_found, p3_collapsed, p4_found, p4_bodies, p4_wrappers, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_reasons,
         p8_packed, p8_fill, p9_found, p9_items, p9_substituted, p10_found, p10_scores,
     )
 }
