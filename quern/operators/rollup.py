@@ -89,3 +89,17 @@ def redirect_log(fetches: DataFrame, by: str = "job_id") -> DataFrame:
     """(by, redirects): the fetches whose final address differs, in order of time."""
     moved = fetches.where(F.col("url") != F.col("final_url"))
     return moved.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("fetched_at", "url", "final_url", "status_code"))).alias("redirects"))
+
+
+def fetch_statistics(fetches: DataFrame, limits: DataFrame, host: str = "host", at: str = "fetched_at", seconds: str = "seconds", key: str = "url") -> DataFrame:
+    """(host, n_fetches, n_failed, recent_mean, delay, severity): the fetch log by host beside the limiter's state (host, state, severity)."""
+    newest = Window.partitionBy(host).orderBy(F.desc(at), key)
+    counts = fetches.groupBy(host).agg(F.count(F.lit(1)).alias("n_fetches"), F.count_if(F.coalesce(F.col("status_code"), F.lit(0)).between(1, 399) == F.lit(False)).alias("n_failed"))
+    recent = fetches.withColumn("_n", F.row_number().over(newest)).where("_n <= 10").groupBy(host).agg(F.avg(seconds).alias("recent_mean"))
+    return counts.join(recent, host, "left").join(limits.select(F.col("host").alias(host), F.col("state.delay").alias("delay"), "severity"), host, "left")
+
+
+def analytics_summary(site: DataFrame, subdomains: DataFrame, by: str = "job_id") -> DataFrame:
+    """(by, total_pages, total_subdomains, total_emails): the totals of both rollups."""
+    per = subdomains.groupBy(by).agg(F.count(F.lit(1)).alias("total_subdomains"))
+    return site.select(by, "total_pages", F.col("emails_found").alias("total_emails")).join(per, by, "left").fillna(0, ["total_subdomains"])

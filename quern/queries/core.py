@@ -457,7 +457,7 @@ def job_status(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.job_status(table(spark, folder, "jobs"), table(spark, folder, "pages")).withColumn("pct_done", F.col("pct_done").cast("double"))
 
 
-@register("SELECT job_id, CASE WHEN contains(domain, 'harvard.edu') OR contains(domain, 'stanford.edu') THEN 2.0 WHEN contains(domain, '.cc.') OR contains(domain, 'community') THEN 0.5 WHEN contains(domain, 'ue.edu.pe') THEN 3.0 ELSE 1.0 END AS base_delay FROM jobs")
+@register("SELECT job_id, CAST(CASE WHEN contains(domain, 'harvard.edu') OR contains(domain, 'stanford.edu') THEN 2.0 WHEN contains(domain, '.cc.') OR contains(domain, 'community') THEN 0.5 WHEN contains(domain, 'ue.edu.pe') THEN 3.0 ELSE 1.0 END AS DOUBLE) AS base_delay FROM jobs")
 def preset_delays(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "jobs").select("job_id", jobs.preset_delay(F.col("domain")).alias("base_delay"))
 

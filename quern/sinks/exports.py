@@ -66,6 +66,11 @@ def page_documents(pages: DataFrame) -> DataFrame:
     return pages.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def documents(df: DataFrame, **constants: str) -> DataFrame:
+    """(value): each row of a rollup as one JSON document, with constant fields (a job, a time) added."""
+    return df.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in constants.items()], *df.columns)).alias("value"))
+
+
 def contact_document(pages: DataFrame, job: str) -> DataFrame:
     """(job_id, total, contacts): the pages of a job that have contacts, one element each."""
     has = (_size(F.col("emails")) > 0) | (F.coalesce(F.size(F.map_keys("social_media")), F.lit(0)) > 0)

@@ -186,3 +186,32 @@ def test_limiter_stream(spark, tmp_path):
     source = streams.read_stream(spark, f"{tmp_path}/in", schema, 8)
     out = streams.drain(streams.limiter_stream(source, "host", "at", "code", "sec"), "limiter_out", "update", f"{tmp_path}/cp").collect()
     assert (out[-1].n, out[-1].delay, out[-1].errors) == (4, 7.5, 0)
+
+
+def test_saved_runs(spark, tmp_path):
+    df = spark.createDataFrame([("a",)], "url string")
+    files.save_checkpoint(str(tmp_path), "j1", {"pending": df, "failed": df.limit(0)})
+    held = files.load_checkpoint(spark, str(tmp_path), "j1")
+    assert {k: v.count() for k, v in held.items()} == {"pending": 1, "failed": 0}
+    assert files.saved_jobs(spark, str(tmp_path)) == ["j1"] and files.load_checkpoint(spark, str(tmp_path), "none") == {}
+    assert files.delete_checkpoint(spark, str(tmp_path), "j1") and files.saved_jobs(spark, str(tmp_path)) == []
+    assert files.files_by_kind(["a_b-pages-1.csv", "x_contacts.json", "odd.txt"]) == {"pages": ["a_b-pages-1.csv"], "contacts": ["x_contacts.json"]}
+
+
+def test_stages(spark):
+    from quern.plans.stages import Stage, keep, run
+
+    df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "n int, error_message string")
+    twice = Stage("twice", lambda d: d.withColumn("n", F.col("n") * 2), gate=lambda: F.col("n") > 1, failed=lambda: F.col("n") > 3)
+    out = run(df, [twice, keep(lambda: F.col("n").isNotNull())], cut_every=2)
+    assert {(r.n, r.error_message) for r in out.collect()} == {(1, None), (4, "x; twice failed")}
+
+
+def test_fetch_statistics(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("h", f"u{i}", start + timedelta(seconds=i), 200 if i else None, float(i)) for i in range(12)]
+    log = spark.createDataFrame(rows, "host string, url string, fetched_at timestamp, status_code int, seconds double")
+    limits = limiter.replay(log, "host", "fetched_at", "url", F.col("status_code"), F.col("seconds"))
+    r = rollup.fetch_statistics(log, limits).first()
+    assert (r.n_fetches, r.n_failed, r.recent_mean) == (12, 1, 6.5) and r.severity is not None
+    assert exports.documents(log.select("host").limit(1), job="j").first().value == '{"job":"j","host":"h"}'
