@@ -52,7 +52,7 @@ _BY_CUES = frozenset("by por von text texto story written posted publicado verö
 _PERSON_VERBS = frozenset("joined leads led teaches directs heads runs wrote dirige imparte coordina explica leitet lehrt forscht schreibt and y und who".split())
 
 _EMAIL = re.compile(
-    r"(?<![\w.+'%-])[\w.+'%-]++\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|&(?:amp;)?#64;)\s?[\w-]+(?:\s?(?:\.|\[\s?dot\s?\]|\(\s?dot\s?\)|\{dot\})\s?[\w-]+|\sdot\s[\w-]+)+|(?<![\w.+'%-])[\w.+'%-]++\sat\s[\w-]+(?:\sdot\s[\w-]+)+",
+    r"(?<![\w.+'%-])[\w.+'%-]++\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|&(?:amp;)?#64;)\s?[\w-]+(?:\.[\w-]+|\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{dot\})\s?[\w-]+|\sdot\s[\w-]+)+|(?<![\w.+'%-])[\w.+'%-]++\sat\s[\w-]+(?:\sdot\s[\w-]+)+",
     re.I,
 )
 _DIGIT = re.compile(r"\d")
@@ -71,9 +71,9 @@ _CAP = r"(?!(?:Dr|Dra|Prof|Mrs?|Ms|Sra?|Frau|Herrn?)\b)[A-ZÀ-Þ][a-zà-ÿß]+(?
 _TITLE = r"(?:Dr|Dra|Prof|Professor|Profesora?|Mrs?|Ms|Sra?|Dean|Frau|Herrn?|Don|Doña|Dekan(?:in)?|Decan[oa])\b\.?"
 _GAP = "[  \t]{1,3}"
 _NAME = re.compile(
-    rf"(?:{_TITLE}{_GAP})+(?:(?:[A-ZÀ-Þ]\.|{_CAP}){_GAP}){{0,2}}{_CAP}(?:{_GAP}{_CAP})?"
+    rf"(?<!\w)(?:(?:{_TITLE}{_GAP})+(?:(?:[A-ZÀ-Þ]\.|{_CAP}){_GAP}){{0,2}}{_CAP}(?:{_GAP}{_CAP})?"
     rf"|(?:{_CAP}|[A-ZÀ-Þ]\.)(?:{_GAP}(?:[A-ZÀ-Þ]\.|{_CAP}|de|del|von|van|da)){{0,3}}{_GAP}{_CAP}"
-    rf"|\b(?:[A-ZÀ-Þ]{{2,}}(?:-[A-ZÀ-Þ]{{2,}})*|{_CAP}),{_GAP}{_CAP}(?:{_GAP}[A-ZÀ-Þ]\.)?"
+    rf"|(?:[A-ZÀ-Þ]{{2,}}(?:-[A-ZÀ-Þ]{{2,}})*|{_CAP}),{_GAP}{_CAP}(?:{_GAP}[A-ZÀ-Þ]\.)?)"
 )
 _UPPER_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*\.?")
 _WORD = re.compile(r"[^\s,;:()|]+|[,;:()|]")

@@ -123,6 +123,8 @@ Forbidden. Reference #{five}
 Quick links: Portal, Timetable, Webmail, Emergency
 Home > News > {Topic} and rules for {topic}
 Visit Contact Home News Athletics
+INICIO CONTACTO VIDA UNIVERSITARIA NOTICIAS EMPLEO
+HOME CONTACT STUDENT LIFE NEWS JOBS
 Subscribe to the University of {place} newsletter
 About {small} records were checked {when}; the rest await the council.
 {Topic}: rules and {topic}
