@@ -42,7 +42,11 @@ def main(args: list[str] | None = None) -> int:
         report.indicator_rich(done, analysis.INDICATORS).select("url", "score", "page_type").show(truncate=80)
     elif a.command == "export":
         mine = pages().where(F.col("job_id") == a.job)
-        exports.write(exports.page_report(mine) if a.format == "csv" else mine, f"{a.out}/{exports.file_name(a.job, 'pages', a.format)}", a.format)
+        exports.write(
+            exports.page_report(mine) if a.format == "csv" else mine,
+            f"{a.out}/{exports.file_name(a.job, 'pages', a.format)}",
+            a.format,
+        )
         exports.write(exports.contact_rows(mine), f"{a.out}/{exports.file_name(a.job, 'contacts', a.format)}", a.format)
     else:
         from quern.queries import core

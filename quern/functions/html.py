@@ -16,7 +16,9 @@ from quern import vocab
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style"))
-_BLOCKS = frozenset("p div section article main header footer nav aside ul ol table tr form blockquote address h1 h2 h3 h4 h5 h6 body html dl dt dd pre hr li".split())
+_BLOCKS = frozenset(
+    "p div section article main header footer nav aside ul ol table tr form blockquote address h1 h2 h3 h4 h5 h6 body html dl dt dd pre hr li".split()
+)
 _MAIN = re.compile("content|main|body", re.I)
 LEAST_CHARS = 50
 
@@ -108,7 +110,9 @@ def _container(root: Node, dropped: frozenset[str], by_id: bool) -> Node:
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and c.tag not in dropped)
     body = next((n for n in alive if n.tag == "body"), root)
     first = lambda test: next((n for n in alive if test(n)), None)
-    found = first(lambda n: n.tag == "main") or first(lambda n: n.tag == "article") or first(lambda n: n.tag == "div" and any(_MAIN.search(c) for c in n.attrs.get("class", "").split()))
+    found = first(lambda n: n.tag == "main") or first(lambda n: n.tag == "article") or first(
+        lambda n: n.tag == "div" and any(_MAIN.search(c) for c in n.attrs.get("class", "").split())
+    )
     found = found or (by_id and first(lambda n: n.tag == "div" and _MAIN.search(n.attrs.get("id", "")))) or body
     return found if any(s.strip() for s in found.strings(dropped)) else body
 
@@ -199,7 +203,14 @@ def links_of(root: Node) -> list[str]:
     return [n.attrs["href"].strip() for n in root.walk() if n.tag == "a" and n.attrs.get("href", "").strip()]
 
 
-SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("markdown", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
+SCHEMA = T.StructType(
+    [
+        T.StructField("title", T.StringType()),
+        T.StructField("clean_text", T.StringType()),
+        T.StructField("markdown", T.StringType()),
+        T.StructField("links", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 @F.pandas_udf(SCHEMA)
@@ -208,7 +219,9 @@ def parsed(markup: pd.Series) -> pd.DataFrame:
     for m in markup:
         try:
             root = parse(m) if m else None
-            rows.append((title_of(root), clean_text_of(root), markdown_of(root), links_of(root)) if root is not None else (None, None, None, []))
+            rows.append(
+                (title_of(root), clean_text_of(root), markdown_of(root), links_of(root)) if root is not None else (None, None, None, [])
+            )
         except (ValueError, AssertionError, RecursionError):
             rows.append((None, None, None, []))
     return pd.DataFrame(rows, columns=["title", "clean_text", "markdown", "links"])

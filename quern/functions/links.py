@@ -25,7 +25,11 @@ def link_counts(markup: Column, domain: Column) -> Column:
     absolute = F.filter(found, lambda x: x.startswith("http"))
     outside = F.filter(F.transform(absolute, urls.host_lower), lambda h: ~F.contains(h, domain))
     internal = F.size(F.filter(found, lambda x: ~x.startswith("http") & ~x.startswith("#"))) + F.size(absolute) - F.size(outside)
-    return F.struct(internal.alias("internal"), F.size(outside).alias("external"), F.array_sort(F.array_distinct(outside)).alias("external_hosts"))
+    return F.struct(
+        internal.alias("internal"),
+        F.size(outside).alias("external"),
+        F.array_sort(F.array_distinct(outside)).alias("external_hosts"),
+    )
 
 
 def asset_category(url: Column, text: Column) -> Column:
@@ -35,21 +39,37 @@ def asset_category(url: Column, text: Column) -> Column:
     for name, exts in vocab.ASSET_EXTENSIONS.items():
         chain = chain.when(reduce(lambda a, b: a | b, [F.endswith(low, F.lit(e)) for e in exts]), name)
     for name, patterns in vocab.ASSET_PATTERNS.items():
-        hit = reduce(lambda a, b: a | b, [c.rlike(f"(?d){p}") if ".*" in p else F.contains(c, F.lit(p)) for p in patterns for c in (words, low)])
+        hit = reduce(
+            lambda a, b: a | b,
+            [c.rlike(f"(?d){p}") if ".*" in p else F.contains(c, F.lit(p)) for p in patterns for c in (words, low)],
+        )
         chain = chain.when(hit, name)
     return chain.otherwise("webpage")
 
 
 def anchors(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
     """(key, base, href, text): one row for each anchor with plain text, repeats kept."""
-    found = F.arrays_zip(F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(2)).alias("text"))
-    return pages.where(F.col(markup).isNotNull()).select(key, F.col(url).alias("base"), F.explode(found).alias("_a")).select(key, "base", F.col("_a.href").alias("href"), F.col("_a.text").alias("text"))
+    found = F.arrays_zip(
+        F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(1)).alias("href"),
+        F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(2)).alias("text"),
+    )
+    return pages.where(F.col(markup).isNotNull()).select(key, F.col(url).alias("base"), F.explode(found).alias("_a")).select(
+        key,
+        "base",
+        F.col("_a.href").alias("href"),
+        F.col("_a.text").alias("text"),
+    )
 
 
 def linked_assets(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html_content") -> DataFrame:
     """(key, asset_url, asset_type, description): linked assets other than web pages."""
     resolved = anchors(pages, key, url, markup).withColumn("asset_url", urls.resolve(F.col("base"), F.col("href")))
-    typed = resolved.select(key, "asset_url", asset_category(F.col("asset_url"), F.col("text")).alias("asset_type"), F.nullif(F.trim("text"), F.lit("")).alias("description"))
+    typed = resolved.select(
+        key,
+        "asset_url",
+        asset_category(F.col("asset_url"), F.col("text")).alias("asset_type"),
+        F.nullif(F.trim("text"), F.lit("")).alias("description"),
+    )
     return typed.where(F.col("asset_type") != "webpage")
 
 
@@ -64,4 +84,7 @@ def is_challenge(final_url: Column, body: Column, status: Column, server: Column
     low = F.lower(F.coalesce(body, F.lit("")))
     phrases = reduce(lambda a, b: a + b, [F.contains(low, F.lit(p)).cast("int") for p in vocab.CHALLENGE_PHRASES])
     refused = (status == 403) & any_contains(F.lower(F.coalesce(server, F.lit(""))), ["cloudflare", "radware"])
-    return F.coalesce(any_contains(F.lower(final_url), vocab.CHALLENGE_HOSTS), F.lit(False)) | (phrases >= 2) | F.coalesce(refused, F.lit(False))
+    return F.coalesce(
+        any_contains(F.lower(final_url), vocab.CHALLENGE_HOSTS),
+        F.lit(False),
+    ) | (phrases >= 2) | F.coalesce(refused, F.lit(False))

@@ -31,7 +31,12 @@ def emails(text: Column) -> Column:
 
 def social_handles(text: Column) -> Column:
     """Map of platform to sorted distinct handles; platforms without handles are absent."""
-    pairs = [x for platform, p in vocab.SOCIAL_PATTERNS.items() for x in (F.lit(platform), distinct_sorted(F.regexp_extract_all(text, F.lit(_flagged(p)), F.lit(1))))]
+    pairs = [
+        x for platform, p in vocab.SOCIAL_PATTERNS.items() for x in (
+            F.lit(platform),
+            distinct_sorted(F.regexp_extract_all(text, F.lit(_flagged(p)), F.lit(1))),
+        )
+    ]
     return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
 
 
@@ -59,7 +64,16 @@ def semantic_terms(text: Column, category: str) -> Column:
     """Sorted distinct matches in lower case."""
     low = F.lower(F.coalesce(text, F.lit("")))
     none = F.array().cast("array<string>")
-    parts = [F.when(F.contains(low, F.lit(p)), F.array(F.lit(p))).otherwise(none) if p.isalpha() else F.regexp_extract_all(low, F.lit(f"(?d){p}"), F.lit(0)) for p in vocab.SEMANTIC_PATTERNS[category]]
+    parts = [
+        F.when(
+            F.contains(low, F.lit(p)),
+            F.array(F.lit(p)),
+        ).otherwise(none) if p.isalpha() else F.regexp_extract_all(
+            low,
+            F.lit(f"(?d){p}"),
+            F.lit(0),
+        ) for p in vocab.SEMANTIC_PATTERNS[category]
+    ]
     return distinct_sorted(F.flatten(F.array(*parts)))
 
 
@@ -68,7 +82,15 @@ def semantic_indicators(text: Column, most: int = 10) -> Column:
 
 
 def markdown_to_text(md: Column) -> Column:
-    steps = [(r"\[([^\]]+)\]\([^\)]+\)", "$1"), (r"!\[([^\]]*)\]\([^\)]+\)", "$1"), (r"[#*`_~]", ""), (r"(?md)^-{3,}$", ""), (r"\n+", "\n"), (r" +", " "), (r"(?U)^\s+|\s+$", "")]
+    steps = [
+        (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
+        (r"!\[([^\]]*)\]\([^\)]+\)", "$1"),
+        (r"[#*`_~]", ""),
+        (r"(?md)^-{3,}$", ""),
+        (r"\n+", "\n"),
+        (r" +", " "),
+        (r"(?U)^\s+|\s+$", ""),
+    ]
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, md)
 
 
@@ -84,8 +106,14 @@ def quality_score(title: Column, clean: Column, md: Column) -> Column:
     ratio = lm / F.greatest(lc, F.lit(1))
     length = F.when(lc > 1000, 0.3).when(lc > 500, 0.2).when(lc > 100, 0.1).otherwise(0.0)
     lists = F.contains(m, F.lit("- ")) | F.contains(m, F.lit("* ")) | m.rlike(r"(?m)^\d+\.")
-    shape = F.when(F.contains(m, F.lit("##")), 0.1).otherwise(0.0) + F.when(lists, 0.1).otherwise(0.0) + F.when(F.contains(m, F.lit("[")) & F.contains(m, F.lit("](")), 0.05).otherwise(0.0)
-    balance = F.when((lc == 0) | (lm == 0), 0.0).when(ratio.between(1.0, 2.0), 0.25).when(((ratio >= 0.8) & (ratio < 1.0)) | ((ratio > 2.0) & (ratio <= 3.0)), 0.15).otherwise(0.05)
+    shape = F.when(F.contains(m, F.lit("##")), 0.1).otherwise(0.0) + F.when(lists, 0.1).otherwise(0.0) + F.when(
+        F.contains(m, F.lit("[")) & F.contains(m, F.lit("](")),
+        0.05,
+    ).otherwise(0.0)
+    balance = F.when((lc == 0) | (lm == 0), 0.0).when(ratio.between(1.0, 2.0), 0.25).when(
+        ((ratio >= 0.8) & (ratio < 1.0)) | ((ratio > 2.0) & (ratio <= 3.0)),
+        0.15,
+    ).otherwise(0.05)
     return F.least(F.lit(1.0), F.when(t != "", 0.2).otherwise(0.0) + length + F.when(lm > 0, shape).otherwise(0.0) + balance)
 
 
@@ -104,8 +132,13 @@ def format_duration(seconds: Column) -> Column:
     whole = lambda c: F.floor(c).cast("long").cast("string")
     short = F.format_string("%.1fs", seconds.cast("double"))
     minutes = F.concat(whole(seconds / 60), F.lit("m "), F.round(seconds % 60).cast("long").cast("string"), F.lit("s"))
-    return F.when(seconds < 60, short).when(seconds < 3600, minutes).otherwise(F.concat(whole(seconds / 3600), F.lit("h "), whole((seconds % 3600) / 60), F.lit("m")))
+    return F.when(seconds < 60, short).when(seconds < 3600, minutes).otherwise(
+        F.concat(whole(seconds / 3600), F.lit("h "), whole((seconds % 3600) / 60), F.lit("m"))
+    )
 
 
 def format_speed(per_second: Column) -> Column:
-    return F.when(per_second >= 1, F.format_string("%.1f URLs/sec", per_second.cast("double"))).otherwise(F.format_string("%.1f URLs/min", per_second * 60.0))
+    return F.when(
+        per_second >= 1,
+        F.format_string("%.1f URLs/sec", per_second.cast("double")),
+    ).otherwise(F.format_string("%.1f URLs/min", per_second * 60.0))

@@ -53,11 +53,20 @@ def subdomain_label(url: Column) -> Column:
 def subdomain_relative(url: Column, domain: Column) -> Column:
     """``www`` for the domain itself, the whole prefix below it, ``external`` elsewhere."""
     host = host_lower(url)
-    return F.when(host == domain, "www").when(F.endswith(host, F.concat(F.lit("."), domain)), F.substring(host, F.lit(1), F.length(host) - F.length(domain) - 1)).otherwise("external")
+    return F.when(host == domain, "www").when(
+        F.endswith(host, F.concat(F.lit("."), domain)),
+        F.substring(host, F.lit(1), F.length(host) - F.length(domain) - 1),
+    ).otherwise("external")
 
 
 def assemble(sch: Column, auth: Column, rest: Column, params: Column, frag: Column) -> Column:
-    return F.concat(F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(""), F.when(auth != "", F.concat(F.lit("//"), auth)).otherwise(""), rest, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""), F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""))
+    return F.concat(
+        F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(""),
+        F.when(auth != "", F.concat(F.lit("//"), auth)).otherwise(""),
+        rest,
+        F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""),
+        F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""),
+    )
 
 
 def normalise(url: Column) -> Column:
@@ -78,9 +87,17 @@ def is_valid(url: Column) -> Column:
 def resolve(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``. Absolute, scheme-relative, root-relative, query and fragment references are plain columns; the rest needs ``resolve_udf``."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
-    simple = F.when((scheme(href) != "") & (scheme(href) != scheme(base)), href).when(scheme(href) != "", F.concat(scheme(href), F.substring(href, F.length(_part(href, 1)) + 1, F.length(href)))).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+    simple = F.when((scheme(href) != "") & (scheme(href) != scheme(base)), href).when(
+        scheme(href) != "",
+        F.concat(scheme(href), F.substring(href, F.length(_part(href, 1)) + 1, F.length(href))),
+    ).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
     whole = assemble(scheme(base), authority(base), _part(base, 3), query(base), F.lit(""))
-    return simple.when(href.startswith("#"), F.concat(whole, href)).when(href.startswith("?"), F.concat(root, _part(base, 3), href)).otherwise(F.concat(root, F.regexp_replace(_part(base, 3), r"[^/]*$", ""), href))
+    return simple.when(href.startswith("#"), F.concat(whole, href)).when(
+        href.startswith("?"),
+        F.concat(root, _part(base, 3), href),
+    ).otherwise(
+        F.concat(root, F.regexp_replace(_part(base, 3), r"[^/]*$", ""), href)
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -144,8 +161,17 @@ def safe_filename(name: Column) -> Column:
 def content_class(content_type: Column, url: Column) -> Column:
     """html, pdf, image, css, javascript or other, from the MIME type, else from the address."""
     mime, low = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(url)
-    by_type = F.when(F.contains(mime, F.lit("html")), "html").when(F.contains(mime, F.lit("pdf")), "pdf").when(F.contains(mime, F.lit("image/")), "image").when(F.contains(mime, F.lit("css")), "css").when(F.contains(mime, F.lit("javascript")), "javascript")
-    return by_type.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.(?:jpg|jpeg|png|gif|webp)$"), "image").when(low.rlike(r"\.css$"), "css").when(low.rlike(r"\.js$"), "javascript").otherwise("other")
+    by_type = F.when(F.contains(mime, F.lit("html")), "html").when(F.contains(mime, F.lit("pdf")), "pdf").when(
+        F.contains(mime, F.lit("image/")),
+        "image",
+    ).when(F.contains(mime, F.lit("css")), "css").when(
+        F.contains(mime, F.lit("javascript")),
+        "javascript",
+    )
+    return by_type.when(low.rlike(r"\.pdf$"), "pdf").when(
+        low.rlike(r"\.(?:jpg|jpeg|png|gif|webp)$"),
+        "image",
+    ).when(low.rlike(r"\.css$"), "css").when(low.rlike(r"\.js$"), "javascript").otherwise("other")
 
 
 def bare_domain(domain: Column) -> Column:
@@ -154,4 +180,11 @@ def bare_domain(domain: Column) -> Column:
 
 
 def url_structure(url: Column) -> Column:
-    return F.struct(depth(url).alias("path_depth"), segments(url).alias("path_segments"), has_parameters(url).alias("has_parameters"), extension(url).alias("file_extension"), pattern_class(url).alias("url_pattern"), academic_year(url).alias("academic_year"))
+    return F.struct(
+        depth(url).alias("path_depth"),
+        segments(url).alias("path_segments"),
+        has_parameters(url).alias("has_parameters"),
+        extension(url).alias("file_extension"),
+        pattern_class(url).alias("url_pattern"),
+        academic_year(url).alias("academic_year"),
+    )

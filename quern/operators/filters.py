@@ -48,9 +48,18 @@ def needs_browser(error: Column, retries: Column, status: Column, code: Column)
     return told | F.coalesce((retries > 1) & (status == "failed") & code.isin(403, 429), F.lit(False))
 
 
-def crawl_filter(found: DataFrame, url: str, domain: str, seen: DataFrame | None = None, rules: dict[str, list[tuple[str, bool]]] | None = None, agent: str = "*") -> DataFrame:
+def crawl_filter(
+    found: DataFrame,
+    url: str,
+    domain: str,
+    seen: DataFrame | None = None,
+    rules: dict[str, list[tuple[str, bool]]] | None = None,
+    agent: str = "*",
+) -> DataFrame:
     """Discovery's conjunction, cheap tests first: domain, extension, pattern, not seen, robots."""
-    kept = found.where(allowed_domain(urls.authority(F.col(url)), F.col(domain)) & ~excluded_extension(F.col(url)) & ~excluded_pattern(F.col(url)))
+    kept = found.where(
+        allowed_domain(urls.authority(F.col(url)), F.col(domain)) & ~excluded_extension(F.col(url)) & ~excluded_pattern(F.col(url))
+    )
     if seen is not None:
         kept = kept.join(seen.select(F.col(seen.columns[0]).alias(url)), url, "left_anti")
     return kept.where(robots_allows(F.col(url), rules)) if rules is not None else kept
@@ -59,7 +68,12 @@ def crawl_filter(found: DataFrame, url: str, domain: str, seen: DataFrame | None
 def link_filter(found: DataFrame, url: str, domain: str, seen: DataFrame | None = None) -> DataFrame:
     """The rule for links in pages: http(s), same site in either direction, extension, pattern, not seen."""
     u = F.col(url)
-    kept = found.where(urls.is_valid(u) & urls.scheme(u).isin("http", "https") & same_site(urls.authority(u), F.col(domain)) & ~excluded_extension(u) & ~excluded_pattern(u))
+    kept = found.where(
+        urls.is_valid(u) & urls.scheme(u).isin("http", "https") & same_site(
+            urls.authority(u),
+            F.col(domain),
+        ) & ~excluded_extension(u) & ~excluded_pattern(u)
+    )
     return kept.join(seen.select(F.col(seen.columns[0]).alias(url)), url, "left_anti") if seen is not None else kept
 
 
@@ -99,7 +113,14 @@ def robots_allows(url: Column, rules: dict[str, list[tuple[str, bool]]]) -> Colu
     the hosts of one job, parsed on the driver."""
     import re
 
-    compiled = {h: [(re.compile("".join(".*" if c == "*" else re.escape(c) for c in p.rstrip("$")) + ("$" if p.endswith("$") else "")), ok) for p, ok in rs] for h, rs in rules.items()}
+    compiled = {
+        h: [
+            (
+                re.compile("".join(".*" if c == "*" else re.escape(c) for c in p.rstrip("$")) + ("$" if p.endswith("$") else "")),
+                ok,
+            ) for p, ok in rs
+        ] for h, rs in rules.items()
+    }
 
     @F.pandas_udf("boolean")
     def allowed(values: pd.Series) -> pd.Series:

@@ -34,7 +34,14 @@ def dequeue(pending: DataFrame, order: list[str], n: int = 10) -> tuple[DataFram
     return head, pending.join(head.select(*order), order, "left_anti")
 
 
-def move(source: DataFrame, target: DataFrame, rows: DataFrame, key: str = "url", latest: bool = True, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def move(
+    source: DataFrame,
+    target: DataFrame,
+    rows: DataFrame,
+    key: str = "url",
+    latest: bool = True,
+    order: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(source without the rows' keys, target with the rows added); ``latest`` keeps one row a key."""
     added = keep_latest_stage(rows, key, order) if latest else rows
     return source.join(rows.select(key).distinct(), key, "left_anti"), append_distinct(target, added.select(*target.columns), key)
@@ -53,8 +60,14 @@ def breadth_first(links: DataFrame, seeds: DataFrame, source: str, target: str,
 
     Each round joins only the newest layer and drops what is known; layers are cut, so lineage does not grow. A hot target is
     folded to one row before it meets the known table."""
-    edges = cut(links.select(F.col(source).alias("s"), F.col(target).alias("url")).where("s IS NOT NULL AND url IS NOT NULL").distinct(), "edges")
-    known = layer = cut(seeds.select(F.col(seeds.columns[0]).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "layer")
+    edges = cut(
+        links.select(F.col(source).alias("s"), F.col(target).alias("url")).where("s IS NOT NULL AND url IS NOT NULL").distinct(),
+        "edges",
+    )
+    known = layer = cut(
+        seeds.select(F.col(seeds.columns[0]).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)),
+        "layer",
+    )
     for depth in range(1, most_depth + 1):
         reached = edges.join(layer.select(F.col("url").alias("s")), "s").select("url").distinct()
         layer = cut(reached.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "layer")

@@ -23,7 +23,12 @@ STATE = "delay double, errors int, successes int, violations int, server_errors
 
 
 def initial(base: float = BASE_DELAY) -> Column:
-    return F.struct(F.lit(base).alias("delay"), *[F.lit(0).alias(c) for c in ("errors", "successes", "violations", "server_errors", "indicators")], F.array().cast("array<double>").alias("times"), F.lit(None).cast("timestamp").alias("limited_at"))
+    return F.struct(
+        F.lit(base).alias("delay"),
+        *[F.lit(0).alias(c) for c in ("errors", "successes", "violations", "server_errors", "indicators")],
+        F.array().cast("array<double>").alias("times"),
+        F.lit(None).cast("timestamp").alias("limited_at"),
+    )
 
 
 def header_indicators(headers: Column, code: Column) -> Column:
@@ -34,7 +39,10 @@ def header_indicators(headers: Column, code: Column) -> Column:
     names = F.transform(F.map_keys(h), F.lower)
     zero = sum((F.when(F.try_element_at(h, F.lit(n)).try_cast("int") == 0, 2).otherwise(0) for n in vocab.RATE_HEADERS), F.lit(0))
     retry = F.when(F.array_contains(names, "retry-after"), 2).otherwise(0)
-    shield = sum((F.when(F.array_contains(names, n) & code.isin(403, 429, 503), 1).otherwise(0) for n in vocab.PROTECTION_HEADERS), F.lit(0))
+    shield = sum(
+        (F.when(F.array_contains(names, n) & code.isin(403, 429, 503), 1).otherwise(0) for n in vocab.PROTECTION_HEADERS),
+        F.lit(0),
+    )
     return zero + retry + shield
 
 
@@ -44,20 +52,35 @@ def blocked(s: Column, now: Column) -> Column:
 
 
 def severity(s: Column, now: Column, base: float = BASE_DELAY) -> Column:
-    return F.when(blocked(s, now), "blocked").when((s["indicators"] > 4) | (s["errors"] > 3), "throttled").when(s["delay"] > base * 2, "limited").otherwise("normal")
+    return F.when(blocked(s, now), "blocked").when(
+        (s["indicators"] > 4) | (s["errors"] > 3),
+        "throttled",
+    ).when(s["delay"] > base * 2, "limited").otherwise("normal")
 
 
 def on_success(s: Column, seconds: Column, base: float = BASE_DELAY, most: float = MAX_DELAY) -> Column:
-    times = F.when(seconds > 0, F.slice(F.concat(s["times"], F.array(seconds)), F.greatest(F.lit(1), F.size(s["times"]) + 2 - HISTORY), F.lit(HISTORY))).otherwise(s["times"])
+    times = F.when(
+        seconds > 0,
+        F.slice(F.concat(s["times"], F.array(seconds)), F.greatest(F.lit(1), F.size(s["times"]) + 2 - HISTORY), F.lit(HISTORY)),
+    ).otherwise(s["times"])
     last = F.slice(times, F.greatest(F.lit(1), F.size(times) - RECENT + 1), F.lit(RECENT))
     mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(last), F.lit(1))
     enough = F.size(times) >= LEAST_SAMPLES
-    delay = F.when(enough & (mean < FAST) & (seconds < FAST), F.when(s["delay"] > base, F.greatest(F.lit(base), s["delay"] * 0.95)).otherwise(s["delay"])).when(enough & (mean > SLOW), F.least(F.lit(most), s["delay"] * 1.1)).otherwise(s["delay"])
+    delay = F.when(
+        enough & (mean < FAST) & (seconds < FAST),
+        F.when(s["delay"] > base, F.greatest(F.lit(base), s["delay"] * 0.95)).otherwise(s["delay"]),
+    ).when(enough & (mean > SLOW), F.least(F.lit(most), s["delay"] * 1.1)).otherwise(s["delay"])
     steady = (s["successes"] + 1 > 10) & (delay > base)
     return F.struct(
-        F.when(steady, F.greatest(F.lit(base), delay * 0.9)).otherwise(delay).alias("delay"), F.lit(0).alias("errors"), F.when(steady, 0).otherwise(s["successes"] + 1).alias("successes"),
-        s["violations"].alias("violations"), F.lit(0).alias("server_errors"), s["indicators"].alias("indicators"), times.alias("times"), s["limited_at"].alias("limited_at"),
-    )
+        F.when(steady, F.greatest(F.lit(base), delay * 0.9)).otherwise(delay).alias("delay"),
+        F.lit(0).alias("errors"),
+        F.when(steady, 0).otherwise(s["successes"] + 1).alias("successes"),
+        s["violations"].alias("violations"),
+        F.lit(0).alias("server_errors"),
+        s["indicators"].alias("indicators"),
+        times.alias("times"),
+        s["limited_at"].alias("limited_at"),
+    )
 
 
 def on_error(s: Column, code: Column, points: Column, now: Column, most: float = MAX_DELAY) -> Column:
@@ -66,16 +89,29 @@ def on_error(s: Column, code: Column, points: Column, now: Column, most: float =
     factor = F.when(c == 429, 2.5).when(c == 403, 2.0).when(c >= 500, 1.5).when(c == 404, 1.1).otherwise(1.2)
     more = F.when(c == 429, 2).when(c == 403, 3).when(c >= 500, F.when(server > 3, 1).otherwise(0)).when(c == 404, 0).otherwise(1)
     return F.struct(
-        F.least(F.lit(most), s["delay"] * factor).alias("delay"), (s["errors"] + 1).alias("errors"), F.lit(0).alias("successes"), (s["violations"] + F.when(c == 429, 1).otherwise(0)).alias("violations"),
-        server.alias("server_errors"), (s["indicators"] + points + more).alias("indicators"), s["times"].alias("times"), F.when(c == 429, now).otherwise(s["limited_at"]).alias("limited_at"),
-    )
+        F.least(F.lit(most), s["delay"] * factor).alias("delay"),
+        (s["errors"] + 1).alias("errors"),
+        F.lit(0).alias("successes"),
+        (s["violations"] + F.when(c == 429, 1).otherwise(0)).alias("violations"),
+        server.alias("server_errors"),
+        (s["indicators"] + points + more).alias("indicators"),
+        s["times"].alias("times"),
+        F.when(c == 429, now).otherwise(s["limited_at"]).alias("limited_at"),
+    )
 
 
 def degrade(s: Column, level: Column, most: float = MAX_DELAY) -> Column:
     """The state after the measures for a severity: longer delays, and for a block fewer points and errors."""
     factor = F.when(level == "blocked", 3.0).when(level == "throttled", 1.8).when(level == "limited", 1.3).otherwise(1.0)
     cut_by = lambda field, by: F.when(level == "blocked", F.greatest(F.lit(0), s[field] - by)).otherwise(s[field]).alias(field)
-    return F.struct(F.least(F.lit(most), s["delay"] * factor).alias("delay"), cut_by("errors", 3), *[s[f].alias(f) for f in ("successes", "violations", "server_errors")], cut_by("indicators", 5), s["times"].alias("times"), s["limited_at"].alias("limited_at"))
+    return F.struct(
+        F.least(F.lit(most), s["delay"] * factor).alias("delay"),
+        cut_by("errors", 3),
+        *[s[f].alias(f) for f in ("successes", "violations", "server_errors")],
+        cut_by("indicators", 5),
+        s["times"].alias("times"),
+        s["limited_at"].alias("limited_at"),
+    )
 
 
 def timeout_factor(level: Column) -> Column:
@@ -96,18 +132,51 @@ def pacing(delay: Column, elapsed: Column) -> Column:
     return F.greatest(F.lit(0.0), delay - elapsed)
 
 
-def replay(events: DataFrame, host: str, at: str, key: str, code: Column, seconds: Column, points: Column | None = None, base: float = BASE_DELAY, most: float = MAX_DELAY, chunk: int = CHUNK) -> DataFrame:
+def replay(
+    events: DataFrame,
+    host: str,
+    at: str,
+    key: str,
+    code: Column,
+    seconds: Column,
+    points: Column | None = None,
+    base: float = BASE_DELAY,
+    most: float = MAX_DELAY,
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(host, n, state, severity): the state after all events of each host, in order of ``at`` and ``key``. A code below 400 is a success."""
-    rows = events.select(F.col(host).alias("host"), F.col(at).cast("timestamp").alias("at"), F.col(key).alias("key"), code.cast("int").alias("code"), F.coalesce(seconds.cast("double"), F.lit(0.0)).alias("seconds"), (points if points is not None else F.lit(0)).cast("int").alias("points"))
+    rows = events.select(
+        F.col(host).alias("host"),
+        F.col(at).cast("timestamp").alias("at"),
+        F.col(key).alias("key"),
+        code.cast("int").alias("code"),
+        F.coalesce(seconds.cast("double"), F.lit(0.0)).alias("seconds"),
+        (points if points is not None else F.lit(0)).cast("int").alias("points"),
+    )
     numbered = number_rows(rows.where("host IS NOT NULL AND at IS NOT NULL"), ["host"], ["at", "key"])
-    parts = cut(numbered.withColumn("chunk", chunk_of(F.col("row_no"), chunk)).groupBy("host", "chunk").agg(F.array_sort(F.collect_list(F.struct("row_no", "at", "code", "seconds", "points"))).alias("events"), F.max("at").alias("until"), F.count(F.lit(1)).alias("n")), "limiter")
+    parts = cut(
+        numbered.withColumn("chunk", chunk_of(F.col("row_no"), chunk)).groupBy("host", "chunk").agg(
+            F.array_sort(F.collect_list(F.struct("row_no", "at", "code", "seconds", "points"))).alias("events"),
+            F.max("at").alias("until"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "limiter",
+    )
     last = parts.agg(F.max("chunk").alias("m")).first()["m"]
-    step = lambda s, e: F.when(F.coalesce(e["code"], F.lit(0)).between(1, 399), on_success(s, e["seconds"], base, most)).otherwise(on_error(s, e["code"], e["points"], e["at"], most))
+    step = lambda s, e: F.when(
+        F.coalesce(e["code"], F.lit(0)).between(1, 399),
+        on_success(s, e["seconds"], base, most),
+    ).otherwise(on_error(s, e["code"], e["points"], e["at"], most))
     fold = lambda start: F.aggregate("events", start, step)
     state = parts.where("chunk = 0").select("host", "n", "until", fold(initial(base)).alias("state"))
     for i in range(1, (last or 0) + 1):
         state = cut(state, "limiter")
         more = parts.where(F.col("chunk") == i).select("host", "events", F.col("n").alias("_n"), F.col("until").alias("_until"))
-        went = state.join(more, "host").select("host", (F.col("n") + F.col("_n")).alias("n"), F.col("_until").alias("until"), fold(F.col("state")).alias("state"))
+        went = state.join(more, "host").select(
+            "host",
+            (F.col("n") + F.col("_n")).alias("n"),
+            F.col("_until").alias("until"),
+            fold(F.col("state")).alias("state"),
+        )
         state = went.unionByName(state.join(more.select("host"), "host", "left_anti"))
     return state.select("host", "n", "state", severity(F.col("state"), F.col("until"), base).alias("severity"))

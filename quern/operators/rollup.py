@@ -18,9 +18,15 @@ def site_metrics(pages: DataFrame, by: str = "job_id") -> DataFrame:
     base = pages.groupBy(by).agg(
         F.count(F.lit(1)).alias("total_pages"),
         *[F.count_if(F.col("content_class") == c).alias(f"{c}_pages") for c in ("html", "pdf", "image", "css", "javascript", "other")],
-        F.sum("internal").alias("internal_links"), F.sum("external").alias("external_links"), F.sum("n_emails").alias("emails_found"), F.sum("n_handles").alias("social_profiles_found"), F.count_distinct("subdomain").alias("subdomains"),
-    )
-    hosts = pages.select(by, F.explode("external_hosts").alias("_h")).groupBy(by).agg(F.count_distinct("_h").alias("unique_external_domains"))
+        F.sum("internal").alias("internal_links"),
+        F.sum("external").alias("external_links"),
+        F.sum("n_emails").alias("emails_found"),
+        F.sum("n_handles").alias("social_profiles_found"),
+        F.count_distinct("subdomain").alias("subdomains"),
+    )
+    hosts = pages.select(by, F.explode("external_hosts").alias("_h")).groupBy(by).agg(
+        F.count_distinct("_h").alias("unique_external_domains")
+    )
     return base.join(hosts, by, "left").fillna(0, ["unique_external_domains"])
 
 
@@ -28,7 +34,9 @@ def subdomain_metrics(pages: DataFrame, by: list[str]) -> DataFrame:
     """Per subdomain: pages, pages with text, distinct e-mails and distinct (platform, handle) pairs. Needs emails, social, clean_content."""
     base = pages.groupBy(*by).agg(F.count(F.lit(1)).alias("page_count"), F.count("clean_content").alias("pages_with_text"))
     mails = pages.select(*by, F.explode("emails").alias("_e")).groupBy(*by).agg(F.count_distinct("_e").alias("emails"))
-    handles = pages.select(*by, F.explode("social").alias("_p", "_l")).select(*by, "_p", F.explode("_l").alias("_h")).groupBy(*by).agg(F.count_distinct("_p", "_h").alias("handles"))
+    handles = pages.select(*by, F.explode("social").alias("_p", "_l")).select(*by, "_p", F.explode("_l").alias("_h")).groupBy(*by).agg(
+        F.count_distinct("_p", "_h").alias("handles")
+    )
     return base.join(mails, by, "left").join(handles, by, "left").fillna(0, ["emails", "handles"])
 
 
@@ -48,7 +56,14 @@ def extraction_quality(pages: DataFrame) -> DataFrame:
     """One row: browser share, mean score, share of scores of 0.7 and more."""
     n, q = F.count(F.lit(1)), F.col("markdown_quality_score")
     browser, high = F.count_if(F.col("browser_fetched")), F.count_if(q >= 0.7)
-    return pages.agg(n.alias("total_pages"), browser.alias("browser_fetch_count"), share(browser, n).alias("browser_fetch_percentage"), F.coalesce(F.avg(q), F.lit(0.0)).alias("average_quality_score"), high.alias("high_quality_pages"), share(high, F.count(q)).alias("high_quality_percentage"))
+    return pages.agg(
+        n.alias("total_pages"),
+        browser.alias("browser_fetch_count"),
+        share(browser, n).alias("browser_fetch_percentage"),
+        F.coalesce(F.avg(q), F.lit(0.0)).alias("average_quality_score"),
+        high.alias("high_quality_pages"),
+        share(high, F.count(q)).alias("high_quality_percentage"),
+    )
 
 
 def method_histogram(pages: DataFrame) -> DataFrame:
@@ -58,12 +73,33 @@ def method_histogram(pages: DataFrame) -> DataFrame:
 def crawl_summary(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row a job: totals, success rate, contact totals, duration in seconds. Jobs without pages have zeros."""
     per = pages.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("fetched", "extracted", "analyzed")).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
-        F.sum(F.coalesce(F.size("emails"), F.lit(0))).alias("emails"), F.count_distinct(F.nullif(F.col("subdomain"), F.lit(""))).alias("subdomains"),
-    )
-    joined = jobs.select("job_id", "status", "started_at", "completed_at").withColumnRenamed("status", "job_status").join(per, "job_id", "left").fillna(0, ["total", "succeeded", "failed", "emails", "subdomains"])
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("status").isin("fetched", "extracted", "analyzed")).alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.sum(F.coalesce(F.size("emails"), F.lit(0))).alias("emails"),
+        F.count_distinct(F.nullif(F.col("subdomain"), F.lit(""))).alias("subdomains"),
+    )
+    joined = jobs.select(
+        "job_id",
+        "status",
+        "started_at",
+        "completed_at",
+    ).withColumnRenamed("status", "job_status").join(per, "job_id", "left").fillna(
+        0,
+        ["total", "succeeded", "failed", "emails", "subdomains"],
+    )
     seconds = F.unix_micros("completed_at") / 1e6 - F.unix_micros("started_at") / 1e6
-    return joined.select("job_id", "job_status", "total", "succeeded", "failed", share(F.col("succeeded"), F.col("total")).alias("success_rate"), "emails", "subdomains", seconds.alias("duration_seconds"))
+    return joined.select(
+        "job_id",
+        "job_status",
+        "total",
+        "succeeded",
+        "failed",
+        share(F.col("succeeded"), F.col("total")).alias("success_rate"),
+        "emails",
+        "subdomains",
+        seconds.alias("duration_seconds"),
+    )
 
 
 def status_codes(pages: DataFrame) -> DataFrame:
@@ -78,7 +114,15 @@ def last_mean(rows: DataFrame, by: list[str], order: list[str], value: str, n: i
 def contact_totals(pages: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     mails, social = F.count_if(F.col("n_emails") > 0), F.count_if(F.col("n_handles") > 0)
-    return pages.agg(n.alias("analyzed"), F.sum("n_emails").alias("emails"), mails.alias("pages_with_emails"), share(mails, n).alias("pct_with_emails"), F.sum("n_handles").alias("handles"), social.alias("pages_with_handles"), share(social, n).alias("pct_with_handles"))
+    return pages.agg(
+        n.alias("analyzed"),
+        F.sum("n_emails").alias("emails"),
+        mails.alias("pages_with_emails"),
+        share(mails, n).alias("pct_with_emails"),
+        F.sum("n_handles").alias("handles"),
+        social.alias("pages_with_handles"),
+        share(social, n).alias("pct_with_handles"),
+    )
 
 
 def indicator_prevalence(pages: DataFrame, indicators: list[str]) -> DataFrame:
@@ -91,12 +135,26 @@ def redirect_log(fetches: DataFrame, by: str = "job_id") -> DataFrame:
     return moved.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("fetched_at", "url", "final_url", "status_code"))).alias("redirects"))
 
 
-def fetch_statistics(fetches: DataFrame, limits: DataFrame, host: str = "host", at: str = "fetched_at", seconds: str = "seconds", key: str = "url") -> DataFrame:
+def fetch_statistics(
+    fetches: DataFrame,
+    limits: DataFrame,
+    host: str = "host",
+    at: str = "fetched_at",
+    seconds: str = "seconds",
+    key: str = "url",
+) -> DataFrame:
     """(host, n_fetches, n_failed, recent_mean, delay, severity): the fetch log by host beside the limiter's state (host, state, severity)."""
     newest = Window.partitionBy(host).orderBy(F.desc(at), key)
-    counts = fetches.groupBy(host).agg(F.count(F.lit(1)).alias("n_fetches"), F.count_if(F.coalesce(F.col("status_code"), F.lit(0)).between(1, 399) == F.lit(False)).alias("n_failed"))
+    counts = fetches.groupBy(host).agg(
+        F.count(F.lit(1)).alias("n_fetches"),
+        F.count_if(F.coalesce(F.col("status_code"), F.lit(0)).between(1, 399) == F.lit(False)).alias("n_failed"),
+    )
     recent = fetches.withColumn("_n", F.row_number().over(newest)).where("_n <= 10").groupBy(host).agg(F.avg(seconds).alias("recent_mean"))
-    return counts.join(recent, host, "left").join(limits.select(F.col("host").alias(host), F.col("state.delay").alias("delay"), "severity"), host, "left")
+    return counts.join(recent, host, "left").join(
+        limits.select(F.col("host").alias(host), F.col("state.delay").alias("delay"), "severity"),
+        host,
+        "left",
+    )
 
 
 def analytics_summary(site: DataFrame, subdomains: DataFrame, by: str = "job_id") -> DataFrame:

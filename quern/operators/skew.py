@@ -29,13 +29,22 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], partitions: in
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    placed = cut(kept.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_place", F.monotonically_increasing_id()), "ranged")
+    placed = cut(
+        kept.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn(
+            "_place",
+            F.monotonically_increasing_id(),
+        ),
+        "ranged",
+    )
     placed = placed.withColumn("_pid", F.shiftright("_place", 33))
     counts = placed.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a partition
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", *keys, "_first", "_before")
     side = F.broadcast(offsets) if small_enough(offsets, 128) else offsets.hint("merge")
-    return placed.join(side, ["_pid", *keys]).withColumn("row_no", F.col("_before") + F.col("_place") - F.col("_first") + 1).drop("_pid", "_place", "_first", "_before")
+    return placed.join(side, ["_pid", *keys]).withColumn(
+        "row_no",
+        F.col("_before") + F.col("_place") - F.col("_first") + 1,
+    ).drop("_pid", "_place", "_first", "_before")
 
 
 def chunk_of(row_no: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
@@ -55,8 +64,10 @@ def longest_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column,
     states = runs.groupBy(*keys, "_chunk").agg(
         F.sum("_rows").alias("rows"), F.sum("_run").alias("flagged"), F.max("_run").alias("longest"),
         F.sum(F.when(F.col("_island") == 0, F.col("_run")).otherwise(0)).alias("lead"), F.max_by("_run", "_island").alias("trail"),
-    )
-    ordered = states.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "rows", "flagged", "longest", "lead", "trail"))).alias("_s"))
+    )
+    ordered = states.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "rows", "flagged", "longest", "lead", "trail"))).alias("_s")
+    )
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("rows", "flagged", "longest", "lead", "trail")])
 
     def merge(a: Column, b: Column) -> Column:
@@ -66,16 +77,23 @@ def longest_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column,
             F.greatest(a["longest"], b["longest"], a["trail"] + b["lead"]).alias("longest"),
             F.when(whole_a, a["rows"] + b["lead"]).otherwise(a["lead"]).alias("lead"),
             F.when(whole_b, a["trail"] + b["rows"]).otherwise(b["trail"]).alias("trail"),
-        )
+        )
 
     merged = ordered.select(*keys, F.aggregate("_s", zero, merge).alias("_m"))
-    return merged.select(*keys, F.col("_m.rows").alias("n"), F.col("_m.flagged").alias("n_flagged"), F.col("_m.longest").alias("longest_run"))
+    return merged.select(
+        *keys,
+        F.col("_m.rows").alias("n"),
+        F.col("_m.flagged").alias("n_flagged"),
+        F.col("_m.longest").alias("longest_run"),
+    )
 
 
 def stacked_keys(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
     """(key_field, key_value, keep...): one row for each row and field, null and empty values left out."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("key_value")) for f in fields]))
-    return df.select(pairs.alias("_k"), *keep).select("_k.key_field", "_k.key_value", *keep).where(F.col("key_value").isNotNull() & (F.col("key_value") != ""))
+    return df.select(pairs.alias("_k"), *keep).select("_k.key_field", "_k.key_value", *keep).where(
+        F.col("key_value").isNotNull() & (F.col("key_value") != "")
+    )
 
 
 def key_totals(pages: DataFrame, fields: list[str], order: list[str], failed: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -98,10 +116,22 @@ def source_totals(sources: dict[str, DataFrame], fields: list[str], order: str,
     return states.groupBy("key_field", "key_value").agg(*[F.sum(name).alias(name) for name in sources])
 
 
-def heavy_keys(pages: DataFrame, fields: list[str], order: list[str], failed: Column, share: float = 0.03, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def heavy_keys(
+    pages: DataFrame,
+    fields: list[str],
+    order: list[str],
+    failed: Column,
+    share: float = 0.03,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
     """(key_field, key_value, n, share): the values held by at least ``share`` of all rows of ``pages``."""
     total = pages.count()
-    return key_totals(pages, fields, order, failed, chunk_rows).where(F.col("n") / F.lit(max(total, 1)) >= share).select("key_field", "key_value", "n", (F.col("n") / F.lit(max(total, 1))).alias("share"))
+    return key_totals(pages, fields, order, failed, chunk_rows).where(F.col("n") / F.lit(max(total, 1)) >= share).select(
+        "key_field",
+        "key_value",
+        "n",
+        (F.col("n") / F.lit(max(total, 1))).alias("share"),
+    )
 
 
 def join_hot(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:

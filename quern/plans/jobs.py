@@ -67,14 +67,28 @@ def new_job(spark: SparkSession, domain: str, now: datetime | None = None) -> Da
 
 def finished(jobs: DataFrame, job_id: str, status: str, at: datetime) -> DataFrame:
     mine = F.col("job_id") == job_id
-    return jobs.withColumn("status", F.when(mine, status).otherwise(F.col("status"))).withColumn("completed_at", F.when(mine & F.lit(status in ("completed", "failed")), F.lit(at)).otherwise(F.col("completed_at")))
+    return jobs.withColumn("status", F.when(mine, status).otherwise(F.col("status"))).withColumn(
+        "completed_at",
+        F.when(mine & F.lit(status in ("completed", "failed")), F.lit(at)).otherwise(F.col("completed_at")),
+    )
 
 
 def job_status(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """(job_id, domain, status, n_pages, n_failed, pct_done): stored jobs beside what their pages say, in order of job."""
-    per = pages.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("status").isin("extracted", "analyzed", "failed")).alias("n_done"))
+    per = pages.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count_if(F.col("status") == "failed").alias("n_failed"),
+        F.count_if(F.col("status").isin("extracted", "analyzed", "failed")).alias("n_done"),
+    )
     joined = jobs.select("job_id", "domain", "status").join(per, "job_id", "left").fillna(0, ["n_pages", "n_failed", "n_done"])
-    return joined.select("job_id", "domain", "status", "n_pages", "n_failed", F.when(F.col("n_pages") > 0, F.col("n_done") * 100.0 / F.col("n_pages")).otherwise(0.0).alias("pct_done"))
+    return joined.select(
+        "job_id",
+        "domain",
+        "status",
+        "n_pages",
+        "n_failed",
+        F.when(F.col("n_pages") > 0, F.col("n_done") * 100.0 / F.col("n_pages")).otherwise(0.0).alias("pct_done"),
+    )
 
 
 def progress(counts: DataFrame, now: Column) -> DataFrame:
@@ -82,7 +96,15 @@ def progress(counts: DataFrame, now: Column) -> DataFrame:
     done, left = F.col("completed") + F.col("failed"), F.col("pending") + F.col("processing")
     seconds = (F.unix_micros(now) - F.unix_micros("start_time")) / 1e6
     speed = F.when(seconds > 0, done / seconds).otherwise(0.0)
-    return counts.withColumns({"processed": done, "remaining": left, "completion_pct": F.when(done + left > 0, done * 100.0 / (done + left)).otherwise(0.0), "speed": speed, "eta_seconds": F.when((speed > 0) & (left > 0), left / speed)})
+    return counts.withColumns(
+        {
+            "processed": done,
+            "remaining": left,
+            "completion_pct": F.when(done + left > 0, done * 100.0 / (done + left)).otherwise(0.0),
+            "speed": speed,
+            "eta_seconds": F.when((speed > 0) & (left > 0), left / speed),
+        }
+    )
 
 
 def add_error(message: Column, error: Column) -> Column:
@@ -92,28 +114,47 @@ def add_error(message: Column, error: Column) -> Column:
 
 def error_action(kind: Column) -> Column:
     low = F.lower(F.coalesce(kind, F.lit("")))
-    return F.when(F.contains(low, F.lit("connection")) | F.contains(low, F.lit("timeout")), "retry").when(F.contains(low, F.lit("value")), "skip").otherwise("fail")
+    return F.when(
+        F.contains(low, F.lit("connection")) | F.contains(low, F.lit("timeout")),
+        "retry",
+    ).when(F.contains(low, F.lit("value")), "skip").otherwise("fail")
 
 
 def may_retry(retries: Column, most: Column) -> Column:
     return retries < most
 
 
-def crawl(spark: SparkSession, domain: str, make: Callable[[], Fetcher], start: list[str], settings: Settings | None = None, most_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def crawl(
+    spark: SparkSession,
+    domain: str,
+    make: Callable[[], Fetcher],
+    start: list[str],
+    settings: Settings | None = None,
+    most_rounds: int = 20,
+) -> tuple[DataFrame, DataFrame]:
     """(pages, fetches) of a crawl from ``start``: rounds of fetch, parse, link filter and dedup until nothing new is found, the page
     limit is reached or the rounds end. Each round is written to the shared folder, so a lost executor costs one round at most."""
     limit = (settings or settings_for(domain)).max_pages
     site = urls.bare_domain(F.lit(domain))
     frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(start)], "url string").withColumn("domain", site)
-    frontier = filters.page_limit(filters.link_filter(frontier.withColumn("url", urls.clean(F.col("url"))), "url", "domain"), "url", limit, [])
+    frontier = filters.page_limit(
+        filters.link_filter(frontier.withColumn("url", urls.clean(F.col("url"))), "url", "domain"),
+        "url",
+        limit,
+        [],
+    )
     seen = layer = cut(frontier.select("url"), "crawl")
     log = None
     for _ in range(most_rounds):
         fetched = cut(fetch_pages(layer, make), "fetched")
         log = fetched if log is None else log.unionByName(fetched)
-        ok = fetched.where((F.col("status_code") == 200) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html")))
+        ok = fetched.where(
+            (F.col("status_code") == 200) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html"))
+        )
         found = html.with_extraction(ok, "body").select(F.col("final_url").alias("base"), F.explode("x_links").alias("href"))
-        targets = found.select(urls.clean(urls.resolve_udf(F.col("base"), F.col("href"))).alias("url")).where("url IS NOT NULL").distinct().withColumn("domain", site)
+        targets = found.select(
+            urls.clean(urls.resolve_udf(F.col("base"), F.col("href"))).alias("url")
+        ).where("url IS NOT NULL").distinct().withColumn("domain", site)
         room = limit - seen.count()
         if room <= 0:
             break

@@ -31,7 +31,10 @@ class Stage:
         marked = rows.withColumn("_quern_gate", gate)
         done = self.work(marked.where("_quern_gate"))
         if self.failed and "error_message" in done.columns:
-            done = done.withColumn("error_message", F.when(self.failed(), add_error(F.col("error_message"), F.lit(f"{self.name} failed"))).otherwise(F.col("error_message")))
+            done = done.withColumn(
+                "error_message",
+                F.when(self.failed(), add_error(F.col("error_message"), F.lit(f"{self.name} failed"))).otherwise(F.col("error_message")),
+            )
         return done.unionByName(marked.where(~F.col("_quern_gate")), allowMissingColumns=True).drop("_quern_gate")
 
 

@@ -42,7 +42,12 @@ WITH s AS (
 @register(_KEYS + "SELECT key_field, key_value FROM s GROUP BY 1, 2 HAVING count(*) >= 0.03 * (SELECT count(*) FROM pages)")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return skew.heavy_keys(pages, ["domain", "subdomain"], ["discovered_at", "page_id"], F.col("status") == "failed").select("key_field", "key_value")
+    return skew.heavy_keys(
+        pages,
+        ["domain", "subdomain"],
+        ["discovered_at", "page_id"],
+        F.col("status") == "failed",
+    ).select("key_field", "key_value")
 
 
 @register(
@@ -57,8 +62,19 @@ SELECT key_field, key_value, CAST(sum(run) AS BIGINT) AS n_pages, CAST(sum(CASE
   CAST(max(CASE WHEN bad THEN run ELSE 0 END) AS BIGINT) AS longest_failure FROM i GROUP BY 1, 2"""
 )
 def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
-    totals = skew.key_totals(table(spark, folder, "pages"), ["domain", "subdomain"], ["discovered_at", "page_id"], F.col("status") == "failed")
-    return totals.select("key_field", "key_value", F.col("n").alias("n_pages"), F.col("n_flagged").alias("n_failed"), F.col("longest_run").alias("longest_failure"))
+    totals = skew.key_totals(
+        table(spark, folder, "pages"),
+        ["domain", "subdomain"],
+        ["discovered_at", "page_id"],
+        F.col("status") == "failed",
+    )
+    return totals.select(
+        "key_field",
+        "key_value",
+        F.col("n").alias("n_pages"),
+        F.col("n_flagged").alias("n_failed"),
+        F.col("longest_run").alias("longest_failure"),
+    )
 
 
 _SOURCES = f"""
@@ -73,23 +89,48 @@ SELECT key_field, key_value, count(*) FILTER (src = 'pages') AS pages, count(*)
 def p2_site_totals(spark: SparkSession, folder: str) -> DataFrame:
     def keyed(name: str, url: str) -> DataFrame:
         rows = table(spark, folder, name).where(F.col(url).isNotNull())
-        return rows.select(urls.authority(F.col(url)).alias("domain"), urls.subdomain_label(F.col(url)).alias("subdomain"), F.xxhash64(*rows.columns[:4]).alias("row_key"))
+        return rows.select(
+            urls.authority(F.col(url)).alias("domain"),
+            urls.subdomain_label(F.col(url)).alias("subdomain"),
+            F.xxhash64(*rows.columns[:4]).alias("row_key"),
+        )
 
-    return skew.source_totals({"pages": keyed("pages", "url"), "links": keyed("links", "source_url"), "contacts": keyed("contacts", "source_url")}, ["domain", "subdomain"], "row_key")
+    return skew.source_totals(
+        {"pages": keyed("pages", "url"), "links": keyed("links", "source_url"), "contacts": keyed("contacts", "source_url")},
+        ["domain", "subdomain"],
+        "row_key",
+    )
 
 
 # ---- URL functions ----
 
 
 
-@register(f"SELECT page_id, lower({PART(1)}) AS scheme, {PART(2)} AS authority, lower({PART(2)}) AS host, regexp_replace({PART(3)}, ';[^/]*$', '') AS path, {PART(4)} AS query, {PART(5)} AS fragment FROM pages")
+@register(
+    f"SELECT page_id, lower({PART(1)}) AS scheme, {PART(2)} AS authority, lower({PART(2)}) AS host, regexp_replace({PART(3)}, ';[^/]*$', '') AS path, {PART(4)} AS query, {PART(5)} AS fragment FROM pages"
+)
 def url_parts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", urls.scheme(F.col("url")).alias("scheme"), urls.authority(F.col("url")).alias("authority"), urls.host_lower(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), urls.query(F.col("url")).alias("query"), urls.fragment(F.col("url")).alias("fragment"))
+    return table(spark, folder, "pages").select(
+        "page_id",
+        urls.scheme(F.col("url")).alias("scheme"),
+        urls.authority(F.col("url")).alias("authority"),
+        urls.host_lower(F.col("url")).alias("host"),
+        urls.path(F.col("url")).alias("path"),
+        urls.query(F.col("url")).alias("query"),
+        urls.fragment(F.col("url")).alias("fragment"),
+    )
 
 
-@register(f"SELECT page_id, {DEPTH} AS depth, {PART(4)} <> '' AS has_parameters, CASE WHEN contains({PART(3)}, '.') AND length(regexp_extract({PART(3)}, '[^.]*$', 0)) <= 5 THEN '.' || lower(regexp_extract({PART(3)}, '[^.]*$', 0)) END AS extension FROM pages")
+@register(
+    f"SELECT page_id, {DEPTH} AS depth, {PART(4)} <> '' AS has_parameters, CASE WHEN contains({PART(3)}, '.') AND length(regexp_extract({PART(3)}, '[^.]*$', 0)) <= 5 THEN '.' || lower(regexp_extract({PART(3)}, '[^.]*$', 0)) END AS extension FROM pages"
+)
 def url_depth_ext(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", urls.depth(F.col("url")).cast("long").alias("depth"), urls.has_parameters(F.col("url")).alias("has_parameters"), urls.extension(F.col("url")).alias("extension"))
+    return table(spark, folder, "pages").select(
+        "page_id",
+        urls.depth(F.col("url")).cast("long").alias("depth"),
+        urls.has_parameters(F.col("url")).alias("has_parameters"),
+        urls.extension(F.col("url")).alias("extension"),
+    )
 
 
 @register(f"SELECT page_id, {PATTERN_CLASS} AS url_pattern FROM pages")
@@ -97,7 +138,9 @@ def url_pattern_class(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", urls.pattern_class(F.col("url")).alias("url_pattern"))
 
 
-@register(r"SELECT page_id, list_filter(regexp_extract_all(url, '(\d{4}(?:[-/]\d{4})?)', 1), lambda y: CAST(y[1:4] AS INT) BETWEEN 1990 AND 2030)[1] AS academic_year FROM pages")
+@register(
+    r"SELECT page_id, list_filter(regexp_extract_all(url, '(\d{4}(?:[-/]\d{4})?)', 1), lambda y: CAST(y[1:4] AS INT) BETWEEN 1990 AND 2030)[1] AS academic_year FROM pages"
+)
 def academic_year(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", urls.academic_year(F.col("url")).alias("academic_year"))
 
@@ -113,12 +156,20 @@ def url_clean_tracking(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", urls.clean(F.col("url")).alias("clean_url"))
 
 
-@register(f"SELECT page_id, CASE WHEN {PART(1)} <> '' THEN lower({PART(1)}) || ':' ELSE '' END || CASE WHEN {PART(2)} <> '' THEN '//' || lower({PART(2)}) ELSE '' END || {PART(3)} || CASE WHEN {PART(4)} <> '' THEN '?' || {PART(4)} ELSE '' END AS normal_url, {PART(1)} <> '' AND {PART(2)} <> '' AS valid FROM pages")
+@register(
+    f"SELECT page_id, CASE WHEN {PART(1)} <> '' THEN lower({PART(1)}) || ':' ELSE '' END || CASE WHEN {PART(2)} <> '' THEN '//' || lower({PART(2)}) ELSE '' END || {PART(3)} || CASE WHEN {PART(4)} <> '' THEN '?' || {PART(4)} ELSE '' END AS normal_url, {PART(1)} <> '' AND {PART(2)} <> '' AS valid FROM pages"
+)
 def url_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", urls.normalise(F.col("url")).alias("normal_url"), urls.is_valid(F.col("url")).alias("valid"))
+    return table(spark, folder, "pages").select(
+        "page_id",
+        urls.normalise(F.col("url")).alias("normal_url"),
+        urls.is_valid(F.col("url")).alias("valid"),
+    )
 
 
-@register(f"SELECT page_id, CASE WHEN len(string_split({PART(2)}, '.')) > 2 THEN string_split({PART(2)}, '.')[1] ELSE '' END AS label FROM pages")
+@register(
+    f"SELECT page_id, CASE WHEN len(string_split({PART(2)}, '.')) > 2 THEN string_split({PART(2)}, '.')[1] ELSE '' END AS label FROM pages"
+)
 def subdomain_label(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", urls.subdomain_label(F.col("url")).alias("label"))
 
@@ -126,7 +177,9 @@ def subdomain_label(spark: SparkSession, folder: str) -> DataFrame:
 _JOBBED = f"WITH j AS (SELECT job_id, {BARE} AS d FROM jobs), x AS (SELECT p.*, j.d, lower({PART(2)}) AS h, {PART(2)} AS a FROM pages p LEFT JOIN j ON p.job_id = j.job_id) "
 
 
-@register(_JOBBED + "SELECT page_id, CASE WHEN h = d THEN 'www' WHEN ends_with(h, '.' || d) THEN h[1:length(h) - length(d) - 1] ELSE 'external' END AS relative FROM x")
+@register(
+    _JOBBED + "SELECT page_id, CASE WHEN h = d THEN 'www' WHEN ends_with(h, '.' || d) THEN h[1:length(h) - length(d) - 1] ELSE 'external' END AS relative FROM x"
+)
 def subdomain_relative(spark: SparkSession, folder: str) -> DataFrame:
     pages = analysis.with_job_domain(table(spark, folder, "pages"), table(spark, folder, "jobs"))
     return pages.select("page_id", urls.subdomain_relative(F.col("url"), F.col("job_domain")).alias("relative"))
@@ -141,10 +194,16 @@ def content_class(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", urls.content_class(F.col("content_type"), F.col("url")).alias("content_class"))
 
 
-@register("SELECT job_id, 'job_' || translate(replace(replace(replace(domain, 'https://', ''), 'http://', ''), 'www.', ''), '.:/', '___') || '_' || strftime(created_at, '%y%m%d%H') AS made_id, regexp_replace(domain, '[<>:\"/\\\\|?*]', '_', 'g') AS file_name FROM jobs WHERE domain IS NOT NULL AND created_at IS NOT NULL")
+@register(
+    "SELECT job_id, 'job_' || translate(replace(replace(replace(domain, 'https://', ''), 'http://', ''), 'www.', ''), '.:/', '___') || '_' || strftime(created_at, '%y%m%d%H') AS made_id, regexp_replace(domain, '[<>:\"/\\\\|?*]', '_', 'g') AS file_name FROM jobs WHERE domain IS NOT NULL AND created_at IS NOT NULL"
+)
 def job_names(spark: SparkSession, folder: str) -> DataFrame:
     named = table(spark, folder, "jobs").where("domain IS NOT NULL AND created_at IS NOT NULL")
-    return named.select("job_id", urls.job_id(F.col("domain"), F.col("created_at")).alias("made_id"), urls.safe_filename(F.col("domain")).alias("file_name"))
+    return named.select(
+        "job_id",
+        urls.job_id(F.col("domain"), F.col("created_at")).alias("made_id"),
+        urls.safe_filename(F.col("domain")).alias("file_name"),
+    )
 
 
 @register(
@@ -154,7 +213,9 @@ SELECT b AS source_url, t AS target_url, CASE WHEN ts <> '' AND lower(ts) <> s T
  WHEN starts_with(t, '#') THEN s || '://' || a || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END || t WHEN starts_with(t, '?') THEN s || '://' || a || p || t ELSE s || '://' || a || regexp_replace(p, '[^/]*$', '') || t END AS resolved FROM x"""
 )
 def links_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = table(spark, folder, "links").where("source_url IS NOT NULL AND target_url IS NOT NULL").select("source_url", "target_url").distinct()
+    pairs = table(spark, folder, "links").where(
+        "source_url IS NOT NULL AND target_url IS NOT NULL"
+    ).select("source_url", "target_url").distinct()
     return pairs.withColumn("resolved", urls.resolve(F.col("source_url"), F.col("target_url")))
 
 
@@ -163,21 +224,33 @@ def links_resolved(spark: SparkSession, folder: str) -> DataFrame:
 _ALLOWED = ", ".join(f"'{x}'" for x in vocab.ALLOWED_SUBDOMAINS)
 
 
-@register(_JOBBED + f"SELECT page_id, a = d OR (ends_with(a, '.' || d) AND a[1:length(a) - length(d) - 1] IN ({_ALLOWED})) AS allowed, a = d OR ends_with(a, '.' || d) OR ends_with(d, '.' || a) AS same_site FROM x")
+@register(
+    _JOBBED + f"SELECT page_id, a = d OR (ends_with(a, '.' || d) AND a[1:length(a) - length(d) - 1] IN ({_ALLOWED})) AS allowed, a = d OR ends_with(a, '.' || d) OR ends_with(d, '.' || a) AS same_site FROM x"
+)
 def domain_rules(spark: SparkSession, folder: str) -> DataFrame:
     pages = analysis.with_job_domain(table(spark, folder, "pages"), table(spark, folder, "jobs"))
     host = urls.authority(F.col("url"))
-    return pages.select("page_id", filters.allowed_domain(host, F.col("job_domain")).alias("allowed"), filters.same_site(host, F.col("job_domain")).alias("same_site"))
+    return pages.select(
+        "page_id",
+        filters.allowed_domain(host, F.col("job_domain")).alias("allowed"),
+        filters.same_site(host, F.col("job_domain")).alias("same_site"),
+    )
 
 
 _EXT = "|".join(vocab.EXCLUDED_EXTENSIONS)
 _PAT = "|".join(vocab.EXCLUDED_PATTERNS)
 
 
-@register(rf"SELECT DISTINCT target_url, regexp_matches(lower(target_url), '\.({_EXT})$') AS bad_extension, regexp_matches(target_url, '{_PAT}', 'i') AS bad_pattern FROM links WHERE target_url IS NOT NULL")
+@register(
+    rf"SELECT DISTINCT target_url, regexp_matches(lower(target_url), '\.({_EXT})$') AS bad_extension, regexp_matches(target_url, '{_PAT}', 'i') AS bad_pattern FROM links WHERE target_url IS NOT NULL"
+)
 def url_exclusions(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("target_url")
-    return table(spark, folder, "links").where("target_url IS NOT NULL").select("target_url").distinct().select("target_url", filters.excluded_extension(t).alias("bad_extension"), filters.excluded_pattern(t).alias("bad_pattern"))
+    return table(spark, folder, "links").where("target_url IS NOT NULL").select("target_url").distinct().select(
+        "target_url",
+        filters.excluded_extension(t).alias("bad_extension"),
+        filters.excluded_pattern(t).alias("bad_pattern"),
+    )
 
 
 @register(
@@ -186,8 +259,16 @@ x AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s
 SELECT u AS target_url, d AS job_domain FROM x WHERE s IN ('http', 'https') AND a <> '' AND (a = d OR ends_with(a, '.' || d) OR ends_with(d, '.' || a)) AND NOT regexp_matches(lower(u), '\.({_EXT})$') AND NOT regexp_matches(u, '{_PAT}', 'i') AND u NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)"""
 )
 def link_filter(spark: SparkSession, folder: str) -> DataFrame:
-    found = analysis.with_job_domain(table(spark, folder, "links"), table(spark, folder, "jobs")).where("target_url IS NOT NULL AND job_domain IS NOT NULL").select("target_url", "job_domain").distinct()
-    return filters.link_filter(found, "target_url", "job_domain", table(spark, folder, "pages").select("url").where("url IS NOT NULL").distinct())
+    found = analysis.with_job_domain(
+        table(spark, folder, "links"),
+        table(spark, folder, "jobs"),
+    ).where("target_url IS NOT NULL AND job_domain IS NOT NULL").select("target_url", "job_domain").distinct()
+    return filters.link_filter(
+        found,
+        "target_url",
+        "job_domain",
+        table(spark, folder, "pages").select("url").where("url IS NOT NULL").distinct(),
+    )
 
 
 _PHRASES = " + ".join(f"CAST(contains(lower(coalesce(html_content, '')), '{p}') AS INT)" for p in vocab.CHALLENGE_PHRASES)
@@ -203,52 +284,114 @@ _HOSTS = " OR ".join(f"contains(lower(url), '{h}')" for h in vocab.CHALLENGE_HOS
 def stage_gates(spark: SparkSession, folder: str) -> DataFrame:
     no = lambda c: F.coalesce(c, F.lit(False))
     return table(spark, folder, "pages").select(
-        "page_id", links.is_challenge(F.col("url"), F.col("html_content"), F.col("status_code"), F.lit(None).cast("string")).alias("challenge"), filters.needs_browser(F.col("error_message"), F.col("retry_count"), F.col("status"), F.col("status_code")).alias("needs_browser"),
-        no(filters.extractable(F.col("status"), F.col("html_content"), F.col("content_type"))).alias("extractable"), no(filters.analysable(F.col("status"), F.col("clean_content"), F.col("analyzed_at"))).alias("analysable"),
-    )
+        "page_id",
+        links.is_challenge(F.col("url"), F.col("html_content"), F.col("status_code"), F.lit(None).cast("string")).alias("challenge"),
+        filters.needs_browser(F.col("error_message"), F.col("retry_count"), F.col("status"), F.col("status_code")).alias("needs_browser"),
+        no(filters.extractable(F.col("status"), F.col("html_content"), F.col("content_type"))).alias("extractable"),
+        no(filters.analysable(F.col("status"), F.col("clean_content"), F.col("analyzed_at"))).alias("analysable"),
+    )
 
 
-@register("SELECT page_id, url FROM (SELECT page_id, url, discovered_at, row_number() OVER (PARTITION BY url ORDER BY discovered_at NULLS FIRST, page_id) AS n FROM pages WHERE url IS NOT NULL) WHERE n = 1 ORDER BY discovered_at NULLS FIRST, page_id, url LIMIT 100")
+@register(
+    "SELECT page_id, url FROM (SELECT page_id, url, discovered_at, row_number() OVER (PARTITION BY url ORDER BY discovered_at NULLS FIRST, page_id) AS n FROM pages WHERE url IS NOT NULL) WHERE n = 1 ORDER BY discovered_at NULLS FIRST, page_id, url LIMIT 100"
+)
 def page_limit(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.page_limit(table(spark, folder, "pages").where("url IS NOT NULL"), "url", 100, ["discovered_at", "page_id"]).select("page_id", "url")
+    return filters.page_limit(
+        table(spark, folder, "pages").where("url IS NOT NULL"),
+        "url",
+        100,
+        ["discovered_at", "page_id"],
+    ).select("page_id", "url")
 
 
 # ---- Text functions ----
 
 
 
-@register(f"SELECT DISTINCT page_id, unnest(regexp_extract_all(clean_content, '(?i){vocab.EMAIL_PATTERN}')) AS email FROM pages WHERE clean_content IS NOT NULL")
+@register(
+    f"SELECT DISTINCT page_id, unnest(regexp_extract_all(clean_content, '(?i){vocab.EMAIL_PATTERN}')) AS email FROM pages WHERE clean_content IS NOT NULL"
+)
 def emails_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select("page_id", F.explode(text.emails(F.col("clean_content"))).alias("email"))
+    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select(
+        "page_id",
+        F.explode(text.emails(F.col("clean_content"))).alias("email"),
+    )
 
 
-@register(" UNION ALL ".join(f"SELECT DISTINCT page_id, '{k}' AS platform, unnest(regexp_extract_all(clean_content, '(?i){p}', 1)) AS handle FROM pages WHERE clean_content IS NOT NULL" for k, p in vocab.SOCIAL_PATTERNS.items()))
+@register(
+    " UNION ALL ".join(
+        f"SELECT DISTINCT page_id, '{k}' AS platform, unnest(regexp_extract_all(clean_content, '(?i){p}', 1)) AS handle FROM pages WHERE clean_content IS NOT NULL" for k, p in vocab.SOCIAL_PATTERNS.items()
+    )
+)
 def social_handles(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select("page_id", F.explode(text.social_handles(F.col("clean_content"))).alias("platform", "_l"))
+    found = table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select(
+        "page_id",
+        F.explode(text.social_handles(F.col("clean_content"))).alias("platform", "_l"),
+    )
     return found.select("page_id", "platform", F.explode("_l").alias("handle"))
 
 
-@register("SELECT page_id, " + ", ".join(f"{indicator_sum('clean_content', ps)} AS {k}" for k, ps in vocab.CONTENT_INDICATORS.items()) + " FROM pages")
+@register(
+    "SELECT page_id, " + ", ".join(
+        f"{indicator_sum('clean_content', ps)} AS {k}" for k, ps in vocab.CONTENT_INDICATORS.items()
+    ) + " FROM pages"
+)
 def content_indicators(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", text.content_indicators(F.col("clean_content")).alias("i")).select("page_id", *[F.col(f"i.{k}").cast("long").alias(k) for k in vocab.CONTENT_INDICATORS])
+    return table(spark, folder, "pages").select("page_id", text.content_indicators(F.col("clean_content")).alias("i")).select(
+        "page_id",
+        *[F.col(f"i.{k}").cast("long").alias(k) for k in vocab.CONTENT_INDICATORS],
+    )
 
 
-@register(" UNION ALL ".join("SELECT DISTINCT page_id, '%s' AS category, lower(unnest(%s)) AS term FROM pages WHERE clean_content IS NOT NULL" % (k, "list_concat(" * (len(ps) - 1) + f"regexp_extract_all(clean_content, '(?i){ps[0]}')" + "".join(f", regexp_extract_all(clean_content, '(?i){p}'))" for p in ps[1:])) for k, ps in vocab.SEMANTIC_PATTERNS.items()))
+@register(
+    " UNION ALL ".join(
+        "SELECT DISTINCT page_id, '%s' AS category, lower(unnest(%s)) AS term FROM pages WHERE clean_content IS NOT NULL" % (
+            k,
+            "list_concat(" * (len(ps) - 1) + f"regexp_extract_all(clean_content, '(?i){ps[0]}')" + "".join(
+                f", regexp_extract_all(clean_content, '(?i){p}'))" for p in ps[1:]
+            ),
+        ) for k, ps in vocab.SEMANTIC_PATTERNS.items()
+    )
+)
 def semantic_terms(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("category"), text.semantic_terms(F.col("clean_content"), k).alias("terms")) for k in vocab.SEMANTIC_PATTERNS])
-    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.category", F.explode("p.terms").alias("term"))
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("category"),
+                text.semantic_terms(F.col("clean_content"), k).alias("terms"),
+            ) for k in vocab.SEMANTIC_PATTERNS
+        ]
+    )
+    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select("page_id", F.explode(pairs).alias("p")).select(
+        "page_id",
+        "p.category",
+        F.explode("p.terms").alias("term"),
+    )
 
 
 @register(
-    "SELECT page_id, " + ", ".join("least(10, len(list_distinct(list_transform(%s, lambda x: lower(x))))) AS %s" % ("list_concat(" * (len(ps) - 1) + f"regexp_extract_all(coalesce(clean_content, ''), '(?i){ps[0]}')" + "".join(f", regexp_extract_all(coalesce(clean_content, ''), '(?i){p}'))" for p in ps[1:]), k) for k, ps in vocab.SEMANTIC_PATTERNS.items()) + " FROM pages"
+    "SELECT page_id, " + ", ".join(
+        "least(10, len(list_distinct(list_transform(%s, lambda x: lower(x))))) AS %s" % (
+            "list_concat(" * (len(ps) - 1) + f"regexp_extract_all(coalesce(clean_content, ''), '(?i){ps[0]}')" + "".join(
+                f", regexp_extract_all(coalesce(clean_content, ''), '(?i){p}'))" for p in ps[1:]
+            ),
+            k,
+        ) for k, ps in vocab.SEMANTIC_PATTERNS.items()
+    ) + " FROM pages"
 )
 def semantic_indicators(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", text.semantic_indicators(F.col("clean_content")).alias("i")).select("page_id", *[F.col(f"i.{k}").cast("long").alias(k) for k in vocab.SEMANTIC_PATTERNS])
+    return table(spark, folder, "pages").select("page_id", text.semantic_indicators(F.col("clean_content")).alias("i")).select(
+        "page_id",
+        *[F.col(f"i.{k}").cast("long").alias(k) for k in vocab.SEMANTIC_PATTERNS],
+    )
 
 
 @register(page_type_sql("SELECT page_id, page_type, top AS top_score FROM typed"))
 def page_type_score(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").withColumn("_t", classify.full_text(F.col("clean_content"), F.col("title"), F.col("url"))).withColumn("s", classify.type_scores(F.col("url"), F.col("_t")))
+    pages = table(spark, folder, "pages").withColumn(
+        "_t",
+        classify.full_text(F.col("clean_content"), F.col("title"), F.col("url")),
+    ).withColumn("s", classify.type_scores(F.col("url"), F.col("_t")))
     return pages.select("page_id", classify.page_type(F.col("s")).alias("page_type"), F.array_max("s").cast("long").alias("top_score"))
 
 
@@ -263,25 +406,40 @@ def page_subtype(spark: SparkSession, folder: str) -> DataFrame:
  chr(9) || chr(10) || chr(13) || ' ' || chr(160)) AS plain FROM pages WHERE markdown_content IS NOT NULL"""
 )
 def markdown_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").where("markdown_content IS NOT NULL").select("page_id", text.markdown_to_text(F.col("markdown_content")).alias("plain"))
+    return table(spark, folder, "pages").where("markdown_content IS NOT NULL").select(
+        "page_id",
+        text.markdown_to_text(F.col("markdown_content")).alias("plain"),
+    )
 
 
 @register(f"SELECT page_id, round({QUALITY}, 6) AS quality FROM pages")
 def quality_score(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", F.round(text.quality_score(F.col("title"), F.col("clean_content"), F.col("markdown_content")), 6).alias("quality"))
+    return table(spark, folder, "pages").select(
+        "page_id",
+        F.round(text.quality_score(F.col("title"), F.col("clean_content"), F.col("markdown_content")), 6).alias("quality"),
+    )
 
 
-@register("SELECT page_id, trim(regexp_replace(clean_content, '[\\s\\x{00a0}]+', ' ', 'g')) AS squeezed FROM pages WHERE clean_content IS NOT NULL")
+@register(
+    "SELECT page_id, trim(regexp_replace(clean_content, '[\\s\\x{00a0}]+', ' ', 'g')) AS squeezed FROM pages WHERE clean_content IS NOT NULL"
+)
 def whitespace_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select("page_id", text.squeeze(F.col("clean_content")).alias("squeezed"))
+    return table(spark, folder, "pages").where(F.col("clean_content").isNotNull()).select(
+        "page_id",
+        text.squeeze(F.col("clean_content")).alias("squeezed"),
+    )
 
 
 # ---- HTML ----
 
 
-@register("SELECT page_id, trim(regexp_extract(html_content, '(?is)<title[^>]*>([^<]*)</title>', 1)) AS html_title FROM pages WHERE regexp_matches(html_content, '(?is)<title[^>]*>[^<]+</title>')")
+@register(
+    "SELECT page_id, trim(regexp_extract(html_content, '(?is)<title[^>]*>([^<]*)</title>', 1)) AS html_title FROM pages WHERE regexp_matches(html_content, '(?is)<title[^>]*>[^<]+</title>')"
+)
 def html_title(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").where(F.col("html_content").rlike("(?is)<title[^>]*>[^<]+</title>")).select("page_id", "html_content")
+    pages = table(spark, folder, "pages").where(
+        F.col("html_content").rlike("(?is)<title[^>]*>[^<]+</title>")
+    ).select("page_id", "html_content")
     return html.with_extraction(pages).select("page_id", F.col("x_title").alias("html_title"))
 
 
@@ -289,10 +447,17 @@ def html_title(spark: SparkSession, folder: str) -> DataFrame:
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = html.with_extraction(table(spark, folder, "pages").where("html_content IS NOT NULL").select("page_id", "html_content"))
     score = text.quality_score(F.col("x_title"), F.col("x_clean_text"), text.tidy_markdown(F.col("x_markdown")))
-    return pages.select("page_id", F.col("x_clean_text").alias("clean_text"), text.tidy_markdown(F.col("x_markdown")).alias("markdown"), F.round(score, 6).alias("quality"))
+    return pages.select(
+        "page_id",
+        F.col("x_clean_text").alias("clean_text"),
+        text.tidy_markdown(F.col("x_markdown")).alias("markdown"),
+        F.round(score, 6).alias("quality"),
+    )
 
 
-@register("SELECT page_id, trim(replace(unnest(regexp_extract_all(html_content, '(?i)<a[^>]*href=\"([^\"]+)\"', 1)), '&amp;', '&')) AS href FROM pages WHERE html_content IS NOT NULL")
+@register(
+    "SELECT page_id, trim(replace(unnest(regexp_extract_all(html_content, '(?i)<a[^>]*href=\"([^\"]+)\"', 1)), '&amp;', '&')) AS href FROM pages WHERE html_content IS NOT NULL"
+)
 def link_edges(spark: SparkSession, folder: str) -> DataFrame:
     pages = html.with_extraction(table(spark, folder, "pages").where("html_content IS NOT NULL").select("page_id", "html_content"))
     return pages.select("page_id", F.explode("x_links").alias("href"))
@@ -308,10 +473,16 @@ o AS (SELECT page_id, hs, list_filter(list_transform(list_filter(hs, lambda u: s
 )
 
 
-@register(_LINKED + "SELECT page_id, CAST(len(list_filter(hs, lambda u: NOT starts_with(u, '#'))) - len(outside) AS BIGINT) AS internal, CAST(len(outside) AS BIGINT) AS external FROM o")
+@register(
+    _LINKED + "SELECT page_id, CAST(len(list_filter(hs, lambda u: NOT starts_with(u, '#'))) - len(outside) AS BIGINT) AS internal, CAST(len(outside) AS BIGINT) AS external FROM o"
+)
 def href_counts(spark: SparkSession, folder: str) -> DataFrame:
     pages = analysis.with_job_domain(table(spark, folder, "pages"), table(spark, folder, "jobs"))
-    return pages.select("page_id", links.link_counts(F.col("html_content"), F.coalesce("job_domain", F.lit("?"))).alias("c")).select("page_id", F.col("c.internal").cast("long").alias("internal"), F.col("c.external").cast("long").alias("external"))
+    return pages.select("page_id", links.link_counts(F.col("html_content"), F.coalesce("job_domain", F.lit("?"))).alias("c")).select(
+        "page_id",
+        F.col("c.internal").cast("long").alias("internal"),
+        F.col("c.external").cast("long").alias("external"),
+    )
 
 
 _ASSETS = rf"""WITH m AS (SELECT page_id, url, regexp_extract_all(html_content, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 1) AS hs, regexp_extract_all(html_content, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 2) AS ts FROM pages WHERE html_content IS NOT NULL),
@@ -329,12 +500,24 @@ def linked_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(_ASSETS + "SELECT page_id, asset_type, count(*) AS n FROM z WHERE asset_type <> 'webpage' GROUP BY ALL")
 def asset_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    return links.asset_breakdown(links.linked_assets(table(spark, folder, "pages"))).select("page_id", F.explode("breakdown").alias("asset_type", "n")).select("page_id", "asset_type", F.col("n").cast("long").alias("n"))
+    return links.asset_breakdown(links.linked_assets(table(spark, folder, "pages"))).select(
+        "page_id",
+        F.explode("breakdown").alias("asset_type", "n"),
+    ).select(
+        "page_id",
+        "asset_type",
+        F.col("n").cast("long").alias("n"),
+    )
 
 
-@register("SELECT target_url, count(*) AS n, count(DISTINCT source_url) AS n_sources FROM links WHERE target_url IS NOT NULL GROUP BY 1 ORDER BY n DESC, target_url LIMIT 20")
+@register(
+    "SELECT target_url, count(*) AS n, count(DISTINCT source_url) AS n_sources FROM links WHERE target_url IS NOT NULL GROUP BY 1 ORDER BY n DESC, target_url LIMIT 20"
+)
 def top_link_targets(spark: SparkSession, folder: str) -> DataFrame:
-    counts = table(spark, folder, "links").where("target_url IS NOT NULL").groupBy("target_url").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_url").alias("n_sources"))
+    counts = table(spark, folder, "links").where("target_url IS NOT NULL").groupBy("target_url").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("source_url").alias("n_sources"),
+    )
     return counts.orderBy(F.desc("n"), "target_url").limit(20)
 
 
@@ -348,7 +531,15 @@ _STORED_IND = ", ".join(f"coalesce(analysis_results.content_indicators.{i}, 0) A
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     a = F.col("analysis_results")
     done = table(spark, folder, "pages").where(a.isNotNull())
-    return done.select("page_id", "url", "subdomain", a["page_type"].alias("page_type"), F.coalesce(a["emails_found"], F.lit(0)).alias("n_emails"), F.coalesce(a["social_profiles_found"], F.lit(0)).alias("n_handles"), *[F.coalesce(a["content_indicators"][i], F.lit(0)).alias(i) for i in _IND])
+    return done.select(
+        "page_id",
+        "url",
+        "subdomain",
+        a["page_type"].alias("page_type"),
+        F.coalesce(a["emails_found"], F.lit(0)).alias("n_emails"),
+        F.coalesce(a["social_profiles_found"], F.lit(0)).alias("n_handles"),
+        *[F.coalesce(a["content_indicators"][i], F.lit(0)).alias(i) for i in _IND],
+    )
 
 
 @register(
@@ -356,7 +547,11 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
  CAST(sum({indicator_sum('clean_content', vocab.CONTENT_INDICATORS['funding_references'])}) AS BIGINT) AS funding FROM pages WHERE url IS NOT NULL GROUP BY ALL"""
 )
 def site_pattern_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").where("url IS NOT NULL").select(urls.subdomain_label(F.col("url")).alias("subdomain"), urls.pattern_class(F.col("url")).alias("url_pattern"), text.count_matches(F.col("clean_content"), vocab.CONTENT_INDICATORS["funding_references"]).alias("f"))
+    pages = table(spark, folder, "pages").where("url IS NOT NULL").select(
+        urls.subdomain_label(F.col("url")).alias("subdomain"),
+        urls.pattern_class(F.col("url")).alias("url_pattern"),
+        text.count_matches(F.col("clean_content"), vocab.CONTENT_INDICATORS["funding_references"]).alias("f"),
+    )
     return pages.groupBy("subdomain", "url_pattern").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("f").cast("long").alias("funding"))
 
 
@@ -369,9 +564,26 @@ SELECT job_id, count(*) AS total_pages, CAST(sum(internal) AS BIGINT) AS interna
 )
 def site_metrics(spark: SparkSession, folder: str) -> DataFrame:
     done = analysis.analysed(table(spark, folder, "pages"), table(spark, folder, "jobs"))
-    rows = done.select("job_id", "content_class", "internal", "external", "external_hosts", F.col("relative_subdomain").alias("subdomain"), "n_emails", "n_handles")
+    rows = done.select(
+        "job_id",
+        "content_class",
+        "internal",
+        "external",
+        "external_hosts",
+        F.col("relative_subdomain").alias("subdomain"),
+        "n_emails",
+        "n_handles",
+    )
     totals = rollup.site_metrics(rows.withColumn("job_id", F.coalesce("job_id", F.lit("\u0000"))))
-    return totals.select(F.nullif(F.col("job_id"), F.lit("\u0000")).alias("job_id"), "total_pages", F.col("internal_links").cast("long").alias("internal_links"), F.col("external_links").cast("long").alias("external_links"), F.col("emails_found").cast("long").alias("emails_found"), "subdomains", "unique_external_domains")
+    return totals.select(
+        F.nullif(F.col("job_id"), F.lit("\u0000")).alias("job_id"),
+        "total_pages",
+        F.col("internal_links").cast("long").alias("internal_links"),
+        F.col("external_links").cast("long").alias("external_links"),
+        F.col("emails_found").cast("long").alias("emails_found"),
+        "subdomains",
+        "unique_external_domains",
+    )
 
 
 @register(
@@ -380,7 +592,13 @@ SELECT job_id, subdomain, count(*) AS page_count, count(clean_content) AS pages_
 )
 def subdomain_metrics(spark: SparkSession, folder: str) -> DataFrame:
     safe = F.coalesce(F.col("clean_content"), F.lit(""))
-    rows = table(spark, folder, "pages").where("job_id IS NOT NULL AND subdomain IS NOT NULL").select("job_id", "subdomain", "clean_content", text.emails(safe).alias("emails"), text.social_handles(safe).alias("social"))
+    rows = table(spark, folder, "pages").where("job_id IS NOT NULL AND subdomain IS NOT NULL").select(
+        "job_id",
+        "subdomain",
+        "clean_content",
+        text.emails(safe).alias("emails"),
+        text.social_handles(safe).alias("social"),
+    )
     return rollup.subdomain_metrics(rows, ["job_id", "subdomain"]).drop("handles")
 
 
@@ -388,8 +606,17 @@ def subdomain_metrics(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT page_id, subdomain, CAST(n AS BIGINT) AS n_links, CAST(rank AS BIGINT) AS rank FROM (SELECT page_id, subdomain, len(internal_links) AS n, row_number() OVER (PARTITION BY subdomain ORDER BY len(internal_links) DESC, page_id) AS rank FROM pages WHERE subdomain IS NOT NULL AND internal_links IS NOT NULL) WHERE rank <= 10"
 )
 def top_pages_per_subdomain(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "pages").where("subdomain IS NOT NULL AND internal_links IS NOT NULL").select("page_id", "subdomain", F.size("internal_links").cast("long").alias("n_links"))
-    return rollup.top_pages(rows, ["subdomain"], "n_links", "page_id").select("page_id", "subdomain", "n_links", F.col("rank").cast("long").alias("rank"))
+    rows = table(spark, folder, "pages").where("subdomain IS NOT NULL AND internal_links IS NOT NULL").select(
+        "page_id",
+        "subdomain",
+        F.size("internal_links").cast("long").alias("n_links"),
+    )
+    return rollup.top_pages(rows, ["subdomain"], "n_links", "page_id").select(
+        "page_id",
+        "subdomain",
+        "n_links",
+        F.col("rank").cast("long").alias("rank"),
+    )
 
 
 @register("SELECT status, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM pages GROUP BY status")
@@ -397,17 +624,27 @@ def status_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.breakdown(table(spark, folder, "pages"), "status").withColumn("pct", F.col("pct").cast("double"))
 
 
-@register("WITH a AS (SELECT analysis_results.page_type AS page_type FROM pages WHERE analysis_results IS NOT NULL) SELECT page_type, n, pct FROM (SELECT page_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM a GROUP BY 1) WHERE page_type IS NOT NULL AND page_type NOT IN ('', 'unknown')")
+@register(
+    "WITH a AS (SELECT analysis_results.page_type AS page_type FROM pages WHERE analysis_results IS NOT NULL) SELECT page_type, n, pct FROM (SELECT page_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM a GROUP BY 1) WHERE page_type IS NOT NULL AND page_type NOT IN ('', 'unknown')"
+)
 def type_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    return rollup.breakdown(_stored(spark, folder), "page_type").where("page_type IS NOT NULL AND page_type NOT IN ('', 'unknown')").withColumn("pct", F.col("pct").cast("double"))
+    return rollup.breakdown(_stored(spark, folder), "page_type").where(
+        "page_type IS NOT NULL AND page_type NOT IN ('', 'unknown')"
+    ).withColumn("pct", F.col("pct").cast("double"))
 
 
-@register(f"WITH a AS (SELECT {_STORED_IND} FROM pages WHERE analysis_results IS NOT NULL) SELECT " + ", ".join(f"count(*) FILTER ({i} > 0) AS {i}" for i in _IND) + " FROM a")
+@register(
+    f"WITH a AS (SELECT {_STORED_IND} FROM pages WHERE analysis_results IS NOT NULL) SELECT " + ", ".join(
+        f"count(*) FILTER ({i} > 0) AS {i}" for i in _IND
+    ) + " FROM a"
+)
 def indicator_prevalence(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.indicator_prevalence(_stored(spark, folder), _IND)
 
 
-@register(f"WITH a AS (SELECT {_STORED} FROM pages WHERE analysis_results IS NOT NULL) SELECT count(*) AS analyzed, CAST(sum(n_emails) AS BIGINT) AS emails, count(*) FILTER (n_emails > 0) AS pages_with_emails, count(*) FILTER (n_emails > 0) * 100.0 / count(*) AS pct_with_emails, CAST(sum(n_handles) AS BIGINT) AS handles, count(*) FILTER (n_handles > 0) AS pages_with_handles, count(*) FILTER (n_handles > 0) * 100.0 / count(*) AS pct_with_handles FROM a")
+@register(
+    f"WITH a AS (SELECT {_STORED} FROM pages WHERE analysis_results IS NOT NULL) SELECT count(*) AS analyzed, CAST(sum(n_emails) AS BIGINT) AS emails, count(*) FILTER (n_emails > 0) AS pages_with_emails, count(*) FILTER (n_emails > 0) * 100.0 / count(*) AS pct_with_emails, CAST(sum(n_handles) AS BIGINT) AS handles, count(*) FILTER (n_handles > 0) AS pages_with_handles, count(*) FILTER (n_handles > 0) * 100.0 / count(*) AS pct_with_handles FROM a"
+)
 def contact_totals(spark: SparkSession, folder: str) -> DataFrame:
     out = rollup.contact_totals(_stored(spark, folder))
     return out.withColumns({c: F.col(c).cast("double") for c in ("pct_with_emails", "pct_with_handles")})
@@ -419,7 +656,13 @@ def contact_totals(spark: SparkSession, folder: str) -> DataFrame:
 )
 def extraction_quality(spark: SparkSession, folder: str) -> DataFrame:
     out = rollup.extraction_quality(table(spark, folder, "pages"))
-    return out.withColumns({"browser_fetch_percentage": F.col("browser_fetch_percentage").cast("double"), "high_quality_percentage": F.col("high_quality_percentage").cast("double"), "average_quality_score": F.round("average_quality_score", 9)})
+    return out.withColumns(
+        {
+            "browser_fetch_percentage": F.col("browser_fetch_percentage").cast("double"),
+            "high_quality_percentage": F.col("high_quality_percentage").cast("double"),
+            "average_quality_score": F.round("average_quality_score", 9),
+        }
+    )
 
 
 @register("SELECT coalesce(extraction_method, 'unknown') AS method, count(*) AS n FROM pages GROUP BY 1")
@@ -435,7 +678,11 @@ def status_codes(spark: SparkSession, folder: str) -> DataFrame:
 @register("SELECT count(*) AS n_pages, count(analyzed_at) AS n_analyzed, count(analyzed_at) * 100.0 / count(*) AS pct FROM pages")
 def analysis_completion(spark: SparkSession, folder: str) -> DataFrame:
     n, done = F.count(F.lit(1)), F.count("analyzed_at")
-    return table(spark, folder, "pages").agg(n.alias("n_pages"), done.alias("n_analyzed"), rollup.share(done, n).cast("double").alias("pct"))
+    return table(spark, folder, "pages").agg(
+        n.alias("n_pages"),
+        done.alias("n_analyzed"),
+        rollup.share(done, n).cast("double").alias("pct"),
+    )
 
 
 _PER_JOB = """WITH p AS (SELECT job_id, count(*) AS total, count(*) FILTER (status IN ('fetched', 'extracted', 'analyzed')) AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('extracted', 'analyzed', 'failed')) AS done,
@@ -452,22 +699,33 @@ def crawl_summary(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({"success_rate": F.col("success_rate").cast("double"), "duration_seconds": F.round("duration_seconds", 3)})
 
 
-@register(_PER_JOB + "SELECT j.job_id, j.domain, j.status, coalesce(total, 0) AS n_pages, coalesce(failed, 0) AS n_failed, CASE WHEN total > 0 THEN done * 100.0 / total ELSE 0.0 END AS pct_done FROM jobs j LEFT JOIN p ON j.job_id = p.job_id")
+@register(
+    _PER_JOB + "SELECT j.job_id, j.domain, j.status, coalesce(total, 0) AS n_pages, coalesce(failed, 0) AS n_failed, CASE WHEN total > 0 THEN done * 100.0 / total ELSE 0.0 END AS pct_done FROM jobs j LEFT JOIN p ON j.job_id = p.job_id"
+)
 def job_status(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.job_status(table(spark, folder, "jobs"), table(spark, folder, "pages")).withColumn("pct_done", F.col("pct_done").cast("double"))
+    return jobs.job_status(
+        table(spark, folder, "jobs"),
+        table(spark, folder, "pages"),
+    ).withColumn("pct_done", F.col("pct_done").cast("double"))
 
 
-@register("SELECT job_id, CAST(CASE WHEN contains(domain, 'harvard.edu') OR contains(domain, 'stanford.edu') THEN 2.0 WHEN contains(domain, '.cc.') OR contains(domain, 'community') THEN 0.5 WHEN contains(domain, 'ue.edu.pe') THEN 3.0 ELSE 1.0 END AS DOUBLE) AS base_delay FROM jobs")
+@register(
+    "SELECT job_id, CAST(CASE WHEN contains(domain, 'harvard.edu') OR contains(domain, 'stanford.edu') THEN 2.0 WHEN contains(domain, '.cc.') OR contains(domain, 'community') THEN 0.5 WHEN contains(domain, 'ue.edu.pe') THEN 3.0 ELSE 1.0 END AS DOUBLE) AS base_delay FROM jobs"
+)
 def preset_delays(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "jobs").select("job_id", jobs.preset_delay(F.col("domain")).alias("base_delay"))
 
 
-@register(f"SELECT page_id, page_type, CAST(n_emails AS BIGINT) AS score FROM (SELECT page_id, analysis_results.page_type AS page_type, {_STORED} FROM pages WHERE analysis_results IS NOT NULL) WHERE n_emails > 0 ORDER BY n_emails DESC, page_id LIMIT 10")
+@register(
+    f"SELECT page_id, page_type, CAST(n_emails AS BIGINT) AS score FROM (SELECT page_id, analysis_results.page_type AS page_type, {_STORED} FROM pages WHERE analysis_results IS NOT NULL) WHERE n_emails > 0 ORDER BY n_emails DESC, page_id LIMIT 10"
+)
 def contact_rich_top10(spark: SparkSession, folder: str) -> DataFrame:
     return report.contact_rich(_stored(spark, folder)).select("page_id", "page_type", F.col("score").cast("long").alias("score"))
 
 
-@register(f"SELECT page_id, page_type, CAST({' + '.join(_IND)} AS BIGINT) AS score FROM (SELECT page_id, analysis_results.page_type AS page_type, {_STORED_IND} FROM pages WHERE analysis_results IS NOT NULL) WHERE {' + '.join(_IND)} > 0 ORDER BY score DESC, page_id LIMIT 15")
+@register(
+    f"SELECT page_id, page_type, CAST({' + '.join(_IND)} AS BIGINT) AS score FROM (SELECT page_id, analysis_results.page_type AS page_type, {_STORED_IND} FROM pages WHERE analysis_results IS NOT NULL) WHERE {' + '.join(_IND)} > 0 ORDER BY score DESC, page_id LIMIT 15"
+)
 def indicator_top15(spark: SparkSession, folder: str) -> DataFrame:
     return report.indicator_rich(_stored(spark, folder), _IND).select("page_id", "page_type", F.col("score").cast("long").alias("score"))
 
@@ -477,15 +735,28 @@ def sample_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return report.sample_of_type(_stored(spark, folder), "News").select("page_id", "url")
 
 
-@register("SELECT subdomain, count(*) AS n_pages, CAST(sum(coalesce(analysis_results.emails_found, 0)) AS BIGINT) AS emails, CAST(sum(coalesce(analysis_results.social_profiles_found, 0)) AS BIGINT) AS social FROM pages WHERE analysis_results IS NOT NULL AND subdomain IS NOT NULL GROUP BY 1 ORDER BY n_pages DESC, subdomain LIMIT 10")
+@register(
+    "SELECT subdomain, count(*) AS n_pages, CAST(sum(coalesce(analysis_results.emails_found, 0)) AS BIGINT) AS emails, CAST(sum(coalesce(analysis_results.social_profiles_found, 0)) AS BIGINT) AS social FROM pages WHERE analysis_results IS NOT NULL AND subdomain IS NOT NULL GROUP BY 1 ORDER BY n_pages DESC, subdomain LIMIT 10"
+)
 def subdomain_top10(spark: SparkSession, folder: str) -> DataFrame:
-    per = _stored(spark, folder).where("subdomain IS NOT NULL").groupBy("subdomain").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_emails").alias("emails"), F.sum("n_handles").alias("social"))
+    per = _stored(spark, folder).where("subdomain IS NOT NULL").groupBy("subdomain").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.sum("n_emails").alias("emails"),
+        F.sum("n_handles").alias("social"),
+    )
     return per.orderBy(F.desc("n_pages"), "subdomain").limit(10)
 
 
-@register("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS recent_mean FROM events")
+@register(
+    "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS recent_mean FROM events"
+)
 def last10_response_mean(spark: SparkSession, folder: str) -> DataFrame:
-    return rollup.last_mean(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("recent_mean", 9).alias("recent_mean"))
+    return rollup.last_mean(
+        table(spark, folder, "events"),
+        ["user_id"],
+        ["ts", "event_id"],
+        "value",
+    ).select("event_id", F.round("recent_mean", 9).alias("recent_mean"))
 
 
 # ---- Sinks ----
@@ -496,7 +767,20 @@ def last10_response_mean(spark: SparkSession, folder: str) -> DataFrame:
  coalesce(analysis_results.page_type, '') AS page_type, CAST(coalesce(analysis_results.content_indicators.funding_references, 0) AS BIGINT) AS funding_references, coalesce(extraction_method, 'unknown') AS extraction_method, CASE WHEN browser_fetched THEN 'yes' ELSE 'no' END AS browser_fetched FROM pages"""
 )
 def page_report(spark: SparkSession, folder: str) -> DataFrame:
-    keep = ["url", "status", "status_code", "title", "domain", "path", "internal_links_count", "emails_count", "page_type", "funding_references", "extraction_method", "browser_fetched"]
+    keep = [
+        "url",
+        "status",
+        "status_code",
+        "title",
+        "domain",
+        "path",
+        "internal_links_count",
+        "emails_count",
+        "page_type",
+        "funding_references",
+        "extraction_method",
+        "browser_fetched",
+    ]
     out = exports.page_report(table(spark, folder, "pages")).select(*keep)
     return out.withColumns({c: F.col(c).cast("long") for c in ("internal_links_count", "emails_count", "funding_references")})
 
@@ -509,7 +793,9 @@ def contact_rows(spark: SparkSession, folder: str) -> DataFrame:
     return exports.contact_rows(table(spark, folder, "pages")).select("source_url", "contact_type", "contact_value", "page_title")
 
 
-@register(r"SELECT job_id, CASE WHEN regexp_matches(job_id, '^job_(.*)_([^_]*)$') THEN regexp_replace(job_id, '^job_(.*)_([^_]*)$', '\1-pages-\2.csv') ELSE job_id || '_pages.csv' END AS file_name FROM jobs")
+@register(
+    r"SELECT job_id, CASE WHEN regexp_matches(job_id, '^job_(.*)_([^_]*)$') THEN regexp_replace(job_id, '^job_(.*)_([^_]*)$', '\1-pages-\2.csv') ELSE job_id || '_pages.csv' END AS file_name FROM jobs"
+)
 def export_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "jobs").select("job_id", exports.file_name_column(F.col("job_id"), "pages", "csv").alias("file_name"))
 
@@ -524,15 +810,25 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
 _RANK = "CASE status WHEN 'failed' THEN -1 WHEN 'fetched' THEN 1 WHEN 'extracted' THEN 2 WHEN 'analyzed' THEN 3 ELSE 0 END"
 
 
-@register(f"SELECT url, page_id, status FROM (SELECT url, page_id, status, row_number() OVER (PARTITION BY url ORDER BY {_RANK} DESC, page_id) AS n FROM pages WHERE url IS NOT NULL) WHERE n = 1")
+@register(
+    f"SELECT url, page_id, status FROM (SELECT url, page_id, status, row_number() OVER (PARTITION BY url ORDER BY {_RANK} DESC, page_id) AS n FROM pages WHERE url IS NOT NULL) WHERE n = 1"
+)
 def frontier_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return frontier.keep_latest_stage(table(spark, folder, "pages").where("url IS NOT NULL").select("url", "page_id", "status"), order=["page_id"])
+    return frontier.keep_latest_stage(
+        table(spark, folder, "pages").where("url IS NOT NULL").select("url", "page_id", "status"),
+        order=["page_id"],
+    )
 
 
-@register("SELECT url FROM pages WHERE status = 'analyzed' UNION ALL SELECT target_url FROM links WHERE target_url IS NOT NULL AND target_url NOT IN (SELECT url FROM pages WHERE status = 'analyzed' AND url IS NOT NULL)")
+@register(
+    "SELECT url FROM pages WHERE status = 'analyzed' UNION ALL SELECT target_url FROM links WHERE target_url IS NOT NULL AND target_url NOT IN (SELECT url FROM pages WHERE status = 'analyzed' AND url IS NOT NULL)"
+)
 def append_distinct(spark: SparkSession, folder: str) -> DataFrame:
     done = table(spark, folder, "pages").where("status = 'analyzed'").select("url")
-    return frontier.append_distinct(done, table(spark, folder, "links").where("target_url IS NOT NULL").select(F.col("target_url").alias("url")))
+    return frontier.append_distinct(
+        done,
+        table(spark, folder, "links").where("target_url IS NOT NULL").select(F.col("target_url").alias("url")),
+    )
 
 
 @register("SELECT page_id, url FROM pages WHERE status = 'discovered' ORDER BY discovered_at NULLS FIRST, page_id LIMIT 10")
@@ -541,10 +837,15 @@ def dequeue_batch(spark: SparkSession, folder: str) -> DataFrame:
     return frontier.dequeue(pending, ["discovered_at", "page_id"])[0].select("page_id", "url")
 
 
-@register("SELECT q AS queue, count(*) AS n FROM (SELECT CASE WHEN status = 'discovered' THEN 'pending' WHEN status IN ('fetching', 'extracting', 'analyzing') THEN 'processing' WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS q FROM pages) GROUP BY 1")
+@register(
+    "SELECT q AS queue, count(*) AS n FROM (SELECT CASE WHEN status = 'discovered' THEN 'pending' WHEN status IN ('fetching', 'extracting', 'analyzing') THEN 'processing' WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS q FROM pages) GROUP BY 1"
+)
 def queue_counts(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    name = F.when(F.col("status") == "discovered", "pending").when(F.col("status").isin("fetching", "extracting", "analyzing"), "processing").when(F.col("status") == "failed", "failed").otherwise("completed")
+    name = F.when(F.col("status") == "discovered", "pending").when(
+        F.col("status").isin("fetching", "extracting", "analyzing"),
+        "processing",
+    ).when(F.col("status") == "failed", "failed").otherwise("completed")
     return frontier.queue_counts({q: pages.where(name == q) for q in ("pending", "processing", "failed", "completed")})
 
 
@@ -559,36 +860,58 @@ def bfs_depth(spark: SparkSession, folder: str) -> DataFrame:
     return frontier.breadth_first(table(spark, folder, "links"), seeds, "source_url", "target_url", 3)
 
 
-# ---- Limiter, over the events as a fetch log ----
+# ---- Limiter, over the pages as a fetch log ----
 
-_CODE = "CASE event_id % 11 WHEN 0 THEN 429 WHEN 3 THEN 500 WHEN 5 THEN 404 WHEN 7 THEN 403 WHEN 9 THEN NULL ELSE 200 END"
+_HOST = "lower(regexp_replace(domain, ':[0-9]*$', ''))"
 _REPLAY = f"""
-WITH RECURSIVE ev AS (SELECT user_id % 50 AS host, ts, {_CODE} AS code, abs(value) / 100.0 AS sec, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+WITH RECURSIVE ev AS (
+  SELECT {_HOST} AS host, fetched_at AS ts, status_code AS code, coalesce((epoch_us(processed_at) - epoch_us(fetched_at)) / 1e6, 0.0) AS sec,
+    row_number() OVER (PARTITION BY {_HOST} ORDER BY fetched_at, page_id) AS n
+  FROM pages WHERE domain IS NOT NULL AND fetched_at IS NOT NULL
+),
 st AS (
-  SELECT DISTINCT host, CAST(0 AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS delay, 0 AS errors, 0 AS wins, 0 AS violations, 0 AS server, 0 AS points, CAST([] AS DOUBLE[]) AS times, CAST(NULL AS TIMESTAMP) AS limited FROM ev
+  SELECT DISTINCT host, CAST(0 AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS delay, 0 AS errors, 0 AS wins, 0 AS violations, 0 AS server, 0 AS points,
+    CAST([] AS DOUBLE[]) AS times, CAST(NULL AS TIMESTAMP WITH TIME ZONE) AS limited FROM ev
   UNION ALL
-  SELECT host, n, CASE WHEN ok AND steady THEN greatest(1.0, d2 * 0.9) WHEN ok THEN d2 ELSE least(30.0, delay * factor) END, CASE WHEN ok THEN 0 ELSE errors + 1 END, CASE WHEN ok AND steady THEN 0 WHEN ok THEN wins + 1 ELSE 0 END,
-    violations + CASE WHEN c = 429 THEN 1 ELSE 0 END, CASE WHEN ok THEN 0 ELSE srv END, points + CASE WHEN ok THEN 0 WHEN c = 429 THEN 2 WHEN c = 403 THEN 3 WHEN c >= 500 THEN CASE WHEN srv > 3 THEN 1 ELSE 0 END WHEN c = 404 THEN 0 ELSE 1 END, t2, CASE WHEN c = 429 THEN ts ELSE limited END
+  SELECT host, n, CASE WHEN ok AND steady THEN greatest(1.0, d2 * 0.9) WHEN ok THEN d2 ELSE least(30.0, delay * factor) END,
+    CASE WHEN ok THEN 0 ELSE errors + 1 END, CASE WHEN ok AND steady THEN 0 WHEN ok THEN wins + 1 ELSE 0 END,
+    violations + CASE WHEN c = 429 THEN 1 ELSE 0 END, CASE WHEN ok THEN 0 ELSE srv END,
+    points + CASE WHEN ok THEN 0 WHEN c = 429 THEN 2 WHEN c = 403 THEN 3 WHEN c >= 500 THEN CASE WHEN srv > 3 THEN 1 ELSE 0 END WHEN c = 404 THEN 0 ELSE 1 END,
+    t2, CASE WHEN c = 429 THEN ts ELSE limited END
   FROM (SELECT *, d2 > 1.0 AND wins + 1 > 10 AS steady FROM (
-    SELECT *, CASE WHEN len(t2) >= 5 AND mean < 0.5 AND sec < 0.5 THEN CASE WHEN delay > 1.0 THEN greatest(1.0, delay * 0.95) ELSE delay END WHEN len(t2) >= 5 AND mean > 3.0 THEN least(30.0, delay * 1.1) ELSE delay END AS d2 FROM (
-      SELECT *, CASE WHEN len(t2) = 0 THEN 0.0 ELSE list_reduce(t2[greatest(1, len(t2) - 9):], lambda a, b: a + b) / len(t2[greatest(1, len(t2) - 9):]) END AS mean FROM (
-        SELECT ev.host, ev.n, ev.ts, ev.sec, coalesce(ev.code, 0) AS c, coalesce(ev.code, 0) BETWEEN 1 AND 399 AS ok, st.delay, st.errors, st.wins, st.violations, st.points, st.limited, st.server + CASE WHEN coalesce(ev.code, 0) >= 500 THEN 1 ELSE 0 END AS srv,
-          CASE WHEN coalesce(ev.code, 0) = 429 THEN 2.5 WHEN coalesce(ev.code, 0) = 403 THEN 2.0 WHEN coalesce(ev.code, 0) >= 500 THEN 1.5 WHEN coalesce(ev.code, 0) = 404 THEN 1.1 ELSE 1.2 END AS factor,
+    SELECT *, CASE WHEN len(t2) >= 5 AND mean < 0.5 AND sec < 0.5 THEN CASE WHEN delay > 1.0 THEN greatest(1.0, delay * 0.95) ELSE delay END
+      WHEN len(t2) >= 5 AND mean > 3.0 THEN least(30.0, delay * 1.1) ELSE delay END AS d2 FROM (
+      SELECT *, CASE WHEN len(t2) = 0 THEN 0.0
+        ELSE list_reduce(t2[greatest(1, len(t2) - 9):], lambda a, b: a + b) / len(t2[greatest(1, len(t2) - 9):]) END AS mean FROM (
+        SELECT ev.host, ev.n, ev.ts, ev.sec, coalesce(ev.code, 0) AS c, coalesce(ev.code, 0) BETWEEN 1 AND 399 AS ok,
+          st.delay, st.errors, st.wins, st.violations, st.points, st.limited, st.server + CASE WHEN coalesce(ev.code, 0) >= 500 THEN 1 ELSE 0 END AS srv,
+          CASE WHEN coalesce(ev.code, 0) = 429 THEN 2.5 WHEN coalesce(ev.code, 0) = 403 THEN 2.0 WHEN coalesce(ev.code, 0) >= 500 THEN 1.5
+            WHEN coalesce(ev.code, 0) = 404 THEN 1.1 ELSE 1.2 END AS factor,
           CASE WHEN coalesce(ev.code, 0) BETWEEN 1 AND 399 AND ev.sec > 0 THEN list_append(st.times, ev.sec)[greatest(1, len(st.times) - 48):] ELSE st.times END AS t2
         FROM st JOIN ev ON ev.host = st.host AND ev.n = st.n + 1))))
-), f AS (SELECT st.*, (SELECT max(ts) FROM ev WHERE ev.host = st.host) AS until FROM st WHERE n = (SELECT max(n) FROM ev WHERE ev.host = st.host))
+),
+l AS (SELECT host, max(n) AS n, max(ts) AS until FROM ev GROUP BY host),
+f AS (SELECT st.*, l.until FROM st JOIN l ON st.host = l.host AND st.n = l.n)
 """
 _SEVERITY = "CASE WHEN errors > 5 OR violations > 2 OR points > 8 OR (limited IS NOT NULL AND epoch_us(until) - epoch_us(limited) < 600000000 AND errors > 2) THEN 'blocked' WHEN points > 4 OR errors > 3 THEN 'throttled' WHEN delay > 2 THEN 'limited' ELSE 'normal' END"
 
 
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "events").withColumn("host", F.col("user_id") % 50)
-    return limiter.replay(log, "host", "ts", "event_id", F.expr(_CODE), F.abs("value") / 100.0)
+    log = table(spark, folder, "pages").withColumn("host", F.expr(_HOST))
+    seconds = (F.unix_micros("processed_at") - F.unix_micros("fetched_at")) / 1e6
+    return limiter.replay(log, "host", "fetched_at", "page_id", F.col("status_code"), seconds)
 
 
-@register(_REPLAY + "SELECT host, n, round(delay, 6) AS delay, CAST(errors AS BIGINT) AS errors, CAST(violations AS BIGINT) AS violations, CAST(points AS BIGINT) AS indicators FROM f")
+@register(
+    _REPLAY + "SELECT host, n, round(delay, 6) AS delay, CAST(errors AS BIGINT) AS errors, CAST(violations AS BIGINT) AS violations, CAST(points AS BIGINT) AS indicators FROM f"
+)
 def limiter_replay(spark: SparkSession, folder: str) -> DataFrame:
-    return _replayed(spark, folder).select("host", "n", F.round("state.delay", 6).alias("delay"), *[F.col(f"state.{c}").cast("long").alias(c) for c in ("errors", "violations", "indicators")])
+    return _replayed(spark, folder).select(
+        "host",
+        "n",
+        F.round("state.delay", 6).alias("delay"),
+        *[F.col(f"state.{c}").cast("long").alias(c) for c in ("errors", "violations", "indicators")],
+    )
 
 
 @register(_REPLAY + f"SELECT {_SEVERITY} AS severity, count(*) AS n FROM f GROUP BY 1")
@@ -609,39 +932,73 @@ def asof_previous_order(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.lag("o_totalprice").over(before).alias("asof_o_totalprice"))
 
 
-@register("SELECT e.event_id, max_by(r.value, struct_pack(t := r.ts, i := r.event_id)) AS asof_value FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON r.user_id = e.user_id AND r.ts <= e.ts WHERE e.event_type = 'click' GROUP BY e.event_id")
+@register(
+    "SELECT e.event_id, max_by(r.value, struct_pack(t := r.ts, i := r.event_id)) AS asof_value FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON r.user_id = e.user_id AND r.ts <= e.ts WHERE e.event_type = 'click' GROUP BY e.event_id"
+)
 def asof_last_purchase(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return joins.as_of(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), events.where("event_type = 'purchase'").select("user_id", "ts", "value", "event_id"), ["user_id"], "ts", ["value"], "event_id").select("event_id", "asof_value")
+    return joins.as_of(
+        events.where("event_type = 'click'").select("event_id", "user_id", "ts"),
+        events.where("event_type = 'purchase'").select("user_id", "ts", "value", "event_id"),
+        ["user_id"],
+        "ts",
+        ["value"],
+        "event_id",
+    ).select("event_id", "asof_value")
 
 
-@register("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size >= s_nationkey AND p_size < s_nationkey + 2 WHERE p_partkey IS NOT NULL")
+@register(
+    "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size >= s_nationkey AND p_size < s_nationkey + 2 WHERE p_partkey IS NOT NULL"
+)
 def range_sizes(spark: SparkSession, folder: str) -> DataFrame:
     spans = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("lo"), (F.col("s_nationkey") + 2).alias("hi"))
-    return joins.range_join(table(spark, folder, "part").select("p_partkey", "p_size"), spans, "p_size", "lo", "hi", 4).select("p_partkey", "s_suppkey")
+    return joins.range_join(
+        table(spark, folder, "part").select("p_partkey", "p_size"),
+        spans,
+        "p_size",
+        "lo",
+        "hi",
+        4,
+    ).select("p_partkey", "s_suppkey")
 
 
-@register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@register(
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"
+)
 def cube_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"))
+    return table(spark, folder, "lineitem").cube("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
+    )
 
 
-@register("SELECT c_nationkey, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ROLLUP (c_nationkey, n_name)")
+@register(
+    "SELECT c_nationkey, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ROLLUP (c_nationkey, n_name)"
+)
 def rollup_customers_with_orders(spark: SparkSession, folder: str) -> DataFrame:
     buyers = table(spark, folder, "customer").join(table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-    return buyers.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).rollup("c_nationkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    return buyers.join(
+        table(spark, folder, "nation"),
+        F.col("c_nationkey") == F.col("n_nationkey"),
+    ).rollup("c_nationkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT url FROM (SELECT url FROM pages WHERE url IS NOT NULL INTERSECT SELECT target_url FROM links) EXCEPT SELECT source_url FROM links")
+@register(
+    "SELECT url FROM (SELECT url FROM pages WHERE url IS NOT NULL INTERSECT SELECT target_url FROM links) EXCEPT SELECT source_url FROM links"
+)
 def linked_leaf_pages(spark: SparkSession, folder: str) -> DataFrame:
-    linked = table(spark, folder, "pages").where("url IS NOT NULL").select("url").intersect(table(spark, folder, "links").select("target_url"))
+    linked = table(spark, folder, "pages").where("url IS NOT NULL").select("url").intersect(
+        table(spark, folder, "links").select("target_url")
+    )
     return linked.subtract(table(spark, folder, "links").select("source_url"))
 
 
 # ---- Streaming ----
 
 
-@register("WITH w AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@register(
+    "WITH w AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+)
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     from quern.streaming import streams
 
@@ -674,6 +1031,9 @@ def _streamed(spark: SparkSession, folder: str, build) -> DataFrame:
     from quern.streaming import streams
 
     schema = table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn(
+        "ts",
+        F.col("ts").cast("timestamp"),
+    )
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return streams.drain_to(build(source), f"{place}/out", f"{place}/checkpoint")

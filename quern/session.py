@@ -69,6 +69,13 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return df.limit(most + 1).count() <= most
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    row_bytes: int = 64,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Join that broadcasts ``small`` only after counting it; beyond the limit it is a shuffle join, whose skewed partitions AQE splits."""
     return big.join(F.broadcast(small) if small_enough(small, row_bytes, limit) else small.hint("merge"), on, how)

@@ -13,8 +13,7 @@ from quern.functions import urls
 
 # ---- Fixed values: the columns of the pages report, in order. ----
 PAGE_COLUMNS = (
-    "url status status_code content_type content_length title domain subdomain path discovered_at fetched_at processed_at analyzed_at error_message retry_count internal_links_count external_links_count "
-    "emails_count social_profiles_count page_type funding_references collaboration_indicators technology_transfer industry_connections extraction_method browser_fetched markdown_quality"
+    "url status status_code content_type content_length title domain subdomain path discovered_at fetched_at processed_at analyzed_at error_message retry_count internal_links_count external_links_count " "emails_count social_profiles_count page_type funding_references collaboration_indicators technology_transfer industry_connections extraction_method browser_fetched markdown_quality"
 ).split()
 EXTRA_COLUMNS = ["page_subtype", "url_pattern", "path_depth", "academic_year", "linked_assets_count"]
 # ---- End of fixed values. ----
@@ -31,15 +30,41 @@ def _size(c: Column) -> Column:
 def page_report(pages: DataFrame, extra: bool = False, empty: bool = False) -> DataFrame:
     """The flat report of pages; ``extra`` adds the wider columns, ``empty`` writes nulls as empty text."""
     a = F.col("analysis_results")
-    handles = F.aggregate(F.coalesce(F.map_values("social_media"), F.array().cast("array<array<string>>")), F.lit(0), lambda n, v: n + F.size(v))
+    handles = F.aggregate(
+        F.coalesce(F.map_values("social_media"), F.array().cast("array<array<string>>")),
+        F.lit(0),
+        lambda n, v: n + F.size(v),
+    )
     derived = {
-        "domain": urls.authority(F.col("url")), "subdomain": urls.subdomain_label(F.col("url")), "path": urls.path(F.col("url")), **{c: _iso(c) for c in ("discovered_at", "fetched_at", "processed_at", "analyzed_at")},
-        "internal_links_count": _size(F.col("internal_links")), "external_links_count": _size(F.col("external_links")), "emails_count": _size(F.col("emails")), "social_profiles_count": handles, "page_type": F.coalesce(a["page_type"], F.lit("")),
-        **{i: F.coalesce(a["content_indicators"][i], F.lit(0)) for i in ("funding_references", "collaboration_indicators", "technology_transfer", "industry_connections")},
-        "extraction_method": F.coalesce("extraction_method", F.lit("unknown")), "browser_fetched": F.when(F.col("browser_fetched"), "yes").otherwise("no"), "markdown_quality": F.coalesce(F.format_string("%.2f", "markdown_quality_score"), F.lit("")).alias("q"),
-        "page_subtype": a["page_subtype"], "url_pattern": a["url_structure"]["url_pattern"], "path_depth": a["url_structure"]["path_depth"], "academic_year": a["url_structure"]["academic_year"], "linked_assets_count": a["linked_assets_count"],
-    }
-    derived["markdown_quality"] = F.when(F.col("markdown_quality_score").isNull(), "").otherwise(F.format_string("%.2f", "markdown_quality_score"))
+        "domain": urls.authority(F.col("url")),
+        "subdomain": urls.subdomain_label(F.col("url")),
+        "path": urls.path(F.col("url")),
+        **{c: _iso(c) for c in ("discovered_at", "fetched_at", "processed_at", "analyzed_at")},
+        "internal_links_count": _size(F.col("internal_links")),
+        "external_links_count": _size(F.col("external_links")),
+        "emails_count": _size(F.col("emails")),
+        "social_profiles_count": handles,
+        "page_type": F.coalesce(a["page_type"], F.lit("")),
+        **{
+            i: F.coalesce(a["content_indicators"][i], F.lit(0)) for i in (
+                "funding_references",
+                "collaboration_indicators",
+                "technology_transfer",
+                "industry_connections",
+            )
+        },
+        "extraction_method": F.coalesce("extraction_method", F.lit("unknown")),
+        "browser_fetched": F.when(F.col("browser_fetched"), "yes").otherwise("no"),
+        "markdown_quality": F.coalesce(F.format_string("%.2f", "markdown_quality_score"), F.lit("")).alias("q"),
+        "page_subtype": a["page_subtype"],
+        "url_pattern": a["url_structure"]["url_pattern"],
+        "path_depth": a["url_structure"]["path_depth"],
+        "academic_year": a["url_structure"]["academic_year"],
+        "linked_assets_count": a["linked_assets_count"],
+    }
+    derived["markdown_quality"] = F.when(F.col("markdown_quality_score").isNull(), "").otherwise(
+        F.format_string("%.2f", "markdown_quality_score")
+    )
     names = PAGE_COLUMNS + (EXTRA_COLUMNS if extra else [])
     out = pages.select(*[derived.get(c, F.col(c)).alias(c) for c in names])
     return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names]) if empty else out
@@ -47,10 +72,18 @@ def page_report(pages: DataFrame, extra: bool = False, empty: bool = False) -> D
 
 def contact_rows(pages: DataFrame) -> DataFrame:
     """(source_url, contact_type, contact_value, subdomain, page_title, discovered_at): a row for each e-mail, then for each handle."""
-    common = [F.col("url").alias("source_url"), urls.subdomain_label(F.col("url")).alias("subdomain"), F.col("title").alias("page_title"), F.col("processed_at").alias("discovered_at")]
+    common = [
+        F.col("url").alias("source_url"),
+        urls.subdomain_label(F.col("url")).alias("subdomain"),
+        F.col("title").alias("page_title"),
+        F.col("processed_at").alias("discovered_at"),
+    ]
     order = ["source_url", "contact_type", "contact_value", "subdomain", "page_title", "discovered_at"]
     mails = pages.select(*common, F.lit("email").alias("contact_type"), F.explode("emails").alias("contact_value"))
-    social = pages.select(*common, F.explode("social_media").alias("contact_type", "_l")).select("*", F.explode("_l").alias("contact_value")).drop("_l")
+    social = pages.select(
+        *common,
+        F.explode("social_media").alias("contact_type", "_l"),
+    ).select("*", F.explode("_l").alias("contact_value")).drop("_l")
     return mails.select(*order).unionByName(social.select(*order))
 
 
@@ -75,7 +108,10 @@ def contact_document(pages: DataFrame, job: str) -> DataFrame:
     """(job_id, total, contacts): the pages of a job that have contacts, one element each."""
     has = (_size(F.col("emails")) > 0) | (F.coalesce(F.size(F.map_keys("social_media")), F.lit(0)) > 0)
     one = F.struct("url", "title", F.col("emails"), F.col("social_media"))
-    return pages.where((F.col("job_id") == job) & has).agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.to_json(one))).alias("contacts")).select(F.lit(job).alias("job_id"), "total", "contacts")
+    return pages.where((F.col("job_id") == job) & has).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.array_sort(F.collect_list(F.to_json(one))).alias("contacts"),
+    ).select(F.lit(job).alias("job_id"), "total", "contacts")
 
 
 def file_name(job_id: str, kind: str, ext: str) -> str:

@@ -26,7 +26,10 @@ def read_queue(spark: SparkSession, path: str, schema: T.StructType = PAGE) -> D
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(marked).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = spark.read.schema(marked).option("multiLine", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord",
+        "_corrupt",
+    ).json(path)
     return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
@@ -39,16 +42,36 @@ def completed_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A pages CSV with its counts as numbers."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    counts = [c for c in ("status_code", "content_length", "retry_count", "internal_links_count", "external_links_count", "emails_count", "social_profiles_count", "funding_references", "collaboration_indicators", "technology_transfer", "industry_connections") if c in rows.columns]
+    counts = [
+        c for c in (
+            "status_code",
+            "content_length",
+            "retry_count",
+            "internal_links_count",
+            "external_links_count",
+            "emails_count",
+            "social_profiles_count",
+            "funding_references",
+            "collaboration_indicators",
+            "technology_transfer",
+            "industry_connections",
+        ) if c in rows.columns
+    ]
     return rows.withColumns({c: F.col(c).try_cast("int") for c in counts})
 
 
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """(job_id, path, job): one row for each ``*_checkpoint.json``, in order of job; unreadable files are left out."""
     if not exists(spark, f"{folder}/*_checkpoint.json"):
-        return spark.createDataFrame([], T.StructType([T.StructField("job_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("job", JOB)]))
+        return spark.createDataFrame(
+            [],
+            T.StructType([T.StructField("job_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("job", JOB)]),
+        )
     schema = T.StructType([T.StructField("job", JOB), T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/*_checkpoint.json").withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.schema(schema).option("multiLine", True).option(
+        "columnNameOfCorruptRecord",
+        "_corrupt",
+    ).json(f"{folder}/*_checkpoint.json").withColumn("path", F.col("_metadata.file_path"))
     return rows.where(F.col("job.job_id").isNotNull()).select(F.col("job.job_id").alias("job_id"), "path", "job").orderBy("job_id")
 
 
@@ -62,7 +85,9 @@ def save_checkpoint(folder: str, job_id: str, parts: dict[str, DataFrame]) -> No
 
 def load_checkpoint(spark: SparkSession, folder: str, job_id: str) -> dict[str, DataFrame]:
     """The parts that were saved; an unknown job has none."""
-    return {name: spark.read.parquet(f"{folder}/{job_id}/{name}") for name in CHECKPOINT_PARTS if exists(spark, f"{folder}/{job_id}/{name}")}
+    return {
+        name: spark.read.parquet(f"{folder}/{job_id}/{name}") for name in CHECKPOINT_PARTS if exists(spark, f"{folder}/{job_id}/{name}")
+    }
 
 
 def delete_checkpoint(spark: SparkSession, folder: str, job_id: str) -> bool:

@@ -30,7 +30,9 @@ def sitemap_urls(xml: str) -> tuple[list[str], list[str]]:
     except ElementTree.ParseError:
         return [], []
     local = lambda e: e.tag.rpartition("}")[2]
-    locs = lambda parent: [(c.text or "").strip() for e in root if local(e) == parent for c in e if local(c) == "loc" and (c.text or "").strip()]
+    locs = lambda parent: [
+        (c.text or "").strip() for e in root if local(e) == parent for c in e if local(c) == "loc" and (c.text or "").strip()
+    ]
     return sorted(set(locs("url"))), sorted(set(locs("sitemap")))
 
 
@@ -102,7 +104,20 @@ def fetch_pages(urls: DataFrame, make: Callable[[], Fetcher], partitions: int |
                 except (OSError, ValueError) as e:
                     final, status, headers, body, error = url, None, {}, None, f"{type(e).__name__}: {e}"
                 kind = next((v for k, v in headers.items() if k.lower() == "content-type"), None)
-                out.append((url, final, status, kind, len(body.encode()) if body is not None else None, body, headers, time.monotonic() - began, error, datetime.now(timezone.utc)))
+                out.append(
+                    (
+                        url,
+                        final,
+                        status,
+                        kind,
+                        len(body.encode()) if body is not None else None,
+                        body,
+                        headers,
+                        time.monotonic() - began,
+                        error,
+                        datetime.now(timezone.utc),
+                    )
+                )
                 time.sleep(pause)
             frame = pd.DataFrame(out, columns=FETCH.names)
             frame["status_code"], frame["content_length"] = frame["status_code"].astype("Int32"), frame["content_length"].astype("Int64")

@@ -17,12 +17,21 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
 
 def tumbling_counts(events: DataFrame, at: str, by: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window; rows later than the watermark are dropped."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
+    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"),
+        *by,
+        "n",
+    )
 
 
 def session_counts(events: DataFrame, at: str, by: list[str], gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts by session: a session ends after ``gap`` without events."""
-    return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n")
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("session_start"),
+        F.col("w.end").alias("session_end"),
+        *by,
+        "n",
+    )
 
 
 def deduplicated(events: DataFrame, at: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -35,7 +44,17 @@ def limiter_stream(events: DataFrame, host: str, at: str, code: str, seconds: st
     state_schema = "n long, delay double, errors int, successes int, violations int, server_errors int, indicators int, times string, limited_at double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, delay, errors, wins, violations, server, points, held, limited = state.get if state.exists else (0, base, 0, 0, 0, 0, 0, "", -1e18)
+        n, delay, errors, wins, violations, server, points, held, limited = state.get if state.exists else (
+            0,
+            base,
+            0,
+            0,
+            0,
+            0,
+            0,
+            "",
+            -1e18,
+        )
         times = [float(x) for x in held.split(",") if x]
         now = limited
         for pdf in sorted_batches(batches, "at"):
@@ -62,10 +81,17 @@ def limiter_stream(events: DataFrame, host: str, at: str, code: str, seconds: st
                 if c == 429:
                     violations, limited = violations + 1, now
         state.update((n, delay, errors, wins, violations, server, points, ",".join(map(repr, times)), limited))
-        level = "blocked" if errors > 5 or violations > 2 or points > 8 or (now - limited < 600 and errors > 2) else "throttled" if points > 4 or errors > 3 else "limited" if delay > 2 * base else "normal"
+        level = "blocked" if errors > 5 or violations > 2 or points > 8 or (
+            now - limited < 600 and errors > 2
+        ) else "throttled" if points > 4 or errors > 3 else "limited" if delay > 2 * base else "normal"
         yield pd.DataFrame({"host": [key[0]], "n": [n], "delay": [delay], "errors": [errors], "severity": [level]})
 
-    picked = events.select(F.col(host).alias("host"), F.col(at).cast("timestamp").alias("at"), F.col(code).cast("int").alias("code"), F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)).alias("seconds")).where("host IS NOT NULL AND at IS NOT NULL")
+    picked = events.select(
+        F.col(host).alias("host"),
+        F.col(at).cast("timestamp").alias("at"),
+        F.col(code).cast("int").alias("code"),
+        F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)).alias("seconds"),
+    ).where("host IS NOT NULL AND at IS NOT NULL")
     return picked.groupBy("host").applyInPandasWithState(step, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -87,5 +113,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
 
 def drain_to(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is available into parquet files, and read them."""
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(folder).awaitTermination()
+    stream.writeStream.format("parquet").option(
+        "checkpointLocation",
+        checkpoint,
+    ).outputMode("append").trigger(availableNow=True).start(folder).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)

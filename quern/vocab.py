@@ -17,16 +17,52 @@ PAGE_TYPES: dict[str, list[str]] = {
 }
 
 PAGE_SUBTYPES: dict[str, dict[str, list[str]]] = {
-    "faculty": {"individual_profile": ["/people/[^/]+$", "/faculty/[^/]+$", "/staff/[^/]+$"], "faculty_listing": ["/faculty/?$", "/people/?$", "/staff/?$"], "department_faculty": ["/faculty/[^/]+/[^/]+$", "department.*faculty"]},
-    "department": {"department_home": ["^/(?:dept|department|school)/?$"], "program_page": ["/programs?/[^/]+", "/majors?/[^/]+"], "curriculum": ["curriculum", "courses?", "requirements"]},
-    "research": {"research_center": ["/centers?/", "/institutes?/", "/labs?/"], "research_project": ["/projects?/", "/research/[^/]+"], "publications": ["publications?", "papers?", "bibliography"]},
-    "admissions": {"undergraduate": ["undergraduate", "bachelors?", "bs.*degree"], "graduate": ["graduate", "masters?", "phd", "doctoral"], "application_form": ["apply.*now", "application.*form"]},
-    "academics": {"course_catalog": ["catalog", "courses?/?$", "schedule"], "degree_requirements": ["requirements", "checklist", "plan.*study"], "academic_calendar": ["calendar", "semester", "quarter"]},
-    "student_life": {"housing": ["housing", "residence", "dormitor"], "activities": ["activities", "clubs", "organizations"], "services": ["services", "support", "counseling"]},
-    "news": {"news_article": [r"/news/\d{4}/", r"/press/\d{4}/", "article"], "events": ["events?", "calendar", "upcoming"], "press_release": ["press.*release", "media.*kit"]},
-    "about": {"mission": ["mission", "vision", "values"], "history": ["history", "timeline", "founded"], "leadership": ["leadership", "administration", "board"]},
-    "contact": {"directory": ["directory", "phonebook", "contacts"], "location": ["location", "address", "map", "directions"], "contact_form": ["contact.*form", "get.*touch"]},
-}
+    "faculty": {
+        "individual_profile": ["/people/[^/]+$", "/faculty/[^/]+$", "/staff/[^/]+$"],
+        "faculty_listing": ["/faculty/?$", "/people/?$", "/staff/?$"],
+        "department_faculty": ["/faculty/[^/]+/[^/]+$", "department.*faculty"],
+    },
+    "department": {
+        "department_home": ["^/(?:dept|department|school)/?$"],
+        "program_page": ["/programs?/[^/]+", "/majors?/[^/]+"],
+        "curriculum": ["curriculum", "courses?", "requirements"],
+    },
+    "research": {
+        "research_center": ["/centers?/", "/institutes?/", "/labs?/"],
+        "research_project": ["/projects?/", "/research/[^/]+"],
+        "publications": ["publications?", "papers?", "bibliography"],
+    },
+    "admissions": {
+        "undergraduate": ["undergraduate", "bachelors?", "bs.*degree"],
+        "graduate": ["graduate", "masters?", "phd", "doctoral"],
+        "application_form": ["apply.*now", "application.*form"],
+    },
+    "academics": {
+        "course_catalog": ["catalog", "courses?/?$", "schedule"],
+        "degree_requirements": ["requirements", "checklist", "plan.*study"],
+        "academic_calendar": ["calendar", "semester", "quarter"],
+    },
+    "student_life": {
+        "housing": ["housing", "residence", "dormitor"],
+        "activities": ["activities", "clubs", "organizations"],
+        "services": ["services", "support", "counseling"],
+    },
+    "news": {
+        "news_article": [r"/news/\d{4}/", r"/press/\d{4}/", "article"],
+        "events": ["events?", "calendar", "upcoming"],
+        "press_release": ["press.*release", "media.*kit"],
+    },
+    "about": {
+        "mission": ["mission", "vision", "values"],
+        "history": ["history", "timeline", "founded"],
+        "leadership": ["leadership", "administration", "board"],
+    },
+    "contact": {
+        "directory": ["directory", "phonebook", "contacts"],
+        "location": ["location", "address", "map", "directions"],
+        "contact_form": ["contact.*form", "get.*touch"],
+    },
+}
 
 URL_PATTERNS: list[tuple[str, str]] = [
     ("faculty_profile", "/(?:faculty|people|staff)/([^/]+)/?$"),
@@ -54,12 +90,26 @@ CONTENT_INDICATORS: dict[str, list[str]] = {
 }
 
 SEMANTIC_PATTERNS: dict[str, list[str]] = {
-    "academic_focus": ["artificial.*intelligence", "machine.*learning", "computer.*science", "engineering", "mathematics", "physics", "chemistry", "biology", "psychology", "sociology", "economics", "business", "medicine"],
+    "academic_focus": [
+        "artificial.*intelligence",
+        "machine.*learning",
+        "computer.*science",
+        "engineering",
+        "mathematics",
+        "physics",
+        "chemistry",
+        "biology",
+        "psychology",
+        "sociology",
+        "economics",
+        "business",
+        "medicine",
+    ],
     "research_methods": ["qualitative", "quantitative", "experimental", "survey", "case.*study", "ethnographic", "statistical.*analysis"],
     "academic_levels": ["undergraduate", "graduate", "doctoral", "postdoctoral", "bachelors?", "masters?", "phd", "certificate"],
     "institutional_roles": ["dean", "provost", "chancellor", "president", "chair", "director", "coordinator", "administrator"],
     "academic_activities": ["conference", "symposium", "workshop", "seminar", "colloquium", "lecture.*series", "guest.*speaker"],
-}
+}
 
 ASSET_EXTENSIONS: dict[str, list[str]] = {
     "documents": [".pdf", ".doc", ".docx", ".txt", ".rtf"],
@@ -92,18 +142,105 @@ SOCIAL_PATTERNS: dict[str, str] = {
 }
 
 TRACKING_PARAMETERS = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid"]
-EXCLUDED_EXTENSIONS = ["zip", "tar", "gz", "rar", "exe", "dmg", "iso", "mp3", "mp4", "avi", "mov", "wmv", "flv", "doc", "docx", "ppt", "pptx", "xls", "xlsx"]
-EXCLUDED_PATTERNS = ["/calendar/", "/events/", r"\?date=", r"\?year=", r"\?month=", r"/search\?", "/login", "/admin", "/wp-admin", "/wp-content/uploads/"]
-ALLOWED_SUBDOMAINS = ["www", "admissions", "academics", "research", "library", "student", "faculty", "staff", "alumni", "news", "events", "athletics", "grad", "undergraduate", "graduate"]
-CHALLENGE_HOSTS = ["validate.perfdrive.com", "challenges.cloudflare.com", "www.google.com/recaptcha", "hcaptcha.com", "geo.captcha-delivery.com"]
-CHALLENGE_PHRASES = ["bot detection", "bot manager", "automated access", "verify you are human", "cloudflare", "checking your browser", "enable javascript", "radware", "please verify", "security check", "access denied", "captcha"]
+EXCLUDED_EXTENSIONS = [
+    "zip",
+    "tar",
+    "gz",
+    "rar",
+    "exe",
+    "dmg",
+    "iso",
+    "mp3",
+    "mp4",
+    "avi",
+    "mov",
+    "wmv",
+    "flv",
+    "doc",
+    "docx",
+    "ppt",
+    "pptx",
+    "xls",
+    "xlsx",
+]
+EXCLUDED_PATTERNS = [
+    "/calendar/",
+    "/events/",
+    r"\?date=",
+    r"\?year=",
+    r"\?month=",
+    r"/search\?",
+    "/login",
+    "/admin",
+    "/wp-admin",
+    "/wp-content/uploads/",
+]
+ALLOWED_SUBDOMAINS = [
+    "www",
+    "admissions",
+    "academics",
+    "research",
+    "library",
+    "student",
+    "faculty",
+    "staff",
+    "alumni",
+    "news",
+    "events",
+    "athletics",
+    "grad",
+    "undergraduate",
+    "graduate",
+]
+CHALLENGE_HOSTS = [
+    "validate.perfdrive.com",
+    "challenges.cloudflare.com",
+    "www.google.com/recaptcha",
+    "hcaptcha.com",
+    "geo.captcha-delivery.com",
+]
+CHALLENGE_PHRASES = [
+    "bot detection",
+    "bot manager",
+    "automated access",
+    "verify you are human",
+    "cloudflare",
+    "checking your browser",
+    "enable javascript",
+    "radware",
+    "please verify",
+    "security check",
+    "access denied",
+    "captcha",
+]
 
 #: Elements dropped before text extraction; markdown drops only the first ten.
-DROPPED_ELEMENTS = ["script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "object", "embed", "button", "input", "select", "textarea", "form"]
+DROPPED_ELEMENTS = [
+    "script",
+    "style",
+    "nav",
+    "header",
+    "footer",
+    "aside",
+    "noscript",
+    "iframe",
+    "object",
+    "embed",
+    "button",
+    "input",
+    "select",
+    "textarea",
+    "form",
+]
 
 RATE_HEADERS = ["x-ratelimit-remaining", "x-rate-limit-remaining", "ratelimit-remaining", "x-ratelimit-limit"]
 PROTECTION_HEADERS = ["cf-ray", "x-sucuri-id", "x-drupal-cache"]
 
 STAGE_RANK = {"failed": -1, "discovered": 0, "fetched": 1, "extracted": 2, "analyzed": 3}
-SITEMAP_LOCATIONS = ["https://{host}/sitemap.xml", "https://{host}/sitemap_index.xml", "https://{host}/sitemaps.xml", "https://www.{host}/sitemap.xml"]
+SITEMAP_LOCATIONS = [
+    "https://{host}/sitemap.xml",
+    "https://{host}/sitemap_index.xml",
+    "https://{host}/sitemaps.xml",
+    "https://www.{host}/sitemap.xml",
+]
 # ---- End of fixed values. ----

@@ -10,7 +10,11 @@ from quern.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    session = build_session(
+        "tests",
+        "4",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"},
+    )
     session.sparkContext.setLogLevel("OFF")
     return session
 

@@ -41,9 +41,22 @@ def test_runs_over_chunks_equal_plain_runs(spark, flags, chunk):
 
 
 def test_heavy_keys_and_edges(spark):
-    rows = [("A.x", "", i, "failed" if i % 2 else "ok", 1) for i in range(97)] + [("b", None, 200, None, 2), (None, "w", None, "ok", 3), (None, None, 5, "ok", 4)]
+    rows = [("A.x", "", i, "failed" if i % 2 else "ok", 1) for i in range(97)] + [
+        ("b", None, 200, None, 2),
+        (None, "w", None, "ok", 3),
+        (None, None, 5, "ok", 4),
+    ]
     df = spark.createDataFrame(rows, "domain string, subdomain string, at int, status string, key_value int")
-    got = {(r.key_field, r.key_value, r.n) for r in skew.heavy_keys(df, ["domain", "subdomain"], ["at"], F.col("status") == "failed", 0.05, 10).collect()}
+    got = {
+        (r.key_field, r.key_value, r.n) for r in skew.heavy_keys(
+            df,
+            ["domain", "subdomain"],
+            ["at"],
+            F.col("status") == "failed",
+            0.05,
+            10,
+        ).collect()
+    }
     assert got == {("domain", "A.x", 97)}
     assert skew.heavy_keys(df.limit(0), ["domain"], ["at"], F.col("status") == "failed").collect() == []
     hot = skew.join_hot(df.select("domain", "at"), df.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), ["domain"], "n", 100).count()
@@ -57,7 +70,10 @@ def test_cut_and_sizes(spark):
 
 
 def test_frontier(spark):
-    pages = spark.createDataFrame([("a", "fetched", 1), ("a", "analyzed", 2), ("a", "analyzed", 3), ("b", "failed", 4), ("b", "weird", 5)], "url string, status string, seq int")
+    pages = spark.createDataFrame(
+        [("a", "fetched", 1), ("a", "analyzed", 2), ("a", "analyzed", 3), ("b", "failed", 4), ("b", "weird", 5)],
+        "url string, status string, seq int",
+    )
     assert sorted((r.url, r.seq) for r in frontier.keep_latest_stage(pages, order=["seq"]).collect()) == [("a", 2), ("b", 5)]
     old = spark.createDataFrame([("a", "x", 0)], pages.schema)
     assert frontier.append_distinct(old, pages).count() == 3
@@ -78,9 +94,19 @@ def _replay(spark, codes, seconds=None, chunk=limiter.CHUNK, gap=1):
 
 
 def test_limiter_golden(spark):
-    for codes, delay, errors, violations, points, level in [([429], 2.5, 1, 1, 2, "limited"), ([429, 403], 5.0, 2, 1, 5, "throttled"), ([429, 403, 500], 7.5, 3, 1, 5, "blocked")]:
+    for codes, delay, errors, violations, points, level in [
+        ([429], 2.5, 1, 1, 2, "limited"),
+        ([429, 403], 5.0, 2, 1, 5, "throttled"),
+        ([429, 403, 500], 7.5, 3, 1, 5, "blocked"),
+    ]:
         r = _replay(spark, codes)
-        assert (r.state.delay, r.state.errors, r.state.violations, r.state.indicators, r.severity) == (delay, errors, violations, points, level)
+        assert (
+            r.state.delay,
+            r.state.errors,
+            r.state.violations,
+            r.state.indicators,
+            r.severity,
+        ) == (delay, errors, violations, points, level)
     assert _replay(spark, [429, 403, 500], gap=400).severity == "throttled"
 
 
@@ -112,15 +138,23 @@ def test_sinks_round_trip(spark, tmp_path, data):
     assert back.count() == pages.count() and dict(back.dtypes)["emails_count"] == "int"
     exports.write(exports.page_documents(pages.limit(3)), f"{tmp_path}/p.parquet", "parquet")
     assert exports.contact_rows(pages).columns[:3] == ["source_url", "contact_type", "contact_value"]
-    assert exports.file_name("job_a_b_24010100", "pages", "csv") == "a_b-pages-24010100.csv" and exports.file_name("x", "pages", "csv") == "x_pages.csv"
+    assert exports.file_name(
+        "job_a_b_24010100",
+        "pages",
+        "csv",
+    ) == "a_b-pages-24010100.csv" and exports.file_name("x", "pages", "csv") == "x_pages.csv"
     assert exports.contact_document(pages, "none").first().total == 0
     assert exports.page_report(pages, empty=True).where("error_message IS NULL").count() == 0
 
 
 def test_stored_queues(spark, tmp_path):
     q = tmp_path / "q.json"
-    q.write_text('[{"url": "a", "status": "completed", "retry_count": 1}, {"url": "b", "status": "analyzed"}, {"url": "c", "status": "new"}]')
-    assert sorted((r.url, r.status) for r in files.completed_pages(spark, str(q)).collect()) == [("a", "extracted"), ("b", "analyzed"), ("c", "fetched")]
+    q.write_text(
+        '[{"url": "a", "status": "completed", "retry_count": 1}, {"url": "b", "status": "analyzed"}, {"url": "c", "status": "new"}]'
+    )
+    assert sorted(
+        (r.url, r.status) for r in files.completed_pages(spark, str(q)).collect()
+    ) == [("a", "extracted"), ("b", "analyzed"), ("c", "fetched")]
     assert files.read_queue(spark, str(tmp_path / "missing.json")).count() == 0
     (tmp_path / "j_checkpoint.json").write_text('{"job": {"job_id": "j", "domain": "d", "status": "running"}}')
     assert [r.job_id for r in files.checkpoints(spark, str(tmp_path)).collect()] == ["j"]
@@ -138,7 +172,12 @@ def test_sitemaps(spark):
 
 
 SITE = {
-    "https://u.edu/": ("https://u.edu/", 200, {"Content-Type": "text/html"}, '<title>Home</title><a href="/a">a</a><a href="/b.zip">b</a><a href="https://x.org/">x</a>'),
+    "https://u.edu/": (
+        "https://u.edu/",
+        200,
+        {"Content-Type": "text/html"},
+        '<title>Home</title><a href="/a">a</a><a href="/b.zip">b</a><a href="https://x.org/">x</a>',
+    ),
     "https://u.edu/a": ("https://u.edu/a", 200, {"Content-Type": "text/html"}, '<a href="../c?utm_source=q#z">c</a><a href="/">home</a>'),
     "https://u.edu/c": ("https://u.edu/c", 200, {"Content-Type": "text/html"}, "end"),
 }
@@ -155,24 +194,45 @@ def test_crawl_over_a_table(spark):
 
 
 def test_jobs(spark):
-    assert jobs.settings_for("x.harvard.edu").base_delay == 2.0 and jobs.settings_for("a.cc.il.us").max_pages == 50_000 and jobs.settings_for("u.edu").base_delay == 1.0
+    assert jobs.settings_for(
+        "x.harvard.edu"
+    ).base_delay == 2.0 and jobs.settings_for("a.cc.il.us").max_pages == 50_000 and jobs.settings_for("u.edu").base_delay == 1.0
     job = jobs.new_job(spark, "https://www.u.edu", datetime(2024, 1, 2, 3)).first()
     assert job.job_id == "job_u_edu_24010203"
-    done = jobs.finished(jobs.new_job(spark, "u.edu", datetime(2024, 1, 2, 3)), "job_u_edu_24010203", "completed", datetime(2024, 1, 3)).first()
+    done = jobs.finished(
+        jobs.new_job(spark, "u.edu", datetime(2024, 1, 2, 3)),
+        "job_u_edu_24010203",
+        "completed",
+        datetime(2024, 1, 3),
+    ).first()
     assert (done.status, done.completed_at) == ("completed", datetime(2024, 1, 3))
-    counts = spark.createDataFrame([(3, 1, 4, 0, datetime(2024, 1, 1)), (0, 0, 0, 0, datetime(2024, 1, 1))], "completed int, failed int, pending int, processing int, start_time timestamp")
+    counts = spark.createDataFrame(
+        [(3, 1, 4, 0, datetime(2024, 1, 1)), (0, 0, 0, 0, datetime(2024, 1, 1))],
+        "completed int, failed int, pending int, processing int, start_time timestamp",
+    )
     first, second = jobs.progress(counts, F.lit(datetime(2024, 1, 1, 0, 0, 8))).collect()
     assert (first.completion_pct, first.speed, first.eta_seconds) == (50.0, 0.5, 8.0) and second.eta_seconds is None
-    row = spark.createDataFrame([(None, "b"), ("a", "b")], "m string, e string").select(jobs.add_error(F.col("m"), F.col("e")).alias("x"), jobs.error_action(F.lit("ReadTimeout")).alias("y")).collect()
+    row = spark.createDataFrame([(None, "b"), ("a", "b")], "m string, e string").select(
+        jobs.add_error(F.col("m"), F.col("e")).alias("x"),
+        jobs.error_action(F.lit("ReadTimeout")).alias("y"),
+    ).collect()
     assert [r.x for r in row] == ["b", "a; b"] and row[0].y == "retry"
 
 
 def test_rollups_on_nothing(spark):
-    empty = spark.createDataFrame([], "job_id string, status string, browser_fetched boolean, markdown_quality_score double, extraction_method string, status_code int")
+    empty = spark.createDataFrame(
+        [],
+        "job_id string, status string, browser_fetched boolean, markdown_quality_score double, extraction_method string, status_code int",
+    )
     r = rollup.extraction_quality(empty).first()
     assert (r.total_pages, r.average_quality_score, r.high_quality_percentage) == (0, 0.0, 0.0)
     assert rollup.breakdown(empty, "status").count() == 0
-    assert filters.page_limit(spark.createDataFrame([("b", 1), ("a", 1), ("a", 0)], "url string, t int"), "url", 1, ["t"]).collect()[0].url == "a"
+    assert filters.page_limit(
+        spark.createDataFrame([("b", 1), ("a", 1), ("a", 0)], "url string, t int"),
+        "url",
+        1,
+        ["t"],
+    ).collect()[0].url == "a"
 
 
 def test_limiter_stream(spark, tmp_path):
@@ -181,7 +241,10 @@ def test_limiter_stream(spark, tmp_path):
     start = datetime(2024, 1, 1)
     for part, codes in enumerate(([429, 403], [500, 200])):
         rows = [("h", start + timedelta(seconds=10 * part + i), c, 0.1) for i, c in enumerate(codes)]
-        spark.createDataFrame(rows, "host string, at timestamp, code int, sec double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame(
+            rows,
+            "host string, at timestamp, code int, sec double",
+        ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     schema = spark.read.parquet(f"{tmp_path}/in").schema
     source = streams.read_stream(spark, f"{tmp_path}/in", schema, 8)
     out = streams.drain(streams.limiter_stream(source, "host", "at", "code", "sec"), "limiter_out", "update", f"{tmp_path}/cp").collect()
@@ -195,7 +258,10 @@ def test_saved_runs(spark, tmp_path):
     assert {k: v.count() for k, v in held.items()} == {"pending": 1, "failed": 0}
     assert files.saved_jobs(spark, str(tmp_path)) == ["j1"] and files.load_checkpoint(spark, str(tmp_path), "none") == {}
     assert files.delete_checkpoint(spark, str(tmp_path), "j1") and files.saved_jobs(spark, str(tmp_path)) == []
-    assert files.files_by_kind(["a_b-pages-1.csv", "x_contacts.json", "odd.txt"]) == {"pages": ["a_b-pages-1.csv"], "contacts": ["x_contacts.json"]}
+    assert files.files_by_kind(["a_b-pages-1.csv", "x_contacts.json", "odd.txt"]) == {
+        "pages": ["a_b-pages-1.csv"],
+        "contacts": ["x_contacts.json"],
+    }
 
 
 def test_stages(spark):

@@ -8,7 +8,9 @@ from quern.operators import filters
 
 
 def one(spark, column, **values):
-    schema = ", ".join(f"{k} {'string' if isinstance(v, (str, type(None))) else 'bigint' if isinstance(v, int) else 'double'}" for k, v in values.items())
+    schema = ", ".join(
+        f"{k} {'string' if isinstance(v, (str, type(None))) else 'bigint' if isinstance(v, int) else 'double'}" for k, v in values.items()
+    )
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first()["x"]
 
 
@@ -52,7 +54,12 @@ def test_resolve_agrees_with_standard_library(spark, href):
 
     base = "https://u.edu/d/e?z=1"
     assert one(spark, urls.resolve(F.col("b"), F.col("h")), b=base, h=href) == urljoin(base, href)
-    assert one(spark, urls.resolve_udf(F.col("b"), F.col("h")), b=base, h="../" + href if href == "c" else href) == urljoin(base, "../" + href if href == "c" else href)
+    assert one(
+        spark,
+        urls.resolve_udf(F.col("b"), F.col("h")),
+        b=base,
+        h="../" + href if href == "c" else href,
+    ) == urljoin(base, "../" + href if href == "c" else href)
 
 
 def test_subdomains_and_names(spark):
@@ -75,9 +82,17 @@ def test_filters(spark):
     assert not one(spark, filters.allowed_domain(F.col("h"), F.lit("u.edu")), h="cs.u.edu")
     assert one(spark, filters.allowed_domain(F.col("h"), F.lit("u.edu"), []), h="cs.u.edu")
     assert one(spark, filters.same_site(F.col("h"), F.lit("cs.u.edu")), h="u.edu")
-    rules = filters.parse_robots("User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.cgi$\n\nUser-agent: other\nDisallow: /")
+    rules = filters.parse_robots(
+        "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.cgi$\n\nUser-agent: other\nDisallow: /"
+    )
     ask = lambda u: one(spark, filters.robots_allows(F.col("u"), {"u.edu": rules}), u=u)
-    assert [ask("https://u.edu/private/x"), ask("https://u.edu/private/open/x"), ask("https://u.edu/a.cgi"), ask("https://u.edu/"), ask("https://v.edu/private")] == [False, True, False, True, True]
+    assert [
+        ask("https://u.edu/private/x"),
+        ask("https://u.edu/private/open/x"),
+        ask("https://u.edu/a.cgi"),
+        ask("https://u.edu/"),
+        ask("https://v.edu/private"),
+    ] == [False, True, False, True, True]
 
 
 SAMPLE_TEXT = """Dr. Jane Smith is a professor in the department of computing. Her lab studies data systems; publications and papers are listed below.
@@ -87,7 +102,10 @@ Contact: jane.smith@university.edu, twitter.com/DrJaneSmith, linkedin.com/in/jan
 
 def test_text_features(spark):
     assert one(spark, text.emails(F.col("t")), t=SAMPLE_TEXT) == ["jane.smith@university.edu"]
-    assert one(spark, text.social_handles(F.col("t")), t=SAMPLE_TEXT) == {"twitter": ["DrJaneSmith", "university"], "linkedin": ["jane-smith-cs"]}
+    assert one(spark, text.social_handles(F.col("t")), t=SAMPLE_TEXT) == {
+        "twitter": ["DrJaneSmith", "university"],
+        "linkedin": ["jane-smith-cs"],
+    }
     found = one(spark, text.content_indicators(F.col("t")), t=SAMPLE_TEXT)
     assert (found.funding_references, found.collaboration_indicators, found.technology_transfer, found.industry_connections) == (3, 0, 1, 2)
     assert one(spark, text.content_indicators(F.col("t")), t=None).funding_references == 0
