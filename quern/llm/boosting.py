@@ -43,8 +43,16 @@ class BoostedTrees:
                 if len(rows) < 2 * self.least:
                     continue
                 size = x.shape[1] * width
-                g = np.bincount(flat[rows].ravel(), weights=np.repeat(grad[rows], x.shape[1]), minlength=size).reshape(-1, width).cumsum(axis=1)
-                h = np.bincount(flat[rows].ravel(), weights=np.repeat(hess[rows], x.shape[1]), minlength=size).reshape(-1, width).cumsum(axis=1)
+                g = np.bincount(
+                    flat[rows].ravel(),
+                    weights=np.repeat(grad[rows], x.shape[1]),
+                    minlength=size,
+                ).reshape(-1, width).cumsum(axis=1)
+                h = np.bincount(
+                    flat[rows].ravel(),
+                    weights=np.repeat(hess[rows], x.shape[1]),
+                    minlength=size,
+                ).reshape(-1, width).cumsum(axis=1)
                 gt, ht = g[:, -1:], h[:, -1:]
                 gain = g**2 / (h + self.penalty) + (gt - g) ** 2 / (ht - h + self.penalty) - gt**2 / (ht + self.penalty)
                 best = int(np.argmax(gain))

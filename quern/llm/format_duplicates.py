@@ -146,8 +146,17 @@ def duplicate_pairs(df: DataFrame, record_id: str, canonical: Column) -> DataFra
     forms = forms.select("id", "form", F.xxhash64("form").alias("h"))
     rows = df.count()
     suspects = cut(possible_repeats(forms, rows), "p3-suspects")
-    groups = suspects.groupBy("form").agg(F.min("id").alias("keep_id"), F.count_distinct("id").alias("n_copies")).where(F.col("n_copies") > 1)
-    return join_hot(suspects.select("id", "form").distinct(), cut(groups, "p3-groups"), ["form"], "n_copies", rows).where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"), "n_copies")
+    groups = suspects.groupBy("form").agg(
+        F.min("id").alias("keep_id"),
+        F.count_distinct("id").alias("n_copies"),
+    ).where(F.col("n_copies") > 1)
+    return join_hot(
+        suspects.select("id", "form").distinct(),
+        cut(groups, "p3-groups"),
+        ["form"],
+        "n_copies",
+        rows,
+    ).where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"), "n_copies")
 
 
 def collapse(df: DataFrame, record_id: str, canonical: Column) -> DataFrame:
@@ -156,4 +165,8 @@ def collapse(df: DataFrame, record_id: str, canonical: Column) -> DataFrame:
     copies = pairs.select(F.col("copy_id").alias("_quern_copy"))
     counts = pairs.groupBy(F.col("keep_id").alias("_quern_keep")).agg(F.max("n_copies").alias("_quern_n"))
     kept = df.join(copies, F.col(record_id) == F.col("_quern_copy"), "left_anti")
-    return kept.join(counts, F.col(record_id) == F.col("_quern_keep"), "left").withColumn("n_copies", F.coalesce("_quern_n", F.lit(1))).drop("_quern_keep", "_quern_n")
+    return kept.join(
+        counts,
+        F.col(record_id) == F.col("_quern_keep"),
+        "left",
+    ).withColumn("n_copies", F.coalesce("_quern_n", F.lit(1))).drop("_quern_keep", "_quern_n")

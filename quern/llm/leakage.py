@@ -128,15 +128,32 @@ def _overlaps(doc: np.ndarray, items: Items, min_run: int, allowed: int) -> dict
     return found
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_run: int = 12, substitutions: int = 0, masks: tuple[str, ...] = MASKS, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def leaked_passages(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    min_run: int = 12,
+    substitutions: int = 0,
+    masks: tuple[str, ...] = MASKS,
+    most_windows: int = MOST_WINDOWS,
+) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, run, substitutions): one row for each document and item that share a passage of at
     least ``min_run`` equal words, apart from at most ``substitutions`` differing ones within it; the longest such passage."""
     if min(map(len, masks)) > min_run:
         raise ValueError("a mask is longer than the shortest passage sought")
     spark = docs.sparkSession
-    held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    held = items.select(
+        F.col(item_id).cast("long").alias("item_id"),
+        F.col(item_text).alias("text"),
+    ).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     size = held.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    plain = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+    ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     if size <= most_windows:
         kept = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in held.toLocalIterator()])
 

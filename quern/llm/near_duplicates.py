@@ -71,7 +71,10 @@ def shingle_table(docs: DataFrame, doc_id: str, text: str, shingle: int, min_wor
                     out.append((i, len(s), xxhash.xxh3_128_hexdigest(data), data))
             yield pd.DataFrame(out, columns=["id", "n", "form", "shingles"])
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    picked = docs.select(
+        F.col(doc_id).cast("long").alias("id"),
+        F.col(text).alias("text"),
+    ).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     return picked.mapInPandas(run, "id long, n int, form string, shingles binary")
 
 
@@ -91,9 +94,14 @@ def document_counts(sets: DataFrame) -> np.ndarray:
 
     def total(key, pdf):
         summed = sum((np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["counts"]), np.zeros(CHUNK, np.int64))
-        return pd.DataFrame({"chunk": [int(key[0])], "counts": [zlib.compress(np.minimum(summed, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
-
-    merged = sets.select("shingles").mapInPandas(partial, "chunk int, counts binary").groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
+        return pd.DataFrame(
+            {"chunk": [int(key[0])], "counts": [zlib.compress(np.minimum(summed, 2**31 - 1).astype(np.int32).tobytes(), 1)]}
+        )
+
+    merged = sets.select("shingles").mapInPandas(
+        partial,
+        "chunk int, counts binary",
+    ).groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
     out = np.zeros(SKETCH, np.int32)
     for r in merged.collect():  # SKETCH / CHUNK rows, of a fixed size in all
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int32)
@@ -278,7 +286,10 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
                 yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "w": p[:, 2]})
 
     emitted = sets.select("id", "shingles").mapInPandas(emit, "range long, rows binary")
-    matched = cut(emitted.groupBy("range").applyInPandas(match, "a long, b long, w long, sig long, block long, rows binary"), "p6-candidates")
+    matched = cut(
+        emitted.groupBy("range").applyInPandas(match, "a long, b long, w long, sig long, block long, rows binary"),
+        "p6-candidates",
+    )
     x = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("i"), F.col("rows").alias("x"))
     y = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("j"), F.col("rows").alias("y"))
     blocks = x.join(y, "sig").where("i <= j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
@@ -303,7 +314,14 @@ def _verify(t: float):
     return run
 
 
-def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_sets(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    min_words: int = 0,
+) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)``: pairs has (a, b, similarity) of representatives, a < b; members has (id, rep) of every text that takes part."""
     sets = cut(shingle_table(docs, doc_id, text, shingle, min_words), "p6-sets")
     if sets.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
@@ -313,12 +331,21 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     members_of_copied = join_hot(sets.select("id", "form"), copied, ["form"], "copies", sets.count()).select("id", "rep").distinct()
     copies = cut(members_of_copied.where("id <> rep"), "p6-copies")
     single = join_small(sets, copies.select("id"), ["id"], "left_anti", row_bytes=24)
-    members = join_small(sets.select("id"), copies, ["id"], "left", row_bytes=32).select("id", F.coalesce("rep", "id").alias("rep")).distinct()
+    members = join_small(
+        sets.select("id"),
+        copies,
+        ["id"],
+        "left",
+        row_bytes=32,
+    ).select("id", F.coalesce("rep", "id").alias("rep")).distinct()
     n = single.count()
     pairs = cut(candidate_pairs(single, document_counts(single), n, threshold), "p6-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     held = join_small(sets.select("id", "shingles"), wanted, ["id"], "left_semi", row_bytes=24)
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(
+        held.select(F.col("id").alias("a"), F.col("shingles").alias("x")),
+        "a",
+    ).join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(_verify(threshold), "a long, b long, similarity double"), members
 
 
@@ -338,9 +365,20 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("new"))
-        jumped = least.join(labels.select(F.col("id").alias("new"), F.col("label").alias("jump")), "new", "left").select("id", "old", F.least("new", F.coalesce("jump", "new")).alias("label"))
+        near = both.join(
+            labels.select(F.col("id").alias("b"), "label"),
+            "b",
+        ).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "id", "left").select(
+            "id",
+            F.col("label").alias("old"),
+            F.least("label", F.coalesce("near", "label")).alias("new"),
+        )
+        jumped = least.join(
+            labels.select(F.col("id").alias("new"), F.col("label").alias("jump")),
+            "new",
+            "left",
+        ).select("id", "old", F.least("new", F.coalesce("jump", "new")).alias("label"))
         done = cut(jumped, "labels")
         labels = done.select("id", "label")
         if done.where("old <> label").limit(1).count() == 0:
@@ -356,4 +394,8 @@ def duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> Dat
     classes = components(pairs).withColumnRenamed("id", "rep")
     ids = docs.select(F.col(doc_id).cast("long").alias("id")).where("id IS NOT NULL").distinct()
     known = ids.join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    return known.join(classes, "rep", "left").join(links, "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return known.join(classes, "rep", "left").join(links, "rep", "left").select(
+        "id",
+        F.coalesce("component", "rep").alias("class_id"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+    )

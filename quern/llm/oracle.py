@@ -56,8 +56,7 @@ c AS (SELECT x.page_id AS a, y.page_id AS b, count(*) AS shared FROM s x JOIN s
 SQL: dict[str, str] = {
     "p1_found": _SITE_LINES + "SELECT page_id, line_no FROM l JOIN f ON l.site = f.site AND l.k = f.k",
     "p3_found": _CONTACT_FORMS + "SELECT keep_id, contact_id AS copy_id FROM k JOIN g USING (form) WHERE contact_id <> keep_id",
-    "p3_collapsed": _CONTACT_FORMS
-    + "SELECT c.contact_id, c.contact_type, CAST(coalesce(g.n, 1) AS BIGINT) AS n_copies FROM contacts c LEFT JOIN k ON c.contact_id = k.contact_id LEFT JOIN g ON k.form = g.form WHERE g.keep_id IS NULL OR g.keep_id = c.contact_id",
+    "p3_collapsed": _CONTACT_FORMS + "SELECT c.contact_id, c.contact_type, CAST(coalesce(g.n, 1) AS BIGINT) AS n_copies FROM contacts c LEFT JOIN k ON c.contact_id = k.contact_id LEFT JOIN g ON k.form = g.form WHERE g.keep_id IS NULL OR g.keep_id = c.contact_id",
     "p6_found": _NEAR + "SELECT a AS page_id_a, b AS page_id_b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE 10 * shared >= 7 * (x.n + y.n - shared)",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM f",
 }

@@ -79,7 +79,10 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": np.array(count(pdf["text"]), dtype=np.int64)})
 
-    picked = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    picked = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+    )
     return picked.mapInPandas(run, "doc_id long, tokens long").where("tokens > 0")
 
 
@@ -122,10 +125,20 @@ def pack(sizes: list[int], capacity: int, open_bins: int = OPEN_BINS) -> list[tu
     return out
 
 
-def pack_documents(docs: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER, open_bins: int = OPEN_BINS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    kinds: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    tokenizer: str = DEFAULT_TOKENIZER,
+    open_bins: int = OPEN_BINS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """(container_kind, capacity, container_id, doc_id, piece, tokens): the container of each document, or of each piece of one
     that exceeds the capacity."""
-    found = kinds.where(F.col("container_kind").isNotNull() & (F.col("capacity") > 0)).groupBy("container_kind").agg(F.max("capacity").alias("capacity"))
+    found = kinds.where(
+        F.col("container_kind").isNotNull() & (F.col("capacity") > 0)
+    ).groupBy("container_kind").agg(F.max("capacity").alias("capacity"))
     capacities = {r["container_kind"]: r["capacity"] for r in found.limit(1001).collect()}
     if len(capacities) > 1000:
         raise ValueError("more than 1000 kinds of containers")
@@ -138,7 +151,18 @@ def pack_documents(docs: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", te
         for kind in sorted(capacities):
             rows = np.array(pack(sizes, capacities[kind], open_bins), dtype=np.int64).reshape(-1, 4)
             prefix = f"{kind}-{key[0]}-"
-            out.append(pd.DataFrame({"container_kind": kind, "capacity": capacities[kind], "container_id": [prefix + str(c) for c in rows[:, 3]], "doc_id": ids[rows[:, 0]], "piece": rows[:, 1], "tokens": rows[:, 2]}))
+            out.append(
+                pd.DataFrame(
+                    {
+                        "container_kind": kind,
+                        "capacity": capacities[kind],
+                        "container_id": [prefix + str(c) for c in rows[:, 3]],
+                        "doc_id": ids[rows[:, 0]],
+                        "piece": rows[:, 1],
+                        "tokens": rows[:, 2],
+                    }
+                )
+            )
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in PACKED.split(", ")])
 
     return counts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).groupBy("block").applyInPandas(run, PACKED)
@@ -146,5 +170,16 @@ def pack_documents(docs: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", te
 
 def fill_report(packed: DataFrame) -> DataFrame:
     """(container_kind, n_containers, n_documents, tokens, fill): how full the containers of each kind are on average."""
-    total = packed.groupBy("container_kind").agg(F.max("capacity").alias("_c"), F.count_distinct("container_id").alias("n_containers"), F.count_distinct("doc_id").alias("n_documents"), F.sum("tokens").alias("tokens"))
-    return total.select("container_kind", "n_containers", "n_documents", "tokens", (F.col("tokens") / (F.col("_c") * F.col("n_containers"))).alias("fill"))
+    total = packed.groupBy("container_kind").agg(
+        F.max("capacity").alias("_c"),
+        F.count_distinct("container_id").alias("n_containers"),
+        F.count_distinct("doc_id").alias("n_documents"),
+        F.sum("tokens").alias("tokens"),
+    )
+    return total.select(
+        "container_kind",
+        "n_containers",
+        "n_documents",
+        "tokens",
+        (F.col("tokens") / (F.col("_c") * F.col("n_containers"))).alias("fill"),
+    )

@@ -35,21 +35,33 @@ PRECISION = 0.985
 GIVEN_NAMES = frozenset(
     "aiko alba alejandro alex alice alma amara amir ana andrea andreas anita anna anton antonio beatriz ben bruno carla carlos carmen carol chen clara claudia daniel dalia david diana diego elena elias elif emil emily emma erik eva fatima felix fernando finn florian francisco frank gabriel george gloria greta gustav hana hannah hans hassan heidi helen helga henry hiro hugo ibrahim idris ines ingrid irene isabel ivan jack jakob james jan jane javier jessica joan johan john jonas jorge jose juan julia karin karl kenji kevin klaus lara laura lena leo lin linda lisa lucas lucia luis lukas manuel mara marco maria mark marta martin mary mateo max maya mei michael miguel mohamed monica nadia natalia nina noah noor olga oliver olivia omar oscar oskar pablo patricia paul paula pavel pedro peter petra pierre pilar priya rafael raj ravi robert rosa ruben ruth samir samuel sara sarah selma sergio simon sofia stefan susan talia thomas tomas ursula viktor werner yara yusuf zoe".split()
 )
-_TITLES = frozenset("dr dra prof professor profesor profesora mr mrs ms miss sr sra srta don doña dean frau herr herrn sir dame ing lic rector provost dekan dekanin decano decana".split())
+_TITLES = frozenset(
+    "dr dra prof professor profesor profesora mr mrs ms miss sr sra srta don doña dean frau herr herrn sir dame ing lic rector provost dekan dekanin decano decana".split()
+)
 _INSTITUTION = frozenset(
     "prize premio preis award hall halle wing annex library biblioteca bibliothek auditorium aula building edificio gebäude lodge house haus college university universidad universität hochschule institute instituto institut school escuela faculty facultad department departamento center centre centro zentrum campus news press photos archive archivo museum foundation fundación stiftung lecture theatre theater laboratory laboratorio office committee board council service trust society club team union park garden tower gate bridge chapel church saint san santa chair medal fellowship scholarship stipend fund collection room raum course award grant".split()
 )
-_STREET = frozenset("street st road rd avenue ave lane ln drive court ct way boulevard blvd place square terrace row close crescent hill calle avenida avda paseo plaza camino ronda straße strasse platz allee weg gasse".split())
+_STREET = frozenset(
+    "street st road rd avenue ave lane ln drive court ct way boulevard blvd place square terrace row close crescent hill calle avenida avda paseo plaza camino ronda straße strasse platz allee weg gasse".split()
+)
 _COMMON = frozenset(
-    "the a an our this that these those in on at by for from with of and or if as but not no to all about after before since until while when where who whose what why how it its their his her your my we you they i course courses rooms room award awards applications students student work earlier nobody questions call write mail e-mail email phone tel fax address contact office hours parcels quote visit copyright last quick terms subscribe share print follow open apply page written posted text story photos according held more back built registered home jobs giving research academics admissions athletics alumni campus map faculty staff news life about us medieval methods patterns rules signals errors gaps trade safe needs use limits demand behaviour cost spread teaching working link how what new small joint annual pilot regional doctoral graduate undergraduate practical quantitative qualitative evening externally funded long running hands part time interdisciplinary experimental external monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
-    "el la los las un una unos unas en de del al con sin por para según sobre tras desde hasta entre y o que se su sus es son este esta nuestro nuestra llame indique escriba correo teléfono dirección contacto tutoría documento texto publicado más todo últimas última aviso enlaces síguenos nadie unos diez asignatura ayuda aulas trabajo estudiantes premio decanato inicio admisión noticias empleo grados másteres investigación conócenos "
-    "der die das den dem des ein eine einen einer im am an auf in zum zur von vom mit für nach vor bei aus durch über unter und oder laut niemand rund unsere unser wer der kurs räume vorhaben arbeit institut dekanat bibliothek post frau bitte text veröffentlicht anschrift ansprechperson sprechstunde fragen angaben zuletzt direktzugang startseite studium forschung aktuelles stellen presse ehemalige bewerbung anfahrt kontakt jahr seite nach oben".split()
+    "the a an our this that these those in on at by for from with of and or if as but not no to all about after before since until while when where who whose what why how it its their his her your my we you they i course courses rooms room award awards applications students student work earlier nobody questions call write mail e-mail email phone tel fax address contact office hours parcels quote visit copyright last quick terms subscribe share print follow open apply page written posted text story photos according held more back built registered home jobs giving research academics admissions athletics alumni campus map faculty staff news life about us medieval methods patterns rules signals errors gaps trade safe needs use limits demand behaviour cost spread teaching working link how what new small joint annual pilot regional doctoral graduate undergraduate practical quantitative qualitative evening externally funded long running hands part time interdisciplinary experimental external monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december " "el la los las un una unos unas en de del al con sin por para según sobre tras desde hasta entre y o que se su sus es son este esta nuestro nuestra llame indique escriba correo teléfono dirección contacto tutoría documento texto publicado más todo últimas última aviso enlaces síguenos nadie unos diez asignatura ayuda aulas trabajo estudiantes premio decanato inicio admisión noticias empleo grados másteres investigación conócenos " "der die das den dem des ein eine einen einer im am an auf in zum zur von vom mit für nach vor bei aus durch über unter und oder laut niemand rund unsere unser wer der kurs räume vorhaben arbeit institut dekanat bibliothek post frau bitte text veröffentlicht anschrift ansprechperson sprechstunde fragen angaben zuletzt direktzugang startseite studium forschung aktuelles stellen presse ehemalige bewerbung anfahrt kontakt jahr seite nach oben".split()
+)
+_PHONE_CUES = frozenset(
+    "phone tel telephone call fax mobile cell ring dial answers teléfono telefono llame móvil telefon anruf rufen unter mobil ext hotline whatsapp".split()
+)
+_ID_CUES = frozenset(
+    "ssn social security passport pasaporte reisepass dni nie nif id national identity identidad identification personalausweis ausweis steuer-id steuer steueridentifikationsnummer matrikelnummer matr matr.-nr matrikel student expediente documento personal number número nummer license licence permit tax fiscal listed quote indique held file".split()
+)
+_OTHER_CUES = frozenset(
+    "award grant ayuda vorhaben projekt proyecto course kurs asignatura room rooms raum räume aula aulas charity registered inscrita número reference error code request ray isbn doi issn version page pages copyright © year order invoice sku records record participants shares lot".split()
+)
+_BY_CUES = frozenset(
+    "by por von text texto story written posted publicado veröffentlicht author autor autora contact contacto ansprechperson according según laut led joined dirige leitet hours tutoría sprechstunde parcels envíos post für para ask write dear attn to".split()
+)
+_PERSON_VERBS = frozenset(
+    "joined leads led teaches directs heads runs wrote dirige imparte coordina explica leitet lehrt forscht schreibt and y und who".split()
 )
-_PHONE_CUES = frozenset("phone tel telephone call fax mobile cell ring dial answers teléfono telefono llame móvil telefon anruf rufen unter mobil ext hotline whatsapp".split())
-_ID_CUES = frozenset("ssn social security passport pasaporte reisepass dni nie nif id national identity identidad identification personalausweis ausweis steuer-id steuer steueridentifikationsnummer matrikelnummer matr matr.-nr matrikel student expediente documento personal number número nummer license licence permit tax fiscal listed quote indique held file".split())
-_OTHER_CUES = frozenset("award grant ayuda vorhaben projekt proyecto course kurs asignatura room rooms raum räume aula aulas charity registered inscrita número reference error code request ray isbn doi issn version page pages copyright © year order invoice sku records record participants shares lot".split())
-_BY_CUES = frozenset("by por von text texto story written posted publicado veröffentlicht author autor autora contact contacto ansprechperson according según laut led joined dirige leitet hours tutoría sprechstunde parcels envíos post für para ask write dear attn to".split())
-_PERSON_VERBS = frozenset("joined leads led teaches directs heads runs wrote dirige imparte coordina explica leitet lehrt forscht schreibt and y und who".split())
 
 _EMAIL = re.compile(
     r"(?<![\w.+'%-])[\w.+'%-]++\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{at\}|&(?:amp;)?#64;)\s?[\w-]+(?:\.[\w-]+|\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{dot\})\s?[\w-]+|\sdot\s[\w-]+)+|(?<![\w.+'%-])[\w.+'%-]++\sat\s[\w-]+(?:\sdot\s[\w-]+)+",
@@ -60,9 +72,8 @@ _NUMBER = re.compile(r"(?<![\w@/])(?:\+\s?\d|\(?\d|[A-Z]{1,2}\d)[\dA-Z]*(?:[ .\-
 _CAPS = r"[A-ZÄÖÜÁÉÍÓÚÑ]"
 _EMAIL_GATE = re.compile(r"@|#64;|[\[({]\s?at\s?[\])}]|\sat\s[\w-]+\sdot\s", re.I)
 _ADDRESS = re.compile(
-    rf"\b\d{{1,5}}(?:-\d{{1,5}})?[A-Z]?\s+(?:{_CAPS}[\w.'-]*\s+){{1,4}}?(?i:street|st|road|rd|avenue|ave|lane|ln|drive|court|ct|way|boulevard|blvd|place|square|terrace|close|crescent|parkway|pkwy)\b\.?(?:,\s(?i:apt|suite|unit|flat)\.?\s\w+)?"
-    rf"|\b(?i:calle|c/|avenida|avda\.?|av\.|paseo|plaza|camino|ronda|travesía|carretera|cuesta|glorieta)\s?(?:(?i:de(?:l| la| los| las)?)\s)?(?:{_CAPS}[\w.]*,?\s(?:(?i:de(?:l| la| los| las)?)\s)?){{1,4}}(?:n[.º°]*\s?)?\d{{1,4}}\b"
-)
+    rf"\b\d{{1,5}}(?:-\d{{1,5}})?[A-Z]?\s+(?:{_CAPS}[\w.'-]*\s+){{1,4}}?(?i:street|st|road|rd|avenue|ave|lane|ln|drive|court|ct|way|boulevard|blvd|place|square|terrace|close|crescent|parkway|pkwy)\b\.?(?:,\s(?i:apt|suite|unit|flat)\.?\s\w+)?" rf"|\b(?i:calle|c/|avenida|avda\.?|av\.|paseo|plaza|camino|ronda|travesía|carretera|cuesta|glorieta)\s?(?:(?i:de(?:l| la| los| las)?)\s)?(?:{_CAPS}[\w.]*,?\s(?:(?i:de(?:l| la| los| las)?)\s)?){{1,4}}(?:n[.º°]*\s?)?\d{{1,4}}\b"
+)
 _GERMAN_GATE = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|markt)\s\d", re.I)
 _GERMAN_ADDRESS = re.compile(
     rf"\b(?:(?i:am|an der|an den|im|zum|zur|auf der|auf dem|in der)\s)?(?:{_CAPS}[\w-]*\s){{0,2}}{_CAPS}?[\w-]*(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|markt)\s\d{{1,4}}\s?[a-z]?\b"
@@ -74,7 +85,7 @@ _NAME = re.compile(
     rf"(?<!\w)(?:(?:{_TITLE}{_GAP})+(?:(?:[A-ZÀ-Þ]\.|{_CAP}){_GAP}){{0,2}}{_CAP}(?:{_GAP}{_CAP})?"
     rf"|(?:{_CAP}|[A-ZÀ-Þ]\.)(?:{_GAP}(?:[A-ZÀ-Þ]\.|{_CAP}|de|del|von|van|da)){{0,3}}{_GAP}{_CAP}"
     rf"|(?:[A-ZÀ-Þ]{{2,}}(?:-[A-ZÀ-Þ]{{2,}})*|{_CAP}),{_GAP}{_CAP}(?:{_GAP}[A-ZÀ-Þ]\.)?)"
-)
+)
 _UPPER_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*\.?")
 _WORD = re.compile(r"[^\s,;:()|]+|[,;:()|]")
 
@@ -111,7 +122,9 @@ def _names_in_capitals(line: str, no: int) -> Iterator[Span]:
         if not (comma or _given(w) or w in _TITLES or initial or (i and bare[i - 1] in _BY_CUES and w not in _COMMON and len(w) > 2)):
             continue
         j = i + 1 if comma else i
-        while j + 1 < len(words) and j - i < 3 and not gap[j].strip() and len(gap[j]) < 4 and (bare[j + 1] not in _COMMON or words[j + 1].group().endswith(".")) and bare[j + 1] not in _INSTITUTION and line[words[j + 1].end() : words[j + 1].end() + 1] not in tuple("@[&"):
+        while j + 1 < len(words) and j - i < 3 and not gap[j].strip() and len(gap[j]) < 4 and (
+            bare[j + 1] not in _COMMON or words[j + 1].group().endswith(".")
+        ) and bare[j + 1] not in _INSTITUTION and line[words[j + 1].end() : words[j + 1].end() + 1] not in tuple("@[&"):
             j += 1
         if j > i:
             used = j
@@ -176,10 +189,20 @@ def email_features(line: str, s: Span) -> list[float]:
     words = [w for w in re.split(r"[^\w]+", low) if w]
     tail = words[-1] if words else ""
     return [
-        float(at), float("." in t), float(" dot " in low or "[dot]" in low or "(dot)" in low), float(" at " in low), float(len(words)), float(len(tail)), float(tail.isalpha()),
-        float(words[0] in _COMMON) if words else 0.0, float(any(c.isdigit() for c in words[0])) if words else 0.0, float(low.count(" ")), float(t == t.upper()),
-        float(re.search(r"@[\w-]+(\.[\w-]+)+$", t) is not None), float(re.search(r"^[\w.+'%-]+\s?(?:@|\[at\]|\(at\)|&)", low) is not None),
-    ]
+        float(at),
+        float("." in t),
+        float(" dot " in low or "[dot]" in low or "(dot)" in low),
+        float(" at " in low),
+        float(len(words)),
+        float(len(tail)),
+        float(tail.isalpha()),
+        float(words[0] in _COMMON) if words else 0.0,
+        float(any(c.isdigit() for c in words[0])) if words else 0.0,
+        float(low.count(" ")),
+        float(t == t.upper()),
+        float(re.search(r"@[\w-]+(\.[\w-]+)+$", t) is not None),
+        float(re.search(r"^[\w.+'%-]+\s?(?:@|\[at\]|\(at\)|&)", low) is not None),
+    ]
 
 
 def number_features(line: str, s: Span) -> list[float]:
@@ -192,11 +215,41 @@ def number_features(line: str, s: Span) -> list[float]:
     before = line[s.start - 1] if s.start else "^"
     b2 = line[: s.start].rstrip()[-1:] or "^"
     return [
-        float(digits), float(len(groups)), *[float(x) for x in (lens + [0] * 5)[:5]], float(lens[-1]), float(t.startswith("+")), float("(" in t), float("." in t), float("-" in t), float(" " in t),
-        float(sum(c.isalpha() for c in t)), float(t[0].isalpha()), float(t[-1].isalpha()), float(year), float(year and lens[1:3] == [2, 2]), float(digits in (10, 11)), float(lens[:3] == [3, 2, 4]), float(lens[-2:] == [3, 4]),
-        _has(left, _PHONE_CUES), _has(left, _ID_CUES), _has(left, _OTHER_CUES), _has(left[-2:], _PHONE_CUES), _has(left[-2:], _ID_CUES), _has(left[-2:], _OTHER_CUES), _has(right, _STREET), _has(right, frozenset(("ext", "x", "extension", "durchwahl"))),
-        _has(left[-1:], frozenset(("on", "am", "el", "in"))), _has(left[-2:], frozenset(("answers", "call", "llame", "unter", "anruf"))), float(b2 in ":|,"), float(s.end >= len(line.rstrip()) - 1), float(before == "("), float("@" in line[s.end : s.end + 60]), float(len(line) < 90), float(line[s.end : s.end + 1] == ":"), float(line[s.end : s.end + 2] == " x" or line[s.end : s.end + 4] == " ext"),
-    ]
+        float(digits),
+        float(len(groups)),
+        *[float(x) for x in (lens + [0] * 5)[:5]],
+        float(lens[-1]),
+        float(t.startswith("+")),
+        float("(" in t),
+        float("." in t),
+        float("-" in t),
+        float(" " in t),
+        float(sum(c.isalpha() for c in t)),
+        float(t[0].isalpha()),
+        float(t[-1].isalpha()),
+        float(year),
+        float(year and lens[1:3] == [2, 2]),
+        float(digits in (10, 11)),
+        float(lens[:3] == [3, 2, 4]),
+        float(lens[-2:] == [3, 4]),
+        _has(left, _PHONE_CUES),
+        _has(left, _ID_CUES),
+        _has(left, _OTHER_CUES),
+        _has(left[-2:], _PHONE_CUES),
+        _has(left[-2:], _ID_CUES),
+        _has(left[-2:], _OTHER_CUES),
+        _has(right, _STREET),
+        _has(right, frozenset(("ext", "x", "extension", "durchwahl"))),
+        _has(left[-1:], frozenset(("on", "am", "el", "in"))),
+        _has(left[-2:], frozenset(("answers", "call", "llame", "unter", "anruf"))),
+        float(b2 in ":|,"),
+        float(s.end >= len(line.rstrip()) - 1),
+        float(before == "("),
+        float("@" in line[s.end : s.end + 60]),
+        float(len(line) < 90),
+        float(line[s.end : s.end + 1] == ":"),
+        float(line[s.end : s.end + 2] == " x" or line[s.end : s.end + 4] == " ext"),
+    ]
 
 
 def address_features(line: str, s: Span) -> list[float]:
@@ -205,10 +258,25 @@ def address_features(line: str, s: Span) -> list[float]:
     left, right = _context(line, s)
     number = re.search(r"\d+", t)
     return [
-        float(len(tokens)), float(t[0].isdigit()), float(t[-1].isdigit()), float(number is not None and len(number.group())), _has(tokens, _STREET), _has(tokens, _INSTITUTION), _has(tokens, _COMMON), _has(left, _OTHER_CUES), float("-" in t), float("," in t),
-        _has(left[-2:], frozenset(("at", "to", "in", "an", "en", "address", "dirección", "anschrift", "and", "y", "und"))), float(line[: s.start].rstrip()[-1:] in ("|", ":", ",", "")), float(len(line) < 100), _has(right[:1], frozenset(("of", "to", "for"))), float(t == t.upper()), float(any(x.islower() and x not in ("de", "del", "la", "los", "las") for x in t.split())),
-        float(tokens[-1] in _STREET if not t[-1].isdigit() else 1), float(1900 <= int(number.group()) <= 2035 if number and len(number.group()) == 4 else 0),
-    ]
+        float(len(tokens)),
+        float(t[0].isdigit()),
+        float(t[-1].isdigit()),
+        float(number is not None and len(number.group())),
+        _has(tokens, _STREET),
+        _has(tokens, _INSTITUTION),
+        _has(tokens, _COMMON),
+        _has(left, _OTHER_CUES),
+        float("-" in t),
+        float("," in t),
+        _has(left[-2:], frozenset(("at", "to", "in", "an", "en", "address", "dirección", "anschrift", "and", "y", "und"))),
+        float(line[: s.start].rstrip()[-1:] in ("|", ":", ",", "")),
+        float(len(line) < 100),
+        _has(right[:1], frozenset(("of", "to", "for"))),
+        float(t == t.upper()),
+        float(any(x.islower() and x not in ("de", "del", "la", "los", "las") for x in t.split())),
+        float(tokens[-1] in _STREET if not t[-1].isdigit() else 1),
+        float(1900 <= int(number.group()) <= 2035 if number and len(number.group()) == 4 else 0),
+    ]
 
 
 def name_features(line: str, s: Span) -> list[float]:
@@ -219,14 +287,51 @@ def name_features(line: str, s: Span) -> list[float]:
     given = [x in GIVEN_NAMES or any(p in GIVEN_NAMES for p in x.split("-")) for x in core]
     after = line[s.end :].lstrip()[:1] or "$"
     return [
-        float(len(tokens)), float(len(core)), float(sum(given)), float(bool(given) and given[0]), float(bool(given) and given[-1]), _has(tokens, _TITLES), float(any(len(x) == 1 for x in tokens)), float("," in t), float(t == t.upper()),
-        _has(tokens, _INSTITUTION), _has(right[:1], _INSTITUTION), _has(left[-1:], _INSTITUTION), _has(tokens, _STREET), _has(right[:2], _STREET), _has(tokens, _COMMON), float(left[-1:] == ["the"]), _has(left[-1:], frozenset(("el", "la", "das", "der", "die", "the"))),
-        _has(left[-2:], _BY_CUES), _has(left, _BY_CUES), _has(right[:1], _PERSON_VERBS), float(after in "|"), float(after in "-–"), float(after in ","), float(after in "("), float(after in ".$"), float(s.start < 4), float(s.end >= len(line.rstrip()) - 2), float(len(line) < 90), float("@" in line[s.end : s.end + 50] or "64;" in line[s.end : s.end + 50]),
-        float(line[: s.start].rstrip()[-1:].isdigit()), float(max((len(x) for x in core), default=0)), float(min((len(x) for x in core), default=0)), _has(tokens, frozenset(("university", "universidad", "college", "universität", "hochschule"))), _has(right[:2], frozenset(("university", "universidad", "college", "de"))), float(any("-" in x for x in core)),
-    ]
-
-
-_FEATURES = {"email": email_features, "phone": number_features, "id_number": number_features, "street_address": address_features, "person_name": name_features}
+        float(len(tokens)),
+        float(len(core)),
+        float(sum(given)),
+        float(bool(given) and given[0]),
+        float(bool(given) and given[-1]),
+        _has(tokens, _TITLES),
+        float(any(len(x) == 1 for x in tokens)),
+        float("," in t),
+        float(t == t.upper()),
+        _has(tokens, _INSTITUTION),
+        _has(right[:1], _INSTITUTION),
+        _has(left[-1:], _INSTITUTION),
+        _has(tokens, _STREET),
+        _has(right[:2], _STREET),
+        _has(tokens, _COMMON),
+        float(left[-1:] == ["the"]),
+        _has(left[-1:], frozenset(("el", "la", "das", "der", "die", "the"))),
+        _has(left[-2:], _BY_CUES),
+        _has(left, _BY_CUES),
+        _has(right[:1], _PERSON_VERBS),
+        float(after in "|"),
+        float(after in "-–"),
+        float(after in ","),
+        float(after in "("),
+        float(after in ".$"),
+        float(s.start < 4),
+        float(s.end >= len(line.rstrip()) - 2),
+        float(len(line) < 90),
+        float("@" in line[s.end : s.end + 50] or "64;" in line[s.end : s.end + 50]),
+        float(line[: s.start].rstrip()[-1:].isdigit()),
+        float(max((len(x) for x in core), default=0)),
+        float(min((len(x) for x in core), default=0)),
+        _has(tokens, frozenset(("university", "universidad", "college", "universität", "hochschule"))),
+        _has(right[:2], frozenset(("university", "universidad", "college", "de"))),
+        float(any("-" in x for x in core)),
+    ]
+
+
+_FEATURES = {
+    "email": email_features,
+    "phone": number_features,
+    "id_number": number_features,
+    "street_address": address_features,
+    "person_name": name_features,
+}
 
 
 @lru_cache(maxsize=2)
@@ -240,7 +345,15 @@ def trained(sentences: int = TRAINING_SENTENCES, precision: float = PRECISION) -
             for kind in s.kinds:
                 x, y, held = rows[kind]
                 x.append(_FEATURES[kind](line, s))
-                y.append(float(any(k == kind and (o := min(s.end, e) - max(s.start, b)) > 0.75 * min(s.end - s.start, e - b) and o > 0.35 * max(s.end - s.start, e - b) for k, b, e in labels)))
+                y.append(
+                    float(
+                        any(
+                            k == kind and (
+                                o := min(s.end, e) - max(s.start, b)
+                            ) > 0.75 * min(s.end - s.start, e - b) and o > 0.35 * max(s.end - s.start, e - b) for k, b, e in labels
+                        )
+                    )
+                )
                 held.append(no % 3 == 0)
     out = {}
     for kind, (x, y, held) in rows.items():
@@ -272,7 +385,13 @@ def select(lines: list[tuple[int, str]], models: dict[str, BoostedTrees]) -> lis
     return kept
 
 
-def find_personal(pages: DataFrame, page_id: str = "page_id", text: str = "clean_content", sentences: int = TRAINING_SENTENCES, precision: float = PRECISION) -> DataFrame:
+def find_personal(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    text: str = "clean_content",
+    sentences: int = TRAINING_SENTENCES,
+    precision: float = PRECISION,
+) -> DataFrame:
     """(page_id, line_no, kind): one row for each kind of personal information in a line."""
     models = trained(sentences, precision)
 
@@ -289,7 +408,10 @@ def find_personal(pages: DataFrame, page_id: str = "page_id", text: str = "clean
                 hits = dict.fromkeys((*where[f[0]], f[3]) for f in select(lines, models))
                 yield pd.DataFrame(list(hits), columns=["page_id", "line_no", "kind"])
 
-    picked = pages.where(F.col(page_id).isNotNull() & (F.length(text) > 0)).select(F.col(page_id).cast("long").alias("page_id"), F.col(text).alias("text"))
+    picked = pages.where(F.col(page_id).isNotNull() & (F.length(text) > 0)).select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.col(text).alias("text"),
+    )
     return picked.mapInPandas(run, "page_id long, line_no long, kind string").distinct()
 
 
@@ -310,4 +432,7 @@ def redact(pages: DataFrame, text: str = "clean_content", sentences: int = TRAIN
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, 0) if t is None else redact_text(t, models) for t in texts], columns=["text", "n"])
 
-    return pages.withColumn("_quern_redacted", run(F.col(text))).withColumn(text, F.col("_quern_redacted.text")).withColumn("n_redacted", F.col("_quern_redacted.n")).drop("_quern_redacted")
+    return pages.withColumn("_quern_redacted", run(F.col(text))).withColumn(text, F.col("_quern_redacted.text")).withColumn(
+        "n_redacted",
+        F.col("_quern_redacted.n"),
+    ).drop("_quern_redacted")

@@ -11,15 +11,23 @@ _ONSET = "B Br C Cr D Dr F Fl G Gr H J K Kr L M N P Pr R S St T Tr V W Z Sch".sp
 _VOWEL = "a e i o u ei au ie".split()
 _CODA = "n r l s m nd rt ck ld nz rg st".split()
 _END = "er mann son ez ini ski ov ard ley ton berg feld etti ado wood ham ski a o e".split()
-_TOPICS = "soil science|river studies|energy policy|music history|applied optics|farm economics|city planning|language technology|marine biology|food chemistry|teorías del color|química orgánica|derecho civil|historia moderna|Wasserbau|Sprachlehre|Materialkunde|Rechtsgeschichte".split("|")
+_TOPICS = "soil science|river studies|energy policy|music history|applied optics|farm economics|city planning|language technology|marine biology|food chemistry|teorías del color|química orgánica|derecho civil|historia moderna|Wasserbau|Sprachlehre|Materialkunde|Rechtsgeschichte".split(
+    "|"
+)
 _PLACES = "Northam|Eastvale|Silverton|Brookfield|Haldorf|Weinstadt|Villanueva|Montalto|Rivertown|Stonebridge".split("|")
 _INSTITUTES = "Hall|Wing|Annex|Library|Auditorium|Building|Prize|Lodge|House|Centre|Medal".split("|")
 _NOUNS = "Technik Planung Grundlagen Forschung Lehre Wasser Energie Sprache Lernen Analyse Chemie Umwelt Geschichte Netze Daten Modelle Public Health Digital Science Green Energy Human Rights Open Data Applied Physics Social Policy Global Trade Salud Pública Ciencia Abierta Neue Alte Offene Angewandte Web Portal".split()
-_WHEN = "in spring|next week|after the review|during the exams|at noon|for the first time|en otoño|durante el verano|im Herbst|nach der Prüfung".split("|")
+_WHEN = "in spring|next week|after the review|during the exams|at noon|for the first time|en otoño|durante el verano|im Herbst|nach der Prüfung".split(
+    "|"
+)
 _STREETS = "Oak|Maple|Mill|Station|Church|Elm Hill|Old Bridge|High|Saint Helen|Orchard|Market|Kingfisher".split("|")
 _TYPES = "Street|St.|St|Road|Rd|Avenue|Ave|Ave.|Lane|Drive|Court|Way|Boulevard|Place|Square".split("|")
-_CALLES = "Calle Mayor|Calle de la Luna|Avda. Constitución|Plaza del Sol|Paseo del Norte|Camino Viejo|Calle Fuente Clara|Plaza de España|Ronda Alta".split("|")
-_WEGE = "Bahnhofstraße|Am Alten Markt|Lindenweg|Gartenallee|Schlossplatz|Am Neuen Rosenweg|Kirchgasse|Hauptstr.|Berliner Straße|Zum Hohen Damm".split("|")
+_CALLES = "Calle Mayor|Calle de la Luna|Avda. Constitución|Plaza del Sol|Paseo del Norte|Camino Viejo|Calle Fuente Clara|Plaza de España|Ronda Alta".split(
+    "|"
+)
+_WEGE = "Bahnhofstraße|Am Alten Markt|Lindenweg|Gartenallee|Schlossplatz|Am Neuen Rosenweg|Kirchgasse|Hauptstr.|Berliner Straße|Zum Hohen Damm".split(
+    "|"
+)
 
 # {N} name, {E} e-mail, {P} phone, {I} identity number, {A} address are labelled; the rest is not.
 _TEMPLATES = """
@@ -168,12 +176,16 @@ class _Maker:
 
     def surname(self) -> str:
         r = self.r
-        s = r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) + (r.choice(_VOWEL) + r.choice(_CODA) if r.random() < 0.3 else "") + r.choice(_END)
+        s = r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) + (
+            r.choice(_VOWEL) + r.choice(_CODA) if r.random() < 0.3 else ""
+        ) + r.choice(_END)
         return s + ("-" + self.surname() if r.random() < 0.07 else "")
 
     def first(self) -> str:
         r = self.r
-        return r.choice(self.given).capitalize() if r.random() < 0.94 else r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) + r.choice("aeio")
+        return r.choice(
+            self.given
+        ).capitalize() if r.random() < 0.94 else r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) + r.choice("aeio")
 
     def name(self) -> str:
         r, f, s = self.r, self.first(), self.surname()
@@ -196,13 +208,33 @@ class _Maker:
     def email(self) -> str:
         r = self.r
         s = self.surname().split("-")[0].lower()
-        user = r.choice([f"{self.first().lower()}.{s}", f"{s}{r.randint(1, 99)}", f"{s}_{self.first().lower()}", f"{s[0]}{s}", f"office{r.randint(1, 99)}", "web", "info", f"{self.first().lower()}-{s}+office"])
+        user = r.choice(
+            [
+                f"{self.first().lower()}.{s}",
+                f"{s}{r.randint(1, 99)}",
+                f"{s}_{self.first().lower()}",
+                f"{s[0]}{s}",
+                f"office{r.randint(1, 99)}",
+                "web",
+                "info",
+                f"{self.first().lower()}-{s}+office",
+            ]
+        )
         host = f"{r.choice(_PLACES).lower()}"
         k = r.random()
         if k < 0.6:
             e = f"{user}@{host}.example"
         else:
-            e = r.choice([f"{user} [at] {host} [dot] example", f"{user}(at){host}.example", f"{user} AT {host} DOT example", f"{user}&#64;{host}.example", f"{user} @ {host}.example", f"{user} (at) {host} (dot) org"])
+            e = r.choice(
+                [
+                    f"{user} [at] {host} [dot] example",
+                    f"{user}(at){host}.example",
+                    f"{user} AT {host} DOT example",
+                    f"{user}&#64;{host}.example",
+                    f"{user} @ {host}.example",
+                    f"{user} (at) {host} (dot) org",
+                ]
+            )
         return e.upper() if r.random() < 0.06 and "AT " not in e else e
 
     def digits(self, n: int) -> str:
@@ -211,15 +243,48 @@ class _Maker:
     def phone(self) -> str:
         d, r = self.digits, self.r
         a, b, c = str(r.randint(200, 989)), d(3), d(4)
-        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"1{a}{b}{c}", f"+44 20 {d(4)} {d(4)}", f"020 {d(4)} {d(4)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+49 {r.randint(30, 89)} {d(5)} {d(3)}", f"(0{r.randint(30, 89)}) {d(5)}-{d(3)}", f"+34 9{d(2)} {d(3)} {d(3)}", f"9{d(2)} {d(2)} {d(2)} {d(2)}"])
+        return r.choice(
+            [
+                f"({a}) {b}-{c}",
+                f"{a}-{b}-{c}",
+                f"{a}.{b}.{c}",
+                f"{a} {b} {c}",
+                f"+1 {a} {b} {c}",
+                f"+1-{a}-{b}-{c}",
+                f"1{a}{b}{c}",
+                f"+44 20 {d(4)} {d(4)}",
+                f"020 {d(4)} {d(4)}",
+                f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}",
+                f"+49 {r.randint(30, 89)} {d(5)} {d(3)}",
+                f"(0{r.randint(30, 89)}) {d(5)}-{d(3)}",
+                f"+34 9{d(2)} {d(3)} {d(3)}",
+                f"9{d(2)} {d(2)} {d(2)} {d(2)}",
+            ]
+        )
 
     def identity(self) -> tuple[str, str]:
         d, r = self.digits, self.r
         letter = r.choice("ABCDEHIKLOPSUXZ")
-        return r.choice([
-            ("SSN", f"{d(3)}-{d(2)}-{d(4)}"), ("SSN", f"{d(3)} {d(2)} {d(4)}"), ("social security number", d(9)), ("passport no.", f"{letter}{letter}{d(7)}"), ("passport", f"{letter}{d(8)}"), ("national ID", f"{d(2)}-{d(4)}-{d(5)}"), ("student ID", f"{letter}{d(7)}"), ("student number", f"{d(4)}-{d(4)}"),
-            ("DNI", f"{d(8)}{letter}"), ("el documento", f"{d(8)}-{letter}"), ("pasaporte", f"{letter}{letter}{d(7)}"), ("expediente personal", f"{d(3)}.{d(3)}.{d(2)}-{letter}"), ("Personalausweis", f"{letter}{d(4)}{letter}{letter}{d(3)}"), ("Steuer-ID", f"{d(2)} {d(3)} {d(3)} {d(3)}"), ("Matrikelnummer", d(7)), ("Matr.-Nr.", f"{d(3)} {d(4)}"),
-        ])
+        return r.choice(
+            [
+                ("SSN", f"{d(3)}-{d(2)}-{d(4)}"),
+                ("SSN", f"{d(3)} {d(2)} {d(4)}"),
+                ("social security number", d(9)),
+                ("passport no.", f"{letter}{letter}{d(7)}"),
+                ("passport", f"{letter}{d(8)}"),
+                ("national ID", f"{d(2)}-{d(4)}-{d(5)}"),
+                ("student ID", f"{letter}{d(7)}"),
+                ("student number", f"{d(4)}-{d(4)}"),
+                ("DNI", f"{d(8)}{letter}"),
+                ("el documento", f"{d(8)}-{letter}"),
+                ("pasaporte", f"{letter}{letter}{d(7)}"),
+                ("expediente personal", f"{d(3)}.{d(3)}.{d(2)}-{letter}"),
+                ("Personalausweis", f"{letter}{d(4)}{letter}{letter}{d(3)}"),
+                ("Steuer-ID", f"{d(2)} {d(3)} {d(3)} {d(3)}"),
+                ("Matrikelnummer", d(7)),
+                ("Matr.-Nr.", f"{d(3)} {d(4)}"),
+            ]
+        )
 
     def bare_identity(self) -> str:
         d = self.digits
@@ -240,7 +305,16 @@ class _Maker:
 
     def award(self) -> str:
         d, r = self.digits, self.r
-        return r.choice([f"{r.randint(2010, 2025)}-{d(4)}-{d(2)}", d(7), f"{r.choice('ABRX')}{d(2)}-{d(6)}", f"ENG-{d(5)}", f"{d(3)}-{d(4)}-{d(2)}", f"{d(4)}-{d(3)}-{d(3)}"])
+        return r.choice(
+            [
+                f"{r.randint(2010, 2025)}-{d(4)}-{d(2)}",
+                d(7),
+                f"{r.choice('ABRX')}{d(2)}-{d(6)}",
+                f"ENG-{d(5)}",
+                f"{d(3)}-{d(4)}-{d(2)}",
+                f"{d(4)}-{d(3)}-{d(3)}",
+            ]
+        )
 
     def fill(self, template: str) -> tuple[str, list[tuple[str, int, int]]]:
         r = self.r
@@ -253,11 +327,31 @@ class _Maker:
                 kind = {"N": "person_name", "E": "email", "P": "phone", "I": "id_number", "A": "street_address"}.get(key)
                 topic = r.choice(_TOPICS)
                 part = {
-                    "N": self.name, "E": self.email, "P": self.phone, "A": self.address, "I": lambda: number if "{idcue}" in template else self.bare_identity(), "idcue": lambda: cue, "place": lambda: r.choice(_PLACES), "Cap": lambda: r.choice(_NOUNS), "topic": lambda: topic, "Topic": lambda: topic.capitalize(),
-                    "when": lambda: r.choice(_WHEN), "event": lambda: r.choice("workshop seminar symposium clinic archive project survey".split()), "surname": self.surname, "inst": lambda: r.choice(_INSTITUTES), "award": self.award, "room": lambda: f"{r.choice('ABCDE')}{r.choice(['', '-', '.'])}{r.randint(100, 499)}",
-                    "course": lambda: f"{r.choice(['CS', 'MA', 'HIS', 'PHY', 'BIO', 'ENG'])}{r.choice(['', ' ', '-'])}{r.randint(100, 4999)}", "date": lambda: f"{r.randint(2015, 2025)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", "year": lambda: str(r.randint(1990, 2025)), "small": lambda: str(r.randint(2, 990)), "five": lambda: str(r.randint(10000, 99999)),
-                    "day": lambda: str(r.randint(1, 28)), "month": lambda: str(r.randint(1, 12)), "hour": lambda: str(r.randint(8, 19)),
-                }[key]()
+                    "N": self.name,
+                    "E": self.email,
+                    "P": self.phone,
+                    "A": self.address,
+                    "I": lambda: number if "{idcue}" in template else self.bare_identity(),
+                    "idcue": lambda: cue,
+                    "place": lambda: r.choice(_PLACES),
+                    "Cap": lambda: r.choice(_NOUNS),
+                    "topic": lambda: topic,
+                    "Topic": lambda: topic.capitalize(),
+                    "when": lambda: r.choice(_WHEN),
+                    "event": lambda: r.choice("workshop seminar symposium clinic archive project survey".split()),
+                    "surname": self.surname,
+                    "inst": lambda: r.choice(_INSTITUTES),
+                    "award": self.award,
+                    "room": lambda: f"{r.choice('ABCDE')}{r.choice(['', '-', '.'])}{r.randint(100, 499)}",
+                    "course": lambda: f"{r.choice(['CS', 'MA', 'HIS', 'PHY', 'BIO', 'ENG'])}{r.choice(['', ' ', '-'])}{r.randint(100, 4999)}",
+                    "date": lambda: f"{r.randint(2015, 2025)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+                    "year": lambda: str(r.randint(1990, 2025)),
+                    "small": lambda: str(r.randint(2, 990)),
+                    "five": lambda: str(r.randint(10000, 99999)),
+                    "day": lambda: str(r.randint(1, 28)),
+                    "month": lambda: str(r.randint(1, 12)),
+                    "hour": lambda: str(r.randint(8, 19)),
+                }[key]()
             if kind:
                 labels.append((kind, len(out), len(out) + len(part)))
             out += part

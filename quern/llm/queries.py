@@ -17,15 +17,27 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_lines.remove_repeated_lines(table(spark, folder, "pages")).where(F.col("clean_content").isNotNull()).select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_removed_lines").cast("long").alias("n_removed_lines"))
+    return repeated_lines.remove_repeated_lines(table(spark, folder, "pages")).where(F.col("clean_content").isNotNull()).select(
+        "page_id",
+        F.length("clean_content").cast("long").alias("n_chars"),
+        F.col("n_removed_lines").cast("long").alias("n_removed_lines"),
+    )
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return format_duplicates.duplicate_pairs(table(spark, folder, "contacts"), "contact_id", format_duplicates.canonical_contact()).select("keep_id", "copy_id")
+    return format_duplicates.duplicate_pairs(
+        table(spark, folder, "contacts"),
+        "contact_id",
+        format_duplicates.canonical_contact(),
+    ).select("keep_id", "copy_id")
 
 
 def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    return format_duplicates.collapse(table(spark, folder, "contacts"), "contact_id", format_duplicates.canonical_contact()).select("contact_id", "contact_type", F.col("n_copies").cast("long").alias("n_copies"))
+    return format_duplicates.collapse(
+        table(spark, folder, "contacts"),
+        "contact_id",
+        format_duplicates.canonical_contact(),
+    ).select("contact_id", "contact_type", F.col("n_copies").cast("long").alias("n_copies"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +69,14 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = near_duplicates.duplicate_pairs(table(spark, folder, "pages"), doc_id="page_id", text="clean_content", shingle=3, threshold=0.7, min_words=50)
+    pairs = near_duplicates.duplicate_pairs(
+        table(spark, folder, "pages"),
+        doc_id="page_id",
+        text="clean_content",
+        shingle=3,
+        threshold=0.7,
+        min_words=50,
+    )
     return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
@@ -79,7 +98,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     bodies = wrappers.main_bodies(table(spark, folder, "pages")).where(F.col("clean_content").isNotNull())
-    return bodies.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_furniture_lines").cast("long").alias("n_furniture_lines"))
+    return bodies.select(
+        "page_id",
+        F.length("clean_content").cast("long").alias("n_chars"),
+        F.col("n_furniture_lines").cast("long").alias("n_furniture_lines"),
+    )
 
 
 def p4_wrappers(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +122,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     clean = pii.redact(table(spark, folder, "pages").select("page_id", "clean_content")).where(F.col("clean_content").isNotNull())
-    return clean.select("page_id", F.length("clean_content").cast("long").alias("n_chars"), F.col("n_redacted").cast("long").alias("n_redacted"))
+    return clean.select(
+        "page_id",
+        F.length("clean_content").cast("long").alias("n_chars"),
+        F.col("n_redacted").cast("long").alias("n_redacted"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         p1_found, p1_clean, p3_found, p3_collapsed, p4_found, p4_bodies, p4_wrappers, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_reasons,
         p8_packed, p8_fill, p9_found, p9_items, p9_substituted, p10_found, p10_scores,
-    )
+    )
 }
 
 

@@ -32,7 +32,10 @@ def site_of(domain: Column) -> Column:
 def line_table(pages: DataFrame, page_id: str, site: Column, text: str) -> DataFrame:
     """(page_id, site, line_no, ord, key): one row for each line with letters. ``ord`` numbers the lines that have letters."""
     letters = F.split(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\n]+", " "), "\n")
-    numbered = F.filter(F.transform(letters, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(x).alias("words"))), lambda x: x["words"] != "")
+    numbered = F.filter(
+        F.transform(letters, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(x).alias("words"))),
+        lambda x: x["words"] != "",
+    )
     return (
         pages.where(F.col(text).isNotNull())
         .select(F.col(page_id).alias("page_id"), site.alias("site"), numbered.alias("_lines"))
@@ -45,7 +48,9 @@ def line_table(pages: DataFrame, page_id: str, site: Column, text: str) -> DataF
 def frequent_lines(lines: DataFrame, pages_per_site: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(site, key, support): the nodes on at least ``min_pages`` pages and ``min_share`` of the site's pages."""
     support = lines.groupBy("site", "key").agg(F.count_distinct("page_id").alias("support")).where(F.col("support") >= min_pages)
-    return support.join(pages_per_site, "site").where(F.col("support") / F.col("site_pages") >= min_share).select("site", "key", "support", "site_pages")
+    return support.join(pages_per_site, "site").where(
+        F.col("support") / F.col("site_pages") >= min_share
+    ).select("site", "key", "support", "site_pages")
 
 
 def _components(site: str, nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
@@ -64,7 +69,14 @@ def _components(site: str, nodes: list[int], edges: list[tuple[int, int]]) -> di
     return {n: find(n) for n in nodes}
 
 
-BLOCKS = T.StructType([T.StructField("site", T.StringType()), T.StructField("key", T.LongType()), T.StructField("block", T.LongType()), T.StructField("support", T.LongType())])
+BLOCKS = T.StructType(
+    [
+        T.StructField("site", T.StringType()),
+        T.StructField("key", T.LongType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("support", T.LongType()),
+    ]
+)
 
 
 def _blocks_of_site(pdf):
@@ -76,11 +88,21 @@ def _blocks_of_site(pdf):
     return pd.DataFrame({"site": nodes["site"], "key": nodes["key"], "block": nodes["key"].map(found), "support": nodes["support"]})
 
 
-def repeated_blocks(pages: DataFrame, page_id: str = "page_id", domain: str = "domain", text: str = "clean_content", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+def repeated_blocks(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    domain: str = "domain",
+    text: str = "clean_content",
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+) -> tuple[DataFrame, DataFrame]:
     """``(blocks, occurrences)``: blocks has (site, key, block, support); occurrences has (page_id, site, line_no, ord, key) of all lines in blocks."""
     site = site_of(F.col(domain))
     lines = line_table(pages, page_id, site, text)
-    per_site = pages.where(F.col(text).isNotNull()).select(site.alias("site"), F.col(page_id).alias("page_id")).where(F.col("site").isNotNull()).groupBy("site").agg(F.count_distinct("page_id").alias("site_pages"))
+    per_site = pages.where(F.col(text).isNotNull()).select(
+        site.alias("site"),
+        F.col(page_id).alias("page_id"),
+    ).where(F.col("site").isNotNull()).groupBy("site").agg(F.count_distinct("page_id").alias("site_pages"))
     nodes = cut(frequent_lines(lines, per_site, min_pages, min_share), "p1-nodes")
     occurrences = cut(join_small(lines, nodes.select("site", "key", "site_pages"), ["site", "key"], row_bytes=96), "p1-lines")
     # Neighbours: ord + 1 of one line meets ord of the next on its page; both sides are (page, ord) keys, so no key is hot.
@@ -89,10 +111,14 @@ def repeated_blocks(pages: DataFrame, page_id: str = "page_id", domain: str = "d
         occurrences.select("page_id", "site", "site_pages", "ord", "key").distinct().join(after, ["page_id", "site", "ord"])
         .groupBy("site", "key", "next", "site_pages").agg(F.count_distinct("page_id").alias("support"))
         .where((F.col("support") >= min_pages) & (F.col("support") / F.col("site_pages") >= min_share))
-    )
-    both = nodes.select("site", "key", F.lit(None).cast("double").alias("next"), F.lit(0).cast("long").alias("next_exact"), "support").unionByName(
-        edges.select("site", "key", F.lit(1.0).alias("next"), F.col("next").alias("next_exact"), "support")
     )
+    both = nodes.select(
+        "site",
+        "key",
+        F.lit(None).cast("double").alias("next"),
+        F.lit(0).cast("long").alias("next_exact"),
+        "support",
+    ).unionByName(edges.select("site", "key", F.lit(1.0).alias("next"), F.col("next").alias("next_exact"), "support"))
     blocks = cut(both.groupBy("site").applyInPandas(_blocks_of_site, BLOCKS), "p1-blocks")
     return blocks, occurrences
 
@@ -100,13 +126,30 @@ def repeated_blocks(pages: DataFrame, page_id: str = "page_id", domain: str = "d
 def repeated_lines(pages: DataFrame, **options) -> DataFrame:
     """(page_id, line_no, site, block, support): every occurrence of a line that belongs to a boilerplate block of its site."""
     blocks, occurrences = repeated_blocks(pages, **options)
-    return join_small(occurrences, blocks, ["site", "key"], row_bytes=96).select("page_id", "line_no", "site", "block", "support").distinct()
-
-
-def remove_repeated_lines(pages: DataFrame, page_id: str = "page_id", domain: str = "domain", text: str = "clean_content", **options) -> DataFrame:
+    return join_small(
+        occurrences,
+        blocks,
+        ["site", "key"],
+        row_bytes=96,
+    ).select("page_id", "line_no", "site", "block", "support").distinct()
+
+
+def remove_repeated_lines(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    domain: str = "domain",
+    text: str = "clean_content",
+    **options,
+) -> DataFrame:
     """All rows and columns of ``pages``, with ``text`` freed of its site's repeated lines and ``n_removed_lines`` added."""
     found = repeated_lines(pages, page_id=page_id, domain=domain, text=text, **options)
     gone = found.groupBy(F.col("page_id").alias("_quern_id")).agg(F.collect_set("line_no").alias("_quern_gone"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_quern_gone", (i + 1).cast("long")))
     out = pages.join(gone, F.col(page_id) == F.col("_quern_id"), "left")
-    return out.withColumn(text, F.when(F.col("_quern_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).withColumn("n_removed_lines", F.when(F.col("_quern_gone").isNull(), 0).otherwise(F.size("_quern_gone"))).drop("_quern_id", "_quern_gone")
+    return out.withColumn(
+        text,
+        F.when(F.col("_quern_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
+    ).withColumn(
+        "n_removed_lines",
+        F.when(F.col("_quern_gone").isNull(), 0).otherwise(F.size("_quern_gone")),
+    ).drop("_quern_id", "_quern_gone")

@@ -28,44 +28,44 @@ from quern.session import cut, join_small
 _NOUN = r"(?:name|title|text|date|field|department|photo|image|phone|address|email|e-mail|program(?:me)?|course|author|link|heading|content|description|quote|campus|city|nombre|t[ií]tulo|texto|fecha|vorname|nachname|titel|datum)"
 #: Unfilled template fields, by syntax.
 _FIELD = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|<%[^<>\n]{0,80}%>|\[%[^\[\]\n]{0,80}%\]|[$#]\{[^{}\n]{1,60}\}|(?<![\w{$#])\{(?:\d{1,2}|[a-z_]+(?:\.[a-z_]+)*)\}(?!\})"
-    r"|@@\w+@@|\[\[[\w .:|-]{1,60}\]\]|%%\w+%%|%[A-Z][A-Z_]{2,}%|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|\$[A-Z][A-Z_]{2,}\$|\*\|[A-Z_:]+\|\*|<!--.{0,80}?-->"
-    r"|(?<![\w.@+-])[A-Z]{2,}(?:_[A-Z]{2,})+(?![\w.+-]*\s?(?:@|&#64;|\[at\]|\(at\)|at\b|\[AT\]|\(AT\)|AT\b))(?!\w)"
-    r"|\[(?i:insert|your|add|enter|page title|title|name|placeholder|todo|tbd|put)\b[^\[\]\n]{0,60}\]|<(?i:[a-z]+ )?(?i:" + _NOUN + r")>|\(\((?i:" + _NOUN + r")\)\)"
-    r"|\bX{3,}(?:-[A-Z]+)*-?X{2,}\b|\bTBD\b|\bTODO:|\bFIXME\b|\bundefined[ ,]+undefined\b|\bnull[ ,]+null\b|\[object Object\]|\bNaN[ ,]+NaN\b"
-)
+    r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|<%[^<>\n]{0,80}%>|\[%[^\[\]\n]{0,80}%\]|[$#]\{[^{}\n]{1,60}\}|(?<![\w{$#])\{(?:\d{1,2}|[a-z_]+(?:\.[a-z_]+)*)\}(?!\})" r"|@@\w+@@|\[\[[\w .:|-]{1,60}\]\]|%%\w+%%|%[A-Z][A-Z_]{2,}%|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|\$[A-Z][A-Z_]{2,}\$|\*\|[A-Z_:]+\|\*|<!--.{0,80}?-->" r"|(?<![\w.@+-])[A-Z]{2,}(?:_[A-Z]{2,})+(?![\w.+-]*\s?(?:@|&#64;|\[at\]|\(at\)|at\b|\[AT\]|\(AT\)|AT\b))(?!\w)" r"|\[(?i:insert|your|add|enter|page title|title|name|placeholder|todo|tbd|put)\b[^\[\]\n]{0,60}\]|<(?i:[a-z]+ )?(?i:" + _NOUN + r")>|\(\((?i:" + _NOUN + r")\)\)" r"|\bX{3,}(?:-[A-Z]+)*-?X{2,}\b|\bTBD\b|\bTODO:|\bFIXME\b|\bundefined[ ,]+undefined\b|\bnull[ ,]+null\b|\[object Object\]|\bNaN[ ,]+NaN\b"
+)
 #: A sentence that speaks of templates: a field in it is an example.
-_ABOUT_FIELDS = re.compile(r"\b(?:templates?|placeholders?|slots?|syntax|variables?|markup|brac(?:es|kets)|plantillas?|marcador(?:es)?|hueco|llaves|Vorlagen?|Platzhalter|Klammern|Variablen?)\b", re.I)
+_ABOUT_FIELDS = re.compile(
+    r"\b(?:templates?|placeholders?|slots?|syntax|variables?|markup|brac(?:es|kets)|plantillas?|marcador(?:es)?|hueco|llaves|Vorlagen?|Platzhalter|Klammern|Variablen?)\b",
+    re.I,
+)
 #: Program messages, at the start of a line.
 _PROGRAM = re.compile(
     r"^\W{0,3}(?:(?:PHP )?(?:fatal|parse|catchable fatal) error\b.*:|(?:PHP )?(?:warning|notice|deprecated): .*(?:undefined|line \d|\(\)|array|variable|index)|traceback \(most recent call|\w*(?:exception|error) (?:at|in) \S+|(?:uncaught|unhandled) \w*(?:exception|error)|\w+(?:Exception|Error)(?::| at\b| in\b)|SQLSTATE\b|ORA-\d+|stack ?trace:?|segmentation fault|exception in thread|error establishing a database connection|syntax error near)",
     re.I | re.M,
-)
+)
 _MESSAGE = (
-    r"(?:(?:internal )?server ?error|page not found|file not found|not found|not here|forbidden|access (?:is )?denied|permission denied|unauthori[sz]ed|bad (?:request|gateway)|gateway time-?out|service (?:temporarily )?unavailable|too many requests|"
-    r"session (?:has )?expired|(?:site )?(?:is )?(?:under|down for) (?:maintenance|construction)|database error|request (?:timeout|timed out)|error|oops|whoops|sorry|p[áa]gina no encontrada|no encontrad[ao]|acceso (?:denegado|prohibido)|error (?:interno )?del servidor|"
-    r"servicio no disponible|sesi[óo]n caducada|en mantenimiento|sitio en (?:mantenimiento|construcci[óo]n)|error de (?:la )?base de datos|zugriff verweigert|seite nicht gefunden|nicht gefunden|server ?fehler|interner serverfehler|dienst nicht verf[üu]gbar|wartungsarbeiten|sitzung abgelaufen|fehler)"
+    r"(?:(?:internal )?server ?error|page not found|file not found|not found|not here|forbidden|access (?:is )?denied|permission denied|unauthori[sz]ed|bad (?:request|gateway)|gateway time-?out|service (?:temporarily )?unavailable|too many requests|" r"session (?:has )?expired|(?:site )?(?:is )?(?:under|down for) (?:maintenance|construction)|database error|request (?:timeout|timed out)|error|oops|whoops|sorry|p[áa]gina no encontrada|no encontrad[ao]|acceso (?:denegado|prohibido)|error (?:interno )?del servidor|" r"servicio no disponible|sesi[óo]n caducada|en mantenimiento|sitio en (?:mantenimiento|construcci[óo]n)|error de (?:la )?base de datos|zugriff verweigert|seite nicht gefunden|nicht gefunden|server ?fehler|interner serverfehler|dienst nicht verf[üu]gbar|wartungsarbeiten|sitzung abgelaufen|fehler)"
 )
 #: Messages about errors, in place of content: a status code, a message, or both, and nothing else.
-_ERROR = re.compile(rf"^\W{{0,3}}(?:(?:error\s+|http\s+(?:error\s+)?)?(?:400|401|403|404|405|408|410|429|500|502|503|504)\b\W{{0,4}}{_MESSAGE}?|{_MESSAGE})\W*\d*\W*$", re.I)
+_ERROR = re.compile(
+    rf"^\W{{0,3}}(?:(?:error\s+|http\s+(?:error\s+)?)?(?:400|401|403|404|405|408|410|429|500|502|503|504)\b\W{{0,4}}{_MESSAGE}?|{_MESSAGE})\W*\d*\W*$",
+    re.I,
+)
 _ERROR_SENTENCE = re.compile(
     r"\b(?:(?:page|resource|document|file|url|address) (?:that )?you (?:asked for|requested|are looking for|tried)|could not be (?:found|understood|processed)|(?:does|do) not have (?:permission|access)|you (?:do not|don't) have (?:permission|access)|sign in with|has expired|been rate limited|server (?:error|is temporarily|cannot)|temporarily (?:unable|unavailable)|something went wrong|link is broken|nothing at this address|did not answer in time|try again (?:later|shortly)|be back (?:soon|shortly)|systems are being updated|database connection|reference #\d+|error code|no tiene permiso|no existe o ha cambiado|(?:p[áa]gina|recurso) (?:solicitad[ao]|no encontrad[ao])|error interno|int[ée]ntelo (?:de nuevo )?m[áa]s tarde|vuelva a intentarlo|ha caducado|temporalmente no disponible|keine berechtigung|existiert nicht oder|angeforderte seite|interner fehler|sp[äa]ter (?:noch einmal|erneut)|nicht erreichbar|vor[üu]bergehend nicht)\b",
     re.I,
-)
+)
 #: Demands for scripts, cookies or another browser.
 _SCRIPTS = re.compile(
     r"\b(?:(?:enable|turn on|allow|activate|requires?|needs?|without) (?:\w+ ){0,2}(?:javascript|scripts?|scripting|cookies)|(?:javascript|scripts?|scripting|cookies)\b.{0,40}\b(?:must be|is|are|has been) (?:enabled|allowed|required|disabled|switched off|turned off)|checking your browser|browser is (?:out of date|not supported|outdated)|scripting switched off|activ[ea] (?:el )?javascript|(?:necesita|requiere|habilite|debe habilitar) (?:el )?javascript|navegador (?:no es compatible|est[áa] obsoleto)|(?:aktivieren sie|ben[öo]tigt|erfordert) (?:bitte )?javascript|javascript (?:aktivieren|einschalten)|browser (?:ist )?veraltet)",
     re.I,
-)
+)
 #: Stubs and filler.
 _STUB = re.compile(
     r"^\W{0,3}(?:untitled(?: (?:document|page))?|(?:new|sample|test|blank|default|my|home) page|page title|document title|insert title here|title(?: goes)? here|(?:web)?page|index|loading\W*|please wait\W*|placeholder|coming soon|under construction|heading text|body text|t[íi]tulo de (?:la )?p[áa]gina|p[áa]gina (?:nueva|de (?:ejemplo|prueba))|sin t[íi]tulo|cargando\W*|neue seite|seitentitel|unbenannt(?:es dokument)?|beispielseite|wird geladen\W*|ohne titel)\W*\d*\W*$",
     re.I,
-)
+)
 _STUB_SENTENCE = re.compile(
     r"\b(?:content (?:is )?coming soon|coming soon|(?:this is a|edit this) (?:placeholder|sample)|placeholder page|sample text|text goes here|type your (?:content|text) here|replace this (?:paragraph|text)|add a (?:short )?(?:description|summary)|add (?:your )?(?:text|summary|content) here|heading text|body text|texto de (?:ejemplo|relleno|prueba)|escriba (?:aqu[íi]|su texto)|pr[óo]ximamente|p[áa]gina en construcci[óo]n|hier entsteht|platzhaltertext|blindtext|beispieltext|mustertext|text hier ein(?:f[üu]gen|geben)|in k[üu]rze verf[üu]gbar|under construction|nothing here yet)\b",
     re.I,
-)
+)
 _LATIN = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?…](?=\s|$)")
@@ -90,13 +90,21 @@ def unfilled_field(text: str) -> bool:
 
 
 def is_message(line: str) -> bool:
-    return bool(_ERROR.search(line) or _ERROR_SENTENCE.search(line) or _SCRIPTS.search(line) or _STUB.search(line) or _STUB_SENTENCE.search(line))
+    return bool(
+        _ERROR.search(line) or _ERROR_SENTENCE.search(line) or _SCRIPTS.search(line) or _STUB.search(line) or _STUB_SENTENCE.search(line)
+    )
 
 
 def title_is_message(title: str) -> bool:
     """The whole title, or its part before the site's name, is an error message, a stub or filler."""
     parts = [title] + re.split(r"\s[|·»–—-]\s", title)[:1]
-    return any(bool(_ERROR.search(p) or _STUB.search(p) or (len(p) < 90 and (_SCRIPTS.search(p) or _STUB_SENTENCE.search(p) or _ERROR_SENTENCE.search(p)))) for p in parts) or bool(_LATIN.search(title))
+    return any(
+        bool(
+            _ERROR.search(p) or _STUB.search(p) or (
+                len(p) < 90 and (_SCRIPTS.search(p) or _STUB_SENTENCE.search(p) or _ERROR_SENTENCE.search(p))
+            )
+        ) for p in parts
+    ) or bool(_LATIN.search(title))
 
 
 def _key(text: str) -> int:
@@ -118,16 +126,24 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple:
     prose = any(len(x) >= LONG_LINE and len(_SENTENCE.findall(x)) >= 2 and not _LATIN.search(x) for x in lines)
     if latin >= 2 and prose:
         # Filler words carry no function words; count the long lines that read as language.
-        prose = sum(len(x) for x in lines if len(x) >= LONG_LINE and _reads(x)) > sum(len(x) for x in lines if len(x) >= LONG_LINE and not _reads(x))
+        prose = sum(len(x) for x in lines if len(x) >= LONG_LINE and _reads(x)) > sum(
+            len(x) for x in lines if len(x) >= LONG_LINE and not _reads(x)
+        )
     own = [x for x in lines if x.lower() != title.strip().lower()]
     message = not prose and any(is_message(x) for x in own[:400]) or latin >= 2 and not prose
     tw, bw = _LETTERS.findall(title.lower()), [w for x in own for w in _LETTERS.findall(x.lower())] if not prose else []
-    title_low = bool(tw) and len(tw) <= 4 and not (set(tw) & terms) and not (prose and any(x.lower() == title.strip().lower() for x in lines[:6]))
+    title_low = bool(tw) and len(tw) <= 4 and not (set(tw) & terms) and not (
+        prose and any(x.lower() == title.strip().lower() for x in lines[:6])
+    )
     body_low = bool(bw) and len(bw) <= 30 and not prose and not (set(bw) & terms - {"a", "the", "and"})
-    return host, slug, field, program, prose, message, title_is_message(title), _key(" ".join(bw)) if body_low else None, _key(title) if title_low else None, len(bw), len(tw)
+    return host, slug, field, program, prose, message, title_is_message(title), _key(
+        " ".join(bw)
+    ) if body_low else None, _key(title) if title_low else None, len(bw), len(tw)
 
 
-_READS = frozenset("the a of to in and for on at with is are was by el la de los las y en que con un una se por der die das und in zu den von mit im für ist wird".split())
+_READS = frozenset(
+    "the a of to in and for on at with is are was by el la de los las y en que con un una se por der die das und in zu den von mit im für ist wird".split()
+)
 
 
 def _reads(line: str) -> bool:
@@ -135,7 +151,13 @@ def _reads(line: str) -> bool:
     return sum(w in _READS for w in ws) > 0.12 * len(ws)
 
 
-def page_flags(pages: DataFrame, page_id: str = "page_id", url: str = "url", title: str = "title", text: str = "clean_content") -> DataFrame:
+def page_flags(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    url: str = "url",
+    title: str = "title",
+    text: str = "clean_content",
+) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FLAGS.split(", ")]
         for pdf in batches:
@@ -145,7 +167,12 @@ def page_flags(pages: DataFrame, page_id: str = "page_id", url: str = "url", tit
             yield out
 
     picked = pages.where(F.col(page_id).isNotNull() & (F.col(title).isNotNull() | F.col(text).isNotNull()))
-    return picked.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(title).alias("title"), F.col(text).alias("text")).mapInPandas(run, FLAGS)
+    return picked.select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.col(url).alias("url"),
+        F.col(title).alias("title"),
+        F.col(text).alias("text"),
+    ).mapInPandas(run, FLAGS)
 
 
 def residue_pages(pages: DataFrame, min_slugs: int = MIN_SLUGS, min_hosts: int = MIN_HOSTS, **columns: str) -> DataFrame:
@@ -154,13 +181,28 @@ def residue_pages(pages: DataFrame, min_slugs: int = MIN_SLUGS, min_hosts: int =
 
     def often(key: str) -> DataFrame:
         low = flags.where(F.col(key).isNotNull())
-        return low.groupBy(key).agg(F.count_distinct("slug").alias("slugs"), F.count_distinct("host").alias("hosts"), F.avg(F.col("prose").cast("int")).alias("with_prose")).where((F.col("slugs") >= min_slugs) & (F.col("hosts") >= min_hosts)).select(key, F.lit(True).alias(f"{key}_often"))
+        return low.groupBy(key).agg(
+            F.count_distinct("slug").alias("slugs"),
+            F.count_distinct("host").alias("hosts"),
+            F.avg(F.col("prose").cast("int")).alias("with_prose"),
+        ).where((F.col("slugs") >= min_slugs) & (F.col("hosts") >= min_hosts)).select(key, F.lit(True).alias(f"{key}_often"))
 
     both = join_small(join_small(flags, often("body_key"), ["body_key"], "left"), often("title_key"), ["title_key"], "left")
     reason = (
-        F.when(F.col("has_field"), "unfilled field").when(F.col("has_program"), "program message").when(F.col("title_message"), "title")
-        .when(F.col("body_message"), "message or filler").when(F.col("body_key_often") & ~F.col("prose"), "duplicated response").when(F.col("title_key_often") & (F.col("body_words") + F.col("title_words") > 0), "duplicated title")
-    )
+        F.when(F.col("has_field"), "unfilled field").when(
+            F.col("has_program"),
+            "program message",
+        ).when(F.col("title_message"), "title").when(
+            F.col("body_message"),
+            "message or filler",
+        ).when(
+            F.col("body_key_often") & ~F.col("prose"),
+            "duplicated response",
+        ).when(
+            F.col("title_key_often") & (F.col("body_words") + F.col("title_words") > 0),
+            "duplicated title",
+        )
+    )
     return both.select("page_id", reason.alias("reason")).where(F.col("reason").isNotNull()).dropDuplicates(["page_id"])
 
 

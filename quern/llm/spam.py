@@ -87,7 +87,10 @@ class Measure:
         if "#" in text or "<" in text or "http" in text or "www." in text:
             links = len(_URL.findall(text))
             if links:
-                plain = _URL.sub(lambda m: " " + (_CAMEL.sub(" ", m.group()[1:]) if m.group()[0] == "#" else _TAG_NOISE.sub(" ", m.group())) + " ", text)
+                plain = _URL.sub(
+                    lambda m: " " + (_CAMEL.sub(" ", m.group()[1:]) if m.group()[0] == "#" else _TAG_NOISE.sub(" ", m.group())) + " ",
+                    text,
+                )
         ws = _WORD.findall(plain.lower())
         n = len(ws)
         if not n:
@@ -116,7 +119,7 @@ class Measure:
             min(1.0, 5.0 * links / n) * damp,
             min(1.0, 5.0 * len(_PRICE.findall(text)) / n) * damp if "$" in text or "€" in text or "£" in text or "%" in text else 0.0,
             (ns - len(set(segments))) / max(ns, 6) * damp / math.log(math.e + ns / 30.0),
-        ]
+        ]
 
 
 def _windows(content: np.ndarray) -> tuple[float, float]:
@@ -124,7 +127,9 @@ def _windows(content: np.ndarray) -> tuple[float, float]:
     m = len(content)
     full = m // WINDOW
     kinds, entropies, weights = [], [], []
-    for part in ([content[: full * WINDOW].reshape(full, WINDOW)] if full else []) + ([content[full * WINDOW :].reshape(1, -1)] if m % WINDOW else []):
+    for part in (
+        [content[: full * WINDOW].reshape(full, WINDOW)] if full else []
+    ) + ([content[full * WINDOW :].reshape(1, -1)] if m % WINDOW else []):
         rows, k = part.shape
         x = np.sort(part, axis=1)
         new = np.ones((rows, k), bool)
@@ -155,7 +160,11 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                     out.append((d, m[0] if m[0] != "und" or own not in FUNCTION_WORDS else own, m[1], m[2]))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "n_words", "f"])
 
-    return docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(run, "doc_id long, lang string, n_words long, f array<double>")
+    return docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.col(lang).alias("lang"),
+    ).mapInPandas(run, "doc_id long, lang string, n_words long, f array<double>")
 
 
 #: Least scale of each feature, and how far out a document must lie: in all, and in the spam-directed part.
@@ -170,7 +179,10 @@ def robust_statistics(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarra
     """Centre and covariance of each language and of all documents ("und"), from its inner three quarters."""
     p = len(FEATURES)
     both = table.select("lang", "f").where(F.col("lang") != "und").unionByName(table.select(F.lit("und").alias("lang"), "f"))
-    quartiles = both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("f")[i], [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in range(p)])
+    quartiles = both.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(F.col("f")[i], [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in range(p)],
+    )
     rough = {r["lang"]: (r["n"], np.array([r[f"q{i}"] for i in range(p)])) for r in quartiles.collect()}  # one row a language
     if "und" not in rough:
         return {}
@@ -182,7 +194,9 @@ def robust_statistics(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarra
     cuts = {r["lang"]: r["c"] for r in near.groupBy("lang").agg(F.percentile_approx("_d", 0.75, 10000).alias("c")).collect()}
     edge = F.create_map(*[x for lang, c in cuts.items() for x in (F.lit(lang), F.lit(float(c)))])
     inner = near.where(F.col("_d") <= edge[F.col("lang")])
-    sums = [F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
+    sums = [F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(p)] + [
+        F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)
+    ]
     out = {}
     for r in inner.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
         n, lang = r["n"], r["lang"]
@@ -206,7 +220,9 @@ def spam_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
                 dv = np.stack(pdf["f"].iloc[rows].to_list()) - mu
                 distance[rows] = np.einsum("ij,jk,ik->i", dv, inverse, dv)
                 directed[rows] = (np.maximum(0.0, dv / sd * DIRECTION)[:, _EVIDENCE] ** 2).sum(axis=1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_words": pdf["n_words"], "distance": distance, "directed": directed})
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_words": pdf["n_words"], "distance": distance, "directed": directed}
+            )
 
     return table.mapInPandas(score, "doc_id long, lang string, n_words long, distance double, directed double")
 

@@ -38,7 +38,15 @@ ODD = [
 
 
 @relaxed
-@given(data=st.lists(st.tuples(st.sampled_from(["A.x", "a.x:8", "b", None]), st.lists(st.sampled_from(["Menu 1", "menu 2", "!!", "", "By X", "Text", "y"]), max_size=6)), max_size=30))
+@given(
+    data=st.lists(
+        st.tuples(
+            st.sampled_from(["A.x", "a.x:8", "b", None]),
+            st.lists(st.sampled_from(["Menu 1", "menu 2", "!!", "", "By X", "Text", "y"]), max_size=6),
+        ),
+        max_size=30,
+    )
+)
 def test_repeated_lines_equal_brute_force(spark, data):
     rows = [(i, d, None, None, "\n".join(ls), None) for i, (d, ls) in enumerate(data)]
     found = {(r.page_id, r.line_no) for r in repeated_lines.repeated_lines(pages(spark, rows), min_pages=3, min_share=0.2).collect()}
@@ -50,7 +58,11 @@ def test_repeated_lines_equal_brute_force(spark, data):
             n[site(d)] += 1
             for x in t.split("\n"):
                 on[site(d), key(x)].add(i)
-    want = {(i, no) for i, d, _, _, t, _ in rows if d is not None for no, x in enumerate(t.split("\n"), 1) if key(x) and len(on[site(d), key(x)]) >= 3 and len(on[site(d), key(x)]) / n[site(d)] >= 0.2}
+    want = {
+        (i, no) for i, d, _, _, t, _ in rows if d is not None for no, x in enumerate(t.split("\n"), 1) if key(x) and len(
+            on[site(d), key(x)]
+        ) >= 3 and len(on[site(d), key(x)]) / n[site(d)] >= 0.2
+    }
     assert found == want
 
 
@@ -60,7 +72,9 @@ def test_repeated_lines_removed_in_blocks(spark):
     blocks, _ = repeated_lines.repeated_blocks(df)
     assert len({r.block for r in blocks.collect()}) == 2  # Menu and Home follow each other; the footer stands apart
     clean = repeated_lines.remove_repeated_lines(df).collect()
-    assert {r.clean_content for r in clean} == {f"own {chr(97 + i) * 3}" for i in range(8)} and {r.n_removed_lines for r in clean} == {3} and clean[0].key == "k"
+    assert {r.clean_content for r in clean} == {
+        f"own {chr(97 + i) * 3}" for i in range(8)
+    } and {r.n_removed_lines for r in clean} == {3} and clean[0].key == "k"
 
 
 # ---- 3 ----
@@ -68,11 +82,27 @@ def test_repeated_lines_removed_in_blocks(spark):
 
 def test_format_duplicates(spark):
     rows = [
-        (1, "email", "A.B@c.d", "https://h/x?a=1&b=2"), (2, "email", " a.b@C.D", "HTTPS://H/x/?b=2&a=1"), (3, "email", "ab@cd", "http://h/x?a=1&b=2"), (4, "email", "A.B@c.d", "https://h/x?a=1&b=2#f"), (5, "email", "A.B@c.d", "https://h:8/x?a=1&b=2"),
-        (6, "staff", "Ann Lee; Dean | Room 1", "https://h/y"), (7, "staff", "ROOM 1, dean, ann lee", "https://h/y"), (8, "staff", "Lee Ann; Dean; Room 1", "https://h/y"), (9, "staff", None, "https://h/y"), (10, "staff", "--", "https://h/y"), (11, None, "x", "https://h/y"), (None, "email", "A.B@c.d", "https://h/x?a=1&b=2"), (1, "email", "A.B@c.d", "https://h/x?a=1&b=2"),
-    ]
-    df = spark.createDataFrame(rows, "contact_id long, contact_type string, value string, source_url string").withColumn("form", F.lit("clash"))
-    got = {(r.keep_id, r.copy_id) for r in format_duplicates.duplicate_pairs(df, "contact_id", format_duplicates.canonical_contact()).collect()}
+        (1, "email", "A.B@c.d", "https://h/x?a=1&b=2"),
+        (2, "email", " a.b@C.D", "HTTPS://H/x/?b=2&a=1"),
+        (3, "email", "ab@cd", "http://h/x?a=1&b=2"),
+        (4, "email", "A.B@c.d", "https://h/x?a=1&b=2#f"),
+        (5, "email", "A.B@c.d", "https://h:8/x?a=1&b=2"),
+        (6, "staff", "Ann Lee; Dean | Room 1", "https://h/y"),
+        (7, "staff", "ROOM 1, dean, ann lee", "https://h/y"),
+        (8, "staff", "Lee Ann; Dean; Room 1", "https://h/y"),
+        (9, "staff", None, "https://h/y"),
+        (10, "staff", "--", "https://h/y"),
+        (11, None, "x", "https://h/y"),
+        (None, "email", "A.B@c.d", "https://h/x?a=1&b=2"),
+        (1, "email", "A.B@c.d", "https://h/x?a=1&b=2"),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "contact_id long, contact_type string, value string, source_url string",
+    ).withColumn("form", F.lit("clash"))
+    got = {
+        (r.keep_id, r.copy_id) for r in format_duplicates.duplicate_pairs(df, "contact_id", format_duplicates.canonical_contact()).collect()
+    }
     assert got == {(1, 2), (6, 7)}
     kept = {r.contact_id: r.n_copies for r in format_duplicates.collapse(df, "contact_id", format_duplicates.canonical_contact()).collect()}
     assert kept[1] == 2 and kept[6] == 2 and 2 not in kept and 7 not in kept and kept[10] == 1
@@ -89,7 +119,12 @@ def test_filters_pass_every_repeat(spark):
 
 
 def test_hot_group_of_copies(spark):
-    df = spark.range(3000).select(F.col("id").alias("contact_id"), F.lit("phone").alias("contact_type"), F.when(F.col("id") < 1000, F.lit("1 2")).otherwise(F.col("id").cast("string")).alias("value"), F.lit("http://h/").alias("source_url"))
+    df = spark.range(3000).select(
+        F.col("id").alias("contact_id"),
+        F.lit("phone").alias("contact_type"),
+        F.when(F.col("id") < 1000, F.lit("1 2")).otherwise(F.col("id").cast("string")).alias("value"),
+        F.lit("http://h/").alias("source_url"),
+    )
     pairs = format_duplicates.duplicate_pairs(df, "contact_id", format_duplicates.canonical_contact())
     assert pairs.count() == 999 and pairs.agg(F.max("n_copies")).first()[0] == 1000
 
@@ -215,18 +250,42 @@ def test_components(spark):
 @pytest.mark.parametrize(
     ("title", "text", "case"),
     [
-        ("T", "Text with {{ name }} left.", True), ("T", "Students learn that {{ name }} marks a slot in a template.", False), ("{{ page.title }}", None, True), ("404 Not Found", None, True), ("A talk about 404 pages", None, False), ("T", "TODO EL VERANO", False),
-        ("T", "ROSA_MARIA@U.EXAMPLE writes", False), ("T", "Ask NAME_OF_CHAIR today.", True), ("T", "Please enable JavaScript to view this website.", True), ("T", 'Warning: undefined index "x" in line 3', True), ("T", None, False), (None, None, False), ("Loading...", "A real page. " * 30, True),
-        ("T", "Long real prose about archives. It has many sentences and goes on for a good while, so that it counts as content here and is not taken for a teaser.\nFor the best experience turn on JavaScript in your browser.\n" + "More prose of the page follows. It is long enough to be read as a paragraph with several sentences in it, one after another." , False),
+        ("T", "Text with {{ name }} left.", True),
+        ("T", "Students learn that {{ name }} marks a slot in a template.", False),
+        ("{{ page.title }}", None, True),
+        ("404 Not Found", None, True),
+        ("A talk about 404 pages", None, False),
+        ("T", "TODO EL VERANO", False),
+        ("T", "ROSA_MARIA@U.EXAMPLE writes", False),
+        ("T", "Ask NAME_OF_CHAIR today.", True),
+        ("T", "Please enable JavaScript to view this website.", True),
+        ("T", 'Warning: undefined index "x" in line 3', True),
+        ("T", None, False),
+        (None, None, False),
+        ("Loading...", "A real page. " * 30, True),
+        (
+            "T",
+            "Long real prose about archives. It has many sentences and goes on for a good while, so that it counts as content here and is not taken for a teaser.\nFor the best experience turn on JavaScript in your browser.\n" + "More prose of the page follows. It is long enough to be read as a paragraph with several sentences in it, one after another.",
+            False,
+        ),
     ],
-)
+)
 def test_residue(title, text, case):
     _, _, field, program, _, message, by_title, *_ = residue.judge("https://h.example/news/x-1", title, text)
     assert bool(field or program or message or by_title) is case
 
 
 def test_duplicated_low_information(spark):
-    rows = [(i, f"h{i % 4}", f"https://h{i % 4}.example/topic-{chr(97 + i)}", f"Topic {chr(97 + i)}", "Zugang nur intern moeglich", None) for i in range(12)]
+    rows = [
+        (
+            i,
+            f"h{i % 4}",
+            f"https://h{i % 4}.example/topic-{chr(97 + i)}",
+            f"Topic {chr(97 + i)}",
+            "Zugang nur intern moeglich",
+            None,
+        ) for i in range(12)
+    ]
     rows += [(50, "h1", "https://h1.example/one-off", "One off", "A single short note", None)]
     assert {r.page_id for r in residue.residue_pages(pages(spark, rows)).collect()} == set(range(12))
 
@@ -255,7 +314,10 @@ def test_packing_fills_and_takes_the_best_bin():
 
 
 def test_packing_documents(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (None, "x"), (4, "word " * 3000), (4, "again")], "doc_id long, text string").withColumn("tokens", F.lit("clash"))
+    docs = spark.createDataFrame(
+        [(1, "a b c"), (2, None), (3, ""), (None, "x"), (4, "word " * 3000), (4, "again")],
+        "doc_id long, text string",
+    ).withColumn("tokens", F.lit("clash"))
     kinds = spark.createDataFrame([("small", 512), ("none", 0), (None, 5), ("small", 100)], "container_kind string, capacity int")
     out = packing.pack_documents(docs, kinds).collect()
     assert {r.doc_id for r in out} == {1, 4} and {r.capacity for r in out} == {512} and sum(r.tokens for r in out if r.doc_id == 4) > 3000
@@ -309,8 +371,16 @@ def test_spam(spark):
     nouns = [f"{a}{b}{c}" for a in ("lin", "mor", "tas", "vel", "gra") for b in ("en", "ok", "ira", "um") for c in ("da", "st", "ple", "r")]
     sentence = lambda: f"The {rng.choice(nouns)} of the {rng.choice(nouns)} is in a {rng.choice(nouns)} and was found by the {rng.choice(nouns)} for them."
     good = [(i, " ".join(sentence() for _ in range(rng.randrange(2, 30))), "en") for i in range(300)]
-    bad = [(1000, "cheap loans online, " * 60, "en"), (1001, " ".join(f"http://x{i}.example/buy" for i in range(50)), None), (1002, "buy shoes buy bags " * 50 + sentence(), "EN"), (1003, " ".join(["#BuyShoesNow #CheapBags"] * 40), "en")]
-    df = spark.createDataFrame([*good, *bad, (2000, None, "en"), (2001, " ", None), (None, "x y", "en"), (2002, "12 :: 34", "xx")], "doc_id long, text string, lang string")
+    bad = [
+        (1000, "cheap loans online, " * 60, "en"),
+        (1001, " ".join(f"http://x{i}.example/buy" for i in range(50)), None),
+        (1002, "buy shoes buy bags " * 50 + sentence(), "EN"),
+        (1003, " ".join(["#BuyShoesNow #CheapBags"] * 40), "en"),
+    ]
+    df = spark.createDataFrame(
+        [*good, *bad, (2000, None, "en"), (2001, " ", None), (None, "x y", "en"), (2002, "12 :: 34", "xx")],
+        "doc_id long, text string, lang string",
+    )
     assert {r.doc_id for r in spam.spam_documents(df).collect()} == {1000, 1001, 1002, 1003}
     assert spam.spam_documents(df.limit(0)).collect() == []
 
