@@ -47,30 +47,27 @@ def asset_category(url: Column, text: Column) -> Column:
     return chain.otherwise("webpage")
 
 
-def anchors(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
-    """(key, base, href, text): one row for each anchor with plain text, repeats kept."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(1)).alias("href"),
-        F.regexp_extract_all(F.col(markup), F.lit(_ANCHOR), F.lit(2)).alias("text"),
-    )
-    return pages.where(F.col(markup).isNotNull()).select(key, F.col(url).alias("base"), F.explode(found).alias("_a")).select(
-        key,
-        "base",
-        F.col("_a.href").alias("href"),
-        F.col("_a.text").alias("text"),
-    )
+def anchors(markup: Column) -> Column:
+    """Array of (href, text): the anchors with plain text, repeats kept."""
+    found = [F.regexp_extract_all(markup, F.lit(_ANCHOR), F.lit(i)).alias(name) for i, name in ((1, "href"), (2, "text"))]
+    return F.arrays_zip(*found)
 
 
 def linked_assets(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html_content") -> DataFrame:
-    """(key, asset_url, asset_type, description): linked assets other than web pages."""
-    resolved = anchors(pages, key, url, markup).withColumn("asset_url", urls.resolve(F.col("base"), F.col("href")))
-    typed = resolved.select(
-        key,
-        "asset_url",
-        asset_category(F.col("asset_url"), F.col("text")).alias("asset_type"),
-        F.nullif(F.trim("text"), F.lit("")).alias("description"),
+    """(key, asset_url, asset_type, description): linked assets other than web pages. Links are resolved and typed inside the
+    page's array, so only assets become rows and no expression is repeated in a filter."""
+    resolved = F.transform(anchors(F.col(markup)), lambda a: F.struct(urls.resolve(F.col(url), a["href"]).alias("asset_url"), a["text"].alias("text")))
+    typed = F.transform(
+        resolved,
+        lambda a: F.struct(
+            a["asset_url"].alias("asset_url"),
+            asset_category(a["asset_url"], a["text"]).alias("asset_type"),
+            F.nullif(F.trim(a["text"]), F.lit("")).alias("description"),
+        ),
     )
-    return typed.where(F.col("asset_type") != "webpage")
+    assets = F.filter(typed, lambda a: a["asset_type"] != "webpage")
+    rows = pages.where(F.col(markup).isNotNull()).select(key, F.explode(assets).alias("_a"))
+    return rows.select(key, "_a.asset_url", "_a.asset_type", "_a.description")
 
 
 def asset_breakdown(assets: DataFrame, key: str = "page_id") -> DataFrame:

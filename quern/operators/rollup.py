@@ -14,20 +14,23 @@ def share(n: Column, of: Column) -> Column:
 def site_metrics(pages: DataFrame, by: str = "job_id") -> DataFrame:
     """Per site: pages by content class, link totals, distinct external hosts and subdomains, per-page sums of e-mails and handles.
 
-    Needs columns content_class, internal, external, external_hosts, subdomain, n_emails, n_handles."""
-    base = pages.groupBy(by).agg(
-        F.count(F.lit(1)).alias("total_pages"),
-        *[F.count_if(F.col("content_class") == c).alias(f"{c}_pages") for c in ("html", "pdf", "image", "css", "javascript", "other")],
-        F.sum("internal").alias("internal_links"),
-        F.sum("external").alias("external_links"),
-        F.sum("n_emails").alias("emails_found"),
-        F.sum("n_handles").alias("social_profiles_found"),
+    Needs columns content_class, internal, external, external_hosts, subdomain, n_emails, n_handles. One pass: a page's further
+    external hosts become rows that count for nothing else."""
+    wanted = [by, "content_class", "internal", "external", "subdomain", "n_emails", "n_handles"]
+    rows = pages.select(*wanted, F.posexplode_outer("external_hosts").alias("_at", "_host"))
+    first = F.coalesce("_at", F.lit(0)) == 0
+    once = lambda c: F.sum(F.when(first, F.col(c)))
+    classes = ("html", "pdf", "image", "css", "javascript", "other")
+    return rows.groupBy(by).agg(
+        F.count_if(first).alias("total_pages"),
+        *[F.count_if(first & (F.col("content_class") == c)).alias(f"{c}_pages") for c in classes],
+        once("internal").alias("internal_links"),
+        once("external").alias("external_links"),
+        once("n_emails").alias("emails_found"),
+        once("n_handles").alias("social_profiles_found"),
         F.count_distinct("subdomain").alias("subdomains"),
+        F.count_distinct("_host").alias("unique_external_domains"),
     )
-    hosts = pages.select(by, F.explode("external_hosts").alias("_h")).groupBy(by).agg(
-        F.count_distinct("_h").alias("unique_external_domains")
-    )
-    return base.join(hosts, by, "left").fillna(0, ["unique_external_domains"])
 
 
 def subdomain_metrics(pages: DataFrame, by: list[str]) -> DataFrame:

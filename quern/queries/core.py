@@ -574,16 +574,9 @@ def site_metrics(spark: SparkSession, folder: str) -> DataFrame:
         "n_emails",
         "n_handles",
     )
-    totals = rollup.site_metrics(rows.withColumn("job_id", F.coalesce("job_id", F.lit("\u0000"))))
-    return totals.select(
-        F.nullif(F.col("job_id"), F.lit("\u0000")).alias("job_id"),
-        "total_pages",
-        F.col("internal_links").cast("long").alias("internal_links"),
-        F.col("external_links").cast("long").alias("external_links"),
-        F.col("emails_found").cast("long").alias("emails_found"),
-        "subdomains",
-        "unique_external_domains",
-    )
+    longs = ("internal_links", "external_links", "emails_found")
+    counts = [F.col(c).cast("long").alias(c) for c in longs]
+    return rollup.site_metrics(rows).select("job_id", "total_pages", *counts, "subdomains", "unique_external_domains")
 
 
 @register(
