@@ -986,6 +986,52 @@ def linked_leaf_pages(spark: SparkSession, folder: str) -> DataFrame:
     return linked.subtract(table(spark, folder, "links").select("source_url"))
 
 
+@register(
+    "SELECT n_regionkey, c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) AS n_nations FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "GROUP BY GROUPING SETS ((n_regionkey), (c_mktsegment), ())"
+)
+def grouping_sets_customers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sets = [["n_regionkey"], ["c_mktsegment"], []]
+    counts = [F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("n_nations")]
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], "n_regionkey", "c_mktsegment").agg(*counts)
+
+
+@register(
+    "SELECT job_id, CAST(json_extract_string(config, '$.base_delay') AS DOUBLE) AS base_delay, CAST(json_extract_string(config, '$.max_pages') AS BIGINT) AS max_pages, "
+    "CAST(json_extract_string(config, '$.max_retries') AS INT) AS max_retries FROM jobs WHERE config IS NOT NULL"
+)
+def job_settings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "jobs").where("config IS NOT NULL")
+    parsed = F.from_json("config", "base_delay double, max_pages bigint, max_retries int")
+    return rows.select("job_id", parsed.alias("c")).select("job_id", "c.base_delay", "c.max_pages", "c.max_retries")
+
+
+@register("SELECT source_url, target_url FROM links EXCEPT ALL SELECT DISTINCT source_url, target_url FROM links")
+def repeated_links(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = table(spark, folder, "links").select("source_url", "target_url")
+    return pairs.exceptAll(pairs.distinct())
+
+
+@register(
+    "SELECT o_orderpriority, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS median_price, CAST(ntile_4 AS INT) AS quarter FROM "
+    "(SELECT o_orderpriority, o_totalprice, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS ntile_4 FROM orders) GROUP BY ALL"
+)
+def median_by_quarter(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    quarters = F.ntile(4).over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey"))
+    rows = table(spark, folder, "orders").select("o_orderpriority", "o_totalprice", quarters.alias("quarter"))
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)")
+    return rows.groupBy("o_orderpriority", "quarter").agg(median.alias("median_price"))
+
+
+@register("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def orders_without_returns(spark: SparkSession, folder: str) -> DataFrame:
+    returned = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(returned, "o_orderkey", "left_anti")
+
+
 # ---- Streaming ----
 
 

@@ -38,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
     own = os.environ.get("QUERN_SHARED_DIR")
     if own is None:
         own = os.environ["QUERN_SHARED_DIR"] = tempfile.mkdtemp(prefix="quern-")
