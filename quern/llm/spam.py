@@ -39,7 +39,7 @@ WINDOW = 60
 MIN_DOCS = 50
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"https?://[^\s<>\"')\]]+|<a\s[^>]{0,2000}>|</a>|www\.[^\s<>\"')\]]+|#\w+", re.I)
-_SEGMENT = re.compile(r"[\n|,;•»·<>\[\]()]+|\s[-–—]\s|(?<=[.!?])\s+|\s{2,}")
+_DELIMITERS = (*"|,;•»·<>[]()\r\t\u00a0", " - ", " – ", " — ", ". ", "! ", "? ", "  ")
 _END = re.compile(r"[.!?…](?=\s|$|[\"”»)*<])")
 _PRICE = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|-\d+\s?%")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ])")
@@ -107,7 +107,7 @@ class Measure:
         variety, entropy = _windows(content)
         pairs = np.sort(content[1:] * (len(self.ids) + 1) + content[:-1])
         repeated = np.count_nonzero(pairs[1:] == pairs[:-1]) / max(1, m - 1)
-        segments = [s for s in map(str.strip, _SEGMENT.split(plain.lower())) if len(s) > 2]
+        segments = [s for s in map(str.strip, _segments(plain)) if len(s) > 2]
         ns = len(segments)
         damp = n / (n + 10.0)
         return lang, n, [
@@ -122,6 +122,14 @@ class Measure:
         ]
 
 
+def _segments(text: str) -> list[str]:
+    """The text in lower case, cut at list delimiters, dashes between words, ends of sentences and wide gaps."""
+    low = text.lower()
+    for delimiter in _DELIMITERS:
+        low = low.replace(delimiter, "\n")
+    return low.split("\n")
+
+
 def _windows(content: np.ndarray) -> tuple[float, float]:
     """Mean over windows of distinct words and of normalised entropy; a short text is pulled towards an ordinary one."""
     m = len(content)
