@@ -130,10 +130,10 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple:
             len(x) for x in lines if len(x) >= LONG_LINE and not _reads(x)
         )
     own = [x for x in lines if x.lower() != title.strip().lower()]
-    message = not prose and any(is_message(x) for x in own[:400]) or latin >= 2 and not prose
+    message = not prose and any(is_message(x) for x in own) or latin >= 2 and not prose
     tw, bw = _LETTERS.findall(title.lower()), [w for x in own for w in _LETTERS.findall(x.lower())] if not prose else []
     title_low = bool(tw) and len(tw) <= 4 and not (set(tw) & terms) and not (
-        prose and any(x.lower() == title.strip().lower() for x in lines[:6])
+        prose and any(x.lower() == title.strip().lower() for x in lines)
     )
     body_low = bool(bw) and len(bw) <= 30 and not prose and not (set(bw) & terms - {"a", "the", "and"})
     return host, slug, field, program, prose, message, title_is_message(title), _key(
