@@ -30,6 +30,8 @@ KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 TRAINING_SENTENCES = 6000
 PRECISION = 0.985
+#: Texts whose candidates are scored together.
+BATCH_TEXTS = 200
 
 # Common given names.
 GIVEN_NAMES = frozenset(
@@ -397,8 +399,8 @@ def find_personal(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
+            for at in range(0, len(pdf), BATCH_TEXTS):
+                part = pdf.iloc[at : at + BATCH_TEXTS]
                 where, lines = [], []
                 for i, t in zip(part["page_id"], part["text"]):
                     for no, line in enumerate(t.split("\n"), 1):
@@ -415,13 +417,21 @@ def find_personal(
     return picked.mapInPandas(run, "page_id long, line_no long, kind string").distinct()
 
 
+def redact_texts(texts: list[str | None], models: dict[str, BoostedTrees]) -> list[tuple[str | None, int]]:
+    """Each text with typed placeholders, and their number. Candidates of all texts are scored together."""
+    split = [t.split("\n") if t is not None else [] for t in texts]
+    where = [(i, no) for i, lines in enumerate(split) for no in range(len(lines))]
+    found = select([(0, split[i][no]) for i, no in where], models)
+    counts = [0] * len(texts)
+    for at, start, end, kind, _ in sorted(found, key=lambda f: (f[0], -f[1])):
+        i, no = where[at]
+        split[i][no] = split[i][no][:start] + PLACEHOLDER[kind] + split[i][no][end:]
+        counts[i] += 1
+    return [("\n".join(lines) if t is not None else None, n) for t, lines, n in zip(texts, split, counts)]
+
+
 def redact_text(text: str, models: dict[str, BoostedTrees]) -> tuple[str, int]:
-    """The text with typed placeholders, and their number."""
-    lines = text.split("\n")
-    found = select(list(enumerate(lines)), models)
-    for i, start, end, kind, _ in sorted(found, key=lambda f: (f[0], -f[1])):
-        lines[i] = lines[i][:start] + PLACEHOLDER[kind] + lines[i][end:]
-    return "\n".join(lines), len(found)
+    return redact_texts([text], models)[0]
 
 
 def redact(pages: DataFrame, text: str = "clean_content", sentences: int = TRAINING_SENTENCES, precision: float = PRECISION) -> DataFrame:
@@ -430,7 +440,9 @@ def redact(pages: DataFrame, text: str = "clean_content", sentences: int = TRAIN
 
     @F.pandas_udf("text string, n int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, 0) if t is None else redact_text(t, models) for t in texts], columns=["text", "n"])
+        held = [t if isinstance(t, str) else None for t in texts]
+        done = [r for at in range(0, len(held), BATCH_TEXTS) for r in redact_texts(held[at : at + BATCH_TEXTS], models)]
+        return pd.DataFrame(done, columns=["text", "n"])
 
     return pages.withColumn("_quern_redacted", run(F.col(text))).withColumn(text, F.col("_quern_redacted.text")).withColumn(
         "n_redacted",
