@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,24 @@ def build_session(app: str = "quern", cores: str = "*", **conf: str) -> SparkSes
     builder = SparkSession.builder.appName(app)
     if "spark.master" not in settings:
         builder = builder.master(f"local[{cores}]")
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once a context, so that it need not be installed or on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quern-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/quern.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(f"{folder}/quern.zip")
+    context._quern_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
