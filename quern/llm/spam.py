@@ -52,6 +52,11 @@ _VLOGV = np.array([0.0] + [v * math.log(v) for v in range(1, WINDOW + 1)])
 PRIOR = 15.0
 
 
+def _tells(word: str) -> bool:
+    """Whether a word counts as content: short words and small numbers do not, codes do."""
+    return len(word) > 2 if word.isdigit() else len(word) > 3 or not word.isalpha()
+
+
 class Measure:
     """Features of texts. Words are numbered as they come, so that counting is done on integers; the numbering is dropped at a fixed size."""
 
@@ -76,7 +81,7 @@ class Measure:
                     i = ids[w] = len(ids)
                     if i >= len(self.marks):
                         self.marks = np.concatenate([self.marks, np.zeros(len(self.marks), np.uint8)])
-                    self.marks[i] = _FUNCTION.get(w, 0) or (0 if len(w) > 3 or not w.isalpha() else 128)
+                    self.marks[i] = _FUNCTION.get(w, 0) or (0 if _tells(w) else 128)
             return np.fromiter(map(ids.__getitem__, ws), dtype=np.int64, count=len(ws))
 
     def __call__(self, text: str | None) -> tuple[str, int, list[float]] | None:
@@ -177,8 +182,8 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 #: Least scale of each feature, and how far out a document must lie: in all, and in the spam-directed part.
 FLOOR = np.array([0.03, 0.08, 0.03, 0.015, 0.03, 0.05, 0.05, 0.03])
-DISTANCE = 45.0
-DIRECTED = 46.0
+DISTANCE = 65.0
+DIRECTED = 28.0
 #: Features whose deviation makes an outlier spam-directed; few function words or sentences alone (tables, directories) do not.
 _EVIDENCE = slice(2, 8)
 
