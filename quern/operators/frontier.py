@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,9 @@ from pyspark.sql.window import Window
 from quern import vocab
 from quern.session import cut
 
+#: Layers found before the known addresses are written as one table again, so that plans of deep walks stay short.
+FOLD = 16
+
 
 def append_distinct(existing: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``, added to it; repeats inside ``new`` are kept."""
@@ -55,8 +60,8 @@ def queue_counts(queues: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def breadth_first(links: DataFrame, seeds: DataFrame, source: str, target: str, most_depth: int) -> DataFrame:
-    """(url, depth): the least number of links from a seed to each reachable address, up to ``most_depth``.
+def breadth_first(links: DataFrame, seeds: DataFrame, source: str, target: str, most_depth: int | None = None) -> DataFrame:
+    """(url, depth): the least number of links from a seed to each reachable address; of all depths, or up to ``most_depth``.
 
     Each round joins only the newest layer and drops what is known; layers are cut, so lineage does not grow. A hot target is
     folded to one row before it meets the known table."""
@@ -68,10 +73,12 @@ def breadth_first(links: DataFrame, seeds: DataFrame, source: str, target: str,
         seeds.select(F.col(seeds.columns[0]).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)),
         "layer",
     )
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         reached = edges.join(layer.select(F.col("url").alias("s")), "s").select("url").distinct()
         layer = cut(reached.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "layer")
         if layer.limit(1).count() == 0:
             break
         known = known.unionByName(layer)
+        if depth % FOLD == 0:
+            known = cut(known, "known")
     return known

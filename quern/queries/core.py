@@ -853,6 +853,19 @@ def bfs_depth(spark: SparkSession, folder: str) -> DataFrame:
     return frontier.breadth_first(table(spark, folder, "links"), seeds, "source_url", "target_url", 3)
 
 
+@register(
+    """WITH RECURSIVE e AS (SELECT DISTINCT source_url AS s, target_url AS t FROM links WHERE source_url IS NOT NULL AND target_url IS NOT NULL),
+seed AS (SELECT min(url) AS url FROM pages WHERE url IS NOT NULL GROUP BY job_id),
+w(url, depth) USING KEY (url) AS (SELECT url, min(0) FROM seed WHERE url IS NOT NULL GROUP BY url UNION
+  SELECT e.t, min(w.depth + 1) FROM w JOIN e ON e.s = w.url WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.url = e.t) GROUP BY e.t)
+SELECT url, depth FROM w"""
+)
+def bfs_depth_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``bfs_depth`` without its bound of three links: every reachable address."""
+    seeds = table(spark, folder, "pages").where("url IS NOT NULL").groupBy("job_id").agg(F.min("url").alias("url")).select("url")
+    return frontier.breadth_first(table(spark, folder, "links"), seeds, "source_url", "target_url")
+
+
 # ---- Limiter, over the pages as a fetch log ----
 
 _HOST = "lower(regexp_replace(domain, ':[0-9]*$', ''))"

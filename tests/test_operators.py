@@ -86,6 +86,13 @@ def test_frontier(spark):
     assert got == {("s", 0), ("t", 1), ("u", 2)}
 
 
+def test_expansion_has_no_depth_bound(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(frontier.FOLD + 4)]
+    links = spark.createDataFrame([*chain, ("n9", "n2"), (chain[-1][1], "n0")], "s string, t string")
+    got = {r.url: r.depth for r in frontier.breadth_first(links, spark.createDataFrame([("n0",)], "url string"), "s", "t").collect()}
+    assert got == {f"n{i}": i for i in range(frontier.FOLD + 5)}
+
+
 def _replay(spark, codes, seconds=None, chunk=limiter.CHUNK, gap=1):
     start = datetime(2024, 1, 1)
     rows = [("h", start + timedelta(seconds=gap * i), i, c, (seconds or [0.0] * len(codes))[i]) for i, c in enumerate(codes)]
