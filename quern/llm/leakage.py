@@ -2,8 +2,9 @@
 
 Method: spaced-seed hashing. A seed is a fixed mask over a window of words; positions at 0 are ignored, so a window hashes
 equal in item and document although words at those positions differ. Window hashes of items and documents are joined, and
-around each hit the aligned words are compared, with a number of substitutions allowed. A window of equal words hits under
-every mask, so with no substitutions allowed the result is exact.
+around each hit the aligned words are compared, with a number of substitutions allowed. The masks are chosen so that a passage
+hits wherever its differing words stand: every placement is tried at start-up. So the result is exact with and without
+substitutions; given masks that miss a placement are refused.
 
 Cost: documents stay where they are. Items are few by nature, but that is measured: up to ``MOST_WINDOWS`` item windows are
 broadcast as sorted hashes with a bit table in front; beyond that, the documents' window hashes are joined by shuffle.
@@ -16,6 +17,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,9 @@ from pyspark.sql import types as T
 
 #: Fixed masks of 12 words; each keeps 8 or 9 of them.
 MASKS = ("111010010111", "110110110111", "101101101111")
+#: Masks taken for substitutions, and placements of differing words tried; beyond that one mask of neighbouring words is used.
+MOST_MASKS = 4
+MOST_PLACEMENTS = 5_000
 MOST_WINDOWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +64,57 @@ class WordIds:
             return np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
+def _placements(min_run: int, substitutions: int) -> list[tuple[int, frozenset[int]]]:
+    """(words, places that differ) of the shortest passages; a longer one holds one of these or one with fewer differences."""
+    return [(min_run + s, frozenset(x)) for s in range(substitutions + 1) for x in combinations(range(min_run + s), s)]
+
+
+def _hits(mask: str, words: int, differ: frozenset[int]) -> bool:
+    kept = [i for i, keep in enumerate(mask) if keep == "1"]
+    return any(not any(at + i in differ for i in kept) for at in range(words - len(mask) + 1))
+
+
+def _neighbours(min_run: int, substitutions: int) -> str:
+    """So many equal words stand together in every passage: its equal words lie in at most ``substitutions`` + 1 stretches."""
+    return "1" * -(-min_run // (substitutions + 1))
+
+
+def covers(masks: tuple[str, ...], min_run: int, substitutions: int) -> bool:
+    """Whether some mask hits each passage of ``min_run`` equal words with up to ``substitutions`` others, wherever these stand."""
+    least = len(_neighbours(min_run, substitutions))
+    if any(len(m) <= least for m in masks):
+        return True
+    if sum(comb(min_run + s, s) for s in range(substitutions + 1)) > MOST_PLACEMENTS:
+        return False
+    return all(any(_hits(m, n, differ) for m in masks) for n, differ in _placements(min_run, substitutions))
+
+
+@cache
+def masks_for(min_run: int, substitutions: int) -> tuple[str, ...]:
+    """Masks that miss no passage: ``MASKS`` where they do, else the heaviest few that greedy choice finds."""
+    if covers(MASKS, min_run, substitutions):
+        return MASKS
+    plain = _neighbours(min_run, substitutions)
+    if sum(comb(min_run + s, s) for s in range(substitutions + 1)) > MOST_PLACEMENTS:
+        return (plain,)
+    sought = _placements(min_run, substitutions)
+    span = min(min_run, len(MASKS[0]))
+    for weight in range(span - 1, max(len(plain), 1), -1):
+        left, chosen = set(range(len(sought))), []
+        reach = {}
+        for size in range(weight, span + 1):
+            for inner in combinations(range(1, size - 1), weight - 2):
+                mask = "".join("1" if i in (0, *inner, size - 1) else "0" for i in range(size))
+                reach[mask] = {i for i, x in enumerate(sought) if _hits(mask, *x)}
+        while left and len(chosen) < MOST_MASKS:
+            best = max(reach, key=lambda m: len(reach[m] & left))
+            chosen.append(best)
+            left -= reach[best]
+        if not left:
+            return tuple(chosen)
+    return (plain,)
+
+
 def window_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the kept words of each window, by start."""
     n = len(ids) - len(mask) + 1
@@ -137,13 +195,14 @@ def leaked_passages(
     item_text: str = "text",
     min_run: int = 12,
     substitutions: int = 0,
-    masks: tuple[str, ...] = MASKS,
+    masks: tuple[str, ...] | None = None,
     most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, run, substitutions): one row for each document and item that share a passage of at
     least ``min_run`` equal words, apart from at most ``substitutions`` differing ones within it; the longest such passage."""
-    if min(map(len, masks)) > min_run:
-        raise ValueError("a mask is longer than the shortest passage sought")
+    masks = masks or masks_for(min_run, substitutions)
+    if not covers(masks, min_run, substitutions):
+        raise ValueError("the masks miss some passages of that length with so many substitutions")
     spark = docs.sparkSession
     held = items.select(
         F.col(item_id).cast("long").alias("item_id"),

@@ -1,5 +1,6 @@
 """The training-text operators against brute force and on odd inputs: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -363,6 +364,28 @@ def test_substitutions_and_empty(spark):
     assert leakage.leaked_passages(df, it.limit(0)).collect() == [] and leakage.leaked_passages(df.limit(0), it).collect() == []
 
 
+def test_every_placement_of_substitutions(spark):
+    ws = [f"w{i}" for i in range(40)]
+    docs = []
+    for n in range(12, 20):
+        for k in range(3):
+            for places in itertools.combinations(range(1, n - 1), k):
+                docs.append((n, k, [f"x{i}" if i in places else w for i, w in enumerate(ws[5 : 5 + n])]))
+    df = spark.createDataFrame([(i, "before " + " ".join(d) + " after") for i, (_, _, d) in enumerate(docs)], "doc_id long, text string")
+    it = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+    for allowed in (1, 2):
+        want = {i for i, (n, k, d) in enumerate(docs) if k <= allowed and n - k >= 12 or k > allowed and any(
+            sum(x[0] != "x" for x in d[a:b]) >= 12 and sum(x[0] == "x" for x in d[a:b]) <= allowed for a in range(n) for b in range(a, n + 1)
+        )}
+        for most in (10**6, 0):
+            got = {r.doc_id for r in leakage.leaked_passages(df, it, substitutions=allowed, most_windows=most).collect()}
+            assert got == want
+    for run, allowed in ((12, 0), (12, 3), (8, 2), (30, 5), (3, 4), (1, 0)):
+        assert leakage.covers(leakage.masks_for(run, allowed), run, allowed)
+    with pytest.raises(ValueError, match="miss"):
+        leakage.leaked_passages(df, it, substitutions=2, masks=leakage.MASKS)
+
+
 # ---- 10 ----
 
 
