@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quern import vocab
 from quern.functions import html, urls
 from quern.operators import filters
+from quern.operators.frontier import FOLD
 from quern.schema import JOB
 from quern.session import cut
 from quern.sources.web import Fetcher, fetch_pages
@@ -130,10 +132,9 @@ def crawl(
     make: Callable[[], Fetcher],
     start: list[str],
     settings: Settings | None = None,
-    most_rounds: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pages, fetches) of a crawl from ``start``: rounds of fetch, parse, link filter and dedup until nothing new is found, the page
-    limit is reached or the rounds end. Each round is written to the shared folder, so a lost executor costs one round at most."""
+    """(pages, fetches) of a crawl from ``start``: rounds of fetch, parse, link filter and dedup until nothing new is found or the
+    page limit is reached, however deep the site. Each round is written to the shared folder, so a lost executor costs one round at most."""
     limit = (settings or settings_for(domain)).max_pages
     site = urls.bare_domain(F.lit(domain))
     frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(start)], "url string").withColumn("domain", site)
@@ -144,10 +145,14 @@ def crawl(
         [],
     )
     seen = layer = cut(frontier.select("url"), "crawl")
-    log = None
-    for _ in range(most_rounds):
+    log: list[DataFrame] = []
+    recent: list[DataFrame] = []
+    while True:
         fetched = cut(fetch_pages(layer, make), "fetched")
-        log = fetched if log is None else log.unionByName(fetched)
+        recent.append(fetched)
+        if len(recent) == FOLD:
+            log.append(cut(reduce(DataFrame.unionByName, recent), "log"))
+            seen, recent = cut(seen, "seen"), []
         ok = fetched.where(
             (F.col("status_code") == 200) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html"))
         )
@@ -162,4 +167,5 @@ def crawl(
         if layer.limit(1).count() == 0:
             break
         seen = seen.unionByName(layer)
-    return html.with_extraction(log, "body", ""), log
+    fetches = reduce(DataFrame.unionByName, log + recent)
+    return html.with_extraction(fetches, "body", ""), fetches

@@ -200,6 +200,13 @@ def test_crawl_over_a_table(spark):
     assert [r.status_code for r in bad.collect()] == [404]
 
 
+def test_crawl_of_a_deep_site(spark):
+    kind = {"Content-Type": "text/html"}
+    site = {f"https://u.edu/{i}": (f"https://u.edu/{i}", 200, kind, f'<a href="/{i + 1}">next</a>' if i < 21 else "end") for i in range(22)}
+    _, log = jobs.crawl(spark, "u.edu", lambda: web.table_fetcher(site), ["https://u.edu/0"])
+    assert {r.url for r in log.select("url").collect()} == set(site)
+
+
 def test_jobs(spark):
     assert jobs.settings_for(
         "x.harvard.edu"
