@@ -5,6 +5,7 @@ Defined results: null or unparsable markup gives nulls and no links; unclosed el
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -124,7 +125,22 @@ def clean_text_of(root: Node) -> str | None:
     return text if len(text) > LEAST_CHARS else None
 
 
-def _inline(node: Node, dropped: frozenset[str]) -> str:
+def _walked(step: Generator):
+    """What a recursive walk returns that yields each of its inner walks; its stack is a list, so nesting has no limit."""
+    stack, value = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
+def _inline(node: Node, dropped: frozenset[str]) -> Generator:
     out = []
     for c in node.children:
         if isinstance(c, str):
@@ -136,20 +152,21 @@ def _inline(node: Node, dropped: frozenset[str]) -> str:
         elif c.tag == "img":
             out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
         elif c.tag == "a" and c.attrs.get("href"):
-            out.append(f"[{_inline(c, dropped).strip()}]({c.attrs['href']})")
+            inner = yield _inline(c, dropped)
+            out.append(f"[{inner.strip()}]({c.attrs['href']})")
         else:
-            inner = _inline(c, dropped)
+            inner = yield _inline(c, dropped)
             mark = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`"}.get(c.tag, "")
             out.append(f"{mark}{inner.strip()}{mark}" if mark and inner.strip() else inner)
     return "".join(out)
 
 
-def _blocks(node: Node, dropped: frozenset[str], depth: int, out: list[str]) -> None:
+def _blocks(node: Node, dropped: frozenset[str], depth: int, out: list[str]) -> Generator:
     run: list = []
 
-    def flush() -> None:
+    def flush() -> Generator:
         if run:
-            text = _inline(_wrap(run), dropped).strip()
+            text = (yield _inline(_wrap(run), dropped)).strip()
             run.clear()
             if text:
                 out.append(text)
@@ -158,11 +175,11 @@ def _blocks(node: Node, dropped: frozenset[str], depth: int, out: list[str]) ->
         if isinstance(c, str) or c.tag not in _BLOCKS:
             run.append(c)
             continue
-        flush()
+        yield from flush()
         if c.tag in dropped:
             continue
         if c.tag[0] == "h" and c.tag[1:].isdigit():
-            text = _inline(c, dropped).strip()
+            text = (yield _inline(c, dropped)).strip()
             if text:
                 out.append("#" * int(c.tag[1]) + " " + text)
         elif c.tag == "hr":
@@ -171,18 +188,18 @@ def _blocks(node: Node, dropped: frozenset[str], depth: int, out: list[str]) ->
             items = []
             for no, li in enumerate((x for x in c.children if isinstance(x, Node) and x.tag == "li"), 1):
                 inner: list[str] = []
-                _blocks(li, dropped, depth + 1, inner)
+                yield _blocks(li, dropped, depth + 1, inner)
                 if inner:
                     items.append("  " * (depth + 1) + ("* " if c.tag == "ul" else f"{no}. ") + "\n".join(inner))
             if items:
                 out.append("\n".join(items))
         elif c.tag == "blockquote":
             inner = []
-            _blocks(c, dropped, depth, inner)
+            yield _blocks(c, dropped, depth, inner)
             out.extend("> " + x for x in inner)
         else:
-            _blocks(c, dropped, depth, out)
-    flush()
+            yield _blocks(c, dropped, depth, out)
+    yield from flush()
 
 
 def _wrap(children: list) -> Node:
@@ -194,7 +211,7 @@ def _wrap(children: list) -> Node:
 def markdown_of(root: Node) -> str | None:
     dropped = frozenset(vocab.DROPPED_ELEMENTS[:10])
     out: list[str] = []
-    _blocks(_wrap([_container(root, dropped, False)]), dropped, 0, out)
+    _walked(_blocks(_wrap([_container(root, dropped, False)]), dropped, 0, out))
     text = re.sub(r"\n\s*\n\s*\n+", "\n\n", "\n\n".join(out)).strip()
     return text if len(text) > LEAST_CHARS else None
 

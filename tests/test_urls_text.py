@@ -151,3 +151,9 @@ def test_link_counts_and_assets(spark):
     assert one(spark, links.asset_category(F.col("u"), F.lit("x")), u="https://u.edu/a") == "webpage"
     assert one(spark, links.is_challenge(F.lit("https://u.edu"), F.col("h"), F.lit(200), F.lit(None)), h="please verify: security check")
     assert one(spark, links.is_challenge(F.lit("https://u.edu"), F.col("h"), F.lit(403), F.lit("Cloudflare")), h=None)
+
+
+def test_deep_nesting_keeps_the_page(spark):
+    for tag in ("div", "span"):
+        p = one(spark, html.parsed(F.col("h")), h=f"<title>T</title>{f'<{tag}>' * 3000}{'words ' * 20}<a href='/x'>x</a>")
+        assert p.title == "T" and p.links == ["/x"] and p.clean_text.endswith("words x") and p.markdown.endswith("words [x](/x)")
