@@ -1,9 +1,12 @@
 """Problem 10: keyword-stuffed pages, link lists and tag listings.
 
 Method: every document gets a vector of density, entropy, repetition and function-word features. Per language, a robust
-centre (medians) and scatter (covariance of the inner part of the data) are computed over all documents; the robust
-Mahalanobis distance says how far a document lies from informative text, and it is flagged where it lies far out in a
-spam-directed direction: few function words or sentences, many repetitions, links or prices.
+centre and scatter (mean and covariance of the inner part of the data) are computed over all documents; the robust
+Mahalanobis distance says how far a document lies from informative text. Its spam-directed part is the distance, in the same
+metric, to the nearest point that is not spam-directed, that is, with no more repetition, links or prices and no less variety
+than the centre, and with any share of function words and sentences (tables and directories have few). Features that go
+together in ordinary text, such as variety and entropy, so count once. A document is flagged where both distances are beyond
+the chi-square quantile of ``LEVEL`` for their number of features.
 
 Cost: one pass over the texts in Arrow batches makes 8 numbers a document, which are cut to disk; everything after works on
 those. Statistics are approximate percentiles and sums per language (a handful of groups, folded by partial aggregation).
@@ -180,12 +183,33 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     ).mapInPandas(run, "doc_id long, lang string, n_words long, f array<double>")
 
 
-#: Least scale of each feature, and how far out a document must lie: in all, and in the spam-directed part.
+#: Least scale of each feature.
 FLOOR = np.array([0.03, 0.08, 0.03, 0.015, 0.03, 0.05, 0.05, 0.03])
-DISTANCE = 65.0
-DIRECTED = 28.0
 #: Features whose deviation makes an outlier spam-directed; few function words or sentences alone (tables, directories) do not.
 _EVIDENCE = slice(2, 8)
+#: Share of ordinary documents that a distance may take for outliers.
+LEVEL = 1e-4
+
+
+def chi_square_quantile(level: float, features: int) -> float:
+    """The value that a chi-square of an even number of degrees exceeds with probability ``level``."""
+    lo, hi = 0.0, 1e4
+    for _ in range(200):
+        x = (lo + hi) / 2
+        beyond = math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(features // 2))
+        lo, hi = (x, hi) if beyond > level else (lo, x)
+    return lo
+
+
+def directed_distance(x: np.ndarray, covariance: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Squared Mahalanobis distance of each row of ``x`` to the nearest point without a positive coordinate."""
+    metric, near = np.linalg.inv(covariance), np.minimum(x, 0.0)
+    for _ in range(rounds):
+        for j in range(x.shape[1]):
+            pull = (near - x) @ metric[:, j] - metric[j, j] * (near[:, j] - x[:, j])
+            near[:, j] = np.minimum(0.0, x[:, j] - pull / metric[j, j])
+    gap = x - near
+    return np.einsum("ij,jk,ik->i", gap, metric, gap)
 
 
 def robust_statistics(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -219,27 +243,37 @@ def robust_statistics(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarra
     return {lang: v if rough[lang][0] >= MIN_DOCS else out["und"] for lang, v in out.items()}
 
 
-def spam_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_words, distance, directed): squared robust Mahalanobis distance, and the squared standardised deviation in spam-directed features."""
+def distances(f: np.ndarray, centre: np.ndarray, covariance: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, directed) of feature rows; ``directed`` is at most ``distance``, and 0 where that is not beyond ``least``."""
+    dv = (f - centre) * DIRECTION
+    whole = covariance * np.outer(DIRECTION, DIRECTION)
+    distance = np.einsum("ij,jk,ik->i", dv, np.linalg.inv(whole), dv)
+    directed = np.zeros(len(f))
+    far = distance > least
+    directed[far] = directed_distance(dv[far][:, _EVIDENCE], whole[_EVIDENCE, _EVIDENCE])
+    return distance, directed
+
+
+def spam_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", level: float = LEVEL) -> DataFrame:
+    """(doc_id, lang, n_words, distance, directed, spam): the squared robust Mahalanobis distance, its spam-directed part (0 for
+    documents that are no outliers), and whether both are beyond the chi-square quantiles of ``level``."""
     table = cut(measured(docs, doc_id, text, lang), "p10")
     statistics = robust_statistics(table)  # a few numbers for each language
+    far = chi_square_quantile(level, len(FEATURES))
+    spammy = chi_square_quantile(level, _EVIDENCE.stop - _EVIDENCE.start)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {g: (mu, np.linalg.inv(c), np.sqrt(np.diag(c))) for g, (mu, c) in statistics.items()}
         for pdf in batches:
             distance, directed = np.zeros(len(pdf)), np.zeros(len(pdf))
             for g, rows in pdf.groupby("lang").indices.items():
-                mu, inverse, sd = ready.get(g) or ready["und"]
-                dv = np.stack(pdf["f"].iloc[rows].to_list()) - mu
-                distance[rows] = np.einsum("ij,jk,ik->i", dv, inverse, dv)
-                directed[rows] = (np.maximum(0.0, dv / sd * DIRECTION)[:, _EVIDENCE] ** 2).sum(axis=1)
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_words": pdf["n_words"], "distance": distance, "directed": directed}
-            )
+                own = statistics[g] if g in statistics else statistics["und"]
+                distance[rows], directed[rows] = distances(np.stack(pdf["f"].iloc[rows].to_list()), *own, far)
+            out = pdf[["doc_id", "lang", "n_words"]].assign(distance=distance, directed=directed)
+            yield out.assign(spam=(out["distance"] > far) & (out["directed"] > spammy))
 
-    return table.mapInPandas(score, "doc_id long, lang string, n_words long, distance double, directed double")
+    return table.mapInPandas(score, "doc_id long, lang string, n_words long, distance double, directed double, spam boolean")
 
 
-def spam_documents(docs: DataFrame, distance: float = DISTANCE, directed: float = DIRECTED, **columns: str) -> DataFrame:
+def spam_documents(docs: DataFrame, level: float = LEVEL, **columns: str) -> DataFrame:
     """The rows of ``spam_scores`` that are flagged."""
-    return spam_scores(docs, **columns).where((F.col("distance") > distance) & (F.col("directed") > directed))
+    return spam_scores(docs, level=level, **columns).where("spam")

@@ -425,6 +425,33 @@ def test_spam(spark):
     assert spam.spam_documents(df.limit(0)).collect() == []
 
 
+def test_covariance_decides():
+    """Two features that fall together in ordinary text count once: without the covariance between them the row would be flagged."""
+    p = len(spam.FEATURES)
+    covariance = np.diag(spam.FLOOR**2)
+    covariance[2, 3] = covariance[3, 2] = 0.9 * spam.FLOOR[2] * spam.FLOOR[3]
+    row = np.zeros((1, p))
+    row[0, 2:4] = -4.5 * spam.FLOOR[2:4]
+    row[0, 0] = -6 * spam.FLOOR[0]
+    far, spammy = spam.chi_square_quantile(spam.LEVEL, p), spam.chi_square_quantile(spam.LEVEL, p - 2)
+    assert abs(spam.chi_square_quantile(0.05, 6) - 12.592) < 0.001
+    with_it, without = (spam.distances(row, np.zeros(p), c, far) for c in (covariance, np.diag(np.diag(covariance))))
+    assert without[0][0] > far and without[1][0] > spammy and with_it[0][0] > far and with_it[1][0] < spammy
+    away = -row * 3  # more variety than the centre is far out too, but not spam-directed
+    assert spam.distances(away, np.zeros(p), covariance, far)[1][0] < spammy
+
+
+def test_directed_distance_is_the_least():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(3, 3))
+    c, x = a @ a.T + np.eye(3), rng.normal(size=(20, 3)) * 3
+    grid = -np.array(list(itertools.product(np.linspace(0, 6, 31), repeat=3)))
+    gaps = x[:, None, :] - grid[None, :, :]
+    brute = np.einsum("nij,jk,nik->ni", gaps, np.linalg.inv(c), gaps).min(axis=1)
+    got = spam.directed_distance(x, c)
+    assert (got <= brute + 1e-9).all() and (got >= brute - 0.2).all()
+
+
 # ---- all ----
 
 
