@@ -16,6 +16,34 @@ f AS (
 )
 """
 
+_SITE_BLOCKS = (
+    _SITE_LINES.replace("WITH p AS", "WITH RECURSIVE p AS")
+    + """, o AS (SELECT page_id, site, line_no, k, row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS ord FROM l WHERE k <> ''),
+m AS (SELECT o.* FROM o JOIN f ON o.site = f.site AND o.k = f.k),
+e AS (
+  SELECT x.site, x.k AS a, y.k AS b FROM m x JOIN m y ON x.page_id = y.page_id AND y.ord = x.ord + 1 JOIN n ON n.site = x.site
+  GROUP BY x.site, x.k, y.k, n.pages HAVING count(DISTINCT x.page_id) >= 6 AND 20 * count(DISTINCT x.page_id) >= n.pages
+),
+g AS (SELECT site, a, b FROM e UNION SELECT site, b, a FROM e),
+r AS (SELECT site, k AS a, k AS b FROM f UNION SELECT r.site, r.a, g.b FROM r JOIN g ON r.site = g.site AND r.b = g.a),
+b AS (SELECT site, a AS k, min(b) AS block FROM r GROUP BY site, a),
+s AS (
+  SELECT page_id, line_no, ord, block, lag(block) OVER w AS before, lag(ord) OVER w AS last FROM m JOIN b ON m.site = b.site AND m.k = b.k
+  WINDOW w AS (PARTITION BY page_id ORDER BY ord)
+),
+i AS (SELECT page_id, line_no, sum(CASE WHEN before = block AND last = ord - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY ord) AS run FROM s),
+z AS (SELECT page_id, run, min(line_no) AS first, max(line_no) AS last FROM i GROUP BY page_id, run),
+t AS (SELECT page_id, count(*) AS blocks, sum(last - first + 1) AS gone FROM z GROUP BY page_id),
+d AS (SELECT DISTINCT z.page_id, l.line_no FROM z JOIN l ON l.page_id = z.page_id AND l.line_no BETWEEN z.first AND z.last),
+c AS (
+  SELECT page_id, array_to_string(list(line ORDER BY line_no), chr(10)) AS text FROM (
+    SELECT page_id, CAST(u AS BIGINT) AS line_no, ls[u] AS line
+    FROM (SELECT page_id, string_split(clean_content, chr(10)) AS ls FROM pages WHERE clean_content IS NOT NULL), unnest(range(1, len(ls) + 1)) AS q(u)
+  ) a ANTI JOIN d USING (page_id, line_no) GROUP BY page_id
+)
+"""
+)
+
 _CONTACT_FORMS = r"""
 WITH c AS (
   SELECT contact_id, contact_type, lower(value) AS v, regexp_replace(lower(source_url), '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g') AS u
@@ -55,6 +83,8 @@ c AS (SELECT x.page_id AS a, y.page_id AS b, count(*) AS shared FROM s x JOIN s
 
 SQL: dict[str, str] = {
     "p1_found": _SITE_LINES + "SELECT page_id, line_no FROM l JOIN f ON l.site = f.site AND l.k = f.k",
+    "p1_clean": _SITE_BLOCKS + """SELECT p.page_id, coalesce(length(c.text), 0) AS n_chars, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed_lines,
+  coalesce(t.blocks, 0) AS n_removed_blocks FROM pages p LEFT JOIN c USING (page_id) LEFT JOIN t USING (page_id) WHERE p.clean_content IS NOT NULL""",
     "p3_found": _CONTACT_FORMS + "SELECT keep_id, contact_id AS copy_id FROM k JOIN g USING (form) WHERE contact_id <> keep_id",
     "p3_collapsed": _CONTACT_FORMS + "SELECT c.contact_id, c.contact_type, CAST(coalesce(g.n, 1) AS BIGINT) AS n_copies FROM contacts c LEFT JOIN k ON c.contact_id = k.contact_id LEFT JOIN g ON k.form = g.form WHERE g.keep_id IS NULL OR g.keep_id = c.contact_id",
     "p6_found": _NEAR + "SELECT a AS page_id_a, b AS page_id_b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE 10 * shared >= 7 * (x.n + y.n - shared)",

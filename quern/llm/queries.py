@@ -21,6 +21,7 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
         "page_id",
         F.length("clean_content").cast("long").alias("n_chars"),
         F.col("n_removed_lines").cast("long").alias("n_removed_lines"),
+        F.col("n_removed_blocks").cast("long").alias("n_removed_blocks"),
     )
 
 

@@ -75,7 +75,17 @@ def test_repeated_lines_removed_in_blocks(spark):
     clean = repeated_lines.remove_repeated_lines(df).collect()
     assert {r.clean_content for r in clean} == {
         f"own {chr(97 + i) * 3}" for i in range(8)
-    } and {r.n_removed_lines for r in clean} == {3} and clean[0].key == "k"
+    } and {r.n_removed_lines for r in clean} == {3} and clean[0].key == "k" and {r.n_removed_blocks for r in clean} == {2}
+
+
+def test_blocks_decide_what_goes(spark, monkeypatch):
+    """A rule without letters goes with the block it stands in; without the graph's edges it would stay."""
+    rows = [(i, "h", None, None, f"Menu\n----\nHome\n====\nown {chr(97 + i) * 3}", None) for i in range(8)]
+    clean = lambda: {r.clean_content for r in repeated_lines.remove_repeated_lines(pages(spark, rows)).collect()}
+    assert clean() == {f"====\nown {chr(97 + i) * 3}" for i in range(8)}
+    plain = repeated_lines.repeated_blocks
+    monkeypatch.setattr(repeated_lines, "repeated_blocks", lambda *a, **k: (lambda b, o: (b.withColumn("block", F.col("key")), o))(*plain(*a, **k)))
+    assert clean() == {f"----\n====\nown {chr(97 + i) * 3}" for i in range(8)}
 
 
 # ---- 3 ----
