@@ -1,13 +1,15 @@
 """Problem 7: unfilled template fields, filler, error messages and demands for scripts in place of content.
 
-Method: each page's address slug, title and body terms are compared, and placeholder detectors look for unfilled fields,
-program messages, filler and messages. A body without prose, or a short title, that shares no term with its slug is a
-low-information response; where the same one (digits aside) answers many different slugs on several hosts, that combined
-evidence excludes it too. Prose about errors, templates or scripts is kept: a message counts only where prose is missing,
-and a field not in a sentence that speaks of templates.
+Method: placeholder detectors look for unfilled fields, program messages, filler words, standard status lines and demands for
+scripts. What they do not know is found by comparing each page's address slug, title and body: where a body has no prose, its
+lines, and the page's title, are low-information responses if they share no term with the slug or the host. A response that
+answers many different slugs on several hosts, and is not found on pages with prose (as menus and notices are), is flagged by
+that combined evidence, in whatever words and language it is written. Prose about errors, templates or scripts is kept: a
+message counts only where prose is missing, and a field not in a sentence that speaks of templates.
 
-Cost: one pass over title and text in Arrow batches; what follows works on flags and 64-bit keys. Evidence is folded by
-key with partial aggregation; only keys with enough pages come back, through a size-checked join.
+Cost: one pass over title and text in Arrow batches makes flags and 64-bit keys, which are written; evidence is folded by
+(key, slug, host) and then by key with partial aggregation, so a response on a third of all pages is no hot spot; only keys
+with enough evidence come back, through a size-checked join.
 
 Defined results: a page without text is judged by its title; null title and text are never a case; a text of only white
 space counts as no text; of repeated rows each is judged alike and the id comes out once.
@@ -40,39 +42,24 @@ _PROGRAM = re.compile(
     r"^\W{0,3}(?:(?:PHP )?(?:fatal|parse|catchable fatal) error\b.*:|(?:PHP )?(?:warning|notice|deprecated): .*(?:undefined|line \d|\(\)|array|variable|index)|traceback \(most recent call|\w*(?:exception|error) (?:at|in) \S+|(?:uncaught|unhandled) \w*(?:exception|error)|\w+(?:Exception|Error)(?::| at\b| in\b)|SQLSTATE\b|ORA-\d+|stack ?trace:?|segmentation fault|exception in thread|error establishing a database connection|syntax error near)",
     re.I | re.M,
 )
-_MESSAGE = (
-    r"(?:(?:internal )?server ?error|page not found|file not found|not found|not here|forbidden|access (?:is )?denied|permission denied|unauthori[sz]ed|bad (?:request|gateway)|gateway time-?out|service (?:temporarily )?unavailable|too many requests|" r"session (?:has )?expired|(?:site )?(?:is )?(?:under|down for) (?:maintenance|construction)|database error|request (?:timeout|timed out)|error|oops|whoops|sorry|p[áa]gina no encontrada|no encontrad[ao]|acceso (?:denegado|prohibido)|error (?:interno )?del servidor|" r"servicio no disponible|sesi[óo]n caducada|en mantenimiento|sitio en (?:mantenimiento|construcci[óo]n)|error de (?:la )?base de datos|zugriff verweigert|seite nicht gefunden|nicht gefunden|server ?fehler|interner serverfehler|dienst nicht verf[üu]gbar|wartungsarbeiten|sitzung abgelaufen|fehler)"
-)
-#: Messages about errors, in place of content: a status code, a message, or both, and nothing else.
-_ERROR = re.compile(
-    rf"^\W{{0,3}}(?:(?:error\s+|http\s+(?:error\s+)?)?(?:400|401|403|404|405|408|410|429|500|502|503|504)\b\W{{0,4}}{_MESSAGE}?|{_MESSAGE})\W*\d*\W*$",
-    re.I,
-)
-_ERROR_SENTENCE = re.compile(
-    r"\b(?:(?:page|resource|document|file|url|address) (?:that )?you (?:asked for|requested|are looking for|tried)|could not be (?:found|understood|processed)|(?:does|do) not have (?:permission|access)|you (?:do not|don't) have (?:permission|access)|sign in with|has expired|been rate limited|server (?:error|is temporarily|cannot)|temporarily (?:unable|unavailable)|something went wrong|link is broken|nothing at this address|did not answer in time|try again (?:later|shortly)|be back (?:soon|shortly)|systems are being updated|database connection|reference #\d+|error code|no tiene permiso|no existe o ha cambiado|(?:p[áa]gina|recurso) (?:solicitad[ao]|no encontrad[ao])|error interno|int[ée]ntelo (?:de nuevo )?m[áa]s tarde|vuelva a intentarlo|ha caducado|temporalmente no disponible|keine berechtigung|existiert nicht oder|angeforderte seite|interner fehler|sp[äa]ter (?:noch einmal|erneut)|nicht erreichbar|vor[üu]bergehend nicht)\b",
-    re.I,
-)
-#: Demands for scripts, cookies or another browser.
+#: Reason phrases of the HTTP standard.
+_REASON = r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file )?not found|method not allowed|request time-?out|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway time-?out)"
+#: A status line, in place of content: a status code, a reason, or both, and nothing else.
+_STATUS = re.compile(rf"^\W{{0,3}}(?:(?:error\s+|http\s+(?:error\s+)?)?[45]\d\d\b\W{{0,4}}(?:{_REASON})?|{_REASON})\W*\d*\W*$", re.I)
+#: Demands for scripts.
 _SCRIPTS = re.compile(
-    r"\b(?:(?:enable|turn on|allow|activate|requires?|needs?|without) (?:\w+ ){0,2}(?:javascript|scripts?|scripting|cookies)|(?:javascript|scripts?|scripting|cookies)\b.{0,40}\b(?:must be|is|are|has been) (?:enabled|allowed|required|disabled|switched off|turned off)|checking your browser|browser is (?:out of date|not supported|outdated)|scripting switched off|activ[ea] (?:el )?javascript|(?:necesita|requiere|habilite|debe habilitar) (?:el )?javascript|navegador (?:no es compatible|est[áa] obsoleto)|(?:aktivieren sie|ben[öo]tigt|erfordert) (?:bitte )?javascript|javascript (?:aktivieren|einschalten)|browser (?:ist )?veraltet)",
-    re.I,
-)
-#: Stubs and filler.
-_STUB = re.compile(
-    r"^\W{0,3}(?:untitled(?: (?:document|page))?|(?:new|sample|test|blank|default|my|home) page|page title|document title|insert title here|title(?: goes)? here|(?:web)?page|index|loading\W*|please wait\W*|placeholder|coming soon|under construction|heading text|body text|t[íi]tulo de (?:la )?p[áa]gina|p[áa]gina (?:nueva|de (?:ejemplo|prueba))|sin t[íi]tulo|cargando\W*|neue seite|seitentitel|unbenannt(?:es dokument)?|beispielseite|wird geladen\W*|ohne titel)\W*\d*\W*$",
-    re.I,
-)
-_STUB_SENTENCE = re.compile(
-    r"\b(?:content (?:is )?coming soon|coming soon|(?:this is a|edit this) (?:placeholder|sample)|placeholder page|sample text|text goes here|type your (?:content|text) here|replace this (?:paragraph|text)|add a (?:short )?(?:description|summary)|add (?:your )?(?:text|summary|content) here|heading text|body text|texto de (?:ejemplo|relleno|prueba)|escriba (?:aqu[íi]|su texto)|pr[óo]ximamente|p[áa]gina en construcci[óo]n|hier entsteht|platzhaltertext|blindtext|beispieltext|mustertext|text hier ein(?:f[üu]gen|geben)|in k[üu]rze verf[üu]gbar|under construction|nothing here yet)\b",
+    r"\b(?:enable|turn on|allow|activate|requires?|needs?|activ[ea]|habilite|necesita|requiere|aktivieren|ben[öo]tigt|erfordert)\b.{0,30}\b(?:javascript|scripts?|skripte?)\b|\b(?:javascript|scripts?|skripte?)\b.{0,30}\b(?:enabled|allowed|required|disabled|aktivieren|einschalten)\b",
     re.I,
 )
+#: Stubs that no author wrote.
+_STUB = re.compile(r"^\W{0,3}(?:untitled(?: (?:document|page))?|(?:sample|test|blank|default) page|(?:insert )?(?:page )?title(?: goes)? here|loading\W*|placeholder|coming soon|under construction)\W*\d*\W*$", re.I)
 _LATIN = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?…](?=\s|$)")
 _SPECIAL = re.compile(r"[{\[<$%@*(]|__|[A-Z]_[A-Z]|XXX|TBD|TODO|FIXME|undefined|null|NaN")
-FLAGS = "page_id long, host string, slug string, has_field boolean, has_program boolean, prose boolean, body_message boolean, title_message boolean, body_key long, title_key long, body_words int, title_words int"
-#: A low-information response is one without prose on at least this many slugs and hosts.
-MIN_SLUGS, MIN_HOSTS = 8, 3
+FLAGS = "page_id long, host string, slug string, has_field boolean, has_program boolean, prose boolean, body_message boolean, title_message boolean, line_keys array<long>, title_key long, title_low boolean"
+#: A response is low-information evidence on at least this many slugs and hosts, if at most this share of its pages have prose.
+MIN_SLUGS, MIN_HOSTS, MOST_PROSE = 4, 3, 0.02
 LONG_LINE = 140
 
 
@@ -90,21 +77,16 @@ def unfilled_field(text: str) -> bool:
 
 
 def is_message(line: str) -> bool:
-    return bool(
-        _ERROR.search(line) or _ERROR_SENTENCE.search(line) or _SCRIPTS.search(line) or _STUB.search(line) or _STUB_SENTENCE.search(line)
-    )
+    return bool(_STATUS.search(line) or _SCRIPTS.search(line) or _STUB.search(line))
+
+
+def title_parts(title: str) -> list[str]:
+    """The whole title, and its part before the site's name."""
+    return list(dict.fromkeys(x.strip() for x in [title, *re.split(r"\s[|·»–—-]\s", title)[:1]]))
 
 
 def title_is_message(title: str) -> bool:
-    """The whole title, or its part before the site's name, is an error message, a stub or filler."""
-    parts = [title] + re.split(r"\s[|·»–—-]\s", title)[:1]
-    return any(
-        bool(
-            _ERROR.search(p) or _STUB.search(p) or (
-                len(p) < 90 and (_SCRIPTS.search(p) or _STUB_SENTENCE.search(p) or _ERROR_SENTENCE.search(p))
-            )
-        ) for p in parts
-    ) or bool(_LATIN.search(title))
+    return any(_STATUS.search(p) or _STUB.search(p) or (len(p) < 90 and _SCRIPTS.search(p)) for p in title_parts(title)) or bool(_LATIN.search(title))
 
 
 def _key(text: str) -> int:
@@ -131,14 +113,15 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple:
         )
     own = [x for x in lines if x.lower() != title.strip().lower()]
     message = not prose and any(is_message(x) for x in own) or latin >= 2 and not prose
-    tw, bw = _LETTERS.findall(title.lower()), [w for x in own for w in _LETTERS.findall(x.lower())] if not prose else []
-    title_low = bool(tw) and len(tw) <= 4 and not (set(tw) & terms) and not (
-        prose and any(x.lower() == title.strip().lower() for x in lines)
-    )
-    body_low = bool(bw) and len(bw) <= 30 and not prose and not (set(bw) & terms - {"a", "the", "and"})
-    return host, slug, field, program, prose, message, title_is_message(title), _key(
-        " ".join(bw)
-    ) if body_low else None, _key(title) if title_low else None, len(bw), len(tw)
+    keys = {}
+    for x in lines:
+        if len(x) < LONG_LINE or not prose:
+            ws = _LETTERS.findall(x.lower())
+            if ws and not terms.intersection(ws):
+                keys[_key(x)] = None
+    part = title_parts(title)[-1] if title else ""
+    ws = set(_LETTERS.findall(part.lower()))
+    return host, slug, field, program, prose, message, title_is_message(title), list(keys), _key(part) if ws else None, bool(ws) and not ws & terms
 
 
 _READS = frozenset(
@@ -163,7 +146,7 @@ def page_flags(
         for pdf in batches:
             rows = [(i, *judge(u, t, x)) for i, u, t, x in zip(pdf["page_id"], pdf["url"], pdf["title"], pdf["text"])]
             out = pd.DataFrame(rows, columns=names)
-            out["body_key"], out["title_key"] = out["body_key"].astype("Int64"), out["title_key"].astype("Int64")
+            out["title_key"] = out["title_key"].astype("Int64")
             yield out
 
     picked = pages.where(F.col(page_id).isNotNull() & (F.col(title).isNotNull() | F.col(text).isNotNull()))
@@ -175,35 +158,45 @@ def page_flags(
     ).mapInPandas(run, FLAGS)
 
 
-def residue_pages(pages: DataFrame, min_slugs: int = MIN_SLUGS, min_hosts: int = MIN_HOSTS, **columns: str) -> DataFrame:
+def responses(flags: DataFrame, min_slugs: int, min_hosts: int, most_prose: float) -> DataFrame:
+    """(kind, key): lines ("line") and titles ("title") that answer many slugs on several hosts, and none with prose."""
+    lines = flags.select("slug", "host", "prose", F.lit(True).alias("low"), F.lit("line").alias("kind"), F.explode("line_keys").alias("key"))
+    titles = flags.where(F.col("title_key").isNotNull()).select("slug", "host", "prose", F.col("title_low").alias("low"), F.lit("title").alias("kind"), F.col("title_key").alias("key"))
+    # The first fold leaves one row for each slug and host, so that the second never meets a key's pages.
+    once = lines.unionByName(titles).groupBy("kind", "key", "host", "slug").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("prose").alias("n_prose"), F.count_if(~F.col("low")).alias("n_matched")
+    )
+    per_host = once.groupBy("kind", "key", "host").agg(F.count_distinct("slug").alias("slugs"), *[F.sum(c).alias(c) for c in ("n", "n_prose", "n_matched")])
+    return per_host.groupBy("kind", "key").agg(
+        F.sum("slugs").alias("slugs"), F.count(F.lit(1)).alias("hosts"), *[F.sum(c).alias(c) for c in ("n", "n_prose", "n_matched")]
+    ).where(
+        (F.col("slugs") >= min_slugs) & (F.col("hosts") >= min_hosts) & (F.col("n_prose") <= most_prose * F.col("n")) & (F.col("n_matched") <= most_prose * F.col("n"))
+    ).select("kind", "key")
+
+
+def residue_pages(
+    pages: DataFrame,
+    min_slugs: int = MIN_SLUGS,
+    min_hosts: int = MIN_HOSTS,
+    most_prose: float = MOST_PROSE,
+    **columns: str,
+) -> DataFrame:
     """(page_id, reason): the pages to exclude, with the first reason that holds."""
     flags = cut(page_flags(pages, **columns), "p7")
-
-    def often(key: str) -> DataFrame:
-        low = flags.where(F.col(key).isNotNull())
-        return low.groupBy(key).agg(
-            F.count_distinct("slug").alias("slugs"),
-            F.count_distinct("host").alias("hosts"),
-            F.avg(F.col("prose").cast("int")).alias("with_prose"),
-        ).where((F.col("slugs") >= min_slugs) & (F.col("hosts") >= min_hosts)).select(key, F.lit(True).alias(f"{key}_often"))
-
-    both = join_small(join_small(flags, often("body_key"), ["body_key"], "left"), often("title_key"), ["title_key"], "left")
-    reason = (
-        F.when(F.col("has_field"), "unfilled field").when(
-            F.col("has_program"),
-            "program message",
-        ).when(F.col("title_message"), "title").when(
-            F.col("body_message"),
-            "message or filler",
-        ).when(
-            F.col("body_key_often") & ~F.col("prose"),
-            "duplicated response",
-        ).when(
-            F.col("title_key_often") & (F.col("body_words") + F.col("title_words") > 0),
-            "duplicated title",
-        )
+    found = cut(responses(flags, min_slugs, min_hosts, most_prose), "p7-responses")
+    bare = flags.where(~F.col("prose"))
+    kinds = {k: found.where(F.col("kind") == k).select("key") for k in ("line", "title")}
+    by_line = join_small(bare.select("page_id", F.explode("line_keys").alias("key")), kinds["line"], ["key"], "left_semi", row_bytes=16)
+    by_title = join_small(
+        bare.where("title_low").select("page_id", F.col("title_key").alias("key")), kinds["title"], ["key"], "left_semi", row_bytes=16
     )
-    return both.select("page_id", reason.alias("reason")).where(F.col("reason").isNotNull()).dropDuplicates(["page_id"])
+    certain = flags.select(
+        "page_id",
+        F.when(F.col("has_field"), 0).when(F.col("has_program"), 1).when(F.col("title_message"), 2).when(F.col("body_message"), 3).alias("no"),
+    ).where(F.col("no").isNotNull())
+    every = certain.unionByName(by_line.select("page_id", F.lit(4).alias("no"))).unionByName(by_title.select("page_id", F.lit(5).alias("no")))
+    names = F.array(*[F.lit(x) for x in ("unfilled field", "program message", "title", "message or filler", "duplicated response", "duplicated title")])
+    return every.groupBy("page_id").agg(F.min("no").alias("no")).select("page_id", F.element_at(names, F.col("no") + 1).alias("reason"))
 
 
 def exclude_residue(pages: DataFrame, page_id: str = "page_id", **columns: str) -> DataFrame:

@@ -333,6 +333,20 @@ def test_duplicated_low_information(spark):
     ]
     rows += [(50, "h1", "https://h1.example/one-off", "One off", "A single short note", None)]
     assert {r.page_id for r in residue.residue_pages(pages(spark, rows)).collect()} == set(range(12))
+    # No pattern knows the sentence: without the evidence of slugs and hosts nothing is found.
+    assert residue.residue_pages(pages(spark, rows), min_slugs=10**6).collect() == []
+    # A line that pages with prose share too is furniture, not a response; nor is one of a single host.
+    prose = "This is a page about archives and their readers, with enough to say. It goes on in a second sentence of some length here. "
+    rows = [(*r[:4], r[4] if r[0] % 2 else f"{r[4]}\n{prose * 2}", None) for r in rows]
+    assert residue.residue_pages(pages(spark, rows)).collect() == []
+    one_host = [(i, "h", f"https://h.example/topic-{chr(97 + i)}", f"Topic {chr(97 + i)}", "Zugang nur intern moeglich", None) for i in range(12)]
+    assert residue.residue_pages(pages(spark, one_host)).collect() == []
+
+
+def test_repeated_titles_of_pages_without_text(spark):
+    rows = [(i, f"h{i % 4}", f"https://h{i % 4}.example/topic-{chr(97 + i)}", "Kein Zutritt | Site", None, None) for i in range(12)]
+    rows += [(100 + i, f"h{i % 4}", f"https://h{i % 4}.example/contact-{chr(97 + i)}", "Contact", None, None) for i in range(12)]
+    assert {r.page_id for r in residue.residue_pages(pages(spark, rows)).collect()} == set(range(12))
 
 
 # ---- 8 ----
