@@ -191,6 +191,43 @@ def test_wrapper_alignment():
     assert wrappers.Wrapper.load(w.dump()).pattern() == text
 
 
+def test_place_in_the_wrapper_decides(spark):
+    """The same unmarked container is furniture before the heading, where its slot repeats, and body after it; only the alignment
+    tells the two apart, as their tokens are equal."""
+    word = lambda i: chr(97 + i % 26) * 3 + chr(97 + i // 26)
+    rows = [
+        (
+            i, "h", "http://h/", "t", f"Home > News\nTitle {word(i)}\nOwn text {word(i)} here.",
+            f"<html><body><div class='b'><p>Home > News</p><h1>Title {word(i)}</h1><p>Own text {word(i)} here.</p></div></body></html>",
+        ) for i in range(30)
+    ]
+    df = pages(spark, rows)
+    assert {(r.page_id, r.line_no) for r in wrappers.furniture_lines(df).collect()} == {(i, 1) for i in range(30)}
+    groups = wrappers.group_roles(wrappers.infer_wrappers(df)).first().groups
+    assert [g.furniture for g in groups if g.token == "div[class=b]\t\t"] == [True, False]
+
+
+def test_aligned():
+    assert wrappers.aligned(list("abcd"), tuple("axcd")) == [0, -1, 2, 3]
+    assert wrappers.aligned([], tuple("ab")) == [-1, -1] and wrappers.aligned(list("ab"), ()) == []
+    assert wrappers.aligned(list("aab"), tuple("ab")) in ([0, 2], [1, 2])
+
+
+def test_more_tokens_than_an_expression_holds(spark):
+    """Every page has a container of its own: what the expression cannot hold keeps its counts, and its units their container's role."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = []
+    for i in range(400):
+        text = f"Menu\nTitle {word(i)}\nOwn {word(i)} text.\nAside {word(i)}\nShare this"
+        body = f"<nav><p>Menu</p></nav><div class='b'><h1>Title {word(i)}</h1><p>Own {word(i)} text.</p><div class='x-{word(i)}'><p>Aside {word(i)}</p></div><div class='s'><p>Share this</p></div></div>"
+        rows.append((i, "h", "http://h/", "t", text, f"<html><body>{body}</body></html>"))
+    df = pages(spark, rows)
+    w = wrappers.Wrapper.load(wrappers.infer_wrappers(df).first().wrapper)
+    assert len(w.items) <= wrappers.MAX_ITEMS and sum(i["u"] for i in [*w.items, *w.rest.values()]) == 400 * 5
+    found = {(r.page_id, r.line_no) for r in wrappers.furniture_lines(df).collect()}
+    assert found == {(i, no) for i in range(400) for no in (1, 5)}
+
+
 # ---- 5 ----
 
 
