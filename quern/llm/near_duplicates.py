@@ -1,20 +1,21 @@
 """Problem 6: groups of texts that share most of their word sequences.
 
 Method: adaptive multi-match prefixes. Texts become sets of hashed word shingles; equal sets are collapsed first, so copies
-are never compared. A fixed-size sketch counts in how many texts each shingle occurs, and orders shingles from rare to
-common. A short text uses the plain prefix filter: two sets of similarity t share one of their |s| - ceil(t|s|) + 1 rarest
-shingles. For a longer text that prefix would meet too many partners, so it is lengthened to the whole set and dealt into
-groups by hash; a partner must match all shingles of a group at once, and do so in ``MATCHES`` groups, before the pair is
-verified. The sketch also gives the expected number of chance partners of a signature; from it follows how many shingles a
-signature must hold (``required_shingles``), and a group with fewer is lengthened by the groups after it, which must then
-match as well. The number of groups follows from size class, similarity and that requirement: two sets of similarity t match
-in fewer than ``MATCHES`` of them with probability at most ``MISS``. A group with a shingle that occurs only once is left
-out, as it can have no partner. All of this depends only on what a group holds, so two texts that agree on it act alike.
-Candidates are verified exactly.
-
-Cost: signatures travel as packed arrays, one per hash range and batch; a range's task holds about ``RANGE_ROWS``
-signatures. A signature shared by more than ``HOT`` texts is cut into blocks, whose pairs are expanded by separate tasks. The
-sketch has ``SKETCH`` counters whatever the corpus; nothing else is sent to the driver.
+are never compared. A sketch counts in how many texts each shingle occurs, orders shingles from rare to common, and tells each
+document what its own prefix would cost: the texts that its prefix shingles are expected to meet. Two sets of similarity t share
+l of their |s| - ceil(t|s|) + l rarest shingles, for any l; so each document's prefix is lengthened with its cost, by a shingle for every doubling,
+and a pair needs the smaller l of the two in common before it is verified (``MOST_NEEDED`` at most). This misses no pair.
+A document whose prefix would meet more than ``PREFIX_COST`` texts even so is lengthened to the whole set, dealt into groups by
+hash; a signature is all shingles of a group, lengthened by the following groups until the texts it is expected to meet are
+``COST`` at most (or it holds ``MOST_REQUIRED`` shingles), and a pair of two such documents must share ``MATCHES`` signatures. The number
+of groups follows from size class and similarity: two sets of similarity t share fewer than that with probability at most
+``MISS``. A pair of a cheap and a costly document is found by the cheap one's prefix, of which the costly one emits what some
+cheap document holds. Candidates are verified exactly.
+
+Cost: signatures travel as packed arrays, one per hash range and batch; a range has a partition of its own and holds about
+``RANGE_ROWS`` signatures, and its pairs are passed on as they come. A signature shared by more than ``HOT`` texts, and a class of
+more than ``HOT`` copies, is cut into blocks, whose pairs are expanded by separate tasks. The sketch has a byte for each of 2^21 to 2^25 cells,
+by the number of texts; it is folded in rounds, and nothing else is sent to the driver.
 
 Defined results: null texts and texts of fewer than ``min_words`` words (or than one shingle) take part in no pair and are a
 class of their own in ``duplicate_classes``; equal sets have similarity 1; a repeated id is taken once, with one of its texts.
@@ -34,21 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.leakage import WordIds, window_hashes, words
-from quern.operators.skew import join_hot
+from quern.operators.skew import join_hot, number_rows
 from quern.session import cut, join_small
 
 SHINGLE, THRESHOLD = 5, 0.8
 MISS = 1e-6
 MATCHES = 3
-#: Chance partners a signature may be expected to have, and the most shingles that are required to keep to it.
+#: Texts that a document's prefix may be expected to meet; those up to which one shared shingle suffices; most that are needed.
+PREFIX_COST, FREE, MOST_NEEDED = 256, 4, 8
+#: Texts that a signature of the whole set may be expected to meet, and the most shingles it is lengthened to.
 COST = 4.0
 MOST_REQUIRED = 4
-SKETCH = 1 << 21
+#: A candidate's matches add up to this; it is divisible by every number of matches needed.
+WHOLE = 840
 CHUNK = 1 << 16
+FAN_IN = 64
 RANGE_ROWS = 1_000_000
 HOT = 1_000
+PAIRS = 1_000_000
 _U = np.uint64
-_ROW = np.dtype([("sig", "<u8"), ("id", "<i8"), ("n", "<i4")])
+_ROW = np.dtype([("sig", "<u8"), ("id", "<i8"), ("n", "<i4"), ("level", "u1"), ("need", "u1"), ("seeks", "u1")])
+#: Number of texts by sketch byte: an eighth of a doubling a step.
+_TEXTS = 2.0 ** (np.arange(256) / 8)
 
 
 def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
@@ -78,48 +86,52 @@ def shingle_table(docs: DataFrame, doc_id: str, text: str, shingle: int, min_wor
     return picked.mapInPandas(run, "id long, n int, form string, shingles binary")
 
 
-def document_counts(sets: DataFrame) -> np.ndarray:
-    """Sketch of how many sets hold each shingle: ``SKETCH`` counters, never too low."""
+def sketch_cells(n_sets: int) -> int:
+    return 1 << min(25, max(21, (16 * max(n_sets, 1)).bit_length()))
+
+
+def _cell(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s & _U(cells - 1)).astype(np.int64)
+
+
+def cell_counts(sets: DataFrame, cells: int, pick=None) -> np.ndarray:
+    """A byte for each cell: in how many sets its shingles occur (of those that ``pick`` takes from a set), on the scale of
+    ``_TEXTS``, never too low; 0 for one set or none. Folded in rounds of ``FAN_IN`` partitions."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts, part = np.zeros(cells, np.int32), 0
         for pdf in batches:
             if len(pdf):
-                joined = np.frombuffer(b"".join(pdf["shingles"]), "<u8")
-                counts += np.bincount((joined & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        for c in range(SKETCH // CHUNK):
-            part = counts[c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                yield pd.DataFrame({"chunk": [c], "counts": [zlib.compress(part.tobytes(), 1)]})
+                part = int(pdf["part"].iloc[0])
+                held = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
+                held = held if pick is None else [pick(x) for x in held]
+                np.add.at(counts, _cell(np.concatenate(held), cells), 1)
+        for c in range(cells // CHUNK):
+            some = counts[c * CHUNK : (c + 1) * CHUNK]
+            if some.any():
+                yield pd.DataFrame({"chunk": [c], "part": [part], "counts": [zlib.compress(some.tobytes(), 1)]})
 
     def total(key, pdf):
-        summed = sum((np.frombuffer(zlib.decompress(b), np.int64) for b in pdf["counts"]), np.zeros(CHUNK, np.int64))
-        return pd.DataFrame(
-            {"chunk": [int(key[0])], "counts": [zlib.compress(np.minimum(summed, 2**31 - 1).astype(np.int32).tobytes(), 1)]}
-        )
-
-    merged = sets.select("shingles").mapInPandas(
-        partial,
-        "chunk int, counts binary",
-    ).groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
-    out = np.zeros(SKETCH, np.int32)
-    for r in merged.collect():  # SKETCH / CHUNK rows, of a fixed size in all
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int32)
+        summed = np.zeros(CHUNK, np.int64)
+        for b in pdf["counts"]:
+            summed += np.frombuffer(zlib.decompress(b), np.int32)
+        summed = np.minimum(summed, 2**31 - 1).astype(np.int32)
+        return pd.DataFrame({"chunk": [int(key[0])], "part": [int(key[1])], "counts": [zlib.compress(summed.tobytes(), 1)]})
+
+    schema = "chunk int, part int, counts binary"
+    merged = sets.select("shingles", F.spark_partition_id().alias("part")).mapInPandas(partial, schema)
+    most = sets.rdd.getNumPartitions()
+    while most > FAN_IN:
+        merged = cut(merged.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("chunk", "part").applyInPandas(total, schema), "p6-cells")
+        most = -(-most // FAN_IN)
+    merged = merged.withColumn("part", F.lit(0)).groupBy("chunk", "part").applyInPandas(total, schema)
+    out = np.zeros(cells, np.uint8)
+    for r in merged.toLocalIterator():  # cells / CHUNK rows, of a fixed size in all
+        c = np.maximum(np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int32), 1)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(255, np.ceil(8 * np.log2(c)))
     return out
 
 
-def required_shingles(counts: np.ndarray, n_sets: int) -> int:
-    """The least number of shingles for which a signature is expected to meet at most ``COST`` texts by chance: each further
-    shingle divides the partners by the share of texts that hold a shingle met at random."""
-    c = counts.astype(np.float64)
-    total = c.sum()
-    share = min(0.99, (c * c).sum() / max(total, 1.0) / max(n_sets, 1))
-    for k in range(2, MOST_REQUIRED):
-        if n_sets * share**k <= COST:
-            return k
-    return MOST_REQUIRED
-
-
 @lru_cache(maxsize=256)
 def groups_of_class(k: int, t: float, required: int) -> int:
     """Number of groups for pairs whose smaller set has 2**k to 2**(k+1) shingles: the least for which two sets of similarity t
@@ -151,8 +163,8 @@ def groups_of_class(k: int, t: float, required: int) -> int:
 
 
 @lru_cache(maxsize=16)
-def short_below(t: float, required: int) -> int:
-    """Sets below this size (a power of two) use the plain prefix filter, as too few groups of them would match."""
+def short_below(t: float, required: int = MOST_REQUIRED) -> int:
+    """Sets below this size (a power of two) use their prefix whatever it costs, as too few groups of them would match."""
     k = 4
     while not groups_of_class(k, t, required):
         k += 1
@@ -164,60 +176,103 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(28))
 
 
-def signatures(s: np.ndarray, df: np.ndarray, t: float, required: int) -> np.ndarray:
-    """The signatures of one set. ``df`` gives the estimated number of sets that hold each shingle. An odd signature is one
-    shingle of a plain prefix, and suffices for a candidate; even ones are groups."""
-    n, short = len(s), short_below(t, required)
-    out = []
-    if n < short / t:
-        order = np.lexsort((s, df))[: n - math.ceil(t * n - 1e-9) + 1]
-        out.append(_mixed(s[order][df[order] > 1] ^ _U(0x5851F42D4C957F2D)) | _U(1))
-    if n >= short:
-        own = n.bit_length() - 1
-        for k in (own,) if n * t >= 1 << own or 1 << own <= short else (own, own - 1):
-            m = groups_of_class(k, t, required)
-            g = ((s >> _U(24)) % _U(m)).astype(np.int64)
-            order = np.argsort(g, kind="stable")
-            held, first = np.unique(g[order], return_index=True)
-            content = np.add.reduceat(_mixed(s[order]), first)
-            least = np.minimum.reduceat(df[order], first)
-            size = np.diff(np.append(first, n))
-            sig, rare, have = content, least, size
-            step = 0
-            while (less := have < required).any() and step < len(held) - 1:
-                step += 1
-                sig = np.where(less, sig * _U(0x9E3779B97F4A7C15) + np.roll(content, -step), sig)
-                rare = np.where(less, np.minimum(rare, np.roll(least, -step)), rare)
-                have = np.where(less, have + np.roll(size, -step), have)
-            sig = _mixed(sig ^ (held.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(k << 56))
-            out.append(sig[rare > 1] & ~_U(1))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def _weight(sig: np.ndarray) -> np.ndarray:
-    return np.where(sig & _U(1), MATCHES, 1)
+class Prefix:
+    """A document's prefix: its shingles from rare to common, the level from which each belongs to it, its cost and its need."""
+
+    def __init__(self, s: np.ndarray, held: np.ndarray, t: float) -> None:
+        n = len(s)
+        base = n - math.ceil(t * n - 1e-9) + 1
+        most = min(MOST_NEEDED, n - base + 1)
+        self.order = np.lexsort((s, held))[: base + most - 1]
+        counts = held[self.order]
+        self.cost = float((_TEXTS[counts[:base]] - 1).sum())
+        self.need = min(most, 1 + int(math.log2(1 + self.cost / FREE)))
+        self.level = np.maximum(1, np.arange(len(self.order)) - base + 2)
+        self.shared = counts > 0
+        #: Whether the document looks for its partners by its prefix: it is cheap, or too short for groups.
+        self.seeks = self.cost <= PREFIX_COST or n < short_below(t) / t
+        #: Whether partners may know it as costly: it emits groups.
+        self.grouped = not self.seeks
+        self.most = most
+
+
+def prefix_rows(p: Prefix, s: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+    """Rows of the prefix: for a seeking document up to its need, for others all that a seeking one holds (``cells``)."""
+    need = p.need if p.seeks else p.most
+    take = p.shared & (p.level <= need)
+    if not p.seeks:
+        take &= cells[_cell(s[p.order], len(cells))] > 0
+    rows = np.zeros(int(take.sum()), _ROW)
+    rows["sig"] = _mixed(s[p.order][take] ^ _U(0x5851F42D4C957F2D)) | _U(1)
+    rows["level"], rows["need"], rows["seeks"] = p.level[take], need, p.seeks
+    return rows
+
+
+def group_rows(s: np.ndarray, held: np.ndarray, n_sets: int, t: float) -> np.ndarray:
+    """Rows of the signatures of a whole set; each depends only on what it holds, so two sets that agree on it act alike."""
+    n, short = len(s), short_below(t)
+    own, out = n.bit_length() - 1, []
+    # Expected partners of a signature, in logarithms: the texts, times each shingle's share of them.
+    share = held / 8 - math.log2(max(n_sets, 1))
+    for k in (own,) if n * t >= 1 << own or 1 << own <= short else (own, own - 1):
+        m = groups_of_class(k, t, MOST_REQUIRED)
+        g = ((s >> _U(24)) % _U(m)).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        found, first = np.unique(g[order], return_index=True)
+        content = np.add.reduceat(_mixed(s[order]), first)
+        least = np.minimum.reduceat(held[order], first)
+        size = np.diff(np.append(first, n))
+        cost = np.add.reduceat(share[order], first)
+        sig, rare, have, met = content, least, size, cost
+        step = 0
+        limit = math.log2(COST) - math.log2(max(n_sets, 1))
+        while (less := (met > limit) & (have < MOST_REQUIRED)).any() and step < len(found) - 1:
+            step += 1
+            sig = np.where(less, sig * _U(0x9E3779B97F4A7C15) + np.roll(content, -step), sig)
+            rare = np.where(less, np.minimum(rare, np.roll(least, -step)), rare)
+            have = np.where(less, have + np.roll(size, -step), have)
+            met = np.where(less, met + np.roll(cost, -step), met)
+        sig = _mixed(sig ^ (found.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(k << 56))
+        out.append(sig[rare > 0] & ~_U(1))
+    sig = np.unique(np.concatenate(out))
+    rows = np.zeros(len(sig), _ROW)
+    rows["sig"], rows["need"], rows["seeks"] = sig, MATCHES, 1
+    return rows
+
+
+def signatures(s: np.ndarray, counts: np.ndarray, cells: np.ndarray, n_sets: int, t: float) -> np.ndarray:
+    held = counts[_cell(s, len(counts))]
+    p = Prefix(s, held, t)
+    rows = prefix_rows(p, s, cells)
+    # A short document is met by its prefix only; one near that size, by either.
+    return rows if not p.grouped else np.concatenate([rows, group_rows(s, held, n_sets, t)])
 
 
 def _pairs_of(rows: np.ndarray, t: float, hot: list | None) -> Iterator[np.ndarray]:
-    """(a, b, weight), a < b, of rows sorted by signature that share one, and whose sizes allow similarity t."""
+    """(a, b, weight), a < b, of rows sorted by signature, seeking ones first, that share one, and whose sizes allow similarity t."""
     sig = rows["sig"]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(starts, len(rows)))
-    for k in np.unique(sizes[sizes > 1]):
+    seeking = np.add.reduceat(rows["seeks"].astype(np.int64), starts) if len(rows) else sizes
+    many = (sizes > 1) & (seeking > 0)
+    for k, c in np.unique(np.stack([sizes[many], seeking[many]], axis=1), axis=0) if many.any() else ():
+        at = starts[many & (sizes == k) & (seeking == c)]
         if hot is not None and k > HOT:
-            hot.extend(rows[a : a + k] for a in starts[sizes == k])
+            hot.extend(rows[a : a + k] for a in at)
             continue
         i, j = np.triu_indices(k, 1)
-        at = starts[sizes == k]
-        step = max(1, 2_000_000 // len(i))
-        for c in range(0, len(at), step):
-            yield _fitting(rows[(at[c : c + step, None] + i).ravel()], rows[(at[c : c + step, None] + j).ravel()], t)
+        i, j = i[i < c], j[i < c]
+        step = max(1, PAIRS // len(i))
+        for first in range(0, len(at), step):
+            yield _fitting(rows[(at[first : first + step, None] + i).ravel()], rows[(at[first : first + step, None] + j).ravel()], t)
 
 
 def _fitting(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    need = np.minimum(a["need"], b["need"])
     fits = (np.minimum(a["n"], b["n"]) >= t * np.maximum(a["n"], b["n"]) - 1e-9) & (a["id"] != b["id"])
+    fits &= (np.maximum(a["level"], b["level"]) <= need) & ((a["seeks"] | b["seeks"]) > 0)
     a, b = a[fits], b[fits]
-    return np.stack([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), _weight(a["sig"])], axis=1)
+    return np.stack([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), WHOLE // need[fits].astype(np.int64)], axis=1)
 
 
 def _frame(pairs: list[np.ndarray]) -> pd.DataFrame:
@@ -230,16 +285,23 @@ def _frame(pairs: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"a": p[first, 0], "b": p[first, 1], "w": w, "sig": none, "block": none, "rows": [None] * len(first)})
 
 
-def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float) -> DataFrame:
-    """(a, b), a < b: pairs that match in ``MATCHES`` groups, or in one shingle of their plain prefixes."""
+def candidate_pairs(sets: DataFrame, n_sets: int, t: float) -> DataFrame:
+    """(a, b), a < b: pairs that share as many prefix shingles as the cheaper of the two needs, or ``MATCHES`` signatures."""
     spark = sets.sparkSession
-    known = spark.sparkContext.broadcast(counts)
-    required = required_shingles(counts, n_sets)
-    ranges = max(1, math.ceil(n_sets * 160 / RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = sketch_cells(n_sets)
+    counts = spark.sparkContext.broadcast(cell_counts(sets, cells))  # at most 32 MB
+
+    def of_seeking(s: np.ndarray) -> np.ndarray:
+        p = Prefix(s, counts.value[_cell(s, cells)], t)
+        # Twice, so that one seeking document already tells a cell from an empty one.
+        return np.repeat(s[p.order][p.shared & (p.level <= p.need)], 2) if p.seeks else s[:0]
+
+    sought = spark.sparkContext.broadcast(np.packbits(cell_counts(sets, cells, of_seeking) > 0))
+    ranges = max(1, math.ceil(n_sets * 200 / RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     most = RANGE_ROWS
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = known.value
+        known, wanted = counts.value, np.unpackbits(sought.value)
         held: list[np.ndarray] = []
 
         def packed() -> pd.DataFrame:
@@ -254,9 +316,8 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
         for pdf in batches:
             for i, data in zip(pdf["id"], pdf["shingles"]):
                 s = np.frombuffer(data, "<u8")
-                sig = signatures(s, np.maximum(df[(s & _U(SKETCH - 1)).astype(np.int64)], 1), t, required)
-                rows = np.empty(len(sig), _ROW)
-                rows["sig"], rows["id"], rows["n"] = sig, i, len(s)
+                rows = signatures(s, known, wanted, n_sets, t)
+                rows["id"], rows["n"] = i, len(s)
                 held.append(rows)
                 size += len(rows)
                 if size >= most:
@@ -265,17 +326,34 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
         if size:
             yield packed()
 
-    def match(key, pdf):
-        rows = np.frombuffer(b"".join(pdf["rows"]), _ROW)
-        rows = rows[np.argsort(rows["sig"], kind="stable")]
+    def matched_range(parts: list[bytes]) -> Iterator[pd.DataFrame]:
+        rows = np.frombuffer(b"".join(parts), _ROW)
+        rows = rows[np.lexsort((1 - rows["seeks"], rows["sig"]))]
         hot: list[np.ndarray] = []
-        out = _frame(list(_pairs_of(rows, t, hot)))
-        blocks = [(int(g["sig"][:1].view("<i8")[0]), b // HOT, g[b : b + HOT].tobytes()) for g in hot for b in range(0, len(g), HOT)]
-        if not blocks:
-            return out
-        extra = pd.DataFrame(blocks, columns=["sig", "block", "rows"]).assign(a=None, b=None, w=None)
-        whole = {"a": "Int64", "b": "Int64", "w": "Int64", "sig": "Int64", "block": "Int64"}
-        return pd.concat([out.astype(whole), extra.astype(whole)])[["a", "b", "w", "sig", "block", "rows"]]
+        held, size = [], 0
+        for pairs in _pairs_of(rows, t, hot):
+            held.append(pairs)
+            size += len(pairs)
+            if size >= PAIRS:
+                yield _frame(held)
+                held, size = [], 0
+        yield _frame(held)
+        for g in hot:
+            for b in range(0, len(g), HOT):
+                yield pd.DataFrame({"a": [None], "b": [None], "w": [None], "sig": [int(g["sig"][:1].view("<i8")[0])], "block": [b // HOT], "rows": [g[b : b + HOT].tobytes()]})
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The ranges of a partition, one after another; its rows come sorted by range."""
+        at, parts = None, []
+        for pdf in batches:
+            for r, data in zip(pdf["range"], pdf["rows"]):
+                if r != at and parts:
+                    yield from matched_range(parts)
+                    parts = []
+                at = r
+                parts.append(data)
+        if parts:
+            yield from matched_range(parts)
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -287,14 +365,16 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, n_sets: int, t: float)
 
     emitted = sets.select("id", "shingles").mapInPandas(emit, "range long, rows binary")
     matched = cut(
-        emitted.groupBy("range").applyInPandas(match, "a long, b long, w long, sig long, block long, rows binary"),
+        emitted.repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(
+            match, "a long, b long, w long, sig long, block long, rows binary"
+        ),
         "p6-candidates",
     )
     x = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("i"), F.col("rows").alias("x"))
     y = matched.where(F.col("sig").isNotNull()).select("sig", F.col("block").alias("j"), F.col("rows").alias("y"))
     blocks = x.join(y, "sig").where("i <= j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
     weighed = matched.where(F.col("sig").isNull()).select("a", "b", "w").unionByName(blocks.mapInPandas(across, "a long, b long, w long"))
-    return weighed.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
+    return weighed.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= WHOLE).select("a", "b")
 
 
 def _verify(t: float):
@@ -338,8 +418,9 @@ def similar_sets(
         "left",
         row_bytes=32,
     ).select("id", F.coalesce("rep", "id").alias("rep")).distinct()
+    single = cut(single.select("id", "shingles"), "p6-single") if copies.limit(1).count() else single
     n = single.count()
-    pairs = cut(candidate_pairs(single, document_counts(single), n, threshold), "p6-pairs")
+    pairs = cut(candidate_pairs(single, n, threshold), "p6-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     held = join_small(sets.select("id", "shingles"), wanted, ["id"], "left_semi", row_bytes=24)
     both = pairs.join(
@@ -349,6 +430,19 @@ def similar_sets(
     return both.select("a", "b", "x", "y").mapInPandas(_verify(threshold), "a long, b long, similarity double"), members
 
 
+def copies_in_pairs(members: DataFrame) -> DataFrame:
+    """(p, q), p < q: the pairs of each class of copies. A class is cut into blocks of ``HOT`` ids, and pairs of blocks are spread
+    over all tasks, so that no task holds a class."""
+    several = members.where("id <> rep").select("rep").distinct()
+    held = join_small(members, several, ["rep"], "left_semi", row_bytes=24)
+    numbered = number_rows(held, ["rep"], ["id"])
+    blocks = numbered.groupBy("rep", F.floor((F.col("row_no") - 1) / HOT).alias("block")).agg(F.collect_list("id").alias("ids"))
+    x, y = blocks.select("rep", F.col("block").alias("i"), F.col("ids").alias("x")), blocks.select("rep", F.col("block").alias("j"), F.col("ids").alias("y"))
+    met = x.join(y, "rep").where("i <= j")
+    met = met.repartition(F.col("rep"), F.col("i"), F.col("j"))
+    return met.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q")).where((F.col("p") < F.col("q")))
+
+
 def duplicate_pairs(docs: DataFrame, **options) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of texts at least ``threshold`` alike, copies included."""
     pairs, members = similar_sets(docs, **options)
@@ -356,15 +450,16 @@ def duplicate_pairs(docs: DataFrame, **options) -> DataFrame:
     left = members.select(F.col("id").alias("p"), F.col("rep").alias("a"))
     right = members.select(F.col("id").alias("q"), F.col("rep").alias("b"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("p", "q")
-    inside = left.join(right, F.col("a") == F.col("b")).where("p < q").select("p", "q")
+    inside = copies_in_pairs(members)
     return across.unionByName(inside).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, component) of every node of ``edges`` (a, b): smallest id reachable. Each round takes the least label around and then its label, and is cut."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node of ``edges`` (a, b): smallest id reachable. Each round takes the least label around and then
+    its label, and is cut; it ends when no label changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(
             labels.select(F.col("id").alias("b"), "label"),
             "b",
@@ -382,8 +477,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         done = cut(jumped, "labels")
         labels = done.select("id", "label")
         if done.where("old <> label").limit(1).count() == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
 
 
 def duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

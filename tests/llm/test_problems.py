@@ -320,6 +320,77 @@ def test_hot_signatures_are_split(spark, monkeypatch):
     assert near_duplicates.duplicate_pairs(df, shingle=3, threshold=0.7).count() == 40 * 39 // 2
 
 
+def test_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 7)
+    members = spark.createDataFrame([(i, 0) for i in range(50)] + [(100, 100), (200, 200), (201, 200)], "id long, rep long")
+    got = [(r.p, r.q) for r in near_duplicates.copies_in_pairs(members).collect()]
+    assert sorted(got) == [*itertools.combinations(range(50), 2), (200, 201)]
+
+
+def _sets(n, rare, common, rng):
+    """Sets of ``n`` shingles, of which a share is rare; edited copies follow each."""
+    out = []
+    for _ in range(60):
+        s = {rng.choice(common) if rng.random() < 0.8 else rng.choice(rare) for _ in range(n)}
+        while len(s) < n:
+            s.add(rng.choice(rare))
+        out.append(s)
+        e = set(s)
+        for x in rng.sample(sorted(s), n // 8):
+            e.remove(x)
+            e.add(rng.choice(rare))
+        out.append(e)
+    return [np.array(sorted(x), np.uint64) for x in out]
+
+
+def test_prefixes_follow_their_cost():
+    """Documents of common shingles get longer prefixes and need more in common; every similar pair still shares what it needs, and
+    with the plain prefix far more pairs would be verified."""
+    rng, t = random.Random(3), 0.7
+    rare, common = [rng.getrandbits(64) for _ in range(40_000)], [rng.getrandbits(64) for _ in range(700)]
+    sets = _sets(100, rare, common, rng)
+    cells = 1 << 21
+    n = np.bincount(np.concatenate([near_duplicates._cell(s, cells) for s in sets]), minlength=cells)
+    counts = np.ceil(8 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+    prefixes = [near_duplicates.Prefix(s, counts[near_duplicates._cell(s, cells)], t) for s in sets]
+    needs = [p.need for p in prefixes]
+    assert max(needs) > min(needs) and all(p.need == q.need for p, q in zip(prefixes, prefixes) if p.cost == q.cost)
+    assert [p.need for p in sorted(prefixes, key=lambda p: p.cost)] == sorted(needs)
+    level = [dict(zip(s[p.order].tolist(), p.level.tolist())) for s, p in zip(sets, prefixes)]
+    plain = adaptive = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        need = min(needs[a], needs[b])
+        both = [max(level[a][x], level[b][x]) for x in level[a].keys() & level[b].keys()]
+        candidate = sum(x <= need for x in both) >= need
+        if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= t:
+            assert candidate
+        plain, adaptive = plain + any(x <= 1 for x in both), adaptive + candidate
+    assert adaptive < plain / 2
+
+
+def test_costly_documents_meet_cheap_ones_by_the_cheap_prefix(spark, monkeypatch):
+    """Without the prefix rows the pairs of cheap documents are lost: they emit no groups."""
+    texts = _texts(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = near_duplicates.shingle_set(np.arange(400, dtype=np.uint64) * np.uint64(977), 3)
+    held, cells = np.full(len(s), 8, np.uint8), np.zeros(1 << 21, np.uint8)
+    cheap, costly = near_duplicates.Prefix(s, held, 0.7), near_duplicates.Prefix(s, held + 60, 0.7)
+    assert cheap.seeks and not cheap.grouped and not costly.seeks and costly.grouped
+    assert len(near_duplicates.prefix_rows(costly, s, cells)) == 0
+    cells[near_duplicates._cell(s[:50], len(cells))] = 1
+    assert 0 < len(near_duplicates.prefix_rows(costly, s, cells)) <= 50
+    assert near_duplicates.duplicate_pairs(df, shingle=3, threshold=0.7).count() > 0
+
+
+def test_signatures_lengthen_with_cost():
+    """A group of a rare shingle stands for itself; groups of common ones are lengthened, and more so in a larger corpus."""
+    s = near_duplicates.shingle_set(np.arange(500, dtype=np.uint64) * np.uint64(977), 3)
+    few, many = (len(near_duplicates.group_rows(s, np.full(len(s), q, np.uint8), 10_000, 0.7)) for q in (8, 80))
+    assert few >= many > 0
+    a, b = (set(near_duplicates.group_rows(s, np.full(len(s), q, np.uint8), 10_000, 0.7)["sig"].tolist()) for q in (8, 80))
+    assert a != b
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.id: r.component for r in near_duplicates.components(edges).collect()}
