@@ -365,7 +365,7 @@ def candidate_pairs(sets: DataFrame, n_sets: int, t: float) -> DataFrame:
 
     emitted = sets.select("id", "shingles").mapInPandas(emit, "range long, rows binary")
     matched = cut(
-        emitted.repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(
+        emitted.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range").mapInPandas(
             match, "a long, b long, w long, sig long, block long, rows binary"
         ),
         "p6-candidates",
@@ -418,7 +418,6 @@ def similar_sets(
         "left",
         row_bytes=32,
     ).select("id", F.coalesce("rep", "id").alias("rep")).distinct()
-    single = cut(single.select("id", "shingles"), "p6-single") if copies.limit(1).count() else single
     n = single.count()
     pairs = cut(candidate_pairs(single, n, threshold), "p6-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
