@@ -129,7 +129,8 @@ def window_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
 
 
 def _longest(a: np.ndarray, b: np.ndarray, allowed: int) -> tuple[int, int, int]:
-    """(start, length, substitutions) of the longest stretch of aligned ``a`` and ``b`` with at most ``allowed`` differences, ends equal."""
+    """(start, length, substitutions) of the stretch of aligned ``a`` and ``b`` with at most ``allowed`` differences that has the most
+    equal words; of equals the longest, then the first."""
     wrong = np.flatnonzero(a != b)
     edges = np.concatenate([[-1], wrong, [len(a)]])
     best = (0, 0, 0)
@@ -137,7 +138,7 @@ def _longest(a: np.ndarray, b: np.ndarray, allowed: int) -> tuple[int, int, int]
         j = min(i + 1 + allowed, len(edges) - 1)
         lo, hi = edges[i] + 1, edges[j]
         used = j - i - 1
-        if hi - lo > best[1]:
+        if (hi - lo - used, hi - lo) > (best[1] - best[2], best[1]):
             best = (int(lo), int(hi - lo), int(used))
     return best
 
@@ -157,8 +158,9 @@ class Items:
             item = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
             place = np.concatenate([np.arange(len(x)) for x in hs]) if hs else np.zeros(0, np.int64)
             order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            # A table in front of the search, of a size that fits the number of windows.
+            bits = np.zeros(1 << min(24, max(8, (16 * len(h)).bit_length())), bool)
+            bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
             self.tables.append((h[order], item[order], place[order], bits))
 
 
@@ -168,7 +170,7 @@ def _overlaps(doc: np.ndarray, items: Items, min_run: int, allowed: int) -> dict
     tried: set[tuple[int, int]] = set()
     for mask, (hashes, item, place, bits) in zip(items.masks, items.tables):
         h = window_hashes(doc, mask)
-        at = np.flatnonzero(bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
         if not len(at):
             continue
         lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
@@ -181,7 +183,7 @@ def _overlaps(doc: np.ndarray, items: Items, min_run: int, allowed: int) -> dict
                 w = items.words[it]
                 start, end = max(0, diagonal), min(len(doc), diagonal + len(w))
                 s, n, subs = _longest(doc[start:end], w[start - diagonal : end - diagonal], allowed)
-                if n - subs >= min_run and n > found.get(it, (0, 0, 0, 0))[2]:
+                if n - subs >= min_run and (it not in found or (n - subs, n) > (found[it][2] - found[it][3], found[it][2])):
                     found[it] = (start + s, start + s - diagonal, n, subs)
     return found
 
@@ -199,7 +201,7 @@ def leaked_passages(
     most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, run, substitutions): one row for each document and item that share a passage of at
-    least ``min_run`` equal words, apart from at most ``substitutions`` differing ones within it; the longest such passage."""
+    least ``min_run`` equal words, apart from at most ``substitutions`` differing ones within it: the one with the most equal words."""
     masks = masks or masks_for(min_run, substitutions)
     if not covers(masks, min_run, substitutions):
         raise ValueError("the masks miss some passages of that length with so many substitutions")
@@ -208,7 +210,7 @@ def leaked_passages(
         F.col(item_id).cast("long").alias("item_id"),
         F.col(item_text).alias("text"),
     ).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    size = held.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    size = (held.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))).alias("n")).first()["n"] or 0) * len(masks)
     plain = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).alias("text"),
@@ -225,10 +227,15 @@ def leaked_passages(
                         out.append((d, table.item_ids[it], *hit))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_word", "item_word", "run", "substitutions"])
 
-        return plain.mapInPandas(search, FOUND).dropDuplicates(["doc_id", "item_id"])
-    hashes = lambda df, key: df.mapInPandas(_window_rows(key, masks), f"{key} long, h long")
-    pairs = hashes(plain, "doc_id").distinct().join(hashes(held, "item_id").distinct(), "h").select("doc_id", "item_id").distinct()
-    both = pairs.join(held.withColumnRenamed("text", "_item"), "item_id").join(plain.dropDuplicates(["doc_id"]), "doc_id")
+        return _best(plain.mapInPandas(search, FOUND))
+    # Texts, not ids, are joined: two texts of one id are both searched, and a text given twice once.
+    marked = lambda df: df.withColumn("t", F.xxhash64("text"))
+    docs_, items_ = marked(plain), marked(held)
+    hashes = lambda df, key: df.mapInPandas(_window_rows(key, masks), f"{key} long, {key}_t long, h long").distinct()
+    pairs = hashes(docs_, "doc_id").join(hashes(items_, "item_id"), "h").select("doc_id", "doc_id_t", "item_id", "item_id_t").distinct()
+    both = pairs.join(
+        items_.select("item_id", F.col("t").alias("item_id_t"), F.col("text").alias("_item")), ["item_id", "item_id_t"]
+    ).join(docs_.select("doc_id", F.col("t").alias("doc_id_t"), "text").dropDuplicates(["doc_id", "doc_id_t"]), ["doc_id", "doc_id_t"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordIds()
@@ -239,17 +246,24 @@ def leaked_passages(
                     out.append((d, i, *hit))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_word", "item_word", "run", "substitutions"])
 
-    return both.select("doc_id", "item_id", "text", "_item").mapInPandas(verify, FOUND)
+    return _best(both.select("doc_id", "item_id", "text", "_item").mapInPandas(verify, FOUND))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """One row for each document and item: the passage with the most equal words, of equals the longest, then the first."""
+    order = F.struct(F.col("run") - F.col("substitutions"), "run", -F.col("doc_word"), -F.col("item_word"))
+    rest = F.struct("doc_word", "item_word", "run", "substitutions")
+    return found.groupBy("doc_id", "item_id").agg(F.max_by(rest, order).alias("_b")).select("doc_id", "item_id", "_b.*")
 
 
 def _window_rows(key: str, masks: tuple[str, ...]):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordIds()
         for pdf in batches:
-            for k, t in zip(pdf[key], pdf["text"]):
-                ids = hasher(words(t))
+            for k, t, text in zip(pdf[key], pdf["t"], pdf["text"]):
+                ids = hasher(words(text))
                 h = np.unique(np.concatenate([window_hashes(ids, m) + np.uint64(i) for i, m in enumerate(masks)])).view(np.int64)
-                yield pd.DataFrame({key: np.full(len(h), k), "h": h})
+                yield pd.DataFrame({key: np.full(len(h), k), f"{key}_t": np.full(len(h), t), "h": h})
 
     return rows
 

@@ -74,6 +74,43 @@ ew AS (SELECT item_id, array_to_string(ws[i:i+11], ' ') AS g FROM e, unnest(rang
 f AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g))
 """
 
+_LEAK_RUNS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, i, array_to_string(ws[i:i+WIDTH-1], ' ') AS g FROM d, unnest(range(1, len(ws) - WIDTH + 2)) AS t(i)),
+ew AS (SELECT item_id, i AS j, array_to_string(ws[i:i+WIDTH-1], ' ') AS g FROM e, unnest(range(1, len(ws) - WIDTH + 2)) AS t(i)),
+"""
+# Twelve equal words with up to two others within them have four neighbours equal somewhere: those tell which alignments to compare.
+_SUBSTITUTED = _LEAK_RUNS.replace("WIDTH", "4") + """
+g AS (SELECT DISTINCT doc_id, item_id, dw.i - ew.j AS diag FROM dw JOIN ew USING (g)),
+b AS (
+  SELECT g.doc_id, g.item_id, greatest(0, diag) AS a, least(len(d.ws), diag + len(e.ws)) AS z,
+    list_transform(range(greatest(0, diag), least(len(d.ws), diag + len(e.ws))), lambda p: d.ws[p+1] = e.ws[p+1-diag]) AS eq
+  FROM g JOIN d USING (doc_id) JOIN e USING (item_id)
+),
+m AS (SELECT doc_id, item_id, list_concat([0], list_filter(range(1, len(eq) + 1), lambda p: NOT eq[p]), [len(eq) + 1]) AS m FROM b),
+r AS (SELECT doc_id, item_id, m[least(k + 3, len(m))] - m[k] - 1 - (least(k + 3, len(m)) - k - 1) AS equal_words FROM m, unnest(range(1, len(m))) AS t(k))
+SELECT doc_id, item_id, CAST(max(equal_words) AS BIGINT) AS equal_words FROM r GROUP BY doc_id, item_id HAVING max(equal_words) >= 12"""
+_ITEM_RUNS = _LEAK_RUNS.replace("WIDTH", "12") + """
+h AS (SELECT doc_id, item_id, i, i - j AS diag FROM dw JOIN ew USING (g)),
+s AS (SELECT doc_id, item_id, diag, i - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS island FROM h),
+r AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM s GROUP BY doc_id, item_id, diag, island)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(run) AS longest_run FROM r GROUP BY item_id"""
+
+_CLASSES = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i+4], ' '))))) AS gs FROM w WHERE len(ws) >= 5),
+f AS (SELECT doc_id, gs, min(doc_id) OVER (PARTITION BY gs) AS rep FROM a),
+s AS (SELECT rep, unnest(gs) AS g, len(gs) AS n FROM f WHERE doc_id = rep),
+c AS (SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+p AS (SELECT a, b FROM c WHERE 10 * shared >= 8 * (na + nb - shared)),
+q AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+l AS (SELECT a AS rep, count(*) AS links FROM q GROUP BY a),
+r AS (SELECT a AS rep, a AS near FROM q UNION SELECT r.rep, q.b FROM r JOIN q ON q.a = r.near),
+k AS (SELECT rep, min(near) AS class_id FROM r GROUP BY rep)
+SELECT d.doc_id AS id, coalesce(k.class_id, f.rep, d.doc_id) AS class_id, coalesce(l.links, 0) AS links
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN k ON k.rep = f.rep LEFT JOIN l ON l.rep = f.rep"""
+
 _NEAR = """
 WITH w AS (SELECT page_id, list_filter(regexp_split_to_array(lower(clean_content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM pages WHERE clean_content IS NOT NULL),
 s AS (SELECT DISTINCT page_id, hash(ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) AS g FROM w, unnest(range(1, len(ws) - 1)) AS t(i) WHERE len(ws) >= 50),
@@ -88,5 +125,8 @@ SQL: dict[str, str] = {
     "p3_found": _CONTACT_FORMS + "SELECT keep_id, contact_id AS copy_id FROM k JOIN g USING (form) WHERE contact_id <> keep_id",
     "p3_collapsed": _CONTACT_FORMS + "SELECT c.contact_id, c.contact_type, CAST(coalesce(g.n, 1) AS BIGINT) AS n_copies FROM contacts c LEFT JOIN k ON c.contact_id = k.contact_id LEFT JOIN g ON k.form = g.form WHERE g.keep_id IS NULL OR g.keep_id = c.contact_id",
     "p6_found": _NEAR + "SELECT a AS page_id_a, b AS page_id_b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE 10 * shared >= 7 * (x.n + y.n - shared)",
+    "p6_classes": _CLASSES,
+    "p9_items": _ITEM_RUNS,
+    "p9_substituted": _SUBSTITUTED,
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM f",
 }

@@ -5,7 +5,7 @@ into the open container it leaves the least free space in, found in a bitset key
 containers is fixed; where a new one is needed beyond it, the fullest closes. A text longer than a container is cut into
 full containers and a rest, and only then.
 
-Cost: texts are tokenised where they are; (id, tokens) pairs, not texts, are shuffled to blocks of about ``BLOCK_ROWS`` by
+Cost: texts are tokenised where they are, whole; (id, tokens) pairs, not texts, are shuffled to blocks of about ``BLOCK_ROWS`` by
 hash of the id, and each block packs alone, so blocks bound both memory and the loss of one open set a block. All container
 kinds are packed in one pass over a block. Inside a block the order is that of the ids, so a result does not depend on how
 the input is partitioned.
@@ -35,8 +35,6 @@ BLOCK_ROWS = 50_000
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the usual pre-tokenising pattern of the byte-level vocabulary above.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Longest text handed to the tokenizer at once, cut at white space; a cut there moves no token border but its own.
-PIECE_CHARS = 200_000
 PACKED = "container_kind string, capacity int, container_id string, doc_id long, piece int, tokens int"
 
 
@@ -48,7 +46,7 @@ def token_counter(path: str):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
         encoding = tiktoken.Encoding("quern", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [sum(len(encoding.encode_ordinary(p)) for p in _pieces(t)) for t in texts]
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
@@ -61,16 +59,6 @@ def token_counter(path: str):
     return lambda texts: [len(x) for x in model.encode(list(texts), num_threads=1)]
 
 
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PIECE_CHARS:
-        end = text.rfind(" ", at + 1, at + PIECE_CHARS)
-        end = end if end > at else at + PIECE_CHARS
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of each row with an id and a text that has tokens."""
 
@@ -165,7 +153,9 @@ def pack_documents(
             )
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in PACKED.split(", ")])
 
-    return counts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).groupBy("block").applyInPandas(run, PACKED)
+    # As many partitions as blocks, by number, so that no two blocks wait for one another.
+    dealt = counts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return dealt.groupBy("block").applyInPandas(run, PACKED)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_substituted(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), substitutions=2)
+    found = leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), substitutions=2)
+    return found.select("doc_id", "item_id", (F.col("run") - F.col("substitutions")).alias("equal_words"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

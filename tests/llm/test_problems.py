@@ -493,6 +493,14 @@ def test_packing_documents(spark):
     long = "some words here " * 40_000
     whole = sum(count([long[i : i + 16 * 1000]])[0] for i in range(0, len(long), 16 * 1000))
     assert abs(count([long])[0] - whole) <= 100
+    assert count(["a" * 300_000])[0] == 75_000  # no white space to cut at, and no cut
+
+
+def test_blocks_pack_apart(spark):
+    docs = spark.createDataFrame([(i, "some words " * (i % 50 + 1)) for i in range(600)], "doc_id long, text string")
+    kinds = spark.createDataFrame([("small", 64)], "container_kind string, capacity int")
+    out = packing.pack_documents(docs, kinds, block_rows=100)
+    assert out.rdd.getNumPartitions() == 6 and {r.doc_id for r in out.select("doc_id").collect()} == set(range(600))
 
 
 # ---- 9 ----
@@ -530,6 +538,21 @@ def test_substitutions_and_empty(spark):
     assert leakage.leaked_passages(df, it.limit(0)).collect() == [] and leakage.leaked_passages(df.limit(0), it).collect() == []
 
 
+def test_repeated_ids_and_edges(spark):
+    """Both texts of an id are searched, in one row; an exact passage at the edge of an item counts although a longer one has fewer equal words."""
+    ws = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(1, "nothing here"), (1, " ".join(ws[3:20])), (1, " ".join(ws[30:44]))], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(ws[:25])), (7, " ".join(ws[28:60]))], "item_id long, text string")
+    for most in (10**6, 0):
+        rows = leakage.leaked_passages(df, it, most_windows=most).collect()
+        assert [(r.doc_id, r.item_id, r.run) for r in rows] == [(1, 7, 17)]
+    doc = [*ws[:12], "x", "y", "z", *ws[15:20], "q", *ws[21:26], "p"]
+    edge = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(ws[:30]))], "item_id long, text string")
+    for most in (10**6, 0):
+        assert leakage.leaked_passages(edge, item, substitutions=2, most_windows=most).count() == 1
+
+
 def test_every_placement_of_substitutions(spark):
     ws = [f"w{i}" for i in range(40)]
     docs = []
