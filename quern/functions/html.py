@@ -220,6 +220,48 @@ def links_of(root: Node) -> list[str]:
     return [n.attrs["href"].strip() for n in root.walk() if n.tag == "a" and n.attrs.get("href", "").strip()]
 
 
+class _Hrefs(HTMLParser):
+    """The addresses of anchors alone, without a tree."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = (dict(attrs).get("href") or "").strip()
+            if href:
+                self.found.append(href)
+
+    handle_startendtag = handle_starttag
+
+
+def hrefs_in(markup: str) -> list[str]:
+    parser = _Hrefs()
+    try:
+        parser.feed(markup)
+        parser.close()
+    except (ValueError, AssertionError):
+        pass
+    return parser.found
+
+
+def _links(markup: pd.Series) -> pd.Series:
+    return pd.Series([hrefs_in(m) if m else [] for m in markup])
+
+
+#: Array of a page's links. Marked as not deterministic so that the filter an ``explode`` implies does not parse the page again.
+links_in = F.pandas_udf(_links, T.ArrayType(T.StringType())).asNondeterministic()
+
+
+def with_links(pages: DataFrame, markup: str = "html_content", name: str = "href") -> DataFrame:
+    """A row for each link of each page, repeats kept; the markup is read once and not carried on."""
+    rest = [c for c in pages.columns if c != markup]
+    return pages.where(F.col(markup).isNotNull()).select(*rest, links_in(F.col(markup)).alias("_quern_links")).select(
+        *rest, F.explode("_quern_links").alias(name)
+    )
+
+
 SCHEMA = T.StructType(
     [
         T.StructField("title", T.StringType()),

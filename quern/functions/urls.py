@@ -84,19 +84,39 @@ def is_valid(url: Column) -> Column:
     return (scheme(url) != "") & (authority(url) != "")
 
 
+def _tail(href: Column) -> Column:
+    """The query and fragment as written."""
+    return F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))),
+    )
+    whole = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    rooted = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), rooted).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` seen from ``base``. Absolute, scheme-relative, root-relative, query and fragment references are plain columns; the rest needs ``resolve_udf``."""
+    """``href`` seen from ``base``, dot segments included. All of it are plain columns; ``resolve_udf`` adds what the standard
+    library does with malformed addresses."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     simple = F.when((scheme(href) != "") & (scheme(href) != scheme(base)), href).when(
         scheme(href) != "",
         F.concat(scheme(href), F.substring(href, F.length(_part(href, 1)) + 1, F.length(href))),
-    ).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+    ).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, without_dots(_part(href, 3)), _tail(href)))
     whole = assemble(scheme(base), authority(base), _part(base, 3), query(base), F.lit(""))
     return simple.when(href.startswith("#"), F.concat(whole, href)).when(
         href.startswith("?"),
         F.concat(root, _part(base, 3), href),
     ).otherwise(
-        F.concat(root, F.regexp_replace(_part(base, 3), r"[^/]*$", ""), href)
+        F.concat(root, without_dots(F.concat(F.regexp_replace(_part(base, 3), r"[^/]*$", ""), _part(href, 3))), _tail(href))
     )
 
 

@@ -143,8 +143,10 @@ def replay(
     base: float = BASE_DELAY,
     most: float = MAX_DELAY,
     chunk: int = CHUNK,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """(host, n, state, severity): the state after all events of each host, in order of ``at`` and ``key``. A code below 400 is a success."""
+    """(host, n, state, severity): the state after all events of each host, in order of ``at`` and ``key``. A code below 400 is a
+    success. ``before`` has the (host, state) that hosts start from."""
     rows = events.select(
         F.col(host).alias("host"),
         F.col(at).cast("timestamp").alias("at"),
@@ -168,7 +170,9 @@ def replay(
         on_success(s, e["seconds"], base, most),
     ).otherwise(on_error(s, e["code"], e["points"], e["at"], most))
     fold = lambda start: F.aggregate("events", start, step)
-    state = parts.where("chunk = 0").select("host", "n", "until", fold(initial(base)).alias("state"))
+    first = parts.where("chunk = 0")
+    first = first.join(before.select("host", F.col("state").alias("_before")), "host", "left") if before is not None else first.withColumn("_before", initial(base))
+    state = first.withColumn("_start", F.coalesce("_before", initial(base))).select("host", "n", "until", fold(F.col("_start")).alias("state"))
     for i in range(1, (last or 0) + 1):
         state = cut(state, "limiter")
         more = parts.where(F.col("chunk") == i).select("host", "events", F.col("n").alias("_n"), F.col("until").alias("_until"))

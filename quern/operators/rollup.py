@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.urls import content_class
+
+
+CLASSES = ("html", "pdf", "image", "css", "javascript", "other")
+
 
 def share(n: Column, of: Column) -> Column:
     return F.when(of > 0, n * 100.0 / of).otherwise(0.0)
@@ -20,10 +25,9 @@ def site_metrics(pages: DataFrame, by: str = "job_id") -> DataFrame:
     rows = pages.select(*wanted, F.posexplode_outer("external_hosts").alias("_at", "_host"))
     first = F.coalesce("_at", F.lit(0)) == 0
     once = lambda c: F.sum(F.when(first, F.col(c)))
-    classes = ("html", "pdf", "image", "css", "javascript", "other")
     return rows.groupBy(by).agg(
         F.count_if(first).alias("total_pages"),
-        *[F.count_if(first & (F.col("content_class") == c)).alias(f"{c}_pages") for c in classes],
+        *[F.count_if(first & (F.col("content_class") == c)).alias(f"{c}_pages") for c in CLASSES],
         once("internal").alias("internal_links"),
         once("external").alias("external_links"),
         once("n_emails").alias("emails_found"),
@@ -34,8 +38,13 @@ def site_metrics(pages: DataFrame, by: str = "job_id") -> DataFrame:
 
 
 def subdomain_metrics(pages: DataFrame, by: list[str]) -> DataFrame:
-    """Per subdomain: pages, pages with text, distinct e-mails and distinct (platform, handle) pairs. Needs emails, social, clean_content."""
-    base = pages.groupBy(*by).agg(F.count(F.lit(1)).alias("page_count"), F.count("clean_content").alias("pages_with_text"))
+    """Per subdomain: pages, pages with text, pages by content class, distinct e-mails and distinct (platform, handle) pairs. Needs
+    emails, social, clean_content, content_class."""
+    base = pages.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("page_count"),
+        F.count("clean_content").alias("pages_with_text"),
+        *[F.count_if(F.col("content_class") == c).alias(f"{c}_pages") for c in CLASSES],
+    )
     mails = pages.select(*by, F.explode("emails").alias("_e")).groupBy(*by).agg(F.count_distinct("_e").alias("emails"))
     handles = pages.select(*by, F.explode("social").alias("_p", "_l")).select(*by, "_p", F.explode("_l").alias("_h")).groupBy(*by).agg(
         F.count_distinct("_p", "_h").alias("handles")
@@ -43,6 +52,12 @@ def subdomain_metrics(pages: DataFrame, by: list[str]) -> DataFrame:
     return base.join(mails, by, "left").join(handles, by, "left").fillna(0, ["emails", "handles"])
 
 
+def page_links(pages: DataFrame, by: list[str], url: str = "url", links: str = "internal_links", at: str = "processed_at", key: str = "page_id") -> DataFrame:
+    """(by, url, n_links): a page's internal links; of a page stored several times the last one counts."""
+    order = F.struct(F.col(at).isNotNull(), at, key)
+    return pages.groupBy(*by, url).agg(F.max_by(F.size(links).cast("long"), order).alias("n_links"))
+
+
 def top_pages(pages: DataFrame, by: list[str], score: str, key: str, k: int = 10) -> DataFrame:
     """The ``k`` best pages of each group; equal scores in order of ``key``."""
     ranked = pages.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key)))
@@ -80,8 +95,11 @@ def crawl_summary(pages: DataFrame, jobs: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin("fetched", "extracted", "analyzed")).alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.sum(F.coalesce(F.size("emails"), F.lit(0))).alias("emails"),
+        F.sum(handle_count(F.col("social_media"))).alias("handles"),
         F.count_distinct(F.nullif(F.col("subdomain"), F.lit(""))).alias("subdomains"),
+        *[F.count_if(content_class(F.col("content_type"), F.col("url")) == c).alias(f"{c}_pages") for c in CLASSES],
     )
+    counted = ["total", "succeeded", "failed", "emails", "handles", "subdomains", *[f"{c}_pages" for c in CLASSES]]
     joined = jobs.select(
         "job_id",
         "status",
@@ -89,7 +107,7 @@ def crawl_summary(pages: DataFrame, jobs: DataFrame) -> DataFrame:
         "completed_at",
     ).withColumnRenamed("status", "job_status").join(per, "job_id", "left").fillna(
         0,
-        ["total", "succeeded", "failed", "emails", "subdomains"],
+        counted,
     )
     seconds = F.unix_micros("completed_at") / 1e6 - F.unix_micros("started_at") / 1e6
     return joined.select(
@@ -99,12 +117,27 @@ def crawl_summary(pages: DataFrame, jobs: DataFrame) -> DataFrame:
         "succeeded",
         "failed",
         share(F.col("succeeded"), F.col("total")).alias("success_rate"),
-        "emails",
-        "subdomains",
+        *counted[3:],
         seconds.alias("duration_seconds"),
     )
 
 
+def handle_count(social: Column) -> Column:
+    """Number of handles in a map of platform to handles."""
+    return F.aggregate(F.coalesce(F.map_values(social), F.array().cast("array<array<string>>")), F.lit(0), lambda n, v: n + F.coalesce(F.size(v), F.lit(0)))
+
+
+def crawl_summary_counts(pages: DataFrame, by: str = "job_id") -> DataFrame:
+    """(by, kind, value, n): the summary's tables of pages by content class, by subdomain (where it has one) and by status code."""
+    values = F.array(
+        F.struct(F.lit("content_class").alias("kind"), content_class(F.col("content_type"), F.col("url")).alias("value")),
+        F.struct(F.lit("subdomain").alias("kind"), F.nullif(F.col("subdomain"), F.lit("")).alias("value")),
+        F.struct(F.lit("status_code").alias("kind"), F.col("status_code").cast("string").alias("value")),
+    )
+    rows = pages.where(F.col(by).isNotNull()).select(by, F.explode(values).alias("_v")).select(by, "_v.kind", "_v.value")
+    return rows.where("value IS NOT NULL").groupBy(by, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def status_codes(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status_code").isNotNull()).groupBy("status_code").agg(F.count(F.lit(1)).alias("n"))
 

@@ -57,3 +57,18 @@ def analysed(pages: DataFrame, jobs: DataFrame) -> DataFrame:
             **{i: F.col(f"indicators.{i}") for i in INDICATORS},
         }
     )
+
+
+def site_rows(pages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What ``rollup.site_metrics`` needs of the analysis, and nothing else."""
+    done = analysed(pages, jobs)
+    return done.select(
+        "job_id",
+        "content_class",
+        "internal",
+        "external",
+        "external_hosts",
+        F.col("relative_subdomain").alias("subdomain"),
+        "n_emails",
+        "n_handles",
+    )

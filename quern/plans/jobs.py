@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import vocab
-from quern.functions import html, urls
-from quern.operators import filters
-from quern.operators.frontier import FOLD
 from quern.schema import JOB
-from quern.session import cut
-from quern.sources.web import Fetcher, fetch_pages
 
 
 @dataclass(frozen=True)
@@ -114,9 +107,11 @@ def add_error(message: Column, error: Column) -> Column:
     return F.nullif(F.concat_ws("; ", message, error), F.lit(""))
 
 
-def error_action(kind: Column) -> Column:
+def error_action(kind: Column, stage: Column | None = None) -> Column:
+    """``retry``, ``skip`` or ``fail`` by the kind of error; extraction and analysis leave out what they cannot read."""
     low = F.lower(F.coalesce(kind, F.lit("")))
-    return F.when(
+    soft = stage.isin("extract", "analyze") & ~F.contains(low, F.lit("memory")) if stage is not None else F.lit(False)
+    return F.when(F.coalesce(soft, F.lit(False)), "skip").when(
         F.contains(low, F.lit("connection")) | F.contains(low, F.lit("timeout")),
         "retry",
     ).when(F.contains(low, F.lit("value")), "skip").otherwise("fail")
@@ -126,46 +121,24 @@ def may_retry(retries: Column, most: Column) -> Column:
     return retries < most
 
 
-def crawl(
-    spark: SparkSession,
-    domain: str,
-    make: Callable[[], Fetcher],
-    start: list[str],
-    settings: Settings | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(pages, fetches) of a crawl from ``start``: rounds of fetch, parse, link filter and dedup until nothing new is found or the
-    page limit is reached, however deep the site. Each round is written to the shared folder, so a lost executor costs one round at most."""
-    limit = (settings or settings_for(domain)).max_pages
-    site = urls.bare_domain(F.lit(domain))
-    frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(start)], "url string").withColumn("domain", site)
-    frontier = filters.page_limit(
-        filters.link_filter(frontier.withColumn("url", urls.clean(F.col("url"))), "url", "domain"),
-        "url",
-        limit,
-        [],
+# ---- Fixed values: stages of a job, in order. ----
+STAGES = ["discovery", "fetch", "extract", "analyze", "store", "export"]
+# ---- End of fixed values. ----
+
+
+def zone_now(hours: int = Settings().timezone_hours) -> datetime:
+    """The clock in the configured zone."""
+    return datetime.now(timezone(timedelta(hours=hours)))
+
+
+def advanced(state: DataFrame, job_id: str, progress: float = 1.0) -> DataFrame:
+    """``state`` (job_id, current_stage, stage_progress map) with the job's stage done and the next one current; the last stays."""
+    mine, names = F.col("job_id") == job_id, F.array(*[F.lit(x) for x in STAGES])
+    at = F.array_position(names, F.col("current_stage"))
+    done = F.map_zip_with(
+        F.coalesce("stage_progress", F.create_map().cast("map<string,double>")), F.create_map(F.col("current_stage"), F.lit(progress)), lambda k, a, b: F.coalesce(b, a)
+    )
+    return state.withColumn("stage_progress", F.when(mine, done).otherwise(F.col("stage_progress"))).withColumn(
+        "current_stage",
+        F.when(mine & (at > 0), F.element_at(names, F.least(at + 1, F.lit(len(STAGES))).cast("int"))).otherwise(F.col("current_stage")),
     )
-    seen = layer = cut(frontier.select("url"), "crawl")
-    log: list[DataFrame] = []
-    recent: list[DataFrame] = []
-    while True:
-        fetched = cut(fetch_pages(layer, make), "fetched")
-        recent.append(fetched)
-        if len(recent) == FOLD:
-            log.append(cut(reduce(DataFrame.unionByName, recent), "log"))
-            seen, recent = cut(seen, "seen"), []
-        ok = fetched.where(
-            (F.col("status_code") == 200) & F.contains(F.lower(F.coalesce("content_type", F.lit("text/html"))), F.lit("html"))
-        )
-        found = html.with_extraction(ok, "body").select(F.col("final_url").alias("base"), F.explode("x_links").alias("href"))
-        targets = found.select(
-            urls.clean(urls.resolve_udf(F.col("base"), F.col("href"))).alias("url")
-        ).where("url IS NOT NULL").distinct().withColumn("domain", site)
-        room = limit - seen.count()
-        if room <= 0:
-            break
-        layer = cut(filters.link_filter(targets, "url", "domain", seen).select("url").orderBy("url").limit(room), "crawl")
-        if layer.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(layer)
-    fetches = reduce(DataFrame.unionByName, log + recent)
-    return html.with_extraction(fetches, "body", ""), fetches

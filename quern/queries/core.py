@@ -459,8 +459,7 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT page_id, trim(replace(unnest(regexp_extract_all(html_content, '(?i)<a[^>]*href=\"([^\"]+)\"', 1)), '&amp;', '&')) AS href FROM pages WHERE html_content IS NOT NULL"
 )
 def link_edges(spark: SparkSession, folder: str) -> DataFrame:
-    pages = html.with_extraction(table(spark, folder, "pages").where("html_content IS NOT NULL").select("page_id", "html_content"))
-    return pages.select("page_id", F.explode("x_links").alias("href"))
+    return html.with_links(table(spark, folder, "pages").select("page_id", "html_content"))
 
 
 # ---- Links and assets ----
@@ -555,33 +554,30 @@ def site_pattern_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return pages.groupBy("subdomain", "url_pattern").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("f").cast("long").alias("funding"))
 
 
+_CLASS = r"""CASE WHEN contains(lower(coalesce(content_type, '')), 'html') THEN 'html' WHEN contains(lower(coalesce(content_type, '')), 'pdf') THEN 'pdf' WHEN contains(lower(coalesce(content_type, '')), 'image/') THEN 'image'
+ WHEN contains(lower(coalesce(content_type, '')), 'css') THEN 'css' WHEN contains(lower(coalesce(content_type, '')), 'javascript') THEN 'javascript' WHEN lower(url) LIKE '%.pdf' THEN 'pdf'
+ WHEN regexp_matches(lower(url), '\.(jpg|jpeg|png|gif|webp)$') THEN 'image' WHEN lower(url) LIKE '%.css' THEN 'css' WHEN lower(url) LIKE '%.js' THEN 'javascript' ELSE 'other' END"""
+_HANDLES = " + ".join(f"len(list_distinct(regexp_extract_all(coalesce(clean_content, ''), '(?i){p}', 1)))" for p in vocab.SOCIAL_PATTERNS.values())
+_CLASSES = ("html", "pdf", "image", "css", "javascript", "other")
+
+
 @register(
     _LINKED
     + f""", e AS (SELECT x.page_id, x.job_id, o.outside, len(list_filter(o.hs, lambda u: NOT starts_with(u, '#'))) - len(o.outside) AS internal, CASE WHEN h = d THEN 'www' WHEN ends_with(h, '.' || d) THEN h[1:length(h) - length(d) - 1] ELSE 'external' END AS rel,
- len(list_distinct(regexp_extract_all(coalesce(clean_content, ''), '(?i){vocab.EMAIL_PATTERN}'))) AS ne FROM x JOIN o ON x.page_id = o.page_id)
-SELECT job_id, count(*) AS total_pages, CAST(sum(internal) AS BIGINT) AS internal_links, CAST(sum(len(outside)) AS BIGINT) AS external_links, CAST(sum(ne) AS BIGINT) AS emails_found, count(DISTINCT rel) AS subdomains,
- CAST(len(list_distinct(flatten(list(outside)))) AS BIGINT) AS unique_external_domains FROM e GROUP BY job_id"""
+ len(list_distinct(regexp_extract_all(coalesce(clean_content, ''), '(?i){vocab.EMAIL_PATTERN}'))) AS ne, {_HANDLES} AS nh, {_CLASS} AS class FROM x JOIN o ON x.page_id = o.page_id)
+SELECT job_id, count(*) AS total_pages, {', '.join(f"count(*) FILTER (class = '{c}') AS {c}_pages" for c in _CLASSES)}, CAST(sum(internal) AS BIGINT) AS internal_links, CAST(sum(len(outside)) AS BIGINT) AS external_links,
+ CAST(sum(ne) AS BIGINT) AS emails_found, CAST(sum(nh) AS BIGINT) AS social_profiles_found, count(DISTINCT rel) AS subdomains, CAST(len(list_distinct(flatten(list(outside)))) AS BIGINT) AS unique_external_domains FROM e GROUP BY job_id"""
 )
 def site_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    done = analysis.analysed(table(spark, folder, "pages"), table(spark, folder, "jobs"))
-    rows = done.select(
-        "job_id",
-        "content_class",
-        "internal",
-        "external",
-        "external_hosts",
-        F.col("relative_subdomain").alias("subdomain"),
-        "n_emails",
-        "n_handles",
-    )
-    longs = ("internal_links", "external_links", "emails_found")
-    counts = [F.col(c).cast("long").alias(c) for c in longs]
-    return rollup.site_metrics(rows).select("job_id", "total_pages", *counts, "subdomains", "unique_external_domains")
+    out = rollup.site_metrics(analysis.site_rows(table(spark, folder, "pages"), table(spark, folder, "jobs")))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("internal_links", "external_links", "emails_found", "social_profiles_found")})
 
 
 @register(
-    f"""WITH e AS (SELECT job_id, subdomain, list_distinct(regexp_extract_all(coalesce(clean_content, ''), '(?i){vocab.EMAIL_PATTERN}')) AS es, clean_content FROM pages WHERE job_id IS NOT NULL AND subdomain IS NOT NULL)
-SELECT job_id, subdomain, count(*) AS page_count, count(clean_content) AS pages_with_text, CAST(len(list_distinct(flatten(list(es)))) AS BIGINT) AS emails FROM e GROUP BY ALL"""
+    f"""WITH e AS (SELECT job_id, subdomain, list_distinct(regexp_extract_all(coalesce(clean_content, ''), '(?i){vocab.EMAIL_PATTERN}')) AS es,
+ list_concat({', '.join(f"list_transform(regexp_extract_all(coalesce(clean_content, ''), '(?i){p}', 1), lambda v: '{k}:' || v)" for k, p in vocab.SOCIAL_PATTERNS.items())}) AS hs, clean_content, {_CLASS} AS class FROM pages WHERE job_id IS NOT NULL AND subdomain IS NOT NULL)
+SELECT job_id, subdomain, count(*) AS page_count, count(clean_content) AS pages_with_text, CAST(len(list_distinct(flatten(list(es)))) AS BIGINT) AS emails, CAST(len(list_distinct(flatten(list(hs)))) AS BIGINT) AS handles,
+ {', '.join(f"count(*) FILTER (class = '{c}') AS {c}_pages" for c in _CLASSES)} FROM e GROUP BY ALL"""
 )
 def subdomain_metrics(spark: SparkSession, folder: str) -> DataFrame:
     safe = F.coalesce(F.col("clean_content"), F.lit(""))
@@ -591,8 +587,19 @@ def subdomain_metrics(spark: SparkSession, folder: str) -> DataFrame:
         "clean_content",
         text.emails(safe).alias("emails"),
         text.social_handles(safe).alias("social"),
+        urls.content_class(F.col("content_type"), F.col("url")).alias("content_class"),
     )
-    return rollup.subdomain_metrics(rows, ["job_id", "subdomain"]).drop("handles")
+    return rollup.subdomain_metrics(rows, ["job_id", "subdomain"])
+
+
+@register(
+    "SELECT job_id, subdomain, url, n_links FROM (SELECT job_id, subdomain, url, len(internal_links) AS n_links, row_number() OVER (PARTITION BY job_id, subdomain, url ORDER BY processed_at DESC NULLS LAST, page_id DESC) AS n "
+    "FROM pages WHERE job_id IS NOT NULL AND subdomain IS NOT NULL AND url IS NOT NULL AND internal_links IS NOT NULL) WHERE n = 1"
+)
+def subdomain_page_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of each page by subdomain; of a page stored several times the last one counts."""
+    rows = table(spark, folder, "pages").where("job_id IS NOT NULL AND subdomain IS NOT NULL AND url IS NOT NULL AND internal_links IS NOT NULL")
+    return rollup.page_links(rows, ["job_id", "subdomain"])
 
 
 @register(
@@ -683,8 +690,11 @@ _PER_JOB = """WITH p AS (SELECT job_id, count(*) AS total, count(*) FILTER (stat
 
 
 @register(
-    _PER_JOB
-    + """SELECT j.job_id, j.status AS job_status, coalesce(total, 0) AS total, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, CASE WHEN total > 0 THEN succeeded * 100.0 / total ELSE 0.0 END AS success_rate, coalesce(emails, 0) AS emails, coalesce(subdomains, 0) AS subdomains,
+    f"""WITH q AS (SELECT *, {_CLASS} AS class, coalesce(list_sum(list_transform(map_values(social_media), lambda v: len(v))), 0) AS nh FROM pages),
+p AS (SELECT job_id, count(*) AS total, count(*) FILTER (status IN ('fetched', 'extracted', 'analyzed')) AS succeeded, count(*) FILTER (status = 'failed') AS failed,
+ CAST(sum(coalesce(len(emails), 0)) AS BIGINT) AS emails, CAST(sum(nh) AS BIGINT) AS handles, count(DISTINCT nullif(subdomain, '')) AS subdomains, {', '.join(f"count(*) FILTER (class = '{c}') AS {c}_pages" for c in _CLASSES)} FROM q GROUP BY 1)
+SELECT j.job_id, j.status AS job_status, coalesce(total, 0) AS total, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, CASE WHEN total > 0 THEN succeeded * 100.0 / total ELSE 0.0 END AS success_rate,
+ coalesce(emails, 0) AS emails, coalesce(handles, 0) AS handles, coalesce(subdomains, 0) AS subdomains, {', '.join(f"coalesce({c}_pages, 0) AS {c}_pages" for c in _CLASSES)},
  round((epoch_us(completed_at) - epoch_us(started_at)) / 1e6, 3) AS duration_seconds FROM jobs j LEFT JOIN p ON j.job_id = p.job_id"""
 )
 def crawl_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -692,6 +702,15 @@ def crawl_summary(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({"success_rate": F.col("success_rate").cast("double"), "duration_seconds": F.round("duration_seconds", 3)})
 
 
+@register(
+    f"""SELECT job_id, 'content_class' AS kind, {_CLASS} AS value, count(*) AS n FROM pages WHERE job_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT job_id, 'subdomain', subdomain, count(*) FROM pages WHERE job_id IS NOT NULL AND subdomain <> '' GROUP BY ALL
+UNION ALL SELECT job_id, 'status_code', CAST(status_code AS VARCHAR), count(*) FROM pages WHERE job_id IS NOT NULL AND status_code IS NOT NULL GROUP BY ALL"""
+)
+def crawl_summary_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return rollup.crawl_summary_counts(table(spark, folder, "pages"))
+
+
 @register(
     _PER_JOB + "SELECT j.job_id, j.domain, j.status, coalesce(total, 0) AS n_pages, coalesce(failed, 0) AS n_failed, CASE WHEN total > 0 THEN done * 100.0 / total ELSE 0.0 END AS pct_done FROM jobs j LEFT JOIN p ON j.job_id = p.job_id"
 )
@@ -755,35 +774,32 @@ def last10_response_mean(spark: SparkSession, folder: str) -> DataFrame:
 # ---- Sinks ----
 
 
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || 'Z' AS {0}"
+_LABEL = f"CASE WHEN len(string_split({PART(2)}, '.')) > 2 THEN string_split({PART(2)}, '.')[1] ELSE '' END"
+_TIMES = ("discovered_at", "fetched_at", "processed_at", "analyzed_at")
+_LENGTHS = {"internal_links_count": "internal_links", "external_links_count": "external_links", "emails_count": "emails"}
+
+
 @register(
-    f"""SELECT url, status, status_code, title, {PART(2)} AS domain, regexp_replace({PART(3)}, ';[^/]*$', '') AS path, CAST(coalesce(len(internal_links), 0) AS BIGINT) AS internal_links_count, CAST(coalesce(len(emails), 0) AS BIGINT) AS emails_count,
- coalesce(analysis_results.page_type, '') AS page_type, CAST(coalesce(analysis_results.content_indicators.funding_references, 0) AS BIGINT) AS funding_references, coalesce(extraction_method, 'unknown') AS extraction_method, CASE WHEN browser_fetched THEN 'yes' ELSE 'no' END AS browser_fetched FROM pages"""
+    f"""SELECT url, status, status_code, content_type, content_length, title, {PART(2)} AS domain, {_LABEL} AS subdomain, regexp_replace({PART(3)}, ';[^/]*$', '') AS path,
+ {', '.join(_ISO.format(c) for c in _TIMES)}, error_message, retry_count, {', '.join(f"CAST(coalesce(len({c}), 0) AS BIGINT) AS {n}" for n, c in _LENGTHS.items())},
+ CAST(coalesce(list_sum(list_transform(map_values(social_media), lambda v: len(v))), 0) AS BIGINT) AS social_profiles_count, coalesce(analysis_results.page_type, '') AS page_type,
+ {', '.join(f"CAST(coalesce(analysis_results.content_indicators.{i}, 0) AS BIGINT) AS {i}" for i in vocab.CONTENT_INDICATORS)},
+ coalesce(extraction_method, 'unknown') AS extraction_method, CASE WHEN browser_fetched THEN 'yes' ELSE 'no' END AS browser_fetched,
+ CASE WHEN markdown_quality_score IS NULL THEN '' ELSE printf('%.2f', markdown_quality_score) END AS markdown_quality FROM pages"""
 )
 def page_report(spark: SparkSession, folder: str) -> DataFrame:
-    keep = [
-        "url",
-        "status",
-        "status_code",
-        "title",
-        "domain",
-        "path",
-        "internal_links_count",
-        "emails_count",
-        "page_type",
-        "funding_references",
-        "extraction_method",
-        "browser_fetched",
-    ]
-    out = exports.page_report(table(spark, folder, "pages")).select(*keep)
-    return out.withColumns({c: F.col(c).cast("long") for c in ("internal_links_count", "emails_count", "funding_references")})
-
-
-@register(
-    """WITH s AS (SELECT url, title, unnest(map_entries(social_media)) AS e FROM pages WHERE social_media IS NOT NULL)
-SELECT url AS source_url, 'email' AS contact_type, unnest(emails) AS contact_value, title AS page_title FROM pages UNION ALL SELECT url, e.key, unnest(e.value), title FROM s"""
+    out = exports.page_report(table(spark, folder, "pages"))
+    return out.withColumns({c: F.col(c).cast("long") for c in (*_LENGTHS, "social_profiles_count", *vocab.CONTENT_INDICATORS)})
+
+
+@register(
+    f"""WITH s AS (SELECT url, title, {_LABEL} AS subdomain, processed_at, unnest(map_entries(social_media)) AS e FROM pages WHERE social_media IS NOT NULL)
+SELECT url AS source_url, 'email' AS contact_type, unnest(emails) AS contact_value, {_LABEL} AS subdomain, title AS page_title, processed_at AS discovered_at FROM pages
+UNION ALL SELECT url, e.key, unnest(e.value), subdomain, title, processed_at FROM s"""
 )
 def contact_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.contact_rows(table(spark, folder, "pages")).select("source_url", "contact_type", "contact_value", "page_title")
+    return exports.contact_rows(table(spark, folder, "pages"))
 
 
 @register(

@@ -39,6 +39,6 @@ JOB = _struct(
     "job_id string, domain string, status string, created_at timestamp, started_at timestamp, completed_at timestamp, config string, total_pages bigint, processed_pages bigint, failed_pages bigint, subdomains_found int"
 )
 FETCH = _struct(
-    "url string, final_url string, status_code int, content_type string, content_length bigint, body string, headers map, seconds double, error string, fetched_at timestamp",
+    "url string, final_url string, status_code int, content_type string, content_length bigint, body string, headers map, seconds double, error string, fetched_at timestamp, browser_fetched boolean, cleaned_html string, rendered_markdown string",
     map=T.MapType(T.StringType(), T.StringType()),
 )

@@ -7,8 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.functions import html
 from quern.operators import filters, frontier, joins, limiter, rollup, skew
-from quern.plans import jobs
+from quern.plans import crawl, jobs
 from quern.session import cut, join_small, small_enough
 from quern.sinks import exports
 from quern.sources import files, web
@@ -190,21 +191,125 @@ SITE = {
 }
 
 
+FAST = jobs.Settings(base_delay=0.0)
+
+
+def crawled(spark, site, start=None, settings=FAST, **options):
+    return crawl.crawl(spark, "u.edu", lambda: web.table_fetcher(site), start, settings, **options)
+
+
 def test_crawl_over_a_table(spark):
-    pages, log = jobs.crawl(spark, "u.edu", lambda: web.table_fetcher(SITE), ["https://u.edu/"])
+    pages, log = crawled(spark, SITE, ["https://u.edu/"])
     assert {r.url for r in log.collect()} == set(SITE)
     assert pages.where("url = 'https://u.edu/'").first().title == "Home"
-    few, _ = jobs.crawl(spark, "u.edu", lambda: web.table_fetcher(SITE), ["https://u.edu/"], jobs.Settings(max_pages=2))
+    few, _ = crawled(spark, SITE, ["https://u.edu/"], jobs.Settings(max_pages=2, base_delay=0.0))
     assert few.count() == 2
     bad = web.fetch_pages(spark.createDataFrame([("https://u.edu/none",), (None,)], "url string"), lambda: web.table_fetcher({}))
     assert [r.status_code for r in bad.collect()] == [404]
+    assert [r.url for r in crawled(spark, SITE, [])[1].collect()] == ["https://u.edu"]
 
 
-def test_crawl_of_a_deep_site(spark):
+def chain(n):
     kind = {"Content-Type": "text/html"}
-    site = {f"https://u.edu/{i}": (f"https://u.edu/{i}", 200, kind, f'<a href="/{i + 1}">next</a>' if i < 21 else "end") for i in range(22)}
-    _, log = jobs.crawl(spark, "u.edu", lambda: web.table_fetcher(site), ["https://u.edu/0"])
-    assert {r.url for r in log.select("url").collect()} == set(site)
+    return {f"https://u.edu/{i}": (f"https://u.edu/{i}", 200, kind, f'<a href="/{i + 1}">next</a>' if i < n - 1 else "end") for i in range(n)}
+
+
+def test_crawl_of_a_deep_site(spark):
+    _, log = crawled(spark, chain(9), ["https://u.edu/0"])
+    assert {r.url for r in log.select("url").collect()} == set(chain(9))
+
+
+def test_stopped_and_resumed_crawl_equals_an_unbroken_one(spark, tmp_path):
+    site, state = chain(4), f"file://{tmp_path}/state"
+    whole = sorted((r.url, r.status_code) for r in crawled(spark, site, ["https://u.edu/0"])[0].collect())
+    for rounds in (2, None):
+        crawled(spark, site, ["https://u.edu/0"], state=state, most_rounds=rounds)
+    # A round whose queue was not written never happened.
+    last = crawl.State(spark, state).rounds - 1
+    import shutil
+
+    shutil.rmtree(tmp_path / "state" / f"round-{last:06d}" / "queue")
+    pages, log = crawled(spark, site, ["https://u.edu/0"], state=state)
+    assert sorted((r.url, r.status_code) for r in pages.collect()) == whole and log.count() == 4
+
+
+def test_crawl_starts_from_sitemaps_and_obeys_robots(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    names = "".join(f"<url><loc>https://u.edu/{x}</loc></url>" for x in ("a", "private/b"))
+    site = SITE | {
+        "https://u.edu/sitemap.xml": ("", 200, {}, f"<urlset {ns}>{names}</urlset>"),
+        "https://u.edu/robots.txt": ("", 200, {}, "User-agent: *\nDisallow: /private/\nDisallow: /c"),
+        "https://u.edu/private/b": ("https://u.edu/private/b", 200, {"Content-Type": "text/html"}, "b"),
+    }
+    _, log = crawled(spark, site)
+    assert {r.url for r in log.collect()} == {"https://u.edu/a", "https://u.edu/"}
+
+
+class Flaky:
+    """Answers 503 twice for one address, then its page; a file counts, as each round has its own processes."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, url):
+        from pathlib import Path
+
+        asked = Path(self.folder) / ("x" if url.endswith("/x") else "other")
+        n = len(asked.read_text()) if asked.exists() else 0
+        asked.write_text("." * (n + 1))
+        if url.endswith("/x") and n < 2:
+            return url, 503, {}, ""
+        if url.endswith("/gone"):
+            raise ConnectionError("refused")
+        return url, 200, {"Content-Type": "text/html"}, "page"
+
+
+def test_crawl_asks_again(spark, tmp_path):
+    folder = str(tmp_path)
+    pages, log = crawl.crawl(spark, "u.edu", lambda: Flaky(folder), ["https://u.edu/x", "https://u.edu/gone"], FAST)
+    counts = {(r.url, r.status_code): r["count"] for r in log.groupBy("url", "status_code").count().collect()}
+    assert counts == {("https://u.edu/x", 503): 2, ("https://u.edu/x", 200): 1, ("https://u.edu/gone", None): 4}
+    assert {(r.url, r.status_code) for r in pages.collect()} == {("https://u.edu/x", 200), ("https://u.edu/gone", None)}
+
+
+def test_blocked_host_cools_down(spark):
+    site = {f"https://u.edu/{i}": (f"https://u.edu/{i}", 429, {}, "") for i in range(4)}
+    now, waited = [1000.0], []
+
+    def wait(seconds):
+        waited.append(seconds)
+        now[0] += seconds
+
+    crawled(spark, site, list(site), jobs.Settings(base_delay=0.0, max_delay=0.0, max_retries=1), clock=lambda: now[0], wait=wait)
+    assert waited == [crawl.COOL_DOWN]
+    waited.clear()
+    late = jobs.Settings(base_delay=0.0, max_delay=0.0, max_retries=5, timeout_hours=2)
+    _, log = crawled(spark, site, list(site), late, clock=lambda: now[0], wait=wait)
+    assert len(waited) <= 3 and log.count() == 4 * (len(waited) + 1) or log.count() == 4 * len(waited)
+
+
+def test_browser_takes_challenges(spark):
+    site = SITE | {"https://u.edu/a": ("https://u.edu/a", 403, {"server": "cloudflare"}, "no")}
+    made = {"https://u.edu/a": ("https://u.edu/a", 200, {"Content-Type": "text/html"}, "<a href='/c'>c</a>", "<p>clean</p>", "# Rendered\n\n**Text** of the page")}
+    pages, log = crawled(spark, site, ["https://u.edu/"], browser=lambda: web.table_fetcher(made))
+    a = pages.where("url = 'https://u.edu/a'").first()
+    assert a.browser_fetched and a.markdown.startswith("# Rendered") and "**" not in a.clean_text
+    assert {r.url for r in log.collect()} == set(SITE) and crawl.browser_usage(log).first().n_browser == 1
+
+
+def test_stages(spark):
+    rows = spark.createDataFrame([("j", "fetch", None), ("k", "export", {"store": 1.0})], "job_id string, current_stage string, stage_progress map<string,double>")
+    by = {r.job_id: r for r in jobs.advanced(jobs.advanced(rows, "j"), "k", 0.5).collect()}
+    assert (by["j"].current_stage, by["j"].stage_progress) == ("extract", {"fetch": 1.0})
+    assert (by["k"].current_stage, by["k"].stage_progress) == ("export", {"store": 1.0, "export": 0.5})
+    assert jobs.zone_now(2).utcoffset().total_seconds() == 7200
+
+
+def test_links_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "<a href=' /x '>x</a><A HREF='y'/><script>'<a href=z>'</script>"), (2, None), (3, "<a>")], "page_id long, html_content string")
+    found = html.with_links(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.page_id, r.href) for r in found.collect()] == [(1, "/x"), (1, "y")]
 
 
 def test_jobs(spark):

@@ -62,6 +62,14 @@ def test_resolve_agrees_with_standard_library(spark, href):
     ) == urljoin(base, "../" + href if href == "c" else href)
 
 
+@pytest.mark.parametrize("href", ["../x.pdf", "../../../x", "./y?q=../z", "a/./b/../c", "/a/../b/./c#../f", "..", "/..", "x/.", "../"])
+def test_dot_segments(spark, href):
+    from urllib.parse import urljoin
+
+    base = "https://u.edu/d/e/f.html?z=1"
+    assert one(spark, urls.resolve(F.col("b"), F.col("h")), b=base, h=href) == urljoin(base, href)
+
+
 def test_subdomains_and_names(spark):
     assert one(spark, urls.subdomain_relative(F.col("u"), F.lit("u.edu")), u="https://U.edu/x") == "www"
     assert one(spark, urls.subdomain_relative(F.col("u"), F.lit("u.edu")), u="https://a.b.u.edu/x") == "a.b"
