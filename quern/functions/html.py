@@ -254,6 +254,20 @@ def _links(markup: pd.Series) -> pd.Series:
 links_in = F.pandas_udf(_links, T.ArrayType(T.StringType())).asNondeterministic()
 
 
+def _title(markup: pd.Series) -> pd.Series:
+    def one(m):
+        try:
+            return title_of(parse(m)) if m else None
+        except (ValueError, AssertionError):
+            return None
+
+    return markup.map(one)
+
+
+#: The title of a page, without its text, markdown and links.
+title_in = F.pandas_udf(_title, T.StringType())
+
+
 def with_links(pages: DataFrame, markup: str = "html_content", name: str = "href") -> DataFrame:
     """A row for each link of each page, repeats kept; the markup is read once and not carried on."""
     rest = [c for c in pages.columns if c != markup]

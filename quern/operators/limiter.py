@@ -17,6 +17,14 @@ from quern.session import cut
 BASE_DELAY, MAX_DELAY = 1.0, 30.0
 FAST, SLOW = 0.5, 3.0
 HISTORY, RECENT, LEAST_SAMPLES = 50, 10, 5
+#: By status code (500: it and above; 0: none or another): factor of the delay, and points.
+ANSWERS = {429: (2.5, 2), 403: (2.0, 3), 500: (1.5, 1), 404: (1.1, 0), 0: (1.2, 1)}
+#: Server errors beyond which one gives its points; successes beyond which the delay eases; factors of easing and pushing.
+SERVER_ERRORS, STEADY, EASE, FAST_EASE, SLOW_PUSH = 3, 10, 0.9, 0.95, 1.1
+#: Blocked beyond so many errors, violations or points, or with a 429 within so many seconds and more errors than the last.
+BLOCK_ERRORS, BLOCK_VIOLATIONS, BLOCK_POINTS, BLOCK_SECONDS, BLOCK_RECENT = 5, 2, 8, 600, 2
+#: Throttled beyond so many points or errors; limited beyond so many base delays.
+THROTTLE_POINTS, THROTTLE_ERRORS, LIMITED = 4, 3, 2
 # ---- End of fixed values. ----
 CHUNK = 20_000
 STATE = "delay double, errors int, successes int, violations int, server_errors int, indicators int, times array<double>, limited_at timestamp"
@@ -47,15 +55,16 @@ def header_indicators(headers: Column, code: Column) -> Column:
 
 
 def blocked(s: Column, now: Column) -> Column:
-    recent = s["limited_at"].isNotNull() & (F.unix_micros(now) - F.unix_micros(s["limited_at"]) < 600_000_000) & (s["errors"] > 2)
-    return (s["errors"] > 5) | (s["violations"] > 2) | (s["indicators"] > 8) | recent
+    since = F.unix_micros(now) - F.unix_micros(s["limited_at"])
+    recent = s["limited_at"].isNotNull() & (since < BLOCK_SECONDS * 1_000_000) & (s["errors"] > BLOCK_RECENT)
+    return (s["errors"] > BLOCK_ERRORS) | (s["violations"] > BLOCK_VIOLATIONS) | (s["indicators"] > BLOCK_POINTS) | recent
 
 
 def severity(s: Column, now: Column, base: float = BASE_DELAY) -> Column:
     return F.when(blocked(s, now), "blocked").when(
-        (s["indicators"] > 4) | (s["errors"] > 3),
+        (s["indicators"] > THROTTLE_POINTS) | (s["errors"] > THROTTLE_ERRORS),
         "throttled",
-    ).when(s["delay"] > base * 2, "limited").otherwise("normal")
+    ).when(s["delay"] > base * LIMITED, "limited").otherwise("normal")
 
 
 def on_success(s: Column, seconds: Column, base: float = BASE_DELAY, most: float = MAX_DELAY) -> Column:
@@ -68,11 +77,11 @@ def on_success(s: Column, seconds: Column, base: float = BASE_DELAY, most: float
     enough = F.size(times) >= LEAST_SAMPLES
     delay = F.when(
         enough & (mean < FAST) & (seconds < FAST),
-        F.when(s["delay"] > base, F.greatest(F.lit(base), s["delay"] * 0.95)).otherwise(s["delay"]),
-    ).when(enough & (mean > SLOW), F.least(F.lit(most), s["delay"] * 1.1)).otherwise(s["delay"])
-    steady = (s["successes"] + 1 > 10) & (delay > base)
+        F.when(s["delay"] > base, F.greatest(F.lit(base), s["delay"] * FAST_EASE)).otherwise(s["delay"]),
+    ).when(enough & (mean > SLOW), F.least(F.lit(most), s["delay"] * SLOW_PUSH)).otherwise(s["delay"])
+    steady = (s["successes"] + 1 > STEADY) & (delay > base)
     return F.struct(
-        F.when(steady, F.greatest(F.lit(base), delay * 0.9)).otherwise(delay).alias("delay"),
+        F.when(steady, F.greatest(F.lit(base), delay * EASE)).otherwise(delay).alias("delay"),
         F.lit(0).alias("errors"),
         F.when(steady, 0).otherwise(s["successes"] + 1).alias("successes"),
         s["violations"].alias("violations"),
@@ -86,8 +95,8 @@ def on_success(s: Column, seconds: Column, base: float = BASE_DELAY, most: float
 def on_error(s: Column, code: Column, points: Column, now: Column, most: float = MAX_DELAY) -> Column:
     c = F.coalesce(code, F.lit(0))
     server = s["server_errors"] + F.when(c >= 500, 1).otherwise(0)
-    factor = F.when(c == 429, 2.5).when(c == 403, 2.0).when(c >= 500, 1.5).when(c == 404, 1.1).otherwise(1.2)
-    more = F.when(c == 429, 2).when(c == 403, 3).when(c >= 500, F.when(server > 3, 1).otherwise(0)).when(c == 404, 0).otherwise(1)
+    by_code = lambda i: F.when(c == 429, ANSWERS[429][i]).when(c == 403, ANSWERS[403][i]).when(c >= 500, ANSWERS[500][i]).when(c == 404, ANSWERS[404][i]).otherwise(ANSWERS[0][i])
+    factor, more = by_code(0), F.when((c >= 500) & (server <= SERVER_ERRORS), 0).otherwise(by_code(1))
     return F.struct(
         F.least(F.lit(most), s["delay"] * factor).alias("delay"),
         (s["errors"] + 1).alias("errors"),

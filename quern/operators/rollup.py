@@ -166,9 +166,8 @@ def indicator_prevalence(pages: DataFrame, indicators: list[str]) -> DataFrame:
 
 
 def redirect_log(fetches: DataFrame, by: str = "job_id") -> DataFrame:
-    """(by, redirects): the fetches whose final address differs, in order of time."""
-    moved = fetches.where(F.col("url") != F.col("final_url"))
-    return moved.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("fetched_at", "url", "final_url", "status_code"))).alias("redirects"))
+    """(by, fetched_at, url, final_url, status_code): a row for each fetch whose final address differs; no group is collected."""
+    return fetches.where(F.col("url") != F.col("final_url")).select(by, "fetched_at", "url", "final_url", "status_code")
 
 
 def fetch_statistics(

@@ -77,6 +77,13 @@ def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(SQL["p2_key_totals"])
+def p2_key_totals_chunked(spark: SparkSession, folder: str) -> DataFrame:
+    """``p2_key_totals`` in chunks of 50 rows, so that the boundary states of many chunks are merged even on small tables."""
+    totals = skew.key_totals(table(spark, folder, "pages"), ["domain", "subdomain"], ["discovered_at", "page_id"], F.col("status") == "failed", 50)
+    return totals.select("key_field", "key_value", F.col("n").alias("n_pages"), F.col("n_flagged").alias("n_failed"), F.col("longest_run").alias("longest_failure"))
+
+
 _SOURCES = f"""
 WITH u AS (SELECT 'pages' AS src, url FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'links', source_url FROM links WHERE source_url IS NOT NULL UNION ALL SELECT 'contacts', source_url FROM contacts WHERE source_url IS NOT NULL),
 p AS (SELECT src, {PART(2)} AS a FROM u),
@@ -440,7 +447,7 @@ def html_title(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").where(
         F.col("html_content").rlike("(?is)<title[^>]*>[^<]+</title>")
     ).select("page_id", "html_content")
-    return html.with_extraction(pages).select("page_id", F.col("x_title").alias("html_title"))
+    return pages.select("page_id", html.title_in(F.col("html_content")).alias("html_title"))
 
 
 @register()

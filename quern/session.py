@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +86,19 @@ def drop_cuts(spark: SparkSession) -> int:
     return n
 
 
+@contextmanager
+def cuts(spark: SparkSession) -> Iterator[None]:
+    """The tables cut inside are deleted on leaving; write or collect the results before."""
+    before = list(_CUTS)
+    try:
+        yield
+    finally:
+        own = [p for p in _CUTS if p not in set(before)]
+        _CUTS[:] = own
+        drop_cuts(spark)
+        _CUTS[:] = before
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df``, at ``row_bytes`` a row, fits the broadcast limit. Counts at most one row beyond the limit."""
     most = max(1, limit // max(1, row_bytes))

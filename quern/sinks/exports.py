@@ -12,9 +12,11 @@ from pyspark.sql.window import Window
 from quern.functions import urls
 
 # ---- Fixed values: the columns of the pages report, in order. ----
-PAGE_COLUMNS = (
-    "url status status_code content_type content_length title domain subdomain path discovered_at fetched_at processed_at analyzed_at error_message retry_count internal_links_count external_links_count " "emails_count social_profiles_count page_type funding_references collaboration_indicators technology_transfer industry_connections extraction_method browser_fetched markdown_quality"
-).split()
+PAGE_COLUMNS = [
+    "url", "status", "status_code", "content_type", "content_length", "title", "domain", "subdomain", "path", "discovered_at", "fetched_at", "processed_at", "analyzed_at",
+    "error_message", "retry_count", "internal_links_count", "external_links_count", "emails_count", "social_profiles_count", "page_type", "funding_references",
+    "collaboration_indicators", "technology_transfer", "industry_connections", "extraction_method", "browser_fetched", "markdown_quality",
+]
 EXTRA_COLUMNS = ["page_subtype", "url_pattern", "path_depth", "academic_year", "linked_assets_count"]
 # ---- End of fixed values. ----
 
@@ -104,14 +106,22 @@ def documents(df: DataFrame, **constants: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in constants.items()], *df.columns)).alias("value"))
 
 
-def contact_document(pages: DataFrame, job: str) -> DataFrame:
-    """(job_id, total, contacts): the pages of a job that have contacts, one element each."""
+def contact_elements(pages: DataFrame, job: str) -> DataFrame:
+    """(url, title, emails, social_media): the pages of a job that have contacts."""
     has = (_size(F.col("emails")) > 0) | (F.coalesce(F.size(F.map_keys("social_media")), F.lit(0)) > 0)
-    one = F.struct("url", "title", F.col("emails"), F.col("social_media"))
-    return pages.where((F.col("job_id") == job) & has).agg(
+    return pages.where((F.col("job_id") == job) & has).select("url", "title", "emails", "social_media")
+
+
+def contact_document(pages: DataFrame, job: str, at: datetime | None = None, most: int = 100_000) -> DataFrame:
+    """(job_id, exported_at, total, contacts): the pages of a job that have contacts as one document. One row holds them all, so
+    beyond ``most`` it is refused: write ``contact_elements`` then, a line each."""
+    found = contact_elements(pages, job)
+    if found.limit(most + 1).count() > most:
+        raise ValueError("too many contacts for one document; write contact_elements")
+    return found.agg(
         F.count(F.lit(1)).alias("total"),
-        F.array_sort(F.collect_list(F.to_json(one))).alias("contacts"),
-    ).select(F.lit(job).alias("job_id"), "total", "contacts")
+        F.array_sort(F.collect_list(F.struct("url", "title", "emails", F.map_entries("social_media").alias("social_media")))).alias("contacts"),
+    ).select(F.lit(job).alias("job_id"), F.lit(at).cast("timestamp").alias("exported_at"), "total", "contacts")
 
 
 def file_name(job_id: str, kind: str, ext: str) -> str:

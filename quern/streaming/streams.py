@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.operators import limiter
+
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
@@ -38,52 +40,54 @@ def deduplicated(events: DataFrame, at: str, keys: list[str], late: str = "1 hou
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def limiter_stream(events: DataFrame, host: str, at: str, code: str, seconds: str, base: float = 1.0, most: float = 30.0) -> DataFrame:
-    """(host, n, delay, errors, severity) after each micro-batch: the limiter's state lives in the stream's state store."""
+def limiter_stream(
+    events: DataFrame,
+    host: str,
+    at: str,
+    code: str,
+    seconds: str,
+    base: float = limiter.BASE_DELAY,
+    most: float = limiter.MAX_DELAY,
+    points: Column | None = None,
+) -> DataFrame:
+    """(host, n, delay, errors, severity) after each micro-batch: the limiter's state lives in the stream's state store. The rules
+    are those of ``limiter.replay``, with its values; ``points`` are those of the headers."""
     schema = "host string, n long, delay double, errors int, severity string"
     state_schema = "n long, delay double, errors int, successes int, violations int, server_errors int, indicators int, times string, limited_at double"
+    v = limiter
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, delay, errors, wins, violations, server, points, held, limited = state.get if state.exists else (
-            0,
-            base,
-            0,
-            0,
-            0,
-            0,
-            0,
-            "",
-            -1e18,
-        )
+        n, delay, errors, wins, violations, server, held_points, held, limited = state.get if state.exists else (0, base, 0, 0, 0, 0, 0, "", -1e18)
         times = [float(x) for x in held.split(",") if x]
         now = limited
         for pdf in sorted_batches(batches, "at"):
-            for t, c, s in zip(pdf["at"], pdf["code"], pdf["seconds"]):
+            for t, c, s, more in zip(pdf["at"], pdf["code"], pdf["seconds"], pdf["points"]):
                 now, n = t.timestamp(), n + 1
                 c = 0 if pd.isna(c) else int(c)
                 if 0 < c < 400:
                     errors, wins, server = 0, wins + 1, 0
-                    if s > 0:
-                        times = (times + [float(s)])[-50:]
-                    recent = times[-10:]
+                    times = [*times, float(s)][-v.HISTORY :] if s > 0 else times
+                    recent = times[-v.RECENT :]
                     mean = sum(recent) / len(recent) if recent else 0.0
-                    if len(times) >= 5 and mean < 0.5 and s < 0.5:
-                        delay = max(base, delay * 0.95) if delay > base else delay
-                    elif len(times) >= 5 and mean > 3.0:
-                        delay = min(most, delay * 1.1)
-                    if wins > 10 and delay > base:
-                        delay, wins = max(base, delay * 0.9), 0
+                    if len(times) >= v.LEAST_SAMPLES and mean < v.FAST and s < v.FAST:
+                        delay = max(base, delay * v.FAST_EASE) if delay > base else delay
+                    elif len(times) >= v.LEAST_SAMPLES and mean > v.SLOW:
+                        delay = min(most, delay * v.SLOW_PUSH)
+                    if wins > v.STEADY and delay > base:
+                        delay, wins = max(base, delay * v.EASE), 0
                     continue
                 errors, wins = errors + 1, 0
                 server += c >= 500
-                delay = min(most, delay * (2.5 if c == 429 else 2.0 if c == 403 else 1.5 if c >= 500 else 1.1 if c == 404 else 1.2))
-                points += 2 if c == 429 else 3 if c == 403 else int(server > 3) if c >= 500 else 0 if c == 404 else 1
+                kind = 500 if c >= 500 else c if c in v.ANSWERS else 0
+                delay = min(most, delay * v.ANSWERS[kind][0])
+                held_points += int(more) + (0 if kind == 500 and server <= v.SERVER_ERRORS else v.ANSWERS[kind][1])
                 if c == 429:
                     violations, limited = violations + 1, now
-        state.update((n, delay, errors, wins, violations, server, points, ",".join(map(repr, times)), limited))
-        level = "blocked" if errors > 5 or violations > 2 or points > 8 or (
-            now - limited < 600 and errors > 2
-        ) else "throttled" if points > 4 or errors > 3 else "limited" if delay > 2 * base else "normal"
+        state.update((n, delay, errors, wins, violations, server, held_points, ",".join(map(repr, times)), limited))
+        late = now - limited < v.BLOCK_SECONDS and errors > v.BLOCK_RECENT
+        blocked = errors > v.BLOCK_ERRORS or violations > v.BLOCK_VIOLATIONS or held_points > v.BLOCK_POINTS or late
+        throttled = held_points > v.THROTTLE_POINTS or errors > v.THROTTLE_ERRORS
+        level = "blocked" if blocked else "throttled" if throttled else "limited" if delay > v.LIMITED * base else "normal"
         yield pd.DataFrame({"host": [key[0]], "n": [n], "delay": [delay], "errors": [errors], "severity": [level]})
 
     picked = events.select(
@@ -91,6 +95,7 @@ def limiter_stream(events: DataFrame, host: str, at: str, code: str, seconds: st
         F.col(at).cast("timestamp").alias("at"),
         F.col(code).cast("int").alias("code"),
         F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)).alias("seconds"),
+        F.coalesce(points if points is not None else F.lit(0), F.lit(0)).cast("int").alias("points"),
     ).where("host IS NOT NULL AND at IS NOT NULL")
     return picked.groupBy("host").applyInPandasWithState(step, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 

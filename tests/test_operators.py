@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import html
@@ -370,6 +371,51 @@ def test_limiter_stream(spark, tmp_path):
     assert (out[-1].n, out[-1].delay, out[-1].errors) == (4, 7.5, 0)
 
 
+def test_stream_and_replay_share_their_rules(spark, tmp_path):
+    from quern.streaming import streams
+
+    rng, start = random.Random(9), datetime(2024, 1, 1)
+    rows = []
+    for h in "abcdef":
+        for i in range(60):
+            rows.append((h, start + timedelta(seconds=7 * i), rng.choice([200] * 6 + [404, 429, 403, 500, 503, None, 418]), rng.choice([0.0, 0.1, 0.4, 2.0, 5.0]), rng.choice([0, 0, 0, 2])))
+    schema = "host string, at timestamp, code int, sec double, pts int"
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = streams.read_stream(spark, f"{tmp_path}/in", df.schema, 8)
+    out = streams.drain(streams.limiter_stream(source, "host", "at", "code", "sec", points=F.col("pts")), "shared_rules", "update", f"{tmp_path}/cp")
+    want = limiter.replay(df, "host", "at", "at", F.col("code"), F.col("sec"), F.col("pts"))
+    got = {(r.host, r.n, round(r.delay, 9), r.errors, r.severity) for r in out.collect()}
+    assert got == {(r.host, r.n, round(r.state.delay, 9), r.state.errors, r.severity) for r in want.collect()}
+
+
+def test_cuts_are_dropped(spark):
+    from pathlib import Path
+
+    from quern import session
+
+    with session.cuts(spark):
+        outer = session.cut(spark.range(3), "kept")
+        with session.cuts(spark):
+            assert session.cut(spark.range(2), "inner").count() == 2
+            place = Path(session._CUTS[-1].removeprefix("file://"))
+            assert place.exists()
+        assert not place.exists() and outer.count() == 3
+
+
+def test_redirects_and_documents(spark):
+    log = spark.createDataFrame([("j", "a", "b", 200, None), ("j", "c", "c", 200, None)], "job_id string, url string, final_url string, status_code int, fetched_at timestamp")
+    assert [(r.url, r.final_url) for r in rollup.redirect_log(log).collect()] == [("a", "b")]
+    pages = spark.createDataFrame(
+        [("j", "u", "t", ["a@b.c"], {"x": ["h"]}), ("j", "v", None, [], None), ("j", "w", "t", ["d@e.f"], None)],
+        "job_id string, url string, title string, emails array<string>, social_media map<string,array<string>>",
+    )
+    doc = exports.contact_document(pages, "j", datetime(2024, 1, 1)).first()
+    assert (doc.total, [c.url for c in doc.contacts], doc.exported_at) == (2, ["u", "w"], datetime(2024, 1, 1))
+    with pytest.raises(ValueError, match="too many"):
+        exports.contact_document(pages, "j", most=1)
+
+
 def test_saved_runs(spark, tmp_path):
     df = spark.createDataFrame([("a",)], "url string")
     files.save_checkpoint(str(tmp_path), "j1", {"pending": df, "failed": df.limit(0)})
