@@ -119,8 +119,8 @@ def cell_counts(sets: DataFrame, cells: int, pick=None) -> np.ndarray:
         return pd.DataFrame({"chunk": [int(key[0])], "part": [int(key[1])], "counts": [zlib.compress(summed.tobytes(), 1)]})
 
     schema = "chunk int, part int, counts binary"
-    merged = sets.select("shingles", F.spark_partition_id().alias("part")).mapInPandas(partial, schema)
-    most = sets.rdd.getNumPartitions()
+    merged = cut(sets.select("shingles", F.spark_partition_id().alias("part")).mapInPandas(partial, schema), "p6-cells")
+    most = (merged.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
     while most > FAN_IN:
         merged = cut(merged.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("chunk", "part").applyInPandas(total, schema), "p6-cells")
         most = -(-most // FAN_IN)
