@@ -124,8 +124,8 @@ def extraction_method(known: Column, browser: Column) -> Column:
 def format_bytes(n: Column) -> Column:
     chain = F.when(n < 1024, F.format_string("%.1fB", n.cast("double")))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        chain = chain.when(n < 1024 ** (i + 1), F.format_string(f"%.1f{unit}", n / F.lit(float(1024**i))))
-    return chain.otherwise(F.format_string("%.1fTB", n / F.lit(float(1024**4))))
+        chain = chain.when(n < 1024 ** (i + 1), F.format_string(f"%.1f{unit}", F.bround(n / F.lit(float(1024**i)), 1)))
+    return chain.otherwise(F.format_string("%.1fTB", F.bround(n / F.lit(float(1024**4)), 1)))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -108,6 +108,13 @@ def parse_robots(text: str, agent: str = "*") -> list[tuple[str, bool]]:
     return sorted(rules, key=lambda r: (-len(r[0]), not r[1]))
 
 
+class EveryHost(dict):
+    """One host's rules taken for every host."""
+
+    def __init__(self, rules: list[tuple[str, bool]]) -> None:
+        super().__init__({"": rules})
+
+
 def robots_allows(url: Column, rules: dict[str, list[tuple[str, bool]]]) -> Column:
     """Whether the host's rules admit the URL. Hosts without rules (missing or unreadable files) admit everything. ``rules`` holds
     the hosts of one job, parsed on the driver."""
@@ -122,6 +129,8 @@ def robots_allows(url: Column, rules: dict[str, list[tuple[str, bool]]]) -> Colu
         ] for h, rs in rules.items()
     }
 
+    every = compiled.get("", []) if isinstance(rules, EveryHost) else []
+
     @F.pandas_udf("boolean")
     def allowed(values: pd.Series) -> pd.Series:
         from urllib.parse import urlsplit
@@ -131,7 +140,7 @@ def robots_allows(url: Column, rules: dict[str, list[tuple[str, bool]]]) -> Colu
                 return False
             parts = urlsplit(u)
             target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-            return next((ok for p, ok in compiled.get(parts.netloc.lower(), []) if p.match(target)), True)
+            return next((ok for p, ok in (compiled.get(parts.netloc.lower()) or every) if p.match(target)), True)
 
         return values.map(one)
 
