@@ -30,7 +30,9 @@ def crawl_links(spark: SparkSession, folder: str) -> DataFrame:
     """The links of each page as the crawl takes them: parsed, resolved, cleaned, filtered."""
     pages = analysis.with_job_domain(table(spark, folder, "pages"), table(spark, folder, "jobs"))
     rows = html.with_links(pages.where("job_domain IS NOT NULL AND url IS NOT NULL").select("page_id", "job_domain", "url", "html_content"))
-    clean = rows.select("page_id", "job_domain", urls.clean(urls.resolve(F.col("url"), F.col("href"))).alias("target_url"))
+    # An explode of one element keeps the filters below from computing the address anew in each of their tests.
+    whole = rows.select("page_id", "job_domain", F.explode(F.array(urls.resolve(F.col("url"), F.col("href")))).alias("whole"))
+    clean = whole.select("page_id", "job_domain", F.explode(F.array(urls.clean(F.col("whole")))).alias("target_url"))
     return filters.link_filter(clean, "target_url", "job_domain").select("page_id", "target_url").distinct()
 
 
