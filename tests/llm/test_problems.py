@@ -320,6 +320,16 @@ def test_hot_signatures_are_split(spark, monkeypatch):
     assert near_duplicates.duplicate_pairs(df, shingle=3, threshold=0.7).count() == 40 * 39 // 2
 
 
+def test_many_copies_are_one_class(spark):
+    """A third and more of all rows are copies of one text: they fold to one representative, and no pair of them is made."""
+    text = " ".join(f"w{i}" for i in range(40))
+    copies = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    others = spark.createDataFrame([(10**6 + i, " ".join(f"x{i}y{k}" for k in range(40))) for i in range(50)] + [(2 * 10**6, text + " end")], "doc_id long, text string")
+    classes = near_duplicates.duplicate_classes(copies.unionByName(others))
+    found = {r.class_id: (r["count"], r.links) for r in classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("count"), F.max("links").alias("links")).collect()}
+    assert found[0] == (30_001, 1) and len(found) == 51
+
+
 def test_copies_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "HOT", 7)
     members = spark.createDataFrame([(i, 0) for i in range(50)] + [(100, 100), (200, 200), (201, 200)], "id long, rep long")
