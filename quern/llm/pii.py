@@ -74,7 +74,7 @@ _ID_PHRASE = re.compile(
     re.I,
 )
 _OTHER_CUES = frozenset(
-    "award grant scholarship beca ayuda förderung order pedido bestellung invoice factura rechnung ref reference referencia isbn doi issn version page pages item sku model code error serial account tracking ticket booking lot room rooms sala salas aula aulas zimmer raum räume course kurs curso unit registered copyright © year contract contrato vertrag train charity parcel part claim paket".split()
+    "award grant scholarship beca ayuda förderung order pedido bestellung invoice factura rechnung ref reference referencia isbn doi issn version page pages item sku model code error serial account tracking ticket booking lot room rooms sala salas aula aulas zimmer raum räume course kurs curso unit registered copyright © year contract contrato vertrag train charity".split()
 )
 _BY_CUES = frozenset(
     "by por von text texto story words written posted published edited translated author autor autora publicado veröffentlicht contact contacto ansprechperson according según laut chaired dear attn speaker witness photographs photos pictures fotos fotografías interview review".split()
