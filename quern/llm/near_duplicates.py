@@ -5,12 +5,12 @@ are never compared. A sketch counts in how many texts each shingle occurs, order
 document what its own prefix would cost: the texts that its prefix shingles are expected to meet. Two sets of similarity t share
 l of their |s| - ceil(t|s|) + l rarest shingles, for any l; so each document's prefix is lengthened with its cost, by a shingle for every doubling,
 and a pair needs the smaller l of the two in common before it is verified (``MOST_NEEDED`` at most). This misses no pair.
-A document whose prefix would meet more than ``PREFIX_COST`` texts even so is lengthened to the whole set, dealt into groups by
-hash; a signature is all shingles of a group, lengthened by the following groups until the texts it is expected to meet are
-``COST`` at most (or it holds ``MOST_REQUIRED`` shingles), and a pair of two such documents must share ``MATCHES`` signatures. The number
-of groups follows from size class and similarity: two sets of similarity t share fewer than that with probability at most
-``MISS``. A pair of a cheap and a costly document is found by the cheap one's prefix, of which the costly one emits what some
-cheap document holds. Candidates are verified exactly.
+A document whose prefix would meet more than ``PREFIX_COST`` texts even so, of any size, has signatures of its whole set: each takes the
+least shingle of the set under a hash function of its own, lengthened by the least under further ones until the texts it is expected to
+meet are ``COST`` at most (or it holds ``most_required`` shingles, which grow with the logarithm of the corpus), and a pair of two such
+documents must share ``MATCHES`` signatures. The number of signatures follows from the similarity: two sets of similarity t share fewer than that with
+probability at most ``MISS``. A pair of a cheap and a costly document is found by the cheap one's prefix, of which the costly one emits
+what some cheap document holds. Candidates are verified exactly.
 
 Cost: signatures travel as packed arrays, one per hash range and batch; a range has a partition of its own and holds about
 ``RANGE_ROWS`` signatures, and its pairs are passed on as they come. A signature shared by more than ``HOT`` texts, and a class of
@@ -43,9 +43,9 @@ MISS = 1e-6
 MATCHES = 3
 #: Texts that a document's prefix may be expected to meet; those up to which one shared shingle suffices; most that are needed.
 PREFIX_COST, FREE, MOST_NEEDED = 256, 4, 8
-#: Texts that a signature of the whole set may be expected to meet, and the most shingles it is lengthened to.
-COST = 4.0
-MOST_REQUIRED = 4
+#: Texts that a signature of the whole set may be expected to meet, of a random choice of shingles. Those of one sentence go together, so
+#: signatures meet more than that.
+COST = 1 / 32
 #: A candidate's matches add up to this; it is divisible by every number of matches needed.
 WHOLE = 840
 CHUNK = 1 << 16
@@ -94,6 +94,17 @@ def _cell(s: np.ndarray, cells: int) -> np.ndarray:
     return (s & _U(cells - 1)).astype(np.int64)
 
 
+def _packed_cells(cell: np.ndarray, count: np.ndarray) -> bytes:
+    """The cells of a chunk that hold anything, and their counts: what a part writes follows its rows, not the size of the sketch."""
+    return zlib.compress(cell.astype("<u2").tobytes() + count.astype("<i4").tobytes(), 1)
+
+
+def _unpacked_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(bytes(data))
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<i4", n, 2 * n)
+
+
 def cell_counts(sets: DataFrame, cells: int, pick=None) -> np.ndarray:
     """A byte for each cell: in how many sets its shingles occur (of those that ``pick`` takes from a set), on the scale of
     ``_TEXTS``, never too low; 0 for one set or none. Folded in rounds of ``FAN_IN`` partitions."""
@@ -106,17 +117,19 @@ def cell_counts(sets: DataFrame, cells: int, pick=None) -> np.ndarray:
                 held = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
                 held = held if pick is None else [pick(x) for x in held]
                 np.add.at(counts, _cell(np.concatenate(held), cells), 1)
-        for c in range(cells // CHUNK):
-            some = counts[c * CHUNK : (c + 1) * CHUNK]
-            if some.any():
-                yield pd.DataFrame({"chunk": [c], "part": [part], "counts": [zlib.compress(some.tobytes(), 1)]})
+        at = np.flatnonzero(counts)
+        ends = np.searchsorted(at, np.arange(cells // CHUNK + 1) * CHUNK)
+        for c in np.flatnonzero(np.diff(ends)):
+            some = at[ends[c] : ends[c + 1]]
+            yield pd.DataFrame({"chunk": [c], "part": [part], "counts": [_packed_cells(some - c * CHUNK, counts[some])]})
 
     def total(key, pdf):
         summed = np.zeros(CHUNK, np.int64)
         for b in pdf["counts"]:
-            summed += np.frombuffer(zlib.decompress(b), np.int32)
-        summed = np.minimum(summed, 2**31 - 1).astype(np.int32)
-        return pd.DataFrame({"chunk": [int(key[0])], "part": [int(key[1])], "counts": [zlib.compress(summed.tobytes(), 1)]})
+            cell, count = _unpacked_cells(b)
+            summed[cell] += count
+        at = np.flatnonzero(summed)
+        return pd.DataFrame({"chunk": [int(key[0])], "part": [int(key[1])], "counts": [_packed_cells(at, np.minimum(summed[at], 2**31 - 1))]})
 
     schema = "chunk int, part int, counts binary"
     merged = cut(sets.select("shingles", F.spark_partition_id().alias("part")).mapInPandas(partial, schema), "p6-cells")
@@ -127,48 +140,25 @@ def cell_counts(sets: DataFrame, cells: int, pick=None) -> np.ndarray:
     merged = merged.withColumn("part", F.lit(0)).groupBy("chunk", "part").applyInPandas(total, schema)
     out = np.zeros(cells, np.uint8)
     for r in merged.toLocalIterator():  # cells / CHUNK rows, of a fixed size in all
-        c = np.maximum(np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int32), 1)
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(255, np.ceil(8 * np.log2(c)))
+        cell, count = _unpacked_cells(r["counts"])
+        out[r["chunk"] * CHUNK + cell] = np.minimum(255, np.ceil(8 * np.log2(count)))
     return out
 
 
-@lru_cache(maxsize=256)
-def groups_of_class(k: int, t: float, required: int) -> int:
-    """Number of groups for pairs whose smaller set has 2**k to 2**(k+1) shingles: the least for which two sets of similarity t
-    match in fewer than ``MATCHES`` groups with probability at most ``MISS``, shingles falling into groups at random; 0 where no
-    number reaches that."""
-
-    def chance(m: int) -> float:
-        """The least probability, over the sizes a pair of the class may have, that the signature of a group matches."""
-        worst = 1.0
-        for a in (2**k, 2 ** (k + 1)):
-            for b in (a, a / t):
-                shared = t / (1 + t) * (a + b)
-                pure, lam = math.exp(-(a + b - 2 * shared) / m), shared / m
-                p = [math.exp(-lam) * lam**i / math.factorial(i) for i in range(required)]
-                reach = [1.0] * (required + 1)
-                for have in range(required - 1, 0, -1):
-                    some = sum(p[i] * reach[min(required, have + i)] for i in range(1, required))
-                    reach[have] = pure * (some + 1 - sum(p)) / (1 - pure * p[0])
-                worst = min(worst, pure * (sum(p[i] * reach[i] for i in range(1, required)) + 1 - sum(p)))
-        return worst
-
-    m = 4
-    while m <= 2 ** (k + 1):
-        p = chance(m)
-        if sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(MATCHES)) <= MISS:
-            return m
-        m += max(1, m // 32)
-    return 0
+def most_required(n_sets: int) -> int:
+    """The most shingles a signature is lengthened to: one more for every 11 times as many texts, so that those a signature of common
+    shingles meets do not grow as the corpus does."""
+    return max(4, math.ceil(2 * math.log2(max(n_sets, 1)) / 7))
 
 
-@lru_cache(maxsize=16)
-def short_below(t: float, required: int = MOST_REQUIRED) -> int:
-    """Sets below this size (a power of two) use their prefix whatever it costs, as too few groups of them would match."""
-    k = 4
-    while not groups_of_class(k, t, required):
-        k += 1
-    return 1 << k
+@lru_cache(maxsize=256)
+def signatures_needed(t: float, required: int) -> int:
+    """The least number of signatures of ``required`` shingles of which two sets of similarity t share fewer than ``MATCHES`` with
+    probability at most ``MISS``; two sets agree on the least shingle under a hash function with the probability t."""
+    p, m = t**required, MATCHES
+    while sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(MATCHES)) > MISS:
+        m += 1
+    return m
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -189,9 +179,9 @@ class Prefix:
         self.need = min(most, 1 + int(math.log2(1 + self.cost / FREE)))
         self.level = np.maximum(1, np.arange(len(self.order)) - base + 2)
         self.shared = counts > 0
-        #: Whether the document looks for its partners by its prefix: it is cheap, or too short for groups.
-        self.seeks = self.cost <= PREFIX_COST or n < short_below(t) / t
-        #: Whether partners may know it as costly: it emits groups.
+        #: Whether the document looks for its partners by its prefix: it is cheap.
+        self.seeks = self.cost <= PREFIX_COST
+        #: Whether partners may know it as costly: it emits signatures of its whole set.
         self.grouped = not self.seeks
         self.most = most
 
@@ -208,33 +198,39 @@ def prefix_rows(p: Prefix, s: np.ndarray, cells: np.ndarray | None = None) -> np
     return rows
 
 
+@lru_cache(maxsize=16)
+def _multipliers(n: int) -> np.ndarray:
+    """Odd factors, one for each hash function: ``y * factor`` of 32 bits orders shingles at random."""
+    return (_mixed(_mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))) >> _U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _least(y: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The place of the least of ``y`` under each hash function."""
+    out, step = np.empty(len(factors), np.int64), max(1, CHUNK // len(y))
+    for i in range(0, len(factors), step):
+        out[i : i + step] = (y * factors[i : i + step, None]).argmin(axis=1)
+    return out
+
+
 def group_rows(s: np.ndarray, held: np.ndarray, n_sets: int, t: float) -> np.ndarray:
-    """Rows of the signatures of a whole set; each depends only on what it holds, so two sets that agree on it act alike."""
-    n, short = len(s), short_below(t)
-    own, out = n.bit_length() - 1, []
+    """Rows of the signatures of a whole set; each depends only on the shingles it takes, so two sets that agree on them act alike."""
+    required = most_required(n_sets)
+    m = signatures_needed(t, required)
+    factors = _multipliers(m * required).reshape(required, m)
+    y = (_mixed(s) >> _U(32)).astype(np.uint32)
     # Expected partners of a signature, in logarithms: the texts, times each shingle's share of them.
-    share = held / 8 - math.log2(max(n_sets, 1))
-    for k in (own,) if n * t >= 1 << own or 1 << own <= short else (own, own - 1):
-        m = groups_of_class(k, t, MOST_REQUIRED)
-        g = ((s >> _U(24)) % _U(m)).astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        found, first = np.unique(g[order], return_index=True)
-        content = np.add.reduceat(_mixed(s[order]), first)
-        least = np.minimum.reduceat(held[order], first)
-        size = np.diff(np.append(first, n))
-        cost = np.add.reduceat(share[order], first)
-        sig, rare, have, met = content, least, size, cost
-        step = 0
-        limit = math.log2(COST) - math.log2(max(n_sets, 1))
-        while (less := (met > limit) & (have < MOST_REQUIRED)).any() and step < len(found) - 1:
-            step += 1
-            sig = np.where(less, sig * _U(0x9E3779B97F4A7C15) + np.roll(content, -step), sig)
-            rare = np.where(less, np.minimum(rare, np.roll(least, -step)), rare)
-            have = np.where(less, have + np.roll(size, -step), have)
-            met = np.where(less, met + np.roll(cost, -step), met)
-        sig = _mixed(sig ^ (found.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(k << 56))
-        out.append(sig[rare > 0] & ~_U(1))
-    sig = np.unique(np.concatenate(out))
+    share, limit = held / 8 - math.log2(max(n_sets, 1)), math.log2(COST) - math.log2(max(n_sets, 1))
+    sig, met, rare = np.arange(1, m + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), np.zeros(m), np.full(m, 255, np.uint8)
+    less = np.arange(m)
+    for factor in factors:
+        at = _least(y, factor[less])
+        sig[less] = _mixed(sig[less] ^ s[at]) * _U(0x9E3779B97F4A7C15)
+        rare[less] = np.minimum(rare[less], held[at])
+        met[less] += share[at]
+        less = less[met[less] > limit]
+        if not len(less):
+            break
+    sig = sig[rare > 0] & ~_U(1)
     rows = np.zeros(len(sig), _ROW)
     rows["sig"], rows["need"], rows["seeks"] = sig, MATCHES, 1
     return rows
@@ -244,7 +240,6 @@ def signatures(s: np.ndarray, counts: np.ndarray, cells: np.ndarray, n_sets: int
     held = counts[_cell(s, len(counts))]
     p = Prefix(s, held, t)
     rows = prefix_rows(p, s, cells)
-    # A short document is met by its prefix only; one near that size, by either.
     return rows if not p.grouped else np.concatenate([rows, group_rows(s, held, n_sets, t)])
 
 

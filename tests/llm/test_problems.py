@@ -1,6 +1,7 @@
 """The training-text operators against brute force and on odd inputs: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -401,6 +402,57 @@ def test_signatures_lengthen_with_cost():
     assert a != b
 
 
+def _stock_sets(n, rng):
+    """Sets of texts whose sentences, of 14 shingles each, come from a bounded stock with common and rare ones; every eighth text is short."""
+    stock = np.random.default_rng(0).integers(1 << 63, size=(400, 14), dtype=np.uint64)
+    picks = (400 * rng.random((n, 20)) ** 2).astype(int)
+    return [np.unique(np.append(stock[q[: 5 if i % 8 == 0 else 20]].ravel(), np.uint64(i))) for i, q in enumerate(picks)]
+
+
+def _met(sets, t):
+    """Pairs of a text that share a row of which one seeks."""
+    cells = 1 << 21
+    n = np.bincount(np.concatenate([near_duplicates._cell(s, cells) for s in sets]), minlength=cells)
+    counts = np.ceil(8 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+    wanted = np.zeros(cells, np.uint8)
+    for s in sets:
+        p = near_duplicates.Prefix(s, counts[near_duplicates._cell(s, cells)], t)
+        wanted[near_duplicates._cell(s[p.order], cells)] |= p.seeks
+    rows = np.concatenate([near_duplicates.signatures(s, counts, wanted, len(sets), t) for s in sets])
+    _, at, size = np.unique(rows["sig"], return_inverse=True, return_counts=True)
+    seeking = np.bincount(at, weights=rows["seeks"])
+    return float((seeking * (size - seeking) + seeking * (seeking - 1) / 2).sum()) / len(sets)
+
+
+def test_texts_of_a_bounded_stock_meet_few_others():
+    """Texts of a bounded stock of sentences, short ones among them: none are similar, and each meets few others at every number of texts."""
+    for n in (500, 1000, 4000):
+        assert _met(_stock_sets(n, np.random.default_rng(n)), 0.7) < 20
+
+
+@pytest.mark.parametrize("n", [12, 60, 400])
+def test_signatures_find_similar_sets_of_any_size(n):
+    """Sets of similarity 0.7 share enough signatures of common shingles, however short they are."""
+    rng, t = np.random.default_rng(n), 0.7
+    for _ in range(100):
+        e = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        both, rest = math.ceil(t * n), n - math.ceil(t * n)
+        a, b = (np.unique(x) for x in (e[: both + rest // 2], np.append(e[:both], e[both + rest // 2 :])))
+        x, y = (near_duplicates.group_rows(s, np.full(len(s), 140, np.uint8), 2_000_000, t)["sig"] for s in (a, b))
+        assert len(np.intersect1d(x, y)) >= near_duplicates.MATCHES
+
+
+def test_sketch_parts_follow_their_rows(spark):
+    """A part of few shingles writes few bytes, however large the sketch; the counts add up over parts."""
+    cell, count = np.array([0, 7, 65_535]), np.array([1, 70_000, 2**31 - 1])
+    data = near_duplicates._packed_cells(cell, count)
+    got = near_duplicates._unpacked_cells(data)
+    assert len(data) < 40 and got[0].tolist() == cell.tolist() and got[1].tolist() == count.tolist()
+    sets = spark.createDataFrame([(np.array([5, 70_000 + i], "<u8").tobytes(),) for i in range(20)], "shingles binary").repartition(70)
+    counts = near_duplicates.cell_counts(sets, 1 << 21)
+    assert counts[5] == math.ceil(8 * math.log2(20)) and counts.sum() == counts[5]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.id: r.component for r in near_duplicates.components(edges).collect()}
